@@ -11,7 +11,7 @@ EV = """ev AS (
   SELECT event_id AS eid, ts AS transaction_time,
     CASE event_type WHEN 'purchase' THEN 'PAYMENT' WHEN 'view' THEN 'CASH_OUT'
       WHEN 'signup' THEN 'CASH_IN' WHEN 'click' THEN 'TRANSFER' WHEN 'error' THEN 'DEBIT' END AS type,
-    round(value * 1000.0, 2) AS amount,
+    floor(value * 1000.0 * 100.0 + 0.5) / 100.0 AS amount,
     'C' || CAST(user_id AS VARCHAR) AS nameOrig,
     user_id AS user_num,
     epoch_us(ts) // 1000000 AS ts_seconds

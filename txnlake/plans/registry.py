@@ -16,6 +16,8 @@ from txnlake.session import ensure_utc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 ORACLE_DOUBLES: dict[str, list[str]] = {}
+# The plans without the output rounding used for the oracle comparison (bench.py).
+RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -38,6 +40,11 @@ def register(name: str, oracle: str | None = None, doubles: tuple[str, ...] = ()
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
+
+        def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_utc(spark)
+            return fn(spark, sf_dir)
+        RAW[name] = raw
         if oracle is not None:
             ORACLES[name] = stable_select(oracle, list(doubles))
             ORACLE_DOUBLES[name] = list(doubles)

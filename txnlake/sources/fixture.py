@@ -49,7 +49,9 @@ def landing_from_events(events: DataFrame, with_partition_keys: bool = True,
     eid = F.col("event_id")
     ts = F.col("ts").cast("timestamp")
     typ = _type_expr(F.col("event_type"))
-    amount = F.round(F.col("value") * F.lit(1000.0), 2)
+    # Cents rounding written with IEEE operations only (same bits in every engine);
+    # the BigDecimal-based round() would be re-evaluated wherever Catalyst inlines it.
+    amount = F.floor(F.col("value") * F.lit(1000.0) * F.lit(100.0) + F.lit(0.5)) / F.lit(100.0)
     old_orig = (F.when(eid % 10 == 0, F.lit(0.0))
                 .when(eid % 10 == 1, amount)
                 .otherwise(amount + (eid % 97).cast("double") * F.lit(100.0)))
