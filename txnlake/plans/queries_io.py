@@ -313,3 +313,16 @@ def q_dq_profile(spark, sf):
 
 
 _ = SEQ_COL
+
+
+# ------------------------------------------------------------------ streaming
+
+@register("hourly_stream_clean", with_base("SELECT * FROM silver", "silver"), SILVER_DOUBLES)
+def q_hourly_stream(spark, sf):
+    """Landing files -> streaming cleaning (availableNow) -> silver file sink -> read back."""
+    from txnlake.streaming.hourly import run_hourly_stream
+    landing_path = _landing_written(spark, sf)
+    silver_path = scratch_path(spark, "silver-stream")
+    q = run_hourly_stream(spark, landing_path, silver_path, scratch_path(spark, "stream-ckpt"))
+    q.awaitTermination()
+    return normalize_partition_keys(spark.read.parquet(silver_path)).drop("processed_at")
