@@ -107,3 +107,29 @@ def q_share_of_total(spark, sf):
 
 
 _ = F  # keep import for readers extending subsets
+
+
+# ------------------------------------------------------------ feature store
+
+from txnlake.session import scratch_path  # noqa: E402
+from txnlake.sources import scans as S  # noqa: E402
+from txnlake.sources import sinks as K  # noqa: E402
+
+
+@register("feature_snapshot_write", _feature_sql(ALL_FEATURES), FEATURE_DOUBLES)
+def q_snapshot_write(spark, sf):
+    """Snapshot `run_date=2024-01-30` of the features over every silver row, read back."""
+    base = scratch_path(spark, "features")
+    K.feature_snapshot_write(_features(spark, sf), base, "2024-01-30")
+    return S.feature_snapshot_scan(spark, base, "2024-01-30")
+
+
+@register("feature_snapshot_scan", _feature_sql(ALL_FEATURES), FEATURE_DOUBLES)
+def q_snapshot_scan(spark, sf):
+    """Two overlapping snapshots; the default read takes only the latest one."""
+    base = scratch_path(spark, "features")
+    silver = silver_df(spark, sf)
+    older = FT.window_features(S.rolling_window_scan(silver, "2024-01-20", 30))
+    K.feature_snapshot_write(older, base, "2024-01-20")
+    K.feature_snapshot_write(FT.window_features(silver), base, "2024-01-30")
+    return S.feature_snapshot_scan(spark, base)
