@@ -58,3 +58,13 @@ def test_anomaly_reasons_keep_trailing_comma_and_priority(spark):
     assert out["t1"].anomaly_reasons == ("ORIG_BALANCE_ERROR,DEST_BALANCE_ERROR,LARGE_TXN,"
                                          "NIGHT_TXN,EMPTIED_ACCOUNT,")
     assert out["t2"].investigation_priority == "CONFIRMED_FRAUD" and out["t2"].anomaly_reasons == ""
+
+
+def test_fused_risk_mart_equals_dim_join_path(spark):
+    from txnlake.plans.base import fact_df
+    from txnlake.plans.registry import stable
+    fact = fact_df(spark, "/root/testdata/sf0.001")
+    a = stable(M.mart_user_risk_score(fact))
+    b = stable(M.mart_user_risk_score(M.dim_users_full(fact), fact))
+    norm = lambda d: sorted(repr(tuple(r)) for r in d.select(sorted(d.columns)).collect())  # noqa
+    assert norm(a) == norm(b)

@@ -83,10 +83,9 @@ def dim_users_merge(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def user_behavior(fact: DataFrame) -> DataFrame:
-    """Per sender: conditional counts, type sums, night count, max and population stddev."""
+def _behavior_aggs() -> list[Column]:
     night = is_night_hour(F.col("hour_of_day"))
-    return fact.groupBy("user_id").agg(
+    return [
         F.count_if(F.col("is_all_orig_balance") == 1).alias("emptied_account_count"),
         F.count_if(F.col("is_dest_zero_init") == 1).alias("to_new_account_count"),
         F.count_if((F.col("is_error_balance_orig") == 1) | (F.col("is_error_balance_dest") == 1))
@@ -96,6 +95,26 @@ def user_behavior(fact: DataFrame) -> DataFrame:
         F.count_if(night).alias("night_txns"),
         F.max("amount").alias("max_txn_amount"),
         F.stddev_pop("amount").alias("amount_volatility"),
+    ]
+
+
+def user_behavior(fact: DataFrame) -> DataFrame:
+    """Per sender: conditional counts, type sums, night count, max and population stddev."""
+    return fact.groupBy("user_id").agg(*_behavior_aggs())
+
+
+def user_profile(fact: DataFrame) -> DataFrame:
+    """Dimension stats and behaviour of every sender in ONE aggregation (one scan,
+    one shuffle of partial aggregates) -- the full-rebuild path of the risk mart."""
+    return fact.groupBy("user_id").agg(
+        F.min("transaction_time").alias("first_seen"),
+        F.max("transaction_time").alias("last_seen"),
+        F.count(F.lit(1)).alias("total_txns"),
+        F.sum("amount").alias("total_volume"),
+        sum_long(F.col("is_fraud")).alias("fraud_count"),
+        F.avg("amount").alias("avg_txn_amount"),
+        F.max("transaction_time").alias("updated_at"),
+        *_behavior_aggs(),
     )
 
 
@@ -132,8 +151,7 @@ def user_risk_left_join(dim: DataFrame, behavior: DataFrame) -> DataFrame:
     return joined.withColumns(zero)
 
 
-def mart_user_risk_score(dim: DataFrame, fact: DataFrame) -> DataFrame:
-    u = user_risk_left_join(dim, user_behavior(fact))
+def risk_score_columns(u: DataFrame) -> DataFrame:
     comps = risk_components(F.col("fraud_count"), F.col("emptied_account_count"),
                             F.col("night_txns"), F.col("total_txns"),
                             F.col("balance_error_count"), F.col("to_new_account_count"))
@@ -149,6 +167,15 @@ def mart_user_risk_score(dim: DataFrame, fact: DataFrame) -> DataFrame:
     )
 
 
+def mart_user_risk_score(dim: DataFrame, fact: DataFrame | None = None) -> DataFrame:
+    """Risk mart.  With a maintained (incremental) dimension: dim LEFT JOIN behaviour
+    of the fact, both keyed by user_id (co-partitioned join).  With `dim` = the fact
+    itself and no second argument, the fused single-aggregation rebuild."""
+    if fact is None:
+        return risk_score_columns(user_profile(dim))
+    return risk_score_columns(user_risk_left_join(dim, user_behavior(fact)))
+
+
 def merchant_only_filter(fact: DataFrame) -> DataFrame:
     return fact.filter(F.col("is_merchant_dest") == 1)
 

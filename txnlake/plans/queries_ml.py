@@ -14,7 +14,7 @@ from txnlake.plans.oracle_sql import with_base
 from txnlake.plans.queries_core import ANOMALY_CTE
 from txnlake.plans.queries_features import FEATURE_DOUBLES, FEATURE_EXPR, _feature_sql
 from txnlake.plans.registry import register
-from txnlake.session import scratch_path
+from txnlake.session import materialize, scratch_path
 
 ELIGIBLE = "fact WHERE type IN ('CASH_OUT', 'TRANSFER')"
 
@@ -25,7 +25,7 @@ def _eligible_fact(spark, sf):
 
 def _training_frame(spark, sf):
     """Feature rows of fraud-eligible types, class-weighted, NULLs filled."""
-    feats = ML.fraud_eligible_filter(FT.window_features(silver_df(spark, sf)))
+    feats = materialize(ML.fraud_eligible_filter(FT.window_features(silver_df(spark, sf))))
     return ML.null_fill(ML.class_weights(feats))
 
 

@@ -65,3 +65,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if root.startswith("file:"):
         root = root[len("file:"):]
     return os.path.join(root, "txnlake-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Cut lineage before a frame is read by several actions: a reliable checkpoint
+    in the shared checkpoint root (re-readable after an executor is lost, unlike a
+    local checkpoint or an executor-memory cache)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
