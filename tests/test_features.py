@@ -25,7 +25,8 @@ def _silver(spark, rows):
 
 def test_bucketed_equals_direct_on_sf001(spark):
     silver = silver_df(spark, SF01)
-    assert _norm(FT.window_features(silver)) == _norm(FT.window_features_direct(silver))
+    assert _norm(FT.window_features(silver, strategy="bucketed")) == \
+        _norm(FT.window_features_direct(silver))
 
 
 def test_window_edges_same_second_and_first_row(spark):
@@ -34,7 +35,12 @@ def test_window_edges_same_second_and_first_row(spark):
     rows = [(i, "M1", "C1", t0 + timedelta(seconds=g), 10.0 * (i + 1), 0)
             for i, g in enumerate(gaps)]
     rows.append((99, "M1", "C2", t0 + timedelta(seconds=3600, microseconds=500), 5.0, 1))
-    out = {r.txn_seq: r for r in FT.window_features(_silver(spark, rows)).collect()}
+    for strategy in ("bucketed", "direct"):
+        _check_edges({r.txn_seq: r for r in
+                      FT.window_features(_silver(spark, rows), strategy=strategy).collect()})
+
+
+def _check_edges(out):
     first = out[0]
     assert first.dest_count_past == 0 and first.dest_sum_amount_past is None
     assert first.dest_delta_seconds is None and first.orig_prev_amount is None
@@ -62,14 +68,29 @@ def test_hot_key_spanning_many_days_matches_direct(spark):
                          1 if seq % 11 == 0 else 0))
             seq += 1
     df = _silver(spark, rows)
-    assert _norm(FT.window_features(df)) == _norm(FT.window_features_direct(df))
+    assert _norm(FT.window_features(df, strategy="bucketed")) == \
+        _norm(FT.window_features_direct(df))
+    # auto switches to the bucketed plan once a key exceeds the task budget
+    assert _norm(FT.window_features(df, max_key_rows=100)) == _norm(FT.window_features_direct(df))
+    assert FT.max_rows_per_key(df, "merchant_id") > 100
 
 
 def test_future_rows_do_not_leak(spark):
     t0 = datetime(2024, 1, 1)
     rows = [(i, "M1", "C1", t0 + timedelta(minutes=10 * i), 1.0, 0) for i in range(6)]
     df = _silver(spark, rows)
-    full = {r.txn_seq: r for r in FT.window_features(df).collect()}
-    cut = {r.txn_seq: r for r in FT.window_features(df.filter("txn_seq <= 2")).collect()}
+    full = {r.txn_seq: r for r in FT.window_features(df, strategy="bucketed").collect()}
+    cut = {r.txn_seq: r for r in
+           FT.window_features(df.filter("txn_seq <= 2"), strategy="bucketed").collect()}
     for k in cut:
         assert cut[k].asDict() == full[k].asDict()
+
+
+def test_without_tiebreak_column_matches_direct(spark):
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, "M1" if i % 3 else "M2", f"C{i % 2}", t0 + timedelta(hours=5 * (i // 2)),
+             float(i + 1), i % 2) for i in range(30)]
+    df = _silver(spark, rows).drop("txn_seq")
+    a = FT.window_features(df, seq=None, strategy="bucketed")
+    b = FT.window_features_direct(df, seq=None)
+    assert _norm(a) == _norm(b)

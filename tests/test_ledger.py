@@ -30,12 +30,13 @@ def test_ledger_floor_self_transfer_and_cash_out_to_customer(spark):
             (4, t0 + timedelta(days=5), "DEBIT", 10.0, "C2", "M1")]
     df = spark.createDataFrame(rows, "txn_seq long, transaction_time timestamp, type string, "
                                      "amount double, user_id string, merchant_id string")
-    got = {(r.account, r.seq, r.leg): r.balance
-           for r in L.ledger_running_balance(df, 1000.0).collect()}
     exp = _sequential(rows, 1000.0)
-    assert got.keys() == exp.keys()
-    for k in exp:
-        assert abs(got[k] - exp[k]) < 1e-9, k
+    for strategy in ("bucketed", "direct", "auto"):
+        got = {(r.account, r.seq, r.leg): r.balance
+               for r in L.ledger_running_balance(df, 1000.0, strategy=strategy).collect()}
+        assert got.keys() == exp.keys()
+        for k in exp:
+            assert abs(got[k] - exp[k]) < 1e-9, (strategy, k)
 
 
 def test_ledger_bucketed_equals_sequential_on_data(spark):
@@ -44,7 +45,7 @@ def test_ledger_bucketed_equals_sequential_on_data(spark):
     rows = [tuple(r) for r in fact.collect()]
     exp = _sequential(rows, 1000.0)
     got = {(r.account, r.seq, r.leg): r.balance
-           for r in L.ledger_running_balance(fact, 1000.0).collect()}
+           for r in L.ledger_running_balance(fact, 1000.0, strategy="bucketed").collect()}
     assert len(got) == len(exp)
     assert max(abs(got[k] - exp[k]) for k in exp) < 1e-6
     direct = {(r.account, r.seq, r.leg): r.balance

@@ -39,25 +39,107 @@ DAY_SECONDS = 86400
 NULL_KEY = "\u0000null"  # groups NULL keys together, like a window partition does
 
 
+HASH_TIEBREAK = ["transaction_time", "user_id", "merchant_id", "amount", "isFraud"]
+
+
 def _tiebreak(df: DataFrame, seq: str | None) -> Column:
+    """A unique id orders same-time rows; without one, a hash of the columns the
+    features read (rows equal on all of them are interchangeable)."""
     if seq and seq in df.columns:
         return F.col(seq)
-    return F.xxhash64(*[F.col(c) for c in df.columns])
+    return F.xxhash64(*[F.col(c) for c in HASH_TIEBREAK if c in df.columns])
+
+
+def _bucketed(df: DataFrame, key: str, seq: str | None, bucket_seconds: int) -> DataFrame:
+    return df.withColumns({
+        "_ts": epoch_seconds("transaction_time"),
+        "_tb": _tiebreak(df, seq),
+        "_k": F.coalesce(F.col(key), F.lit(NULL_KEY)),
+    }).withColumn("_b", F.floor(F.col("_ts") / F.lit(bucket_seconds)))
+
+
+# A key with more rows than this is "hot": its whole history would be one task.
+MAX_KEY_ROWS = 1_000_000
+
+
+def max_rows_per_key(df: DataFrame, key: str) -> int:
+    """Largest group size of `key` (one aggregation of a single column; the
+    partial counts combine map-side)."""
+    v = df.groupBy(key).count().agg(F.max("count").alias("m")).first()["m"]
+    return int(v or 0)
 
 
 def key_window_features(df: DataFrame, key: str, prefix: str, *,
                         seq: str | None = SEQ_COL, bucket_seconds: int = DAY_SECONDS,
                         ranges: dict[str, int] | None = None,
-                        prev_amount: bool = False, avg_past: bool = False) -> DataFrame:
-    """Add the `prefix`-named window features of one key (see module doc)."""
+                        prev_amount: bool = False, avg_past: bool = False,
+                        totals_from: DataFrame | None = None, strategy: str = "auto",
+                        max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
+    """Add the `prefix`-named window features of one key.
+
+    strategy: "bucketed" (skew-safe, see module doc), "direct" (one window
+    partition per key) or "auto": measure the largest key first and use the direct
+    plan only when every key fits comfortably in one task.  Both give the same rows.
+    """
+    if strategy == "auto":
+        src = totals_from if totals_from is not None else df
+        strategy = "bucketed" if max_rows_per_key(src, key) > max_key_rows else "direct"
+    kw = dict(seq=seq, ranges=ranges, prev_amount=prev_amount, avg_past=avg_past)
+    if strategy == "direct":
+        return _direct_key_features(df, key, prefix, **kw)
+    if strategy != "bucketed":
+        raise ValueError(f"unknown strategy {strategy}")
+    return _bucketed_key_features(df, key, prefix, bucket_seconds=bucket_seconds,
+                                  totals_from=totals_from, **kw)
+
+
+def _direct_key_features(df: DataFrame, key: str, prefix: str, *, seq: str | None,
+                         ranges: dict[str, int] | None, prev_amount: bool,
+                         avg_past: bool) -> DataFrame:
+    """One window partition per key: one exchange and one sort serve the ROWS
+    frames/lag and the RANGE frames (ts_seconds is a prefix of the sort order)."""
+    ranges = ranges or RANGES
+    base = df.withColumns({"_ts": epoch_seconds("transaction_time"), "_tb": _tiebreak(df, seq)})
+    w = Window.partitionBy(key).orderBy("_ts", "transaction_time", "_tb")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    out = {f"{prefix}_delta_seconds":
+           F.col("_ts") - F.lag("transaction_time").over(w).cast("long")}
+    if prev_amount:
+        out[f"{prefix}_prev_amount"] = F.lag("amount").over(w)
+    out[f"{prefix}_count_past"] = F.count(F.lit(1)).over(past)
+    out[f"{prefix}_sum_amount_past"] = F.sum("amount").over(past)
+    out[f"{prefix}_history_fraud_count"] = F.sum("isFraud").over(past)
+    if avg_past:
+        out[f"{prefix}_avg_amount_past"] = F.avg("amount").over(past)
+    base = base.withColumns(out)
+    wts = Window.partitionBy(key).orderBy("_ts")
+    rng = {}
+    for label, secs in ranges.items():
+        frame = wts.rangeBetween(-secs, -1)
+        rng[f"{prefix}_msg_count_{label}"] = F.count(F.lit(1)).over(frame)
+        rng[f"{prefix}_amount_sum_{label}"] = F.sum("amount").over(frame)
+    base = base.withColumns(rng)
+    return base.select(*df.columns, *rng.keys(), *[c for c in out if c in out])
+
+
+def _bucketed_key_features(df: DataFrame, key: str, prefix: str, *,
+                           seq: str | None = SEQ_COL, bucket_seconds: int = DAY_SECONDS,
+                           ranges: dict[str, int] | None = None,
+                           prev_amount: bool = False, avg_past: bool = False,
+                           totals_from: DataFrame | None = None) -> DataFrame:
+    """Skew-safe plan: (key, day) buckets with context rows and carried offsets.
+
+    `totals_from`: the rows to take the per-bucket totals from when `df` is itself
+    derived (e.g. the sender stage runs on the recipient stage's output); reading
+    the narrow source keeps `df`'s plan from being evaluated twice.
+    """
     ranges = ranges or RANGES
     if bucket_seconds < max(ranges.values()):
         raise ValueError("bucket must be at least as long as the longest RANGE frame")
-    base = df.withColumns({
-        "_ts": epoch_seconds("transaction_time"),
-        "_tb": _tiebreak(df, seq),
-        "_k": F.coalesce(F.col(key), F.lit(NULL_KEY)),
-    }).withColumn("_b", F.floor(F.col("_ts") / F.lit(bucket_seconds)))
+    src = totals_from if totals_from is not None else df
+    need = [c for c in dict.fromkeys(["transaction_time", "amount", "isFraud", key, seq]
+                                     + HASH_TIEBREAK) if c and c in src.columns]
+    base = _bucketed(src.select(*need), key, seq, bucket_seconds)
 
     # ---- per-(key, bucket) totals -> offsets carried across buckets (small table).
     # Only the previous *amount* needs the exact (time, tie-break) last row, which a
@@ -78,11 +160,14 @@ def key_window_features(df: DataFrame, key: str, prefix: str, *,
         F.lag("_lt").over(wb).alias("_olt"),
         *([F.lag("_last.a").over(wb).alias("_ola")] if prev_amount else []))
 
-    # ---- rows of the bucket + context rows of the previous bucket
-    own = base.withColumn("_ctx", F.lit(0))
-    ctx = base.select("_k", "_ts", "transaction_time", "_tb", "amount",
-                      (F.col("_b") + 1).alias("_b"), F.lit(1).alias("_ctx"))
-    u = own.unionByName(ctx, allowMissingColumns=True)
+    # ---- rows of the bucket + context rows of the previous bucket: one pass over
+    # `df` emits each row twice (explode), the copy narrowed to what frames read.
+    rows = _bucketed(df, key, seq, bucket_seconds)
+    u = rows.select(*rows.columns, F.explode(F.array(F.lit(0), F.lit(1))).alias("_ctx"))
+    keep = {"_k", "_ts", "transaction_time", "_tb", "amount", "_ctx", "_b"}
+    u = u.select(*[F.col(c) if c in keep else F.when(F.col("_ctx") == 0, F.col(c)).alias(c)
+                   for c in rows.columns if c != "_b"],
+                 (F.col("_b") + F.col("_ctx")).alias("_b"), "_ctx")
     wk = Window.partitionBy("_k", "_b")
     w_rows = wk.orderBy("_ts", "transaction_time", "_tb")
     w_past = w_rows.rowsBetween(Window.unboundedPreceding, -1)
@@ -154,7 +239,7 @@ def feature_projection(df: DataFrame) -> DataFrame:
 def window_features(silver: DataFrame, **kw) -> DataFrame:
     """The whole feature job: recipient windows, sender windows, pattern flags, projection."""
     df = dest_window_features(silver, **kw)
-    df = orig_window_features(df, **kw)
+    df = orig_window_features(df, totals_from=silver, **kw)
     return feature_projection(pattern_features(df))
 
 

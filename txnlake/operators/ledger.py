@@ -81,8 +81,25 @@ def ledger_legs(df: DataFrame) -> DataFrame:
     return sender.unionByName(recipient)
 
 
+MAX_ACCOUNT_LEGS = 1_000_000
+
+
 def ledger_running_balance(df: DataFrame, opening: float | str = 1000.0,
-                           bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+                           bucket_seconds: int = DAY_SECONDS, strategy: str = "auto",
+                           max_account_legs: int = MAX_ACCOUNT_LEGS) -> DataFrame:
+    """Zero-floored running balance per account; "auto" measures the busiest
+    account first and buckets by day only when it would overload one task."""
+    if strategy == "auto":
+        legs = ledger_legs(df)
+        top = legs.groupBy("account").count().agg(F.max("count").alias("m")).first()["m"] or 0
+        strategy = "bucketed" if top > max_account_legs else "direct"
+    if strategy == "direct":
+        return ledger_running_balance_direct(df, opening)
+    return _ledger_bucketed(df, opening, bucket_seconds)
+
+
+def _ledger_bucketed(df: DataFrame, opening: float | str = 1000.0,
+                     bucket_seconds: int = DAY_SECONDS) -> DataFrame:
     """Running balance per account with a floor at 0: `b_n = max(0, b_{n-1} + d_n)`.
 
     Closed form: with `S_n = b0 + sum(d_1..d_n)`, `b_n = S_n - min(0, min_k<=n S_k)`,
@@ -112,12 +129,13 @@ def ledger_running_balance(df: DataFrame, opening: float | str = 1000.0,
                     (s - F.least(F.lit(0.0), run_min)).alias("balance"))
 
 
-def ledger_running_balance_direct(df: DataFrame, opening: float = 1000.0) -> DataFrame:
-    """One window partition per account (brute-force check for the bucketed plan)."""
+def ledger_running_balance_direct(df: DataFrame, opening: float | str = 1000.0) -> DataFrame:
+    """One window partition per account (for accounts that fit one task)."""
     legs = ledger_legs(df)
     w = Window.partitionBy("account").orderBy("transaction_time", "seq", "leg") \
         .rowsBetween(Window.unboundedPreceding, 0)
-    s = F.lit(float(opening)) + F.sum("delta").over(w)
+    b0 = F.col(opening) if isinstance(opening, str) else F.lit(float(opening))
+    s = b0 + F.sum("delta").over(w)
     legs = legs.withColumn("_s", s)
     return legs.select("account", "transaction_time", "seq", "leg", "delta",
                        (F.col("_s") - F.least(F.lit(0.0), F.min("_s").over(w))).alias("balance"))

@@ -27,6 +27,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        # JIT-compile large generated methods (wide whole-stage-codegen stages)
+        "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+        "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     }
     conf.update(extra or {})
     for k, v in conf.items():
