@@ -68,8 +68,9 @@ def test_hot_key_spanning_many_days_matches_direct(spark):
                          1 if seq % 11 == 0 else 0))
             seq += 1
     df = _silver(spark, rows)
-    assert _norm(FT.window_features(df, strategy="bucketed")) == \
-        _norm(FT.window_features_direct(df))
+    direct = _norm(FT.window_features_direct(df))
+    for width in (1, 60, 3600, 86400):
+        assert _norm(FT.window_features(df, strategy="bucketed", bucket_seconds=width)) == direct
     # auto switches to the bucketed plan once a key exceeds the task budget
     assert _norm(FT.window_features(df, max_key_rows=100)) == _norm(FT.window_features_direct(df))
     assert FT.max_rows_per_key(df, "merchant_id") > 100

@@ -44,10 +44,11 @@ def test_ledger_bucketed_equals_sequential_on_data(spark):
                                         "user_id", "merchant_id")
     rows = [tuple(r) for r in fact.collect()]
     exp = _sequential(rows, 1000.0)
-    got = {(r.account, r.seq, r.leg): r.balance
-           for r in L.ledger_running_balance(fact, 1000.0, strategy="bucketed").collect()}
-    assert len(got) == len(exp)
-    assert max(abs(got[k] - exp[k]) for k in exp) < 1e-6
+    for width in (60, 86400):
+        got = {(r.account, r.seq, r.leg): r.balance for r in L.ledger_running_balance(
+            fact, 1000.0, strategy="bucketed", bucket_seconds=width).collect()}
+        assert len(got) == len(exp)
+        assert max(abs(got[k] - exp[k]) for k in exp) < 1e-6
     direct = {(r.account, r.seq, r.leg): r.balance
               for r in L.ledger_running_balance_direct(fact, 1000.0).collect()}
     assert max(abs(direct[k] - exp[k]) for k in exp) < 1e-6

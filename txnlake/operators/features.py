@@ -13,16 +13,21 @@ Rows are ordered by (ts_seconds, transaction_time, tie-break id); ts_seconds is
 monotone in transaction_time, so one sort serves both the ROWS and RANGE frames.
 
 Skew-safe plan.  A plain `Window.partitionBy(key)` puts all of a key's history in
-one task; a hot merchant holding a third of 100 TB would never finish.  Instead
-work is partitioned by (key, time bucket):
-1. RANGE frames: each row is also emitted, narrowed to 5 columns, as a *context*
-   row of the next bucket.  Bucket width >= the longest frame, so every frame
-   lies inside (own bucket + previous bucket) and is computed exactly.
-2. ROWS frames / lag: running values inside the bucket, plus per-(key, bucket)
-   offsets from a small aggregate (rows = keys x buckets) carried across buckets
-   by a window over that aggregate -- a two-level prefix sum.  `lag` falls back to
-   the previous non-empty bucket's last row.
-The largest task is one key's rows in two buckets, bounded by time, not by history.
+one task; a hot merchant holding a third of 100 TB would never finish.  The
+skew-safe plan bounds every task by time resolution instead of data volume:
+1. RANGE frames exclude the whole current second, so all rows of one second share
+   them.  They are computed on per-(key, second) totals (partial aggregation),
+   partitioned by (key, 24 h bucket) with the previous bucket as context: a task
+   holds at most 2 x 86400 rows per key-day, however many transactions.
+2. Each row reads its second's frames from a *marker* row (one per key-second)
+   sorted just before it in the same (key, minute) partition -- a running
+   `last(ignorenulls)`, no join of the raw rows and no copies of them.
+3. ROWS frames / lag: running values inside the (key, minute) bucket plus offsets
+   of all earlier buckets from a small aggregate (rows = keys x minutes, windowed
+   per key) -- a two-level prefix sum; `lag` falls back to the previous non-empty
+   bucket's last row.
+The raw rows are shuffled once per key.  `strategy="auto"` measures the largest
+key first and keeps the one-exchange per-key plan when every key fits a task.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ from txnlake.schemas import FEATURE_ROW_COLUMNS, SEQ_COL
 # Fixed frame lengths of the reference features.
 RANGES = {"1h": 3600, "24h": 86400}
 DAY_SECONDS = 86400
+MINUTE_SECONDS = 60
 NULL_KEY = "\u0000null"  # groups NULL keys together, like a window partition does
 
 
@@ -70,7 +76,7 @@ def max_rows_per_key(df: DataFrame, key: str) -> int:
 
 
 def key_window_features(df: DataFrame, key: str, prefix: str, *,
-                        seq: str | None = SEQ_COL, bucket_seconds: int = DAY_SECONDS,
+                        seq: str | None = SEQ_COL, bucket_seconds: int = MINUTE_SECONDS,
                         ranges: dict[str, int] | None = None,
                         prev_amount: bool = False, avg_past: bool = False,
                         totals_from: DataFrame | None = None, strategy: str = "auto",
@@ -123,35 +129,67 @@ def _direct_key_features(df: DataFrame, key: str, prefix: str, *, seq: str | Non
 
 
 def _bucketed_key_features(df: DataFrame, key: str, prefix: str, *,
-                           seq: str | None = SEQ_COL, bucket_seconds: int = DAY_SECONDS,
+                           seq: str | None = SEQ_COL, bucket_seconds: int = MINUTE_SECONDS,
                            ranges: dict[str, int] | None = None,
                            prev_amount: bool = False, avg_past: bool = False,
                            totals_from: DataFrame | None = None) -> DataFrame:
-    """Skew-safe plan: (key, day) buckets with context rows and carried offsets.
-
-    `totals_from`: the rows to take the per-bucket totals from when `df` is itself
-    derived (e.g. the sender stage runs on the recipient stage's output); reading
-    the narrow source keeps `df`'s plan from being evaluated twice.
-    """
+    """Skew-safe plan (see module doc): per-second range frames, one marker row per
+    second, running totals per (key, time bucket) plus carried bucket offsets."""
     ranges = ranges or RANGES
-    if bucket_seconds < max(ranges.values()):
-        raise ValueError("bucket must be at least as long as the longest RANGE frame")
+    span = max(ranges.values())
     src = totals_from if totals_from is not None else df
     need = [c for c in dict.fromkeys(["transaction_time", "amount", "isFraud", key, seq]
                                      + HASH_TIEBREAK) if c and c in src.columns]
-    base = _bucketed(src.select(*need), key, seq, bucket_seconds)
-
-    # ---- per-(key, bucket) totals -> offsets carried across buckets (small table).
-    # Only the previous *amount* needs the exact (time, tie-break) last row, which a
-    # struct max gives (a sort-based aggregate over 4 narrow columns); the previous
-    # *time* is just max(time), so the recipient side stays a pure hash aggregate.
+    narrow = _bucketed(src.select(*need), key, seq, bucket_seconds)
+
+    # 1. RANGE frames on per-(key, second) totals.  Frames exclude the whole
+    #    current second, so every row of a second shares them.  Partitioned by
+    #    (key, span bucket) with the previous bucket as context: a task holds at
+    #    most 2 x span seconds of one key, however many rows they aggregate.
+    sec = narrow.groupBy("_k", "_ts").agg(F.count(F.lit(1)).alias("_n"),
+                                          F.sum("amount").alias("_sa"))
+    sec = sec.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_ctx")) \
+             .withColumn("_sb", F.floor(F.col("_ts") / F.lit(span)) + F.col("_ctx"))
+    w_sec = Window.partitionBy("_k", "_sb").orderBy("_ts")
+    rng_fields = []
+    for label, secs in ranges.items():
+        frame = w_sec.rangeBetween(-secs, -1)
+        rng_fields += [F.coalesce(F.sum("_n").over(frame), F.lit(0)).alias(f"c{label}"),
+                       F.sum("_sa").over(frame).alias(f"s{label}")]
+    marks = sec.select("_k", "_ts", "_ctx", F.struct(*rng_fields).alias("_rng")) \
+               .filter(F.col("_ctx") == 0).drop("_ctx") \
+               .withColumn("_b", F.floor(F.col("_ts") / F.lit(bucket_seconds)))
+
+    # 2. Rows + the per-second markers, partitioned by (key, bucket) and sorted by
+    #    time with each second's marker first: one exchange of the rows, no copies.
+    rows = _bucketed(df, key, seq, bucket_seconds).withColumn("_m", F.lit(0))
+    u = rows.unionByName(marks.withColumn("_m", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy("_k", "_b").orderBy("_ts", F.desc("_m"), "transaction_time", "_tb")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    real = F.col("_m") == 0
+    u = u.withColumns({
+        "_r": F.last(F.when(~real, F.col("_rng")), ignorenulls=True).over(upto),
+        "_ln": F.sum(F.when(real, F.lit(1)).otherwise(F.lit(0))).over(past),
+        "_ls": F.sum(F.when(real, F.col("amount"))).over(past),
+        "_lsn": F.count(F.when(real, F.col("amount"))).over(past),
+        "_lf": F.sum(F.when(real, F.col("isFraud"))).over(past),
+        "_lfn": F.count(F.when(real, F.col("isFraud"))).over(past),
+        "_pred": F.last(F.when(real, F.struct(F.col("transaction_time").alias("t"),
+                                              F.col("amount").alias("a"))),
+                        ignorenulls=True).over(past),
+    }).filter(real)
+
+    # 3. Per-(key, bucket) totals -> offsets of all earlier buckets (a window over
+    #    the small keys x buckets table).  Only the previous *amount* needs the exact
+    #    (time, tie-break) last row (a struct max, sort-based over narrow columns).
     aggs = [F.count(F.lit(1)).alias("_n"), F.sum("amount").alias("_s"),
             F.count("amount").alias("_sn"), F.sum("isFraud").alias("_f"),
             F.count("isFraud").alias("_fn"), F.max("transaction_time").alias("_lt")]
     if prev_amount:
         aggs.append(F.max(F.struct(F.col("_ts"), F.col("transaction_time"), F.col("_tb"),
                                    F.col("amount").alias("a"))).alias("_last"))
-    bt = base.groupBy("_k", "_b").agg(*aggs)
+    bt = narrow.groupBy("_k", "_b").agg(*aggs)
     wb = Window.partitionBy("_k").orderBy("_b")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select(
@@ -160,35 +198,6 @@ def _bucketed_key_features(df: DataFrame, key: str, prefix: str, *,
         F.lag("_lt").over(wb).alias("_olt"),
         *([F.lag("_last.a").over(wb).alias("_ola")] if prev_amount else []))
 
-    # ---- rows of the bucket + context rows of the previous bucket: one pass over
-    # `df` emits each row twice (explode), the copy narrowed to what frames read.
-    rows = _bucketed(df, key, seq, bucket_seconds)
-    u = rows.select(*rows.columns, F.explode(F.array(F.lit(0), F.lit(1))).alias("_ctx"))
-    keep = {"_k", "_ts", "transaction_time", "_tb", "amount", "_ctx", "_b"}
-    u = u.select(*[F.col(c) if c in keep else F.when(F.col("_ctx") == 0, F.col(c)).alias(c)
-                   for c in rows.columns if c != "_b"],
-                 (F.col("_b") + F.col("_ctx")).alias("_b"), "_ctx")
-    wk = Window.partitionBy("_k", "_b")
-    w_rows = wk.orderBy("_ts", "transaction_time", "_tb")
-    w_past = w_rows.rowsBetween(Window.unboundedPreceding, -1)
-    is_own = F.col("_ctx") == 0
-    u = u.withColumns({
-        "_ln": F.sum(1 - F.col("_ctx")).over(w_past),
-        "_ls": F.sum(F.when(is_own, F.col("amount"))).over(w_past),
-        "_lsn": F.count(F.when(is_own, F.col("amount"))).over(w_past),
-        "_lf": F.sum(F.when(is_own, F.col("isFraud"))).over(w_past),
-        "_lfn": F.count(F.when(is_own, F.col("isFraud"))).over(w_past),
-        "_pred": F.lag(F.struct(F.col("transaction_time").alias("t"),
-                                F.col("amount").alias("a"))).over(w_rows),
-    })
-    w_ts = wk.orderBy("_ts")
-    rng = {}
-    for label, secs in ranges.items():
-        frame = w_ts.rangeBetween(-secs, -1)
-        rng[f"{prefix}_msg_count_{label}"] = F.count(F.lit(1)).over(frame)
-        rng[f"{prefix}_amount_sum_{label}"] = F.sum("amount").over(frame)
-    u = u.withColumns(rng).filter(is_own)
-
     j = u.join(bt, ["_k", "_b"], "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     n_amt = z("_o_sn") + z("_lsn")
@@ -196,6 +205,10 @@ def _bucketed_key_features(df: DataFrame, key: str, prefix: str, *,
     sum_amt = F.when(n_amt > 0, F.coalesce(F.col("_o_s"), F.lit(0.0))
                      + F.coalesce(F.col("_ls"), F.lit(0.0)))
     has_pred = F.col("_pred").isNotNull()
+    rng = {}
+    for label in ranges:
+        rng[f"{prefix}_msg_count_{label}"] = F.col(f"_r.c{label}")
+        rng[f"{prefix}_amount_sum_{label}"] = F.col(f"_r.s{label}")
     out = {
         f"{prefix}_delta_seconds": F.col("_ts") - F.when(has_pred, F.col("_pred.t"))
         .otherwise(F.col("_olt")).cast("long"),
@@ -207,7 +220,7 @@ def _bucketed_key_features(df: DataFrame, key: str, prefix: str, *,
         out[f"{prefix}_prev_amount"] = F.when(has_pred, F.col("_pred.a")).otherwise(F.col("_ola"))
     if avg_past:
         out[f"{prefix}_avg_amount_past"] = sum_amt / n_amt
-    j = j.withColumns(out)
+    j = j.withColumns({**rng, **out})
     return j.select(*df.columns, *rng.keys(), *out.keys())
 
 

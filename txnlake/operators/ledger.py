@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from txnlake.functions.columns import LARGE_TXN_AMOUNT, clip, epoch_seconds, is_night_hour
 from txnlake.schemas import SEQ_COL
 
-DAY_SECONDS = 86400
+MINUTE_SECONDS = 60
 
 # Expected fraud rate (x3 at night) and the per-segment amount
 # bounds (min, max) for TRANSFER, CASH_OUT and every other type.
@@ -85,7 +85,7 @@ MAX_ACCOUNT_LEGS = 1_000_000
 
 
 def ledger_running_balance(df: DataFrame, opening: float | str = 1000.0,
-                           bucket_seconds: int = DAY_SECONDS, strategy: str = "auto",
+                           bucket_seconds: int = MINUTE_SECONDS, strategy: str = "auto",
                            max_account_legs: int = MAX_ACCOUNT_LEGS) -> DataFrame:
     """Zero-floored running balance per account; "auto" measures the busiest
     account first and buckets by day only when it would overload one task."""
@@ -99,7 +99,7 @@ def ledger_running_balance(df: DataFrame, opening: float | str = 1000.0,
 
 
 def _ledger_bucketed(df: DataFrame, opening: float | str = 1000.0,
-                     bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+                     bucket_seconds: int = MINUTE_SECONDS) -> DataFrame:
     """Running balance per account with a floor at 0: `b_n = max(0, b_{n-1} + d_n)`.
 
     Closed form: with `S_n = b0 + sum(d_1..d_n)`, `b_n = S_n - min(0, min_k<=n S_k)`,
