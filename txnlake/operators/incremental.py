@@ -42,9 +42,22 @@ def dim_users_incremental(dim: DataFrame, batch: DataFrame) -> DataFrame:
     return dim_users_merge(dim, new_user_stats(user_dim_high_water(batch, dim)))
 
 
-def upsert_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """delete+insert on a unique key: old rows whose key re-appears are replaced."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+# Increments with at most this many keys are broadcast to the anti-join, so the
+# (large) target is filtered where it lies instead of being shuffled.
+BROADCAST_MAX_KEYS = 2_000_000
+
+
+def upsert_by_key(old: DataFrame, new: DataFrame, keys: list[str],
+                  broadcast_max_keys: int = BROADCAST_MAX_KEYS) -> DataFrame:
+    """delete+insert on a unique key: old rows whose key re-appears are replaced.
+
+    The increment's key set is counted first; only a proven-small set is
+    broadcast, otherwise both sides are shuffled on the key.
+    """
+    new_keys = new.select(*keys).distinct()
+    if new_keys.count() <= broadcast_max_keys:
+        new_keys = F.broadcast(new_keys)
+    return old.join(new_keys, keys, "left_anti").unionByName(new)
 
 
 def fact_transactions_incremental(src: DataFrame, target: DataFrame) -> DataFrame:
