@@ -161,11 +161,14 @@ def refresh_models(spark: SparkSession, warehouse_base: str, models_base: str) -
 # ------------------------------------------------------------------ ML
 
 def feature_job(spark: SparkSession, silver_base: str, features_base: str,
-                exec_date: str, window_days: int = 30, files: int | None = None) -> str:
-    """Rolling `window_days` read (partition-pruned) -> window features -> snapshot."""
+                exec_date: str, window_days: int = 30, files: int | None = None) -> str | None:
+    """Rolling `window_days` read (partition-pruned) -> window features -> snapshot.
+    An empty window writes nothing and returns None (the cleaning job fails instead)."""
     ensure_utc(spark)
     silver = normalize_partition_keys(S.typed_scan(spark, silver_base, SILVER_SCHEMA))
-    silver = S.empty_input_guard(S.rolling_window_scan(silver, exec_date, window_days), "window")
+    silver = S.rolling_window_scan(silver, exec_date, window_days)
+    if silver.isEmpty():
+        return None
     return K.feature_snapshot_write(window_features(silver), features_base, exec_date, files)
 
 
