@@ -66,7 +66,7 @@ def fact_transactions_incremental(src: DataFrame, target: DataFrame) -> DataFram
 
 def latest_version_per_key(df: DataFrame, keys: list[str], version: str,
                            tiebreak: list[str] | None = None) -> DataFrame:
-    """Newest row per key (ReplacingMergeTree semantics).
+    """Newest row per key (a replacing-by-version table).
 
     A `max_by` aggregate instead of a row_number window: it combines map-side, so
     a key with millions of versions never lands whole in one task.

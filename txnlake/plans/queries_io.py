@@ -251,8 +251,8 @@ def q_bad_rows(spark, sf):
 @register("materialize_view", with_base("SELECT * FROM stg"), FACT_DOUBLES)
 def q_materialize_view(spark, sf):
     from txnlake.plans.base import stg_df
-    K.materialize_view(stg_df(spark, sf).drop("processed_at"), "stg_paysim_txn")
-    return spark.sql("SELECT * FROM stg_paysim_txn")
+    K.materialize_view(stg_df(spark, sf).drop("processed_at"), "stg_transactions_view")
+    return spark.sql("SELECT * FROM stg_transactions_view")
 
 
 @register("materialize_table", with_base("SELECT * FROM fact"), FACT_DOUBLES)
@@ -308,7 +308,7 @@ def q_dq_output_files(spark, sf):
 
 @register("dq_profile")
 def q_dq_profile(spark, sf):
-    return Q.dq_profile(spark, {"paysim_txn": silver_df(spark, sf),
+    return Q.dq_profile(spark, {"transactions": silver_df(spark, sf),
                                 "fact_transactions": fact_df(spark, sf)})
 
 

@@ -72,13 +72,13 @@ def feature_snapshot_write(df: DataFrame, base: str, run_date: str,
 
 
 def materialize_view(df: DataFrame, name: str) -> DataFrame:
-    """dbt `view` materialization: a named, lazily evaluated temp view."""
+    """View materialization: a named, lazily evaluated temp view."""
     df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)
 
 
 def materialize_table(df: DataFrame, path: str) -> DataFrame:
-    """dbt `table` materialization: computed once, stored as Parquet, read back."""
+    """Table materialization: computed once, stored as Parquet, read back."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
