@@ -32,7 +32,7 @@ LANDING_SQL = with_base("SELECT * FROM landing", "landing")
 
 def _landing_written(spark, sf, name="landing"):
     path = scratch_path(spark, name)
-    K.landing_partitioned_write(landing_df(spark, sf), path)
+    K.landing_partitioned_write(landing_df(spark, sf), path, dynamic=False)  # fresh directory
     return path
 
 
