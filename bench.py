@@ -37,8 +37,10 @@ def main() -> None:
     from txnlake.plans import registry
     from txnlake.session import build_session
     registry.load_all()
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
-                          extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    if os.environ.get("BENCH_NO_HUGE_JIT"):
+        extra["spark.driver.extraJavaOptions"] = ""
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, extra=extra)
     timings: dict[str, float] = {}
     for name in HEADLINE:
         q = registry.RAW[name]

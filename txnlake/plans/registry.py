@@ -18,6 +18,7 @@ ORACLES: dict[str, str] = {}
 ORACLE_DOUBLES: dict[str, list[str]] = {}
 # The plans without the output rounding used for the oracle comparison (bench.py).
 RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SOURCE_FUNCS: dict[str, Callable] = {}
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -45,6 +46,7 @@ def register(name: str, oracle: str | None = None, doubles: tuple[str, ...] = ()
             ensure_utc(spark)
             return fn(spark, sf_dir)
         RAW[name] = raw
+        SOURCE_FUNCS[name] = fn
         if oracle is not None:
             ORACLES[name] = stable_select(oracle, list(doubles))
             ORACLE_DOUBLES[name] = list(doubles)
