@@ -13,7 +13,6 @@ job re-run after a lost executor or a failed attempt does not duplicate rows.
 
 from __future__ import annotations
 
-import os
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -201,4 +200,3 @@ def training_job(spark: SparkSession, features_base: str, run_date: str | None =
     return model, metrics
 
 
-_ = os

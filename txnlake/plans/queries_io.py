@@ -19,7 +19,7 @@ from txnlake.plans.queries_core import (
     CLEAN_DOUBLES, CUTOFF_DT, DIM_DOUBLES, DIM_SQL, FACT_DOUBLES, SILVER_DOUBLES,
 )
 from txnlake.plans.registry import register
-from txnlake.schemas import CSV_CASTS, SEQ_COL, SILVER_SCHEMA
+from txnlake.schemas import CSV_CASTS, SILVER_SCHEMA
 from txnlake.session import scratch_path
 from txnlake.sources import scans as S
 from txnlake.sources import sinks as K
@@ -312,7 +312,6 @@ def q_dq_profile(spark, sf):
                                 "fact_transactions": fact_df(spark, sf)})
 
 
-_ = SEQ_COL
 
 
 # ------------------------------------------------------------------ streaming
