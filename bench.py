@@ -52,9 +52,12 @@ def main() -> None:
             samples.append(time.perf_counter() - t0)
         timings[name] = round(statistics.median(samples), 3)
     sf = os.path.basename(sf_dir).replace("sf", "")
-    print(json.dumps({"metric": "headline_total_median_sec", "value": round(sum(timings.values()), 3),
+    n_rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    total = round(sum(timings.values()), 3)
+    print(json.dumps({"metric": "headline_total_median_sec", "value": total,
                       "unit": "sec", "queries": timings, "sf": sf, "cpus": int(cpus),
-                      "runs": runs}))
+                      "runs": runs, "input_rows": n_rows,
+                      "rows_per_sec": {k: round(n_rows / v) for k, v in timings.items() if v}}))
     spark.stop()
 
 

@@ -249,10 +249,32 @@ def feature_projection(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def window_features(silver: DataFrame, **kw) -> DataFrame:
-    """The whole feature job: recipient windows, sender windows, pattern flags, projection."""
-    df = dest_window_features(silver, **kw)
-    df = orig_window_features(df, totals_from=silver, **kw)
+def max_rows_per_keys(df: DataFrame, keys: list[str]) -> dict[str, int]:
+    """Largest group size of each key column in ONE scan (grouping sets: the rows
+    are expanded once per key inside the job, then counted with partial
+    aggregation)."""
+    g = df.groupingSets([[k] for k in keys], *keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.grouping(k).alias(f"_g{i}") for i, k in enumerate(keys)])
+    row = g.agg(*[F.max(F.when(F.col(f"_g{i}") == 0, F.col("_n"))).alias(k)
+                  for i, k in enumerate(keys)]).first()
+    return {k: int(row[k] or 0) for k in keys}
+
+
+def window_features(silver: DataFrame, strategy: str = "auto",
+                    max_key_rows: int = MAX_KEY_ROWS, **kw) -> DataFrame:
+    """The whole feature job: recipient windows, sender windows, pattern flags, projection.
+
+    With "auto", both keys' largest groups are measured in one pass first and each
+    side gets the per-key or the skew-safe plan on its own.
+    """
+    if strategy == "auto":
+        top = max_rows_per_keys(silver, ["merchant_id", "user_id"])
+        dest_s = "bucketed" if top["merchant_id"] > max_key_rows else "direct"
+        orig_s = "bucketed" if top["user_id"] > max_key_rows else "direct"
+    else:
+        dest_s = orig_s = strategy
+    df = dest_window_features(silver, strategy=dest_s, **kw)
+    df = orig_window_features(df, totals_from=silver, strategy=orig_s, **kw)
     return feature_projection(pattern_features(df))
 
 
