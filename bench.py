@@ -3,6 +3,9 @@
 Runs each query at $BENCH_SF_DIR (default /root/testdata/sf0.1) on
 local[$BENCH_CPUS]: one warm-up, then the median of 3 timed runs, each forced
 through the `noop` sink (full execution, no collect).  Prints ONE JSON line.
+
+A/B switches: BENCH_HUGE_LIMIT=<bytes> sets spark.sql.codegen.hugeMethodLimit,
+BENCH_NO_HUGE_JIT=1 drops the JIT option for large generated methods.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ def main() -> None:
     from txnlake.session import build_session
     registry.load_all()
     extra = {"spark.driver.memory": "16g"}
+    if os.environ.get("BENCH_HUGE_LIMIT"):
+        extra["spark.sql.codegen.hugeMethodLimit"] = os.environ["BENCH_HUGE_LIMIT"]
     if os.environ.get("BENCH_NO_HUGE_JIT"):
         extra["spark.driver.extraJavaOptions"] = ""
     spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, extra=extra)
