@@ -45,6 +45,7 @@ def test_feature_store_reads_latest_snapshot_only(spark):
     K.feature_snapshot_write(df.filter("x = 2"), base, "2024-01-02")
     assert [r.x for r in S.feature_snapshot_scan(spark, base).collect()] == [2]
     assert S.feature_snapshot_scan(spark, base, "2024-01-01").count() == 2
+    assert S.feature_snapshot_scan(spark, base, all_dates=True).count() == 3
 
 
 def test_streaming_hourly_job_is_exactly_once(spark):

@@ -94,9 +94,13 @@ def list_partitions(spark: SparkSession, base: str) -> DataFrame:
     return keys.filter((F.col("part_dt") != "") & (F.col("part_hour") != "")).distinct()
 
 
-def feature_snapshot_scan(spark: SparkSession, base: str, run_date: str | None = None) -> DataFrame:
+def feature_snapshot_scan(spark: SparkSession, base: str, run_date: str | None = None,
+                          all_dates: bool = False) -> DataFrame:
     """Feature store rows of one `run_date` (default: the latest snapshot, so
-    overlapping snapshots are never read together)."""
+    overlapping snapshots are never read together).  `all_dates=True` reads every
+    snapshot with its `run_date` column (rolling snapshots overlap: rows repeat)."""
+    if all_dates:
+        return spark.read.parquet(base)
     if run_date is not None:
         return spark.read.parquet(f"{base}/run_date={run_date}")
     snaps = list_snapshot_dates(spark, base)
