@@ -79,8 +79,16 @@ def latest_version_per_key(df: DataFrame, keys: list[str], version: str,
 
 
 def retention_filter(df: DataFrame, ts: str, as_of: str, interval: str = "1 YEAR") -> DataFrame:
-    """TTL: keep rows with `ts + interval > as_of`."""
-    return df.filter(F.col(ts) + F.expr(f"INTERVAL {interval}") > F.lit(as_of).cast("timestamp"))
+    """TTL: keep rows with `ts + interval > as_of`.
+
+    A looser bound on the bare column (`ts > as_of - interval - 1 day`, folded to a
+    literal) goes first so the scan can push it down and skip row groups; the exact
+    month-arithmetic predicate then decides the boundary rows.
+    """
+    as_of_ts = F.lit(as_of).cast("timestamp")
+    bound = as_of_ts - F.expr(f"INTERVAL {interval}") - F.expr("INTERVAL 1 DAY")
+    return df.filter((F.col(ts) > bound)
+                     & (F.col(ts) + F.expr(f"INTERVAL {interval}") > as_of_ts))
 
 
 def default_now(df: DataFrame, col: str, run_ts: str | None = None) -> DataFrame:
