@@ -23,18 +23,23 @@ def partition_high_water(target: DataFrame) -> str:
     return v if v is not None else EPOCH_HIGH_WATER
 
 
+def newer_than(src: DataFrame, hw: str) -> DataFrame:
+    """`part_dt || part_hour > hw`, led by `part_dt >= hw[:8]` on the bare column so
+    the bound prunes partitions / row groups at the scan."""
+    return src.filter((F.col("part_dt") >= F.lit(hw[:8]))
+                      & (F.concat(F.col("part_dt"), F.col("part_hour")) > F.lit(hw)))
+
+
 def incremental_high_water(src: DataFrame, target: DataFrame) -> DataFrame:
     """Source rows in partitions strictly newer than the target's newest partition."""
-    hw = partition_high_water(target)
-    return src.filter(F.concat(F.col("part_dt"), F.col("part_hour")) > F.lit(hw))
+    return newer_than(src, partition_high_water(target))
 
 
 def user_dim_high_water(src: DataFrame, dim: DataFrame) -> DataFrame:
     """Rows newer than the dimension's newest `last_seen`, compared in one format
     (`yyyyMMddHH`) so the boundary hour is never read twice."""
     v = _scalar(dim, F.date_format(F.max("last_seen"), "yyyyMMddHH"))
-    hw = v if v is not None else EPOCH_HIGH_WATER
-    return src.filter(F.concat(F.col("part_dt"), F.col("part_hour")) > F.lit(hw))
+    return newer_than(src, v if v is not None else EPOCH_HIGH_WATER)
 
 
 def dim_users_incremental(dim: DataFrame, batch: DataFrame) -> DataFrame:
