@@ -40,7 +40,6 @@ from txnlake.schemas import FEATURE_ROW_COLUMNS, SEQ_COL
 
 # Fixed frame lengths of the reference features.
 RANGES = {"1h": 3600, "24h": 86400}
-DAY_SECONDS = 86400
 MINUTE_SECONDS = 60
 NULL_KEY = "\u0000null"  # groups NULL keys together, like a window partition does
 
