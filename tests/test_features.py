@@ -95,3 +95,13 @@ def test_without_tiebreak_column_matches_direct(spark):
     a = FT.window_features(df, seq=None, strategy="bucketed")
     b = FT.window_features_direct(df, seq=None)
     assert _norm(a) == _norm(b)
+
+
+def test_null_keys_group_together_in_both_plans(spark):
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, None if i % 3 == 0 else "M1", None if i % 4 == 0 else "C1",
+             t0 + timedelta(minutes=37 * i), float(i + 1), 1 if i % 5 == 0 else 0)
+            for i in range(40)]
+    df = _silver(spark, rows)
+    assert _norm(FT.window_features(df, strategy="bucketed")) == \
+        _norm(FT.window_features_direct(df))
