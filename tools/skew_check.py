@@ -43,6 +43,15 @@ def main():
     direct, td = run(FT.window_features_direct(skewed))
     print(f"auto plan (recipient side bucketed): {ta:.1f}s; per-key plan: {td:.1f}s;"
           f" equal: {auto == direct}")
+
+    from txnlake.operators import ledger as L
+    from txnlake.plans.base import fact_df
+    fact = fact_df(spark, sf).withColumn(
+        "merchant_id", F.when(F.col("txn_seq") % 3 == 0, F.lit("M0")).otherwise(F.col("merchant_id")))
+    la, tla = run(L.ledger_running_balance(fact, 1000.0, max_account_legs=budget))
+    ld, tld = run(L.ledger_running_balance_direct(fact, 1000.0))
+    print(f"ledger auto plan (bucketed): {tla:.1f}s; per-account plan: {tld:.1f}s;"
+          f" equal: {la == ld}")
     spark.stop()
 
 
