@@ -30,6 +30,7 @@ from txnlake.session import ensure_utc, materialize
 from txnlake.sources import scans as S
 from txnlake.sources import sinks as K
 
+# Fixed value: the start of the hourly step clock (step 1 = this hour, UTC).
 SIMULATION_START = "2025-12-28 00:00:00"
 
 
