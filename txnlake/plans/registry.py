@@ -56,10 +56,9 @@ def register(name: str, oracle: str | None = None, doubles: tuple[str, ...] = ()
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from txnlake.plans import queries_core  # noqa: F401
-    for mod in ("queries_io", "queries_features", "queries_ml"):
-        try:
-            __import__(f"txnlake.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    from txnlake.plans import (  # noqa: F401
+        queries_core,
+        queries_features,
+        queries_io,
+        queries_ml,
+    )

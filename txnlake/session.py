@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -66,10 +65,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh directory under the shared checkpoint root for one job's outputs."""
-    root = checkpoint_root(spark)
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-    return os.path.join(root, "txnlake-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{checkpoint_root(spark)}/txnlake-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df):
