@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlake.llm import simhash, url_filter
+from txnlake.llm import (
+    chat,
+    decontam,
+    langid,
+    pieces,
+    secret_scan,
+    simhash,
+    token_counts,
+    topk,
+    toxicity,
+    url_filter,
+)
 from txnlake.llm.common import table
 
 # The rules of the URL query.
@@ -14,17 +25,111 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"),
              ("block", "com", "/de/")]
 
 
+#: The vocabulary of the piece queries.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+# The added conversation of the chat query.
+TRICKY_ID, TRICKY_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(TRICKY_ID, i, role, TRICKY_TEXT)
+                                   for i, role in enumerate(("user", "assistant"))],
+                                  "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_chats(rows.unionAll(added)))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+#: The categories of the toxicity chain, in its order.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1",
+              "toxic_low_quality": "toxic = 1 AND quality = 0"}
+
+
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), CATEGORIES)
+    return toxicity.classify(docs, chain)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"),
+                               table(spark, sf_dir, "benchmark"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_language_id,
+                                  op4_chat_format, op5_exact_topk, op6_secret_scan,
+                                  op7_toxicity_chain, op8_decontamination, op9_token_counts,
+                                  op10_simhash_dedup)}
 
 ORACLES = {
+    "op4_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'),
+                   (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+s AS (
+  SELECT *, CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 END
+            + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) + 8 AS chars,
+         lag(role) OVER w AS before, lead(role) OVER w IS NULL AS last
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text))
+    AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                  FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars,
+  bool_and(coalesce(CASE role WHEN 'system' THEN before IS NULL
+                              WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant')
+                              WHEN 'assistant' THEN before = 'user' END, false)
+           AND (NOT last OR role = 'assistant')) AS valid
+FROM s GROUP BY conv_id
+""",
+    "op5_exact_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score
+FROM p
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+""",
     "op2_url_filter": """
 WITH p AS (
   SELECT page_id,
