@@ -25,6 +25,7 @@ length is one part, scanned in one pass.
 from __future__ import annotations
 
 import array
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -66,6 +67,7 @@ class Vocabulary:
             self.out[i] = piece.replace(MARK, " ").encode()
         for value, i in self.bytes.items():
             self.out[i] = bytes([value])
+        self.digest = hashlib.sha256(repr((self.pieces, self.dummy)).encode()).hexdigest()
         size = sum(map(len, self.out)) + 40 * n
         if size > MAX_VOCABULARY_BYTES:
             raise ValueError(f"a vocabulary of {size} bytes is over the bound for broadcasts")
@@ -161,12 +163,11 @@ class Encoder:
 _coders: dict = {}
 
 
-def per_worker(shared, make):
-    """``make(value)`` of a broadcast, kept for the later tasks of this Python worker."""
-    if shared.id not in _coders:
-        _coders.clear()
-        _coders[shared.id] = make(shared.value)
-    return _coders[shared.id]
+def per_worker(vocabulary: Vocabulary, make):
+    """``make(vocabulary)``, kept for the later tasks of this Python worker."""
+    if _coders.get(make, (None,))[0] != vocabulary.digest:
+        _coders[make] = vocabulary.digest, make(vocabulary)
+    return _coders[make][1]
 
 
 def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id",
@@ -179,7 +180,7 @@ def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id",
         T.StructField("round_trip", T.BooleanType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = per_worker(shared, Encoder)
+        coder = per_worker(shared.value, Encoder)
 
         def out(keys, flat, ends, same):
             ids = pa.ListArray.from_arrays(

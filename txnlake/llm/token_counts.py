@@ -150,7 +150,7 @@ def token_counts(df: DataFrame, model_path: str, id_col: str = "doc_id",
 
     @F.pandas_udf("n_pretokens long, n_tokens long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counter = per_worker(shared, Counter)
+        counter = per_worker(shared.value, Counter)
         for texts in batches:
             got = counter.count([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame(got, columns=["n_pretokens", "n_tokens"], dtype="Int64")
