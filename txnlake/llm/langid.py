@@ -219,7 +219,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    lang_col: str = "lang", min_score: float = 0.3, **fitting) -> DataFrame:
+                    lang_col: str = "lang", min_score: float = 0.26, **fitting) -> DataFrame:
     """The rows whose language is determined with at least ``min_score``, columns as given."""
     ids = F.col(id_col)
     model = fit(df.where(ids.isNotNull() & ~held_out(ids)), text_col, lang_col, **fitting)

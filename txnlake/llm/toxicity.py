@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another by logistic models over the presence of words;
-each later model also gets the earlier categories' probabilities.  In fitting, those are
+Categories are predicted one after another by logistic models over the presence of words
+(bare, the first ``STEM`` letters of longer ones, and the run of signs that a word ends in,
+which tells junk) and the logarithm of their number, as long texts hold words by chance; each later model also gets the earlier categories' probabilities.  In fitting, those are
 out-of-fold predictions (``folds`` folds), so a later model sees the errors that it will
 meet.  A category's threshold is the one of best F1 on its out-of-fold predictions.
 
@@ -25,13 +26,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import sample_share
+from txnlake.llm.common import sample_share, stored
 
 EDGES = "\"'`()[]{}<>.,;:!?*#&%$_~|«»„“”’…-=+/\\"
 
 
+STEM = 5
+
+
 def words_of(text: str | None) -> set[str]:
-    return {w.strip(EDGES) for w in set((text or "").lower().split())} - {""}
+    raw = set((text or "").lower().split())
+    bare = {w.strip(EDGES) for w in raw}
+    signs = {w[len(w.rstrip(EDGES)):] for w in raw if w[-2:-1] in EDGES or len(w) == 1}
+    return (bare | signs | {w[:STEM] + "-" for w in bare if len(w) > STEM}) - {""}
+
+
+def _length(words: int) -> float:
+    """The length feature, between 0 and about 1."""
+    return float(np.log1p(words) / 10)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -39,7 +51,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3,
-                 steps: int = 150) -> np.ndarray:
+                 steps: int = 200) -> np.ndarray:
     """Weights (the last is the intercept) by accelerated gradient descent."""
     n, d = x.shape
     x = np.hstack([x, np.ones((n, 1), x.dtype)])
@@ -104,7 +116,9 @@ class Chain:
     def score(self, texts: list[str | None]) -> np.ndarray:
         """(texts, categories) probabilities."""
         out, d = np.zeros((len(texts), len(self.names))), len(self.words)
-        has = [[self.words[w] for w in words_of(t) & self.words.keys()] for t in texts]
+        found = [words_of(t) for t in texts]
+        has = [[self.words[w] for w in f & self.words.keys()] for f in found]
+        length = np.array([_length(len(f)) for f in found])
         rows = np.repeat(np.arange(len(texts)), [len(h) for h in has])
         cols = np.array([c for h in has for c in h], np.int64)
         for j, w in enumerate(self.models):
@@ -112,19 +126,22 @@ class Chain:
                 out[:, j] = w
                 continue
             z = np.bincount(rows, weights=w[cols], minlength=len(texts)).astype(float)
-            out[:, j] = _sigmoid(z + out[:, :j] @ w[d:d + j] + w[-1])
+            out[:, j] = _sigmoid(z + length * w[d] + out[:, :j] @ w[d + 1:d + 1 + j] + w[-1])
         return out
 
 
 def fit(df: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id",
-        text_col: str = "text", max_rows: int = 8000, max_words: int = 1500, min_docs: int = 4,
-        folds: int = 3) -> Chain:
+        text_col: str = "text", max_rows: int = 8000, max_words: int = 1500, min_docs: int = 5,
+        least_strength: float = 5.0, folds: int = 3) -> Chain:
     names = list(categories)
     wanted = labels.select(id_col, *(F.expr(c).cast("int").alias(f"y{i}")
                                      for i, c in enumerate(categories.values()))).dropna()
     sample = df.select(id_col, F.col(text_col).alias("text")).join(
         F.broadcast(sample_share(wanted, max_rows, id_col)), id_col).where("text IS NOT NULL")
     ys = [f"y{i}" for i in range(len(names))]
+    # exact copies count once, with their majority label: else their words look telling
+    sample = stored(sample.groupBy("text").agg(
+        *((F.avg(y) >= 0.5).cast("int").alias(y) for y in ys)), "labelled")
 
     def presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -147,21 +164,25 @@ def fit(df: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: st
             F.col("n") - F.col(y)) + 0.5))
         return F.abs(odds) / F.sqrt(1 / a + 1 / b)
 
-    strongest = counted.orderBy(F.desc(F.greatest(*(strength(y) for y in ys))
-                                       if len(ys) > 1 else strength(ys[0])), "w").limit(max_words)
-    words = {r.w: i for i, r in enumerate(strongest.select("w").collect())}
+    most = F.greatest(*map(strength, ys)) if len(ys) > 1 else strength(ys[0])
+    strongest = counted.select("w", most.alias("s")).where(F.col("s") >= least_strength).orderBy(
+        F.desc("s"), "w").limit(max_words)
+    words = {r.w: i for i, r in enumerate(strongest.collect())}
     shared = df.sparkSession.sparkContext.broadcast(words)
 
-    @F.pandas_udf("array<int>")
-    def features(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("has array<int>, length double")
+    def features(texts: pd.Series) -> pd.DataFrame:
         known = shared.value
-        return pd.Series([sorted(known[w] for w in words_of(t) & known.keys()) for t in texts])
+        rows = [(sorted(known[w] for w in f & known.keys()), _length(len(f)))
+                for f in map(words_of, texts)]
+        return pd.DataFrame(rows, columns=["has", "length"])
 
-    rows = sample.select(features("text").alias("has"), F.pmod(
-        F.xxhash64(F.lit("fold"), "text"), F.lit(folds)).alias("fold"), *ys).collect()
-    x = np.zeros((len(rows), len(words)), np.float32)
+    rows = sample.select(features("text").alias("f"), F.pmod(
+        F.xxhash64(F.lit("fold"), "text"), F.lit(folds)).alias("fold"), *ys).select("f.*", "fold", *ys).collect()
+    x = np.zeros((len(rows), len(words) + 1), np.float32)
     for i, r in enumerate(rows):
         x[i, r["has"]] = 1
+        x[i, -1] = r.length
     y = np.array([[r[c] for c in ys] for r in rows], float).reshape(len(rows), len(ys))
     order = np.lexsort((*y.T, np.array([hash(tuple(r["has"])) for r in rows], np.int64))) \
         if rows else np.zeros(0, int)
