@@ -212,12 +212,15 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
                   **parameters) -> DataFrame:
     """The rows that hold no benchmark item, columns as given."""
     for index in indexes(benchmark, item_col, item_text_col, **(PARAMETERS | parameters)):
-        shared = df.sparkSession.sparkContext.broadcast(index)
+        df = df.where(_clean(df.sparkSession.sparkContext.broadcast(index))(F.col(text_col)))
+    return df
 
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield pd.Series([not shared.value.find(t) for t in texts], dtype=bool)
 
-        df = df.where(clean(F.col(text_col)))
-    return df
+def _clean(shared):
+    """text -> whether it holds no item of the broadcast index."""
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([not shared.value.find(t) for t in texts], dtype=bool)
+
+    return clean

@@ -12,7 +12,7 @@ floating point where its bound shows that it is exact, and with Python integers
 Defined cases: rows with a null id, a null vector or a null or non-finite component
 (after scaling, too) take no part; rows of a query's own id are never its candidates; a
 candidate of another length than the query is none; repeated rows each count as
-candidates, and each as a query; scores beyond a long are held at its ends.
+candidates, and each as a query; scores beyond a long count as its ends.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from txnlake.llm.common import stored
 
 PACKED = "dim int, keys binary, ids binary, data binary"
 EXACT = float(1 << 53)
+LONG = -(1 << 63), (1 << 63) - 1
 
 
 def _finite(x: Column) -> Column:
@@ -88,6 +89,7 @@ def tile_top(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, list]:
     else:
         whole = np.vectorize(int, otypes=[object])
         score = whole(q) @ whole(c).T if q.shape[1] else np.zeros((len(q), n), object)
+        score = np.clip(score, *LONG)
         k = min(k, n)
         at = np.array([sorted(np.flatnonzero(~o), key=lambda j: -s[j])[:k]
                        + [j for j in np.flatnonzero(o)][:max(0, k - int((~o).sum()))]
@@ -132,11 +134,10 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
                         else np.zeros((m, 0)) for n, m in (("data", len(q_ids)),
                                                            ("c_data", len(c_ids))))
                 pos, ids, score = tile_top(q_ids, q, c_ids, c, k)
-                ends = -(1 << 63), (1 << 63) - 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[pos], pa.int64()), pa.array(q_ids[pos], pa.int64()),
                      pa.array([x["grp"]] * len(pos), pa.int64()), pa.array(ids, pa.int64()),
-                     pa.array([min(max(s, ends[0]), ends[1]) for s in score], pa.int64())],
+                     pa.array(score, pa.int64())],
                     ["key", "query_id", "grp", "vec_id", "score"])
 
     lists = tiles.select("dim", "grp", "keys", "ids", "data", "c_ids", "c_data").mapInArrow(

@@ -97,7 +97,7 @@ class Chain:
         models, thresholds, given = [], [], np.zeros((len(x), 0), x.dtype)
         for j in range(len(names)):
             target, full = y[:, j], np.hstack([x, given])
-            if target.min(initial=1) == target.max(initial=0):
+            if len(set(target.tolist())) < 2:
                 rate = float(target.mean()) if len(target) else 0.0
                 models.append(rate)
                 thresholds.append(2.0)
