@@ -10,10 +10,10 @@ White space marks: a space is written as the mark; a dummy one goes before the t
 the model says so.  A mark that stands in the text itself is written as byte pieces, so
 decoding gives every text back exactly.
 
-No piece but runs of marks holds a mark behind another character, so the best
-segmentation of a text is that of its parts cut before each run of marks, and parts that
-repeat are encoded once (a cache of twice ``CACHE`` parts at most, per worker).  Parts are also cut around
-characters that no longer piece holds (line ends).
+Where no piece can span two characters, the best segmentation is that of the two sides:
+texts are cut before runs of marks, around line ends and between words and signs (derived
+from the pieces), and parts that repeat are encoded once (a cache of twice ``CACHE`` parts
+at most, per worker).
 
 The models of this kind may come with merge ranks as scores: ids are then those of the best
 path under these scores, which may differ from the merge order's.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-CACHE = 200_000
+CACHE = 300_000
 CACHED_CHARS = 64
 #: A vocabulary up to this size is broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -77,13 +77,27 @@ class Vocabulary:
         return min(s for _, s, _ in self.pieces) - UNKNOWN_PENALTY
 
     def splitter(self) -> re.Pattern:
-        """Matches the parts of a text whose segmentations are independent."""
-        joined = {c for p, _, _ in self.pieces if len(p) > 1 for c in p}
-        if any(MARK in p.lstrip(MARK) for p, _, _ in self.pieces):
+        """Matches the parts of a text whose segmentations are independent: no piece holds a
+        mark behind another character, a line end beside one, or a sign of ``signs`` behind
+        a character that is neither a mark nor such a sign."""
+        before: dict[str, set[str]] = {}
+        for p, _, _ in self.pieces:
+            for a, b in zip(p, p[1:]):
+                before.setdefault(b, set()).add(a)
+        if before.get(MARK, set()) - {MARK}:
             raise ValueError("a piece with a mark inside; texts cannot be cut at marks")
-        alone = "".join(c for c in "\n\t\r" if c not in joined)
-        return re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone
-                          else f"{MARK}*[^{MARK}]+|{MARK}+")
+        joined = {c for p, _, _ in self.pieces if len(p) > 1 for c in p}
+        alone = {c for c in "\n\t\r" if c not in joined}
+        signs = {c for p, _, _ in self.pieces for c in p if not c.isalpha()} - alone - {MARK}
+        while wrong := {c for c in signs if before.get(c, set()) - signs - {MARK}}:
+            signs -= wrong
+        every, signs = signs, {c for c in signs if c.isascii()}
+        while more := {a for c in signs for a in before.get(c, ())} & every - signs:
+            signs |= more  # the fewer, the faster to match
+        a, s = (re.escape("".join(sorted(x))) for x in (alone, signs))
+        words = rf"{MARK}*[^{MARK}{a}]+" if not s else \
+            rf"{MARK}*[{s}]*[^{MARK}{a}{s}]+|{MARK}*[{s}]+"
+        return re.compile((f"[{a}]|" if a else "") + f"{words}|{MARK}+")
 
 
 class Encoder:

@@ -27,40 +27,68 @@ BATCH_CHARS = 1_000_000
 END = ""  # the key of a node at which a pre-token ends
 
 
+class Endings:
+    """Automaton that tells, after each character, the pieces that end there (longest
+    first, as (length, score)), so no prefix is looked up that is not a piece."""
+
+    def __init__(self, scores: dict[str, float]) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.fall, self.out = [0], [()]
+        for piece, score in scores.items():
+            at = 0
+            for c in piece:
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.next.append({})
+                    self.fall.append(0)
+                    self.out.append(())
+                at = self.next[at][c]
+            self.out[at] = ((len(piece), score),)
+        level = list(self.next[0].values())
+        while level:
+            below = []
+            for at in level:
+                for c, to in self.next[at].items():
+                    self.fall[to] = self.step(self.fall[at], c)
+                    self.out[to] += self.out[self.fall[to]]
+                    below.append(to)
+            level = below
+
+    def step(self, at: int, c: str) -> int:
+        while (to := self.next[at].get(c)) is None and at:
+            at = self.fall[at]
+        return to or 0
+
+
 class Counter:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.scores = {p: s for p, s, _ in vocabulary.pieces}
         self.widest = max(map(len, self.scores))
-        # ends of pieces: their scores, or None where the whole is no piece
-        self.tails = {p[i:]: self.scores.get(p[i:]) for p in self.scores for i in range(len(p))}
+        self.endings = Endings(self.scores)
         self.dummy, self.unknown = vocabulary.dummy, vocabulary.unknown
         self.parts = vocabulary.splitter()
         self.known: dict[str, int] = {}
         self.older: dict[str, int] = {}
 
-    def _relax(self, prefix: str, best: list[float], tokens: list[int]) -> tuple[float, int]:
-        """Best score and its tokens at the end of ``prefix``, from those of its prefixes."""
-        n, top, count = len(prefix), float("-inf"), 0
-        for start in range(n - 1, -1, -1):
-            s = self.tails.get(prefix[start:], False)
-            if s is False:  # no longer piece ends like this
-                break
-            if s is not None and best[start] + s >= top:
-                top, count = best[start] + s, tokens[start] + 1
-        last = prefix[-1]
-        if last not in self.scores and best[n - 1] + self.unknown > top:
-            top, count = best[n - 1] + self.unknown, tokens[n - 1] + len(last.encode())
+    def _relax(self, state: int, c: str, best: list[float], tokens: list[int]) -> tuple[float, int]:
+        """Best score and its tokens behind ``c``, from those of the prefixes (the latest last)."""
+        top, count = float("-inf"), 0
+        for size, score in self.endings.out[state]:
+            if best[-size] + score > top:
+                top, count = best[-size] + score, tokens[-size] + 1
+        if c not in self.scores and best[-1] + self.unknown > top:
+            top, count = best[-1] + self.unknown, tokens[-1] + len(c.encode())
         return top, count
 
     def _alone(self, part: str) -> int:
-        widest = self.widest
-        best, tokens = [0.0], [0]
-        for end in range(1, len(part) + 1):
-            at = max(0, end - widest)
-            top, count = self._relax(part[at:end], best[-(end - at):], tokens[-(end - at):])
+        best, tokens, state = [0.0], [0], 0
+        for c in part:
+            state = self.endings.step(state, c)
+            top, count = self._relax(state, c, best, tokens)
             best.append(top)
             tokens.append(count)
-            del best[:-widest], tokens[:-widest]
+            if len(best) > 64 * self.widest:
+                del best[:-self.widest], tokens[:-self.widest]
         return tokens[-1]
 
     def learn(self, parts: Iterable[str]) -> None:
@@ -77,24 +105,26 @@ class Counter:
                     below = node[c] = {}
                 node = below
             node[END] = part
-        best, tokens, prefix = [0.0], [0], ""
+        step, relax = self.endings.step, self._relax
+        best, tokens, states = [0.0], [0], [0]
         walk = [iter(trie.items())]
         while walk:
             for c, node in walk[-1]:
                 if c == END:
                     self.known[node] = tokens[-1]
                     continue
-                prefix += c
-                top, count = self._relax(prefix, best, tokens)
+                state = step(states[-1], c)
+                top, count = relax(state, c, best, tokens)
                 best.append(top)
                 tokens.append(count)
+                states.append(state)
                 walk.append(iter(node.items()))
                 break
             else:
                 walk.pop()
                 best.pop()
                 tokens.pop()
-                prefix = prefix[:-1]
+                states.pop()
 
     def pre_tokens(self, text: str) -> Iterator[tuple[list[str], int]]:
         """(pre-tokens, tokens of marks that stand in the text) by stretches of bounded size."""

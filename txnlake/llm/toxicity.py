@@ -116,9 +116,11 @@ class Chain:
     def score(self, texts: list[str | None]) -> np.ndarray:
         """(texts, categories) probabilities."""
         out, d = np.zeros((len(texts), len(self.names))), len(self.words)
-        found = [words_of(t) for t in texts]
-        has = [[self.words[w] for w in f & self.words.keys()] for f in found]
-        length = np.array([_length(len(f)) for f in found])
+        has, length = [], np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            found = words_of(t)
+            length[i] = _length(len(found))
+            has.append([self.words[w] for w in found & self.words.keys()])
         rows = np.repeat(np.arange(len(texts)), [len(h) for h in has])
         cols = np.array([c for h in has for c in h], np.int64)
         for j, w in enumerate(self.models):
