@@ -1,16 +1,46 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from txnlake.functions.columns import epoch_seconds
+
 from txnlake.operators import features as FT
 from txnlake.plans.base import silver_df
-from txnlake.plans.registry import stable
 
 from .conftest import SF01
 
 
+SPLIT, WHOLE = 0, 1 << 40  # every key split into buckets / none
+
+
+def textbook(silver, seq="txn_seq"):
+    """One window partition per key, doubles summed as decimals: the brute-force check."""
+    tb = F.col(seq) if seq else F.xxhash64(*FT.HASH_TIEBREAK)
+    df = silver.withColumns({"_ts": epoch_seconds("transaction_time"), "_tb": tb,
+                             "_x": F.col("amount").cast(FT.EXACT)})
+    for key, p in (("merchant_id", "dest"), ("user_id", "orig")):
+        w = Window.partitionBy(key).orderBy("_ts", "transaction_time", "_tb")
+        past = w.rowsBetween(Window.unboundedPreceding, -1)
+        wts = Window.partitionBy(key).orderBy("_ts")
+        cols = {f"{p}_delta_seconds": F.col("_ts") - F.lag("transaction_time").over(w).cast("long")}
+        for label, secs in FT.RANGES.items():
+            frame = wts.rangeBetween(-secs, -1)
+            cols[f"{p}_msg_count_{label}"] = F.count(F.lit(1)).over(frame)
+            cols[f"{p}_amount_sum_{label}"] = F.sum("_x").over(frame).cast("double")
+        cols[f"{p}_count_past"] = F.count(F.lit(1)).over(past)
+        total = F.sum("_x").over(past).cast("double")
+        cols[f"{p}_sum_amount_past"] = total
+        cols[f"{p}_history_fraud_count"] = F.sum("isFraud").over(past)
+        if p == "orig":
+            cols["orig_prev_amount"] = F.lag("amount").over(w)
+            cols["orig_avg_amount_past"] = total / F.nullif(F.count("amount").over(past), F.lit(0))
+        df = df.withColumns(cols)
+    return FT.feature_projection(FT.pattern_features(df))
+
+
 def _norm(df):
-    return sorted(repr(tuple(r)) for r in stable(df).select(sorted(df.columns)).collect())
+    return sorted(repr(tuple(r)) for r in df.select(sorted(df.columns)).collect())
 
 
 def _silver(spark, rows):
@@ -25,8 +55,8 @@ def _silver(spark, rows):
 
 def test_bucketed_equals_direct_on_sf001(spark):
     silver = silver_df(spark, SF01)
-    assert _norm(FT.window_features(silver, strategy="bucketed")) == \
-        _norm(FT.window_features_direct(silver))
+    assert _norm(FT.window_features(silver, max_key_rows=SPLIT)) == \
+        _norm(textbook(silver))
 
 
 def test_window_edges_same_second_and_first_row(spark):
@@ -35,9 +65,9 @@ def test_window_edges_same_second_and_first_row(spark):
     rows = [(i, "M1", "C1", t0 + timedelta(seconds=g), 10.0 * (i + 1), 0)
             for i, g in enumerate(gaps)]
     rows.append((99, "M1", "C2", t0 + timedelta(seconds=3600, microseconds=500), 5.0, 1))
-    for strategy in ("bucketed", "direct"):
+    for limit in (SPLIT, 3, WHOLE):
         _check_edges({r.txn_seq: r for r in
-                      FT.window_features(_silver(spark, rows), strategy=strategy).collect()})
+                      FT.window_features(_silver(spark, rows), max_key_rows=limit).collect()})
 
 
 def _check_edges(out):
@@ -68,21 +98,21 @@ def test_hot_key_spanning_many_days_matches_direct(spark):
                          1 if seq % 11 == 0 else 0))
             seq += 1
     df = _silver(spark, rows)
-    direct = _norm(FT.window_features_direct(df))
+    direct = _norm(textbook(df))
     for width in (1, 60, 3600, 86400):
-        assert _norm(FT.window_features(df, strategy="bucketed", bucket_seconds=width)) == direct
-    # auto switches to the bucketed plan once a key exceeds the task budget
-    assert _norm(FT.window_features(df, max_key_rows=100)) == _norm(FT.window_features_direct(df))
-    assert FT.max_rows_per_key(df, "merchant_id") > 100
+        assert _norm(FT.window_features(df, max_key_rows=SPLIT, bucket_seconds=width)) == direct
+    # only the hot recipient is split
+    assert _norm(FT.window_features(df, max_key_rows=100)) == direct
+    assert [r[0] for r in FT.hot_keys(df, F.col("merchant_id"), 100).collect()] == ["M1"]
 
 
 def test_future_rows_do_not_leak(spark):
     t0 = datetime(2024, 1, 1)
     rows = [(i, "M1", "C1", t0 + timedelta(minutes=10 * i), 1.0, 0) for i in range(6)]
     df = _silver(spark, rows)
-    full = {r.txn_seq: r for r in FT.window_features(df, strategy="bucketed").collect()}
+    full = {r.txn_seq: r for r in FT.window_features(df, max_key_rows=SPLIT).collect()}
     cut = {r.txn_seq: r for r in
-           FT.window_features(df.filter("txn_seq <= 2"), strategy="bucketed").collect()}
+           FT.window_features(df.filter("txn_seq <= 2"), max_key_rows=SPLIT).collect()}
     for k in cut:
         assert cut[k].asDict() == full[k].asDict()
 
@@ -92,8 +122,8 @@ def test_without_tiebreak_column_matches_direct(spark):
     rows = [(i, "M1" if i % 3 else "M2", f"C{i % 2}", t0 + timedelta(hours=5 * (i // 2)),
              float(i + 1), i % 2) for i in range(30)]
     df = _silver(spark, rows).drop("txn_seq")
-    a = FT.window_features(df, seq=None, strategy="bucketed")
-    b = FT.window_features_direct(df, seq=None)
+    a = FT.window_features(df, seq=None, max_key_rows=SPLIT)
+    b = textbook(df, seq=None)
     assert _norm(a) == _norm(b)
 
 
@@ -103,5 +133,23 @@ def test_null_keys_group_together_in_both_plans(spark):
              t0 + timedelta(minutes=37 * i), float(i + 1), 1 if i % 5 == 0 else 0)
             for i in range(40)]
     df = _silver(spark, rows)
-    assert _norm(FT.window_features(df, strategy="bucketed")) == \
-        _norm(FT.window_features_direct(df))
+    assert _norm(FT.window_features(df, max_key_rows=SPLIT)) == \
+        _norm(textbook(df))
+
+
+def test_dense_rows_without_times_and_amounts_in_every_split(spark):
+    """Many rows in a minute and in a second, rows without a time or an amount: the same
+    values, to the last bit, however keys are split."""
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, f"M{i * i % 3}", f"C{i % 5}",
+             None if i % 13 == 0 else t0 + timedelta(milliseconds=i * 7919 % 5400 * 333),
+             None if i % 7 == 0 else i * 0.37 + 0.1, None if i % 17 == 0 else i % 2)
+            for i in range(1500)]
+    df = _silver(spark, rows)
+    want = _norm(textbook(df))
+    for limit in (SPLIT, 400, WHOLE):
+        assert _norm(FT.window_features(df, max_key_rows=limit)) == want
+
+
+def test_no_rows(spark):
+    assert FT.window_features(_silver(spark, []), max_key_rows=SPLIT).count() == 0

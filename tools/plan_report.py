@@ -23,10 +23,7 @@ def shape(df):
 
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    from txnlake.operators import features as FT
-    from txnlake.operators import ledger as L
     from txnlake.plans import registry
-    from txnlake.plans.base import fact_df, silver_df
     from txnlake.session import build_session
     registry.load_all()
     spark = build_session("local[8]")
@@ -45,14 +42,6 @@ def main():
             print(name, e)
             continue
         lines.append(f"| `{name}` | " + " | ".join(str(c) for c in counts) + " |")
-    lines += ["", "Skew-safe variants (what `strategy=\"auto\"` picks when a key exceeds the task budget):", "",
-              "| plan | " + " | ".join(n for _, n in TAGS) + " |", "|---|" + "---|" * len(TAGS)]
-    silver = silver_df(spark, sf)
-    lines.append("| `window_features` bucketed | " + " | ".join(
-        str(c) for c in shape(FT.window_features(silver, strategy="bucketed"))) + " |")
-    lines.append("| `ledger_running_balance` bucketed | " + " | ".join(
-        str(c) for c in shape(L.ledger_running_balance(fact_df(spark, sf), 1000.0,
-                                                       strategy="bucketed"))) + " |")
     out = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md")
     with open(out, "w") as f:
         f.write("\n".join(lines) + "\n")

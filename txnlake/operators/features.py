@@ -12,22 +12,23 @@ Semantics (per key, over the rows of the read window):
 Rows are ordered by (ts_seconds, transaction_time, tie-break id); ts_seconds is
 monotone in transaction_time, so one sort serves both the ROWS and RANGE frames.
 
-Skew-safe plan.  A plain `Window.partitionBy(key)` puts all of a key's history in
-one task; a hot merchant holding a third of 100 TB would never finish.  The
-skew-safe plan bounds every task by time resolution instead of data volume:
-1. RANGE frames exclude the whole current second, so all rows of one second share
-   them.  They are computed on per-(key, second) totals (partial aggregation),
-   partitioned by (key, 24 h bucket) with the previous bucket as context: a task
-   holds at most 2 x 86400 rows per key-day, however many transactions.
-2. Each row reads its second's frames from a *marker* row (one per key-second)
-   sorted just before it in the same (key, minute) partition -- a running
-   `last(ignorenulls)`, no join of the raw rows and no copies of them.
-3. ROWS frames / lag: running values inside the (key, minute) bucket plus offsets
-   of all earlier buckets from a small aggregate (rows = keys x minutes, windowed
-   per key) -- a two-level prefix sum; `lag` falls back to the previous non-empty
-   bucket's last row.
-The raw rows are shuffled once per key.  `strategy="auto"` measures the largest
-key first and keeps the one-exchange per-key plan when every key fits a task.
+One plan, whatever the size.  A plain `Window.partitionBy(key)` puts all of a key's
+history in one task; a hot merchant holding a third of 100 TB would never finish.  So
+keys with more than `max_key_rows` rows (counted in the same plan, never on the
+driver) are split into time buckets, all other keys are one bucket each, and both go
+through one exchange of the rows on (key, bucket):
+1. ROWS frames / lag: running values inside the bucket, plus, for hot keys, offsets of
+   all earlier buckets from a small aggregate (rows = hot keys x buckets, windowed per
+   key) -- a two-level prefix sum; `lag` falls back to the previous non-empty bucket's
+   last row.
+2. RANGE frames: a range window inside the bucket for whole keys.  For hot keys they
+   are computed on per-(key, second) totals (the frames exclude the whole current
+   second, so all rows of a second share them), partitioned by (key, 24 h bucket) with
+   the previous bucket as context; each row reads them from a *marker* row (one per
+   key-second) sorted just before its second -- no join and no copies of the raw rows.
+Amounts are summed as DECIMAL, which has one result in any order, so how a key is
+bucketed cannot be seen in the values.  Rows without a time form one bucket that sorts
+first; they are each other's peers in the RANGE frames, as a window has it.
 """
 
 from __future__ import annotations
@@ -55,172 +56,141 @@ def _tiebreak(df: DataFrame, seq: str | None) -> Column:
     return F.xxhash64(*[F.col(c) for c in HASH_TIEBREAK if c in df.columns])
 
 
-def _bucketed(df: DataFrame, key: str, seq: str | None, bucket_seconds: int) -> DataFrame:
-    return df.withColumns({
-        "_ts": epoch_seconds("transaction_time"),
-        "_tb": _tiebreak(df, seq),
-        "_k": F.coalesce(F.col(key), F.lit(NULL_KEY)),
-    }).withColumn("_b", F.floor(F.col("_ts") / F.lit(bucket_seconds)))
-
-
 # A key with more rows than this is "hot": its whole history would be one task.
 MAX_KEY_ROWS = 1_000_000
+# Amounts are summed exactly in this type.
+EXACT = "decimal(28,6)"
+WHOLE = 0  # the one bucket of a key that is not split
+NO_TIME = -(1 << 62)  # the bucket of rows without a time, before all others
+
+
+def hot_keys(df: DataFrame, key: Column, max_key_rows: int) -> DataFrame:
+    """(_k): keys with more than `max_key_rows` rows.  Counts combine map-side; at most
+    rows / max_key_rows keys pass, which bounds their broadcast."""
+    return (df.select(key.alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > max_key_rows).select("_k"))
+
+
+def bucket_of(hot: Column, ts: Column, seconds: int) -> Column:
+    return F.when(hot, F.coalesce(F.floor(ts / F.lit(seconds)), F.lit(NO_TIME))) \
+        .otherwise(F.lit(WHOLE))
 
 
-def max_rows_per_key(df: DataFrame, key: str) -> int:
-    """Largest group size of `key` (one aggregation of a single column; the
-    partial counts combine map-side)."""
-    v = df.groupBy(key).count().agg(F.max("count").alias("m")).first()["m"]
-    return int(v or 0)
+def _exact_sum(c: Column, frame) -> Column:
+    return F.sum(c.cast(EXACT)).over(frame)
 
 
 def key_window_features(df: DataFrame, key: str, prefix: str, *,
                         seq: str | None = SEQ_COL, bucket_seconds: int = MINUTE_SECONDS,
                         ranges: dict[str, int] | None = None,
                         prev_amount: bool = False, avg_past: bool = False,
-                        totals_from: DataFrame | None = None, strategy: str = "auto",
+                        totals_from: DataFrame | None = None,
                         max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
-    """Add the `prefix`-named window features of one key.
+    """Add the `prefix`-named window features of one key (plan: see module doc).
 
-    strategy: "bucketed" (skew-safe, see module doc), "direct" (one window
-    partition per key) or "auto": measure the largest key first and use the direct
-    plan only when every key fits comfortably in one task.  Both give the same rows.
+    `totals_from`: the same rows with fewer derived columns, to count keys and total
+    hot ones without running `df`'s own windows again.
     """
-    if strategy == "auto":
-        src = totals_from if totals_from is not None else df
-        strategy = "bucketed" if max_rows_per_key(src, key) > max_key_rows else "direct"
-    kw = dict(seq=seq, ranges=ranges, prev_amount=prev_amount, avg_past=avg_past)
-    if strategy == "direct":
-        return _direct_key_features(df, key, prefix, **kw)
-    if strategy != "bucketed":
-        raise ValueError(f"unknown strategy {strategy}")
-    return _bucketed_key_features(df, key, prefix, bucket_seconds=bucket_seconds,
-                                  totals_from=totals_from, **kw)
-
-
-def _direct_key_features(df: DataFrame, key: str, prefix: str, *, seq: str | None,
-                         ranges: dict[str, int] | None, prev_amount: bool,
-                         avg_past: bool) -> DataFrame:
-    """One window partition per key: one exchange and one sort serve the ROWS
-    frames/lag and the RANGE frames (ts_seconds is a prefix of the sort order)."""
-    ranges = ranges or RANGES
-    base = df.withColumns({"_ts": epoch_seconds("transaction_time"), "_tb": _tiebreak(df, seq)})
-    w = Window.partitionBy(key).orderBy("_ts", "transaction_time", "_tb")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = {f"{prefix}_delta_seconds":
-           F.col("_ts") - F.lag("transaction_time").over(w).cast("long")}
-    if prev_amount:
-        out[f"{prefix}_prev_amount"] = F.lag("amount").over(w)
-    out[f"{prefix}_count_past"] = F.count(F.lit(1)).over(past)
-    out[f"{prefix}_sum_amount_past"] = F.sum("amount").over(past)
-    out[f"{prefix}_history_fraud_count"] = F.sum("isFraud").over(past)
-    if avg_past:
-        out[f"{prefix}_avg_amount_past"] = F.avg("amount").over(past)
-    base = base.withColumns(out)
-    wts = Window.partitionBy(key).orderBy("_ts")
-    rng = {}
-    for label, secs in ranges.items():
-        frame = wts.rangeBetween(-secs, -1)
-        rng[f"{prefix}_msg_count_{label}"] = F.count(F.lit(1)).over(frame)
-        rng[f"{prefix}_amount_sum_{label}"] = F.sum("amount").over(frame)
-    base = base.withColumns(rng)
-    return base.select(*df.columns, *rng.keys(), *[c for c in out if c in out])
-
-
-def _bucketed_key_features(df: DataFrame, key: str, prefix: str, *,
-                           seq: str | None = SEQ_COL, bucket_seconds: int = MINUTE_SECONDS,
-                           ranges: dict[str, int] | None = None,
-                           prev_amount: bool = False, avg_past: bool = False,
-                           totals_from: DataFrame | None = None) -> DataFrame:
-    """Skew-safe plan (see module doc): per-second range frames, one marker row per
-    second, running totals per (key, time bucket) plus carried bucket offsets."""
     ranges = ranges or RANGES
     span = max(ranges.values())
     src = totals_from if totals_from is not None else df
+    k = F.coalesce(F.col(key), F.lit(NULL_KEY))
+    hot = F.broadcast(hot_keys(src, k, max_key_rows))
     need = [c for c in dict.fromkeys(["transaction_time", "amount", "isFraud", key, seq]
                                      + HASH_TIEBREAK) if c and c in src.columns]
-    narrow = _bucketed(src.select(*need), key, seq, bucket_seconds)
-
-    # 1. RANGE frames on per-(key, second) totals.  Frames exclude the whole
-    #    current second, so every row of a second shares them.  Partitioned by
-    #    (key, span bucket) with the previous bucket as context: a task holds at
-    #    most 2 x span seconds of one key, however many rows they aggregate.
-    sec = narrow.groupBy("_k", "_ts").agg(F.count(F.lit(1)).alias("_n"),
-                                          F.sum("amount").alias("_sa"))
-    sec = sec.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_ctx")) \
+    narrow = src.select(*need).withColumn("_k", k).join(hot, "_k", "left_semi")
+    narrow = narrow.select("_k", "transaction_time", "amount", "isFraud",
+                           epoch_seconds("transaction_time").alias("_ts"),
+                           _tiebreak(narrow, seq).alias("_tb")) \
+        .withColumn("_b", bucket_of(F.lit(True), F.col("_ts"), bucket_seconds))
+
+    # Hot keys: RANGE frames on per-(key, second) totals; a task holds at most 2 x span
+    # seconds of one key, however many rows they aggregate.
+    sec = narrow.groupBy("_k", "_ts", "_b").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("amount").cast(EXACT)).alias("_sa"))
+    copies = F.when(F.col("_ts").isNull(), F.array(F.lit(0))).otherwise(
+        F.array(F.lit(0), F.lit(1)))
+    sec = sec.select("*", F.explode(copies).alias("_ctx")) \
              .withColumn("_sb", F.floor(F.col("_ts") / F.lit(span)) + F.col("_ctx"))
     w_sec = Window.partitionBy("_k", "_sb").orderBy("_ts")
     rng_fields = []
     for label, secs in ranges.items():
         frame = w_sec.rangeBetween(-secs, -1)
         rng_fields += [F.coalesce(F.sum("_n").over(frame), F.lit(0)).alias(f"c{label}"),
-                       F.sum("_sa").over(frame).alias(f"s{label}")]
-    marks = sec.select("_k", "_ts", "_ctx", F.struct(*rng_fields).alias("_rng")) \
-               .filter(F.col("_ctx") == 0).drop("_ctx") \
-               .withColumn("_b", F.floor(F.col("_ts") / F.lit(bucket_seconds)))
-
-    # 2. Rows + the per-second markers, partitioned by (key, bucket) and sorted by
-    #    time with each second's marker first: one exchange of the rows, no copies.
-    rows = _bucketed(df, key, seq, bucket_seconds).withColumn("_m", F.lit(0))
+                       F.sum("_sa").over(frame).cast("double").alias(f"s{label}")]
+    marks = sec.select("_k", "_ts", "_b", "_ctx", F.struct(*rng_fields).alias("_rng")) \
+               .filter(F.col("_ctx") == 0).drop("_ctx")
+
+    # All rows (and the markers), partitioned by (key, bucket), each second's marker first.
+    rows = df.withColumn("_k", k).join(hot.withColumn("_hot", F.lit(True)), "_k", "left")
+    rows = rows.withColumns({"_ts": epoch_seconds("transaction_time"),
+                             "_tb": _tiebreak(df, seq), "_m": F.lit(0)})
+    rows = rows.withColumn("_b", bucket_of(F.coalesce("_hot", F.lit(False)), F.col("_ts"),
+                                         bucket_seconds))
     u = rows.unionByName(marks.withColumn("_m", F.lit(1)), allowMissingColumns=True)
     w = Window.partitionBy("_k", "_b").orderBy("_ts", F.desc("_m"), "transaction_time", "_tb")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
+    wts = Window.partitionBy("_k", "_b").orderBy("_ts")
     real = F.col("_m") == 0
-    u = u.withColumns({
+    amount = F.when(real, F.col("amount"))
+    local = {
         "_r": F.last(F.when(~real, F.col("_rng")), ignorenulls=True).over(upto),
-        "_ln": F.sum(F.when(real, F.lit(1)).otherwise(F.lit(0))).over(past),
-        "_ls": F.sum(F.when(real, F.col("amount"))).over(past),
-        "_lsn": F.count(F.when(real, F.col("amount"))).over(past),
+        "_ln": F.count(F.when(real, F.lit(1))).over(past),
+        "_ls": _exact_sum(amount, past),
+        "_lsn": F.count(amount).over(past),
         "_lf": F.sum(F.when(real, F.col("isFraud"))).over(past),
-        "_lfn": F.count(F.when(real, F.col("isFraud"))).over(past),
         "_pred": F.last(F.when(real, F.struct(F.col("transaction_time").alias("t"),
                                               F.col("amount").alias("a"))),
                         ignorenulls=True).over(past),
-    }).filter(real)
-
-    # 3. Per-(key, bucket) totals -> offsets of all earlier buckets (a window over
-    #    the small keys x buckets table).  Only the previous *amount* needs the exact
-    #    (time, tie-break) last row (a struct max, sort-based over narrow columns).
-    aggs = [F.count(F.lit(1)).alias("_n"), F.sum("amount").alias("_s"),
-            F.count("amount").alias("_sn"), F.sum("isFraud").alias("_f"),
-            F.count("isFraud").alias("_fn"), F.max("transaction_time").alias("_lt")]
-    if prev_amount:
-        aggs.append(F.max(F.struct(F.col("_ts"), F.col("transaction_time"), F.col("_tb"),
-                                   F.col("amount").alias("a"))).alias("_last"))
-    bt = narrow.groupBy("_k", "_b").agg(*aggs)
+    }
+    for label, secs in ranges.items():
+        frame = wts.rangeBetween(-secs, -1)
+        local[f"_c{label}"] = F.count(F.when(real, F.lit(1))).over(frame)
+        local[f"_s{label}"] = _exact_sum(amount, frame).cast("double")
+    u = u.withColumns(local).filter(real)
+
+    # Hot keys: per-bucket totals -> offsets of all earlier buckets.  Only the previous
+    # *amount* needs the exact (time, tie-break) last row.
+    aggs = [F.count(F.lit(1)).alias("_n"), F.sum(F.col("amount").cast(EXACT)).alias("_s"),
+            F.count("amount").alias("_sn"), F.sum("isFraud").alias("_f")]
+    last = F.struct("_ts", "transaction_time", "_tb", F.col("amount").alias("a"))
+    aggs.append(F.max(last).alias("_last"))
     wb = Window.partitionBy("_k").orderBy("_b")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(
-        "_k", "_b",
-        *[F.sum(c).over(before).alias(f"_o{c}") for c in ("_n", "_s", "_sn", "_f", "_fn")],
-        F.lag("_lt").over(wb).alias("_olt"),
-        *([F.lag("_last.a").over(wb).alias("_ola")] if prev_amount else []))
-
-    j = u.join(bt, ["_k", "_b"], "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    n_amt = z("_o_sn") + z("_lsn")
-    n_fr = z("_o_fn") + z("_lfn")
-    sum_amt = F.when(n_amt > 0, F.coalesce(F.col("_o_s"), F.lit(0.0))
-                     + F.coalesce(F.col("_ls"), F.lit(0.0)))
+    offsets = narrow.groupBy("_k", "_b").agg(*aggs).select(
+        "_k", "_b", *[F.sum(c).over(before).alias(f"_o{c}") for c in ("_n", "_s", "_sn", "_f")],
+        F.lag("_last.transaction_time").over(wb).alias("_olt"),
+        F.lag("_last.a").over(wb).alias("_ola"))
+
+    j = u.join(offsets, ["_k", "_b"], "left")
+    n_amount = F.coalesce("_o_sn", F.lit(0)) + F.col("_lsn")
+    sum_amount = _plus("_o_s", "_ls").cast("double")
     has_pred = F.col("_pred").isNotNull()
-    rng = {}
+    split = F.col("_hot").isNotNull()
+    out = {}
     for label in ranges:
-        rng[f"{prefix}_msg_count_{label}"] = F.col(f"_r.c{label}")
-        rng[f"{prefix}_amount_sum_{label}"] = F.col(f"_r.s{label}")
-    out = {
+        out[f"{prefix}_msg_count_{label}"] = F.when(split, F.col(f"_r.c{label}")).otherwise(
+            F.col(f"_c{label}"))
+        out[f"{prefix}_amount_sum_{label}"] = F.when(split, F.col(f"_r.s{label}")).otherwise(
+            F.col(f"_s{label}"))
+    out |= {
         f"{prefix}_delta_seconds": F.col("_ts") - F.when(has_pred, F.col("_pred.t"))
         .otherwise(F.col("_olt")).cast("long"),
-        f"{prefix}_count_past": z("_o_n") + z("_ln"),
-        f"{prefix}_sum_amount_past": sum_amt,
-        f"{prefix}_history_fraud_count": F.when(n_fr > 0, z("_o_f") + z("_lf")),
+        f"{prefix}_count_past": F.coalesce("_o_n", F.lit(0)) + F.col("_ln"),
+        f"{prefix}_sum_amount_past": sum_amount,
+        f"{prefix}_history_fraud_count": _plus("_o_f", "_lf"),
     }
     if prev_amount:
         out[f"{prefix}_prev_amount"] = F.when(has_pred, F.col("_pred.a")).otherwise(F.col("_ola"))
     if avg_past:
-        out[f"{prefix}_avg_amount_past"] = sum_amt / n_amt
-    j = j.withColumns({**rng, **out})
-    return j.select(*df.columns, *rng.keys(), *out.keys())
+        out[f"{prefix}_avg_amount_past"] = F.when(n_amount > 0, sum_amount / n_amount)
+    return j.select(*df.columns, *[c.alias(name) for name, c in out.items()])
+
+
+def _plus(a: str, b: str) -> Column:
+    """Sum of two partial sums; NULL only if both are."""
+    return F.coalesce(F.col(a) + F.col(b), F.col(a), F.col(b))
 
 
 def dest_window_features(df: DataFrame, **kw) -> DataFrame:
@@ -248,55 +218,8 @@ def feature_projection(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def max_rows_per_keys(df: DataFrame, keys: list[str]) -> dict[str, int]:
-    """Largest group size of each key column in ONE scan (grouping sets: the rows
-    are expanded once per key inside the job, then counted with partial
-    aggregation)."""
-    g = df.groupingSets([[k] for k in keys], *keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.grouping(k).alias(f"_g{i}") for i, k in enumerate(keys)])
-    row = g.agg(*[F.max(F.when(F.col(f"_g{i}") == 0, F.col("_n"))).alias(k)
-                  for i, k in enumerate(keys)]).first()
-    return {k: int(row[k] or 0) for k in keys}
-
-
-def window_features(silver: DataFrame, strategy: str = "auto",
-                    max_key_rows: int = MAX_KEY_ROWS, **kw) -> DataFrame:
-    """The whole feature job: recipient windows, sender windows, pattern flags, projection.
-
-    With "auto", both keys' largest groups are measured in one pass first and each
-    side gets the per-key or the skew-safe plan on its own.
-    """
-    if strategy == "auto":
-        top = max_rows_per_keys(silver, ["merchant_id", "user_id"])
-        dest_s = "bucketed" if top["merchant_id"] > max_key_rows else "direct"
-        orig_s = "bucketed" if top["user_id"] > max_key_rows else "direct"
-    else:
-        dest_s = orig_s = strategy
-    df = dest_window_features(silver, strategy=dest_s, **kw)
-    df = orig_window_features(df, totals_from=silver, strategy=orig_s, **kw)
-    return feature_projection(pattern_features(df))
-
-
-# --------------------------------------------------------------- reference plan
-
-def window_features_direct(silver: DataFrame, seq: str | None = SEQ_COL) -> DataFrame:
-    """The same features with one window partition per key (the textbook plan).
-    Kept as the brute-force check for the bucketed plan; unsafe for hot keys."""
-    df = silver.withColumns({"_ts": epoch_seconds("transaction_time"),
-                             "_tb": _tiebreak(silver, seq)})
-    for key, p in (("merchant_id", "dest"), ("user_id", "orig")):
-        w = Window.partitionBy(key).orderBy("_ts", "transaction_time", "_tb")
-        past = w.rowsBetween(Window.unboundedPreceding, -1)
-        wts = Window.partitionBy(key).orderBy("_ts")
-        cols = {f"{p}_delta_seconds": F.col("_ts") - F.lag("transaction_time").over(w).cast("long")}
-        for label, secs in RANGES.items():
-            cols[f"{p}_msg_count_{label}"] = F.count(F.lit(1)).over(wts.rangeBetween(-secs, -1))
-            cols[f"{p}_amount_sum_{label}"] = F.sum("amount").over(wts.rangeBetween(-secs, -1))
-        cols[f"{p}_count_past"] = F.count(F.lit(1)).over(past)
-        cols[f"{p}_sum_amount_past"] = F.sum("amount").over(past)
-        cols[f"{p}_history_fraud_count"] = F.sum("isFraud").over(past)
-        if p == "orig":
-            cols["orig_prev_amount"] = F.lag("amount").over(w)
-            cols["orig_avg_amount_past"] = F.avg("amount").over(past)
-        df = df.withColumns(cols)
+def window_features(silver: DataFrame, **kw) -> DataFrame:
+    """The whole feature job: recipient windows, sender windows, pattern flags, projection."""
+    df = dest_window_features(silver, **kw)
+    df = orig_window_features(df, totals_from=silver, **kw)
     return feature_projection(pattern_features(df))

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txnlake.functions.columns import LARGE_TXN_AMOUNT, clip, epoch_seconds, is_night_hour
+from txnlake.operators.features import EXACT, MINUTE_SECONDS, NULL_KEY, bucket_of, hot_keys
 from txnlake.schemas import SEQ_COL
 
-MINUTE_SECONDS = 60
-
 # Expected fraud rate (x3 at night) and the per-segment amount
 # bounds (min, max) for TRANSFER, CASH_OUT and every other type.
 BASE_FRAUD_RATE = 0.0013
@@ -68,74 +67,58 @@ def segment_amount_clip(df: DataFrame, segment: str = "segment") -> DataFrame:
 def ledger_legs(df: DataFrame) -> DataFrame:
     """Each transaction as two balance movements.  Sender: debited, except CASH_IN
     (credited).  Recipient: credited for CASH_IN/TRANSFER, debited for CASH_OUT,
-    unchanged for PAYMENT/DEBIT.  The sender leg comes first."""
+    unchanged for PAYMENT/DEBIT.  The sender leg comes first; a missing amount moves
+    nothing.  Both legs come from one pass over the row, which numbers rows that are equal
+    in every column, so a repeated transaction is booked sender, recipient, sender, ..."""
     seq = F.col(SEQ_COL) if SEQ_COL in df.columns else F.xxhash64(*df.columns)
-    amt, typ = F.col("amount"), F.col("type")
-    sender = df.select(F.col("user_id").alias("account"), "transaction_time",
-                       seq.alias("seq"), F.lit(0).alias("leg"),
-                       F.when(typ == "CASH_IN", amt).otherwise(-amt).alias("delta"))
-    recipient = df.select(F.col("merchant_id").alias("account"), "transaction_time",
-                          seq.alias("seq"), F.lit(1).alias("leg"),
-                          F.when(typ.isin("CASH_IN", "TRANSFER"), amt)
-                          .when(typ == "CASH_OUT", -amt).otherwise(F.lit(0.0)).alias("delta"))
-    return sender.unionByName(recipient)
-
-
+    amt, typ = F.coalesce("amount", F.lit(0.0)), F.col("type")
+    one = df.select("transaction_time", seq.alias("seq"),
+                    F.monotonically_increasing_id().alias("copy"),
+                    F.array(
+                        F.struct(F.col("user_id").alias("account"), F.lit(0).alias("leg"),
+                                 F.when(typ == "CASH_IN", amt).otherwise(-amt).alias("delta")),
+                        F.struct(F.col("merchant_id").alias("account"), F.lit(1).alias("leg"),
+                                 F.when(typ.isin("CASH_IN", "TRANSFER"), amt)
+                                 .when(typ == "CASH_OUT", -amt).otherwise(F.lit(0.0))
+                                 .alias("delta"))).alias("legs"))
+    return one.select("transaction_time", "seq", "copy", F.inline("legs"))
+
+
+# An account with more legs than this is split into time buckets.
 MAX_ACCOUNT_LEGS = 1_000_000
 
 
-def ledger_running_balance(df: DataFrame, opening: float | str = 1000.0,
-                           bucket_seconds: int = MINUTE_SECONDS, strategy: str = "auto",
+def ledger_running_balance(df: DataFrame, opening: float = 1000.0,
+                           bucket_seconds: int = MINUTE_SECONDS,
                            max_account_legs: int = MAX_ACCOUNT_LEGS) -> DataFrame:
-    """Zero-floored running balance per account; "auto" measures the busiest
-    account first and buckets by day only when it would overload one task."""
-    if strategy == "auto":
-        legs = ledger_legs(df)
-        top = legs.groupBy("account").count().agg(F.max("count").alias("m")).first()["m"] or 0
-        strategy = "bucketed" if top > max_account_legs else "direct"
-    if strategy == "direct":
-        return ledger_running_balance_direct(df, opening)
-    return _ledger_bucketed(df, opening, bucket_seconds)
-
-
-def _ledger_bucketed(df: DataFrame, opening: float | str = 1000.0,
-                     bucket_seconds: int = MINUTE_SECONDS) -> DataFrame:
     """Running balance per account with a floor at 0: `b_n = max(0, b_{n-1} + d_n)`.
 
     Closed form: with `S_n = b0 + sum(d_1..d_n)`, `b_n = S_n - min(0, min_k<=n S_k)`,
-    i.e. a running sum and a running min -- both prefix scans.  They are computed
-    per (account, day) with per-day offsets (sum of earlier days; min over earlier
-    days) carried by a window over the small (account, day) table, so a hot account
-    is spread over its days instead of one task.  `opening` is a constant or a
-    column name of per-account opening balances (>= 0).
+    i.e. a running sum and a running min -- both prefix scans.  One plan for every size:
+    accounts with more than `max_account_legs` legs (counted in the plan) are split into
+    time buckets, whose totals and minima are carried by a window over the small
+    (account, bucket) table; every other account is one bucket.  Sums are DECIMAL, so
+    neither the split nor the turnover shows in the last digits.  Legs without a time
+    come first.
     """
-    legs = ledger_legs(df)
-    legs = legs.withColumn("_b", F.floor(epoch_seconds("transaction_time") / bucket_seconds))
-    b0 = F.col(opening) if isinstance(opening, str) else F.lit(float(opening))
-    order = ["transaction_time", "seq", "leg"]
-    wl = Window.partitionBy("account", "_b").orderBy(*order)
-    upto = wl.rowsBetween(Window.unboundedPreceding, 0)
-    legs = legs.withColumn("_l", F.sum("delta").over(upto)) \
-               .withColumn("_lm", F.min("_l").over(upto))
-    bt = legs.groupBy("account", "_b").agg(F.sum("delta").alias("_t"), F.min("_l").alias("_m"))
-    wb = Window.partitionBy("account").orderBy("_b")
-    before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0.0)))
-    bt = bt.withColumn("_pm", F.min(F.col("_o") + F.col("_m")).over(before))
-    j = legs.join(bt.select("account", "_b", "_o", "_pm"), ["account", "_b"], "left")
-    s = b0 + F.col("_o") + F.col("_l")
-    run_min = F.least(b0 + F.col("_pm"), b0 + F.col("_o") + F.col("_lm"))
-    return j.select("account", "transaction_time", "seq", "leg", "delta",
-                    (s - F.least(F.lit(0.0), run_min)).alias("balance"))
-
-
-def ledger_running_balance_direct(df: DataFrame, opening: float | str = 1000.0) -> DataFrame:
-    """One window partition per account (for accounts that fit one task)."""
-    legs = ledger_legs(df)
-    w = Window.partitionBy("account").orderBy("transaction_time", "seq", "leg") \
+    key = F.coalesce("account", F.lit(NULL_KEY))
+    legs = ledger_legs(df).withColumns({"_k": key, "_d": F.col("delta").cast(EXACT)})
+    hot = F.broadcast(hot_keys(legs, F.col("_k"), max_account_legs))
+    legs = legs.join(hot.withColumn("_hot", F.lit(True)), "_k", "left").withColumn(
+        "_b", bucket_of(F.coalesce("_hot", F.lit(False)), epoch_seconds("transaction_time"),
+                        bucket_seconds))
+    upto = Window.partitionBy("_k", "_b").orderBy("transaction_time", "seq", "copy", "leg") \
         .rowsBetween(Window.unboundedPreceding, 0)
-    b0 = F.col(opening) if isinstance(opening, str) else F.lit(float(opening))
-    s = b0 + F.sum("delta").over(w)
-    legs = legs.withColumn("_s", s)
-    return legs.select("account", "transaction_time", "seq", "leg", "delta",
-                       (F.col("_s") - F.least(F.lit(0.0), F.min("_s").over(w))).alias("balance"))
+    legs = legs.withColumn("_l", F.sum("_d").over(upto)).withColumn("_lm", F.min("_l").over(upto))
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (legs.filter("_hot").groupBy("_k", "_b")
+               .agg(F.sum("_d").alias("_t"), F.min("_l").alias("_m"))
+               .withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+               .withColumn("_pm", F.min(F.col("_o") + F.col("_m")).over(before))
+               .select("_k", "_b", "_o", "_pm"))
+    j = legs.join(carried, ["_k", "_b"], "left")
+    b0, zero = F.lit(opening).cast(EXACT), F.lit(0).cast(EXACT)
+    earlier = F.coalesce("_o", zero)
+    least = F.least(b0 + F.col("_pm"), b0 + earlier + F.col("_lm"), zero)
+    return j.select("account", "transaction_time", "seq", "leg", "delta",
+                    (b0 + earlier + F.col("_l") - least).cast("double").alias("balance"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from txnlake.operators import features as FT
 from txnlake.plans.base import silver_df
@@ -65,13 +66,12 @@ def _features(spark, sf):
 
 
 def _subset(name, cols):
-    """Feature subsets run the skew-safe plan explicitly, so the oracle gate checks
-    it as well as the per-key plan that "auto" picks for `window_features`."""
+    """A few of the features; columns of the others are pruned."""
     dbl = tuple(c for c in cols if c in FEATURE_DOUBLES)
 
     @register(name, _feature_sql(cols, base=False), dbl)
     def q(spark, sf):
-        return FT.window_features(silver_df(spark, sf), strategy="bucketed").select(*cols, "txn_seq")
+        return FT.window_features(silver_df(spark, sf)).select(*cols, "txn_seq")
     return q
 
 
@@ -88,10 +88,41 @@ _subset("past_fraud_count", ["dest_history_fraud_count", "orig_history_fraud_cou
 
 @register("window_features", _feature_sql(ALL_FEATURES), FEATURE_DOUBLES)
 def q_window_features(spark, sf):
-    """Whole feature job over every silver row (bucketed, skew-safe plan)."""
+    """Whole feature job over every silver row."""
     return _features(spark, sf)
 
 
+def _dense_sql() -> str:
+    sel = ", ".join(f"{e} AS {c}" for c, e in FEATURE_EXPR.items() if c in ALL_FEATURES)
+    sql = with_base(", d AS (SELECT * REPLACE ("
+                    "CASE WHEN txn_seq % 50 = 7 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' + "
+                    "to_milliseconds((txn_seq * 7919) % 172800 * 1000 + txn_seq % 3 * 100) END "
+                    "AS transaction_time, "
+                    "CASE WHEN txn_seq % 41 = 3 THEN NULL ELSE amount END AS amount, "
+                    "CASE WHEN txn_seq % 3 = 0 THEN 'M0' ELSE merchant_id END AS merchant_id, "
+                    "CASE WHEN txn_seq % 29 = 0 THEN NULL ELSE user_id END AS user_id) FROM silver),\n"
+                    "f AS (SELECT *, epoch_us(transaction_time) // 1000000 AS ts FROM d)\n"
+                    f"SELECT {sel}, txn_seq FROM f", "silver")
+    return sql.replace("ORDER BY ts, transaction_time,", "ORDER BY ts NULLS FIRST, transaction_time "
+                       "NULLS FIRST,").replace("ORDER BY ts RANGE", "ORDER BY ts NULLS FIRST RANGE")
+
+
+@register("window_features_hot_keys", _dense_sql(), tuple(c for c in FEATURE_DOUBLES if c != "amount"))
+def q_window_features_hot(spark, sf):
+    """A third of all rows on one recipient, two days, many rows in a minute and some in one
+    second, rows without a time, an amount or a sender; the recipient's history is split."""
+    silver = silver_df(spark, sf)
+    i = F.col("txn_seq")
+    ms = (i * 7919) % 172800 * 1000 + i % 3 * 100
+    silver = silver.withColumns({
+        "transaction_time": F.when(i % 50 != 7, F.timestamp_millis(F.lit(1704067200000) + ms)),
+        "amount": F.when(i % 41 != 3, F.col("amount")),
+        "merchant_id": F.when(i % 3 == 0, "M0").otherwise(F.col("merchant_id")),
+        "user_id": F.when(i % 29 != 0, F.col("user_id")),
+    })
+    return FT.window_features(silver, max_key_rows=200).select(*ALL_FEATURES, "txn_seq")
+
+
 @register("feature_projection", _feature_sql(ALL_FEATURES), FEATURE_DOUBLES)
 def q_feature_projection(spark, sf):
     """The 31-column feature row as projected for the store."""
