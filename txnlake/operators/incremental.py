@@ -4,10 +4,13 @@ or replaces rows by key, never appends duplicates."""
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnlake.operators.models import dim_users_merge, new_user_stats
+from txnlake.schemas import PARTITION_KEYS
 
 EPOCH_HIGH_WATER = "1970010100"
 
@@ -47,26 +50,38 @@ def dim_users_incremental(dim: DataFrame, batch: DataFrame) -> DataFrame:
     return dim_users_merge(dim, new_user_stats(user_dim_high_water(batch, dim)))
 
 
-# Increments with at most this many keys are broadcast to the anti-join, so the
-# (large) target is filtered where it lies instead of being shuffled.
-BROADCAST_MAX_KEYS = 2_000_000
+def upsert_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """delete+insert on a key: old rows whose key re-appears are replaced by the new rows.
+    A NULL key is a key like any other, so loading a batch again adds nothing.  How the
+    keys meet (broadcast or shuffle) is left to the optimizer, which knows their size."""
+    again = new.select(*[F.col(k).alias(f"_new_{k}") for k in keys]).distinct()
+    same = [old[k].eqNullSafe(again[f"_new_{k}"]) for k in keys]
+    return old.join(again, same, "left_anti").unionByName(new)
 
 
-def upsert_by_key(old: DataFrame, new: DataFrame, keys: list[str],
-                  broadcast_max_keys: int = BROADCAST_MAX_KEYS) -> DataFrame:
-    """delete+insert on a unique key: old rows whose key re-appears are replaced.
+def fact_transactions_incremental(src: DataFrame, target: DataFrame) -> DataFrame:
+    """The target and the source's newer hours.  A transaction id never spans two hours, so
+    strictly newer hours hold no key of the target: nothing is to be replaced or joined."""
+    return target.unionByName(incremental_high_water(src, target))
 
-    The increment's key set is counted first; only a proven-small set is
-    broadcast, otherwise both sides are shuffled on the key.
-    """
-    new_keys = new.select(*keys).distinct()
-    if new_keys.count() <= broadcast_max_keys:
-        new_keys = F.broadcast(new_keys)
-    return old.join(new_keys, keys, "left_anti").unionByName(new)
 
+def replace_hours(target: DataFrame, src: DataFrame, hours: DataFrame) -> DataFrame:
+    """The target with the given (part_dt, part_hour) taken from the source instead: late
+    hours come in, re-run hours are replaced, hours that the source has lost go."""
+    hours = hours.select(*PARTITION_KEYS).distinct()
+    return target.join(hours, PARTITION_KEYS, "left_anti").unionByName(
+        src.join(hours, PARTITION_KEYS, "left_semi"))
 
-def fact_transactions_incremental(src: DataFrame, target: DataFrame) -> DataFrame:
-    return upsert_by_key(target, incremental_high_water(src, target), ["txn_id"])
+
+def dim_users_replace(dim: DataFrame, fact: DataFrame, touched: DataFrame) -> DataFrame:
+    """The dimension after hours were replaced: the touched users (column user_id) are
+    aggregated anew from the whole fact, all others stay as they are."""
+    users = touched.select(F.col("user_id").alias("_touched")).distinct()
+
+    def of(df: DataFrame, how: str) -> DataFrame:
+        return df.join(users, df["user_id"].eqNullSafe(users["_touched"]), how)
+
+    return of(dim, "left_anti").unionByName(new_user_stats(of(fact, "left_semi")))
 
 
 def latest_version_per_key(df: DataFrame, keys: list[str], version: str,
@@ -96,6 +111,11 @@ def retention_filter(df: DataFrame, ts: str, as_of: str, interval: str = "1 YEAR
                      & (F.col(ts) + F.expr(f"INTERVAL {interval}") > as_of_ts))
 
 
+def retention_hour(as_of: str, days: int = 365) -> str:
+    """The first hour (`yyyyMMddHH`) that the retention keeps."""
+    return (datetime.fromisoformat(as_of) - timedelta(days=days)).strftime("%Y%m%d%H")
+
+
 def default_now(df: DataFrame, col: str, run_ts: str | None = None) -> DataFrame:
     """`DEFAULT now()`: fill a missing stamp with the run time (fixed when given)."""
     now = F.lit(run_ts).cast("timestamp") if run_ts else F.current_timestamp()

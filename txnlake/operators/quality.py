@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnlake.sources import listing as L
+
 # Fixed thresholds of the source freshness check (hours) and bad-row tolerance.
 FRESHNESS_WARN_HOURS = 2
 FRESHNESS_ERROR_HOURS = 6
@@ -21,11 +25,6 @@ def dq_unique(df: DataFrame, col: str, check: str | None = None) -> DataFrame:
              (F.col("duplicate_keys") == 0).alias("passed"))
 
 
-def dq_unique_keys(df: DataFrame, col: str) -> DataFrame:
-    """The offending keys themselves."""
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-
-
 def dq_not_null(df: DataFrame, col: str, check: str | None = None) -> DataFrame:
     return df.agg(F.count_if(F.col(col).isNull()).alias("null_rows")).select(
         F.lit(check or col).alias("check"), "null_rows", (F.col("null_rows") == 0).alias("passed"))
@@ -44,31 +43,58 @@ def dq_freshness(df: DataFrame, ts: str, as_of: str, warn_h: float = FRESHNESS_W
 
 def dq_output_files(spark: SparkSession, path: str, min_files: int = 1,
                     min_kb: float = 0.0) -> DataFrame:
-    """Files under `path` (markers `_SUCCESS` and `.crc` ignored): count, bytes, verdict.
-    Only `path`/`length` are selected, so file bodies are never read."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .load(path).select("path", "length")
-             .filter(~F.col("path").endswith("_SUCCESS") & ~F.col("path").endswith(".crc")))
-    return files.agg(F.count(F.lit(1)).alias("n_files"),
-                     F.coalesce(F.sum("length"), F.lit(0)).alias("total_bytes")).select(
-        "n_files", "total_bytes",
-        ((F.col("n_files") >= min_files) & (F.col("total_bytes") / 1024.0 >= min_kb)
-         & (F.col("total_bytes") > 0)).alias("passed"))
-
-
-def dq_profile(spark: SparkSession, tables: dict[str, DataFrame], sample: int = 20) -> DataFrame:
-    """Catalog listing plus a row count per table (one small job per table)."""
-    rows = []
+    """Data files under `path` (markers ignored): count, bytes, verdict.  From the file
+    system's listing; no file is opened."""
+    sizes = [size for _, size in L.data_files(spark, path)]
+    total = sum(sizes)
+    ok = len(sizes) >= min_files and total / 1024.0 >= min_kb and total > 0
+    return spark.createDataFrame([(len(sizes), total, ok)],
+                                 "n_files long, total_bytes long, passed boolean")
+
+
+def dq_profile(tables: dict[str, DataFrame], database: str = "default",
+               sample: int = 20) -> DataFrame:
+    """One row per table: database, table, rows, and `sample` rows as JSON (the smallest by
+    their text, so the report is the same on every run)."""
+    rows = None
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    listed = spark.sql("SHOW TABLES").select("tableName")
-    for name in tables:
-        rows.append(spark.table(name).agg(F.count(F.lit(1)).alias("row_count"))
-                    .select(F.lit(name).alias("tableName"), "row_count"))
-    counts = rows[0]
-    for r in rows[1:]:
-        counts = counts.unionByName(r)
-    return listed.join(counts, "tableName", "inner")
+        json = F.to_json(F.struct(*df.columns))
+        shown = df.select(json.alias("j")).orderBy("j").limit(sample).agg(
+            F.sort_array(F.collect_list("j")).alias("sample"))
+        one = df.agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(database).alias("database"), F.lit(name).alias("table"), "row_count")
+        one = one.withColumn("k", F.lit(0)).join(shown.withColumn("k", F.lit(0)), "k").drop("k")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+class QualityError(ValueError):
+    pass
+
+
+def gate(check: DataFrame, what: str, severity: str = "error") -> list[dict]:
+    """Read a check's verdict rows and act: raise ("error") or warn ("warn") if one has not
+    passed.  Checks are one row each, so nothing of the data's size is collected."""
+    if severity == "off":
+        return []
+    rows = [r.asDict() for r in check.collect()]
+    verdicts = ("passed", "accepted")
+    for r in rows:
+        bad = r.get("status") == "error" or any(r.get(v) is False for v in verdicts)
+        if bad and severity == "error":
+            raise QualityError(f"{what}: {r}")
+        if bad or r.get("status") == "warn":
+            warnings.warn(f"{what}: {r}", stacklevel=2)
+    return rows
+
+
+def load_counts_agree(expected: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Rows meant to be loaded against rows that are there."""
+    n = F.count(F.lit(1))
+    a = expected.agg(n.alias("expected_rows")).withColumn("k", F.lit(0))
+    b = loaded.agg(n.alias("loaded_rows")).withColumn("k", F.lit(0))
+    return a.join(b, "k").select("expected_rows", "loaded_rows",
+                                 (F.col("expected_rows") == F.col("loaded_rows")).alias("passed"))
 
 
 def bad_row_tolerance(text: DataFrame, numeric_cols: dict[str, str],

@@ -1,22 +1,25 @@
 """End-to-end jobs: the reference's entry points as plain functions over paths.
 
-* ``bulk_init``       CSV (or landing) -> landing table -> silver table (bulk mode)
+* ``bulk_init``       CSV (or landing) -> landing -> silver, and optionally the whole warehouse,
+                      models and full-history features
 * ``hourly_etl``      one landing hour -> silver (dedupe, idempotent replace) -> warehouse
-* ``refresh_models``  warehouse -> fact (high-water increment) -> user dimension
-                      (merge, new version) -> five marts (full rebuild)
-* ``feature_job``     silver rolling window -> window features -> snapshot ``run_date=``
+* ``refresh_models``  warehouse -> fact (new, late and re-run hours) -> user dimension
+                      (new version) -> five marts (full rebuild)
+* ``feature_job``     silver rolling window or whole history -> features -> ``run_date=``
 * ``training_job``    latest snapshot -> weights/split -> fit or CV -> metrics -> save, log
 
-Every write is idempotent (dynamic partition replace, versioned snapshots), so a
-job re-run after a lost executor or a failed attempt does not duplicate rows.
+Every write is idempotent (partition replace, versioned snapshots), so a job re-run after
+a lost executor or a failed attempt does not duplicate rows.  Checks act: with severity
+"error" a failed one stops the job, with "warn" it warns, "off" skips it.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnlake.functions.columns import part_dt_of, part_hour_of, step_to_time
 from txnlake.operators import incremental as I
@@ -25,8 +28,9 @@ from txnlake.operators import models as M
 from txnlake.operators import quality as Q
 from txnlake.operators.cleaning import normalize_partition_keys, silver_transactions, stg_transactions
 from txnlake.operators.features import window_features
-from txnlake.schemas import SILVER_SCHEMA
+from txnlake.schemas import CSV_CASTS, SEQ_COL, SILVER_SCHEMA, TRAIN_RATIO
 from txnlake.session import ensure_utc, materialize
+from txnlake.sources import listing as L
 from txnlake.sources import scans as S
 from txnlake.sources import sinks as K
 
@@ -45,20 +49,20 @@ def partition_for_time(logical_ts: str, start: str = SIMULATION_START) -> tuple[
     return step, base.strftime("%Y%m%d"), base.strftime("%H")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 # ------------------------------------------------------------------ ingestion
 
 def bulk_init(spark: SparkSession, landing_base: str, silver_base: str,
               csv_path: str | None = None, landing: DataFrame | None = None,
-              start: str = SIMULATION_START) -> None:
-    """Initial load: CSV (needs `step`) or a landing frame -> landing table -> silver."""
+              start: str = SIMULATION_START, warehouse_base: str | None = None,
+              models_base: str | None = None, features_base: str | None = None,
+              features_date: str | None = None, checks: str = "error") -> dict[str, str]:
+    """Initial load: CSV (needs `step`) or a landing frame -> landing table -> silver.  With
+    the other bases also: truncate and reload the warehouse, build all models, and write the
+    features of the whole history as snapshot `features_date`."""
     ensure_utc(spark)
     if landing is None:
+        Q.gate(Q.bad_row_tolerance(S.csv_text(spark, csv_path), dict(CSV_CASTS, step="int")),
+               "bad rows in the CSV", checks)
         df = S.csv_step_ingest(spark, csv_path)
         if "transaction_time" not in df.columns:
             df = df.withColumn("transaction_time", F.lit(None).cast("timestamp"))
@@ -69,73 +73,133 @@ def bulk_init(spark: SparkSession, landing_base: str, silver_base: str,
     K.landing_partitioned_write(landing, landing_base, dynamic=False)
     bulk = S.empty_input_guard(S.normalized_landing_scan(spark, landing_base), "landing")
     K.bulk_repartition_write(silver_transactions(bulk), silver_base)
+    Q.gate(Q.dq_output_files(spark, silver_base), "silver files", checks)
+    out = {"landing": landing_base, "silver": silver_base}
+    if warehouse_base:
+        silver = normalize_partition_keys(S.typed_scan(spark, silver_base, _silver_schema(spark, silver_base)))
+        K.truncate_reload(silver, warehouse_base)
+        Q.gate(Q.load_counts_agree(silver, spark.read.parquet(warehouse_base)),
+               "rows loaded", checks)
+        out["warehouse"] = warehouse_base
+        if models_base:
+            out |= refresh_models(spark, warehouse_base, models_base, rebuild=True)
+    if features_base:
+        path = feature_job(spark, silver_base, features_base, features_date, window_days=None)
+        out["features"] = path or ""
+    return out
+
+
+def _silver_schema(spark: SparkSession, base: str):
+    """The silver contract; tables that carry the optional sequence column have it too."""
+    has_seq = SEQ_COL in spark.read.parquet(base).columns
+    return T.StructType([*SILVER_SCHEMA.fields,
+                         *([T.StructField(SEQ_COL, T.LongType())] if has_seq else [])])
 
 
 def hourly_etl(spark: SparkSession, landing_base: str, silver_base: str, part_dt: str,
                part_hour: str, warehouse_base: str | None = None,
-               run_ts: str | None = None) -> DataFrame:
-    """Clean one landing hour into silver (and the warehouse); returns the file check."""
+               run_ts: str | None = None, checks: str = "error",
+               as_of: str | None = None) -> DataFrame:
+    """Clean one landing hour into silver (and the warehouse); returns the file check.
+
+    The run fails if the hour has no files, if the warehouse then holds another number of
+    rows, or, given `as_of`, if the newest row is too old; `as_of` also expires warehouse
+    hours beyond the retention."""
     ensure_utc(spark)
     raw = S.empty_input_guard(S.landing_partition_scan(spark, landing_base, part_dt, part_hour),
                               f"partition {part_dt}/{part_hour}")
     silver = silver_transactions(raw, part_dt, part_hour, run_ts=run_ts)
     K.partition_overwrite(silver, silver_base)
+    hour = f"part_dt={part_dt}/part_hour={part_hour}"
+    files = Q.dq_output_files(spark, f"{silver_base}/{hour}")
+    Q.gate(files, f"silver files of {hour}", checks)
     if warehouse_base:
-        one = spark.read.option("basePath", silver_base).parquet(
-            f"{silver_base}/part_dt={part_dt}/part_hour={part_hour}")
-        K.delete_insert_partition(normalize_partition_keys(one, part_dt, part_hour),
-                                  warehouse_base, part_dt, part_hour)
-    return Q.dq_output_files(spark, f"{silver_base}/part_dt={part_dt}/part_hour={part_hour}")
+        one = normalize_partition_keys(spark.read.option("basePath", silver_base).parquet(
+            f"{silver_base}/{hour}"), part_dt, part_hour)
+        K.delete_insert_partition(one, warehouse_base, part_dt, part_hour)
+        there = spark.read.parquet(L.hour_path(spark, warehouse_base, part_dt, part_hour))
+        Q.gate(Q.load_counts_agree(one, there), f"rows loaded for {hour}", checks)
+        if as_of:
+            Q.gate(Q.dq_freshness(there, "transaction_time", as_of), "freshness", checks)
+            K.expire_partitions(spark, warehouse_base, I.retention_hour(as_of))
+    return files
 
 
 # ------------------------------------------------------------------ models
 
-def _latest_version(spark: SparkSession, base: str) -> int | None:
-    if not _exists(spark, base):
-        return None
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(base)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    vers = [int(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(p)
-            if st.getPath().getName().startswith("version=")
-            and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
-    return max(vers) if vers else None
+DIM_VERSIONS_KEPT = 3
+
+
+def _dim_versions(spark: SparkSession, models_base: str) -> list[int]:
+    """Complete versions of the user dimension, oldest first."""
+    base = f"{models_base}/dim_users"
+    return sorted(int(v) for v in L.key_values(spark, base, "version")
+                  if L.exists(spark, f"{base}/version={v}/_SUCCESS"))
 
 
 def read_dim_users(spark: SparkSession, models_base: str) -> DataFrame | None:
-    v = _latest_version(spark, f"{models_base}/dim_users")
-    return None if v is None else spark.read.parquet(f"{models_base}/dim_users/version={v}")
+    vers = _dim_versions(spark, models_base)
+    return spark.read.parquet(f"{models_base}/dim_users/version={vers[-1]}") if vers else None
 
 
-def refresh_models(spark: SparkSession, warehouse_base: str, models_base: str) -> dict[str, str]:
-    """One models run.  The fact table takes only partitions newer than its high-water
-    mark (txn_id = user + second, so a key never spans partitions and replacing the
-    increment's partitions is the delete+insert upsert).  The dimension merges the
-    new rows into a new version (readers take the newest complete version).  Marts
-    are rebuilt from the fact and the dimension."""
+def _hours(df: DataFrame, hours: list[tuple[str, str]]) -> DataFrame:
+    """Rows of the hours; on a partitioned scan a filter on directories."""
+    return df.filter(F.concat("part_dt", "part_hour").isin([d + h for d, h in hours]))
+
+
+def refresh_models(spark: SparkSession, warehouse_base: str, models_base: str,
+                   replace_partitions: list[tuple[str, str]] = (), rebuild: bool = False,
+                   checks: str = "off") -> dict[str, str]:
+    """One models run.
+
+    The fact takes the warehouse hours that it lacks, late ones too (both sides' hours come
+    from directory listings), and the hours of `replace_partitions` anew; an hour that the
+    warehouse no longer has is dropped.  A transaction id (user + second) never spans hours,
+    so replacing hours is the delete+insert upsert.  The dimension merges hours that are all
+    newer than itself, else the users of replaced or late hours are aggregated again from
+    the fact.  It is written as a new version; the last few are kept.  Marts are rebuilt.
+    `rebuild` builds everything from the whole warehouse."""
     ensure_utc(spark)
     stg = stg_transactions(normalize_partition_keys(
-        S.typed_scan(spark, warehouse_base, SILVER_SCHEMA)))
+        S.typed_scan(spark, warehouse_base, _silver_schema(spark, warehouse_base))))
     fact_path = f"{models_base}/fact_transactions"
     fact_now = M.fact_transactions_full(stg)
-    if _exists(spark, fact_path):
-        target = normalize_partition_keys(spark.read.parquet(fact_path))
-        inc = I.incremental_high_water(fact_now, target)
-        if not inc.isEmpty():
-            K.partition_overwrite(inc, fact_path)
-    else:
+    dim_old = None if rebuild else read_dim_users(spark, models_base)
+    have = L.hour_partitions(spark, fact_path)
+    if rebuild or not have or dim_old is None:
         K.bulk_repartition_write(fact_now, fact_path)
+        dim = M.dim_users_full(normalize_partition_keys(spark.read.parquet(fact_path)))
+    else:
+        source = L.hour_partitions(spark, warehouse_base)
+        again = sorted(set(replace_partitions) & set(have) | set(have) - set(source))
+        new = sorted((set(source) - set(have)) | (set(replace_partitions) & set(source)))
+        old_fact = normalize_partition_keys(spark.read.parquet(fact_path))
+        if not again and (not new or min(new) > max(have)):
+            if new:
+                K.partition_overwrite(_hours(fact_now, new), fact_path)
+            fact = normalize_partition_keys(spark.read.parquet(fact_path))
+            dim = I.dim_users_incremental(dim_old, fact) if new else dim_old
+        else:
+            touched = K.stored(_hours(old_fact, again).select("user_id").unionByName(
+                _hours(fact_now, new).select("user_id")).distinct(), "touched-users")
+            if new:
+                K.partition_overwrite(_hours(fact_now, new), fact_path)
+            for dt, hr in set(again) - set(new):
+                L.delete(spark, L.hour_path(spark, fact_path, dt, hr))
+            fact = normalize_partition_keys(spark.read.parquet(fact_path))
+            dim = I.dim_users_replace(dim_old, fact, touched)
     fact = normalize_partition_keys(spark.read.parquet(fact_path))
 
-    dim_old = read_dim_users(spark, models_base)
-    v = _latest_version(spark, f"{models_base}/dim_users")
-    if dim_old is None:
-        dim = M.dim_users_full(fact)
-    else:
-        dim = I.dim_users_incremental(dim_old, fact)
-    dim_path = f"{models_base}/dim_users/version={0 if v is None else v + 1}"
+    vers = _dim_versions(spark, models_base)
+    dim_path = f"{models_base}/dim_users/version={vers[-1] + 1 if vers else 0}"
     dim.write.mode("overwrite").parquet(dim_path)
     dim = spark.read.parquet(dim_path)
+    for v in vers[:-(DIM_VERSIONS_KEPT - 1)]:
+        L.delete(spark, f"{models_base}/dim_users/version={v}")
+    for df, key in ((fact, "txn_id"), (dim, "user_id")):
+        if checks != "off":
+            Q.gate(Q.dq_unique(df, key), f"unique {key}", checks)
+            Q.gate(Q.dq_not_null(df, key), f"not null {key}", checks)
 
     marts = {
         "mart_user_risk_score": M.mart_user_risk_score(dim, fact),
@@ -160,20 +224,27 @@ def refresh_models(spark: SparkSession, warehouse_base: str, models_base: str) -
 # ------------------------------------------------------------------ ML
 
 def feature_job(spark: SparkSession, silver_base: str, features_base: str,
-                exec_date: str, window_days: int = 30, files: int | None = None) -> str | None:
-    """Rolling `window_days` read (partition-pruned) -> window features -> snapshot.
-    An empty window writes nothing and returns None (the cleaning job fails instead)."""
+                exec_date: str, window_days: int | None = 30, files: int | None = None,
+                least_coverage: float = 0.0) -> str | None:
+    """Rolling `window_days` read (partition-pruned; None: the whole history) -> window
+    features -> snapshot.  An empty window writes nothing and returns None (the cleaning
+    job fails instead); dates covering less than `least_coverage` of the window warn."""
     ensure_utc(spark)
-    silver = normalize_partition_keys(S.typed_scan(spark, silver_base, SILVER_SCHEMA))
-    silver = S.rolling_window_scan(silver, exec_date, window_days)
+    silver = normalize_partition_keys(
+        S.typed_scan(spark, silver_base, _silver_schema(spark, silver_base)))
+    if window_days is not None:
+        silver = S.rolling_window_scan(silver, exec_date, window_days)
     if silver.isEmpty():
         return None
+    if window_days is not None and least_coverage > 0:
+        Q.gate(M.distinct_partitions(silver, window_days).select(
+            "*", (F.col("coverage") >= least_coverage).alias("passed")), "coverage", "warn")
     return K.feature_snapshot_write(window_features(silver), features_base, exec_date, files)
 
 
 def training_job(spark: SparkSession, features_base: str, run_date: str | None = None,
                  model_type: str = "lr", tune: bool = False, model_dir: str | None = None,
-                 runs_table: str | None = None, relative_error: float = 0.01):
+                 runs_table: str | None = None, relative_error: float = 0.0):
     """Latest (or given) snapshot -> eligible rows -> weights, nulls, time split ->
     fit or cross-validate -> AUC + classification report -> save model, log the run."""
     ensure_utc(spark)
@@ -193,10 +264,14 @@ def training_job(spark: SparkSession, features_base: str, run_date: str | None =
     if model_dir:
         ML.model_save(model, model_dir)
     if runs_table:
-        ML.run_log(spark, runs_table, f"{model_type}_{run_date or 'latest'}",
+        stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
+        date = run_date or max(L.key_values(spark, features_base, "run_date"), default="none")
+        sizes = preds.agg(F.count(F.lit(1)).alias("n")).first()["n"], train.count()
+        ML.run_log(spark, runs_table, f"{model_type}_{stamp}",
                    {"model.type": model_type, "tuned": tune, "threshold": thr,
+                    "data.run_date": date, "data.train_ratio": TRAIN_RATIO,
+                    "data.test_rows": sizes[0], "data.train_rows": sizes[1],
+                    "data.total_rows": summary["rows"], "model.num_features": len(feats),
                     "class_weight_ratio": round(ratio, 2), **summary},
                    metrics, {"model_family": "spark_ml", "spark_version": spark.version}, feats)
     return model, metrics
-
-

@@ -80,13 +80,13 @@ def q_typed_scan(spark, sf):
 
 
 @register("rolling_window_scan", with_base(
-    "SELECT * FROM silver WHERE part_dt BETWEEN '20231226' AND '20240125'", "silver"),
+    "SELECT * FROM silver WHERE part_dt BETWEEN '20240106' AND '20240205'", "silver"),
     SILVER_DOUBLES)
 def q_rolling_window(spark, sf):
-    """exec_date 2024-01-25, 30 days back inclusive (31 dates), pruned at the scan."""
+    """exec_date 2024-02-05, 30 days back inclusive (31 dates), pruned at the scan."""
     path = scratch_path(spark, "silver")
     K.bulk_repartition_write(silver_df(spark, sf), path)
-    df = S.rolling_window_scan(S.landing_bulk_scan(spark, path), "2024-01-25", 30)
+    df = S.rolling_window_scan(S.landing_bulk_scan(spark, path), "2024-02-05", 30)
     return normalize_partition_keys(df)
 
 
@@ -116,25 +116,42 @@ def q_landing_write(spark, sf):
     return S.normalized_landing_scan(spark, _landing_written(spark, sf))
 
 
-@register("landing_batch_replace", LANDING_SQL, LANDING_DOUBLES)
+NEWEST = "part_dt || part_hour = (SELECT max(part_dt || part_hour) FROM landing)"
+
+
+def _newest(df, spark, sf):
+    dt, hr = _latest_partition(landing_df(spark, sf))
+    return df.filter((F.col("part_dt") == dt) & (F.col("part_hour") == hr)), dt, hr
+
+
+@register("landing_batch_replace", with_base("""
+SELECT * REPLACE (CASE WHEN txn_seq % 3 = 1 AND part_dt >= '20240120' THEN amount + 1
+                       ELSE amount END AS amount),
+  CAST(txn_seq % 3 AS VARCHAR) AS batch_id FROM landing""", "landing"), LANDING_DOUBLES)
 def q_landing_replace(spark, sf):
-    """Land everything, then re-land the newest hour: replaced, not duplicated."""
-    path = _landing_written(spark, sf)
-    land = landing_df(spark, sf)
-    dt, hr = _latest_partition(land)
-    K.landing_batch_replace(land.filter((F.col("part_dt") == dt) & (F.col("part_hour") == hr)),
-                            path)
+    """Three batches in every hour; one is landed again, twice, from one day on and with
+    changed rows: its rows are replaced, the other batches' stay."""
+    path = scratch_path(spark, "landing")
+    land = landing_df(spark, sf).withColumn("batch_id", (F.col("txn_seq") % 3).cast("string"))
+    K.landing_partitioned_write(land, path, dynamic=False)
+    again = land.filter("batch_id = '1' AND part_dt >= '20240120'").withColumn(
+        "amount", F.col("amount") + 1)
+    for _ in range(2):
+        K.landing_batch_replace(again, path, "1")
     return S.normalized_landing_scan(spark, path)
 
 
-@register("partition_overwrite", with_base("SELECT * FROM silver", "silver"), SILVER_DOUBLES)
+FLAGGED_SQL = f"CAST(CASE WHEN {NEWEST} THEN 1 ELSE isFlaggedFraud END AS TINYINT)"
+
+
+@register("partition_overwrite", with_base(
+    f"SELECT * REPLACE ({FLAGGED_SQL} AS isFlaggedFraud) FROM silver", "silver"), SILVER_DOUBLES)
 def q_partition_overwrite(spark, sf):
-    """Bulk silver load, then an incremental re-run of the newest hour."""
+    """Bulk silver load, then the newest hour again with changed rows."""
     path = scratch_path(spark, "silver")
     K.bulk_repartition_write(silver_df(spark, sf), path)
-    land = landing_df(spark, sf)
-    dt, hr = _latest_partition(land)
-    one = land.filter((F.col("part_dt") == dt) & (F.col("part_hour") == hr))
+    one, dt, hr = _newest(landing_df(spark, sf), spark, sf)
+    one = one.withColumn("isFlaggedFraud", F.lit(1).cast("byte"))
     K.partition_overwrite(silver_transactions(one, dt, hr).drop("processed_at"), path)
     return normalize_partition_keys(S.landing_bulk_scan(spark, path))
 
@@ -156,20 +173,27 @@ def _warehouse(spark, sf):
 
 @register("warehouse_table_write", WAREHOUSE_SQL, SILVER_DOUBLES)
 def q_warehouse_write(spark, sf):
+    """Over a table with other dates: "overwrite" leaves none of its partitions."""
     path = scratch_path(spark, "warehouse")
-    K.warehouse_table_write(_warehouse(spark, sf), path)
+    wh = _warehouse(spark, sf)
+    K.warehouse_table_write(wh.withColumn("part_dt", F.concat(F.lit("2023"), F.substring(
+        "part_dt", 5, 4))), path)
+    K.warehouse_table_write(wh, path)
     return normalize_partition_keys(S.landing_bulk_scan(spark, path))
 
 
-@register("delete_insert_partition", WAREHOUSE_SQL, SILVER_DOUBLES)
+@register("delete_insert_partition", with_base(
+    f"SELECT * REPLACE ({FLAGGED_SQL} AS isFlaggedFraud), "
+    "TIMESTAMP '2024-02-01 00:00:00' AS processed_at FROM silver", "silver"), SILVER_DOUBLES)
 def q_delete_insert(spark, sf):
-    """Load all, then delete+insert the newest hour twice: still one copy."""
+    """Load all, then delete+insert the newest hour, changed, twice: one copy, the new one."""
     path = scratch_path(spark, "warehouse")
     wh = _warehouse(spark, sf)
     K.warehouse_table_write(wh, path)
     dt, hr = _latest_partition(landing_df(spark, sf))
     for _ in range(2):
-        K.delete_insert_partition(wh, path, dt, hr)
+        K.delete_insert_partition(wh.withColumn("isFlaggedFraud", F.lit(1).cast("byte")),
+                                  path, dt, hr)
     return normalize_partition_keys(S.landing_bulk_scan(spark, path))
 
 
@@ -237,15 +261,28 @@ def q_load_count(spark, sf):
     return M.load_count_check(normalize_partition_keys(S.landing_bulk_scan(spark, path)))
 
 
-@register("bad_row_tolerance", with_base(
-    "SELECT count(*) AS total_rows, CAST(0 AS BIGINT) AS bad_rows, 0.0::DOUBLE AS bad_ratio, "
-    "true AS accepted FROM landing", "landing"), ("bad_ratio",))
+@register("bad_row_tolerance", with_base("""
+, n AS (SELECT count(*) AS total_rows, count(*) FILTER (WHERE txn_seq % 25 = 0 OR txn_seq % 40 = 0)
+          AS few, count(*) FILTER (WHERE txn_seq % 6 = 0) AS many FROM landing)
+SELECT 'few' AS load, total_rows, few AS bad_rows, few::DOUBLE / total_rows AS bad_ratio,
+  few::DOUBLE / total_rows <= 0.1 AS accepted FROM n
+UNION ALL
+SELECT 'many', total_rows, many, many::DOUBLE / total_rows, many::DOUBLE / total_rows <= 0.1
+FROM n""", "landing"), ("bad_ratio",))
 def q_bad_rows(spark, sf):
-    """CSV text of the landing table, each numeric field checked by its cast."""
-    path = scratch_path(spark, "csv")
-    landing_df(spark, sf).write.option("header", True).csv(path)
-    text = spark.read.option("header", True).csv(path)
-    return Q.bad_row_tolerance(text, dict(CSV_CASTS, step="int"))
+    """CSV text of the landing table, each numeric field checked by its cast: a load with
+    few broken fields (two kinds, overlapping) and one with too many."""
+    def load(name, **broken):
+        path = scratch_path(spark, "csv")
+        rows = landing_df(spark, sf)
+        rows = rows.withColumns({c: F.when(F.expr(when), "oops").otherwise(
+            F.col(c).cast("string")) for c, when in broken.items()})
+        rows.write.option("header", True).csv(path)
+        return Q.bad_row_tolerance(S.csv_text(spark, path), dict(CSV_CASTS, step="int")).select(
+            F.lit(name).alias("load"), "*")
+
+    return load("few", amount="txn_seq % 25 = 0", step="txn_seq % 40 = 0").unionByName(
+        load("many", newbalanceDest="txn_seq % 6 = 0"))
 
 
 @register("materialize_view", with_base("SELECT * FROM stg"), FACT_DOUBLES)
@@ -276,14 +313,17 @@ def q_dq_unique(spark, sf):
 
 
 @register("dq_not_null", with_base("""
+, holes AS (SELECT * REPLACE (CASE WHEN txn_seq % 9 <> 4 THEN txn_id END AS txn_id) FROM fact)
 SELECT 'fact_transactions.txn_id' AS "check", count(*) FILTER (WHERE txn_id IS NULL) AS null_rows,
-  count(*) FILTER (WHERE txn_id IS NULL) = 0 AS passed FROM fact
+  count(*) FILTER (WHERE txn_id IS NULL) = 0 AS passed FROM holes
 UNION ALL
 SELECT 'dim_users.user_id', count(*) FILTER (WHERE user_id IS NULL),
   count(*) FILTER (WHERE user_id IS NULL) = 0 FROM (SELECT user_id FROM fact GROUP BY user_id)"""))
 def q_dq_not_null(spark, sf):
+    """A fact in which a ninth of the ids are missing, and a sound dimension."""
     fact = fact_df(spark, sf)
-    return Q.dq_not_null(fact, "txn_id", "fact_transactions.txn_id").unionByName(
+    holes = fact.withColumn("txn_id", F.when(F.col("txn_seq") % 9 != 4, F.col("txn_id")))
+    return Q.dq_not_null(holes, "txn_id", "fact_transactions.txn_id").unionByName(
         Q.dq_not_null(M.dim_users_full(fact), "user_id", "dim_users.user_id"))
 
 
@@ -306,22 +346,30 @@ def q_dq_output_files(spark, sf):
     return Q.dq_output_files(spark, path, min_files=1)
 
 
-@register("dq_profile")
+@register("dq_profile", with_base("""
+SELECT 'default' AS "database", 'transactions' AS "table", count(*) AS row_count,
+  least(count(*), 20) AS n_shown FROM silver
+UNION ALL SELECT 'default', 'fact_transactions', count(*), least(count(*), 20) FROM fact"""))
 def q_dq_profile(spark, sf):
-    return Q.dq_profile(spark, {"transactions": silver_df(spark, sf),
-                                "fact_transactions": fact_df(spark, sf)})
-
-
+    profile = Q.dq_profile({"transactions": silver_df(spark, sf),
+                            "fact_transactions": fact_df(spark, sf)})
+    return profile.select("database", "table", "row_count",
+                          F.size("sample").cast("long").alias("n_shown"))
 
 
 # ------------------------------------------------------------------ streaming
 
 @register("hourly_stream_clean", with_base("SELECT * FROM silver", "silver"), SILVER_DOUBLES)
 def q_hourly_stream(spark, sf):
-    """Landing files -> streaming cleaning (availableNow) -> silver file sink -> read back."""
+    """Landing files -> streaming cleaning -> silver, in three arrivals: all days but one,
+    the missing day (late by weeks), and one hour landed again."""
     from txnlake.streaming.hourly import run_hourly_stream
-    landing_path = _landing_written(spark, sf)
-    silver_path = scratch_path(spark, "silver-stream")
-    q = run_hourly_stream(spark, landing_path, silver_path, scratch_path(spark, "stream-ckpt"))
-    q.awaitTermination()
+    land = landing_df(spark, sf)
+    landing_path, silver_path, state = (scratch_path(spark, n) for n in (
+        "landing", "silver-stream", "stream-ckpt"))
+    one, _, _ = _newest(land, spark, sf)
+    late = F.col("part_dt") == "20240105"
+    for part in (land.filter(~late), land.filter(late), one):
+        K.partition_overwrite(part, landing_path)
+        run_hourly_stream(spark, landing_path, silver_path, state).awaitTermination()
     return normalize_partition_keys(spark.read.parquet(silver_path)).drop("processed_at")

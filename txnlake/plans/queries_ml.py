@@ -35,15 +35,28 @@ def _split(spark, sf):
     return df, train, test
 
 
-def _scored(spark, sf, model_type):
-    df, train, test = _split(spark, sf)
-    model = ML.train(train, ML.available_features(df), model_type)
-    return ML.score_transactions(model, test)
+SPLIT_CTE = f"""
+, e AS (SELECT txn_seq, is_fraud, epoch_us(transaction_time) // 1000000 AS ts_seconds FROM {ELIGIBLE}),
+r AS (SELECT ts_seconds, row_number() OVER (ORDER BY ts_seconds) AS rn, count(*) OVER () AS n FROM e),
+t AS (SELECT ts_seconds AS thr FROM r WHERE rn = CAST(greatest(ceil(0.8 * n), 1) AS BIGINT))
+"""
+# What a model predicts is checked by its form; which rows it is tested on, by their ids.
+TESTED_SQL = with_base(SPLIT_CTE + """SELECT txn_seq, is_fraud, true AS sound FROM e
+WHERE ts_seconds > (SELECT thr FROM t)""")
+
+
+def _tested(scored):
+    """The rows of a test set; `sound`: a probability, and the prediction that follows."""
+    p = F.col("fraud_probability")
+    return scored.select("txn_seq", "is_fraud", (
+        p.between(0, 1) & F.col("prediction").isin(0.0, 1.0)
+        & (((p > 0.5) == (F.col("prediction") == 1)) | (p == 0.5))).alias("sound"))
 
 
 def _predictions(spark, sf, model_type):
-    return _scored(spark, sf, model_type).select(
-        "txn_seq", "is_fraud", "prediction", "fraud_probability")
+    df, train, test = _split(spark, sf)
+    return _tested(ML.score_transactions(
+        ML.train(train, ML.available_features(df), model_type), test))
 
 
 @register("class_weights", with_base(f"""
@@ -82,19 +95,16 @@ def q_null_fill(spark, sf):
     return ML.null_fill(FT.window_features(silver_df(spark, sf))).select("txn_seq", *NULLABLE)
 
 
-@register("time_split", with_base(f"""
-, e AS (SELECT txn_seq, epoch_us(transaction_time) // 1000000 AS ts_seconds FROM {ELIGIBLE}),
-r AS (SELECT ts_seconds, row_number() OVER (ORDER BY ts_seconds) AS rn, count(*) OVER () AS n FROM e),
-t AS (SELECT ts_seconds AS thr FROM r WHERE rn = CAST(greatest(ceil(0.8 * n), 1) AS BIGINT))
+@register("time_split", with_base(SPLIT_CTE + """
 SELECT txn_seq, ts_seconds,
   CASE WHEN ts_seconds <= (SELECT thr FROM t) THEN 'train' ELSE 'test' END AS split
 FROM e"""))
 def q_time_split(spark, sf):
-    """Exact 0.8 quantile of time (zero-error variant) -> train/test label per row."""
-    df = _eligible_fact(spark, sf)
-    thr = ML.exact_time_threshold(df, 0.8)
-    return df.select("txn_seq", epoch_seconds("transaction_time").alias("ts_seconds"),
-                     ML.label_split(df, thr).alias("split"))
+    """The split that training uses: exact 0.8 quantile of time -> train/test for each row."""
+    train, test, _ = ML.time_split(_eligible_fact(spark, sf))
+    return train.withColumn("split", F.lit("train")).unionByName(
+        test.withColumn("split", F.lit("test"))).select(
+        "txn_seq", epoch_seconds("transaction_time").alias("ts_seconds"), "split")
 
 
 _AVAILABLE = [c for c in ML.FEATURE_COLS if c in FEATURE_EXPR or c in (
@@ -111,46 +121,78 @@ def q_available_features(spark, sf):
     return feats.select(*cols, "txn_seq")
 
 
-@register("assemble_scale")
+SCALED = [f"s_{c}" for c in _AVAILABLE]
+
+
+def _scale_sql() -> str:
+    filled = ", ".join(f"CAST(coalesce({FEATURE_EXPR.get(c, c)}, 0) AS DOUBLE) AS {c}"
+                       for c in _AVAILABLE)
+    scaled = ", ".join(f"CASE WHEN stddev_samp({c}) OVER () > 0 THEN {c} / stddev_samp({c}) OVER () "
+                       f"ELSE 0.0 END AS s_{c}" for c in _AVAILABLE)
+    return with_base(
+        ", f AS (SELECT *, epoch_us(transaction_time) // 1000000 AS ts FROM silver),\n"
+        f"g AS (SELECT txn_seq, type, {filled} FROM f),\n"
+        "h AS (SELECT * FROM g WHERE type IN ('CASH_OUT', 'TRANSFER'))\n"
+        f"SELECT txn_seq, {scaled} FROM h", "silver")
+
+
+@register("assemble_scale", _scale_sql(), tuple(SCALED))
 def q_assemble_scale(spark, sf):
+    """Every training feature over its sample deviation, a column each."""
     df = _training_frame(spark, sf)
-    return ML.assemble_scale(df, ML.available_features(df)).select("txn_seq", "scaled")
+    feats = ML.available_features(df)
+    return ML.assemble_scale(df, feats).select(
+        "txn_seq", *[F.col("scaled")[i].alias(f"s_{c}") for i, c in enumerate(feats)])
 
 
-@register("train_lr")
+@register("train_lr", TESTED_SQL)
 def q_train_lr(spark, sf):
     return _predictions(spark, sf, "lr")
 
 
-@register("train_rf")
+@register("train_rf", TESTED_SQL)
 def q_train_rf(spark, sf):
     return _predictions(spark, sf, "rf")
 
 
-@register("train_gbt")
+@register("train_gbt", TESTED_SQL)
 def q_train_gbt(spark, sf):
     return _predictions(spark, sf, "gbt")
 
 
-@register("tune_cv")
+@register("tune_cv", TESTED_SQL)
 def q_tune_cv(spark, sf):
     df, train, test = _split(spark, sf)
     best = ML.tune_cv(train, ML.available_features(df), "lr")
-    return ML.score_transactions(best, test).select(
-        "txn_seq", "is_fraud", "prediction", "fraud_probability")
+    return _tested(ML.score_transactions(best, test))
 
 
-@register("score_transactions")
+@register("score_transactions", with_base(SPLIT_CTE + "SELECT txn_seq, is_fraud, true AS sound FROM e"))
 def q_score(spark, sf):
+    """Every eligible row, scored."""
     df, train, _ = _split(spark, sf)
-    model = ML.train_lr(train, ML.available_features(df))
-    return ML.score_transactions(model, df).select(
-        "txn_seq", "is_fraud", "rawPrediction", "probability", "prediction", "fraud_probability")
+    return _tested(ML.score_transactions(ML.train_lr(train, ML.available_features(df)), df))
+
+
+AUC_SQL = """
+, g AS (SELECT anomaly_score AS s, count(*) FILTER (WHERE is_fraud = 1) AS p,
+               count(*) FILTER (WHERE is_fraud = 0) AS n FROM b GROUP BY anomaly_score),
+c AS (SELECT s, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS np, sum(n) OVER () AS nn
+      FROM g WINDOW w AS (ORDER BY s DESC)),
+x AS (SELECT s, tp::DOUBLE / np AS tpr, fp::DOUBLE / nn AS fpr, tp::DOUBLE / (tp + fp) AS prec FROM c),
+y AS (SELECT tpr, fpr, prec, coalesce(lag(tpr) OVER w, 0.0) AS tpr0, coalesce(lag(fpr) OVER w, 0.0) AS fpr0,
+             coalesce(lag(prec) OVER w, prec) AS prec0 FROM x WINDOW w AS (ORDER BY s DESC))
+SELECT sum((fpr - fpr0) * (tpr + tpr0) / 2) AS auc_roc,
+       sum((tpr - tpr0) * (prec + prec0) / 2) AS auc_pr FROM y"""
 
 
-@register("auc_metrics")
+@register("auc_metrics", with_base(AUC_SQL, extra=[ANOMALY_CTE]), ("auc_roc", "auc_pr"))
 def q_auc(spark, sf):
-    m = ML.auc_metrics(_scored(spark, sf, "lr"))
+    """Exact areas of the anomaly score as a fraud score, over every transaction."""
+    scored = M.anomaly_flags(fact_df(spark, sf)).select(
+        F.col("is_fraud").cast("double").alias("is_fraud"),
+        F.col("anomaly_score").cast("double").alias("rawPrediction"))
+    m = ML.auc_metrics(scored)
     return spark.createDataFrame([(float(m["auc_roc"]), float(m["auc_pr"]))],
                                  "auc_roc double, auc_pr double")
 
@@ -201,23 +243,36 @@ def q_report(spark, sf):
     return ML.classification_report(_rule_predictions(spark, sf))
 
 
-@register("model_save")
+@register("model_save", with_base(SPLIT_CTE + """SELECT txn_seq, true AS same FROM e
+WHERE ts_seconds > (SELECT thr FROM t)"""))
 def q_model_save(spark, sf):
-    """Fit, persist, reload, score: the reloaded pipeline must score identically."""
+    """Fit, persist, reload: the reloaded pipeline scores every test row as the first did."""
     df, train, test = _split(spark, sf)
     model = ML.train_lr(train, ML.available_features(df))
-    path = ML.model_save(model, scratch_path(spark, "model"))
-    return ML.score_transactions(ML.model_load(path), test).select(
-        "txn_seq", "prediction", "fraud_probability")
+    again = ML.model_load(ML.model_save(model, scratch_path(spark, "model")))
+    first, second = (ML.score_transactions(m, test).select("txn_seq", F.col(
+        "fraud_probability").alias(n)) for m, n in ((model, "a"), (again, "b")))
+    return first.join(second, "txn_seq").select("txn_seq", (F.col("a") == F.col("b")).alias("same"))
 
 
-@register("run_log")
+@register("run_log", with_base(SPLIT_CTE + f"""SELECT 'lr' AS model_type,
+  count(*) FILTER (WHERE ts_seconds <= (SELECT thr FROM t)) AS train_rows,
+  count(*) FILTER (WHERE ts_seconds > (SELECT thr FROM t)) AS test_rows, count(*) AS total_rows,
+  CAST({len(_AVAILABLE)} AS INTEGER) AS n_features, CAST(2 AS INTEGER) AS n_metrics FROM e"""))
 def q_run_log(spark, sf):
+    """A training run's row in the log, read back."""
     df, train, test = _split(spark, sf)
     feats = ML.available_features(df)
-    model = ML.train_lr(train, feats)
-    metrics = ML.auc_metrics(ML.score_transactions(model, test))
-    return ML.run_log(spark, scratch_path(spark, "model_runs"), "lr_run",
-                      {"model.type": "lr", "data.train_ratio": 0.8,
-                       "model.num_features": len(feats)},
-                      metrics, {"model_family": "spark_ml"}, feats)
+    metrics = ML.auc_metrics(ML.score_transactions(ML.train_lr(train, feats), test))
+    log = ML.run_log(spark, scratch_path(spark, "model_runs"), "lr_run",
+                     {"model.type": "lr", "data.train_rows": train.count(),
+                      "data.test_rows": test.count(), "data.total_rows": df.count()},
+                     metrics, {"model_family": "spark_ml"}, feats)
+
+    def param(name, kind):
+        return F.get_json_object("params", f"$['{name}']").cast(kind)
+
+    return log.select(param("model.type", "string").alias("model_type"),
+                      *[param(f"data.{n}", "long").alias(n)
+                        for n in ("train_rows", "test_rows", "total_rows")],
+                      F.size("features").alias("n_features"), F.size("metrics").alias("n_metrics"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Fixed values that must equal the reference for right results:
-# transaction types, fraud-eligible types, the feature-store training columns
-# and the model target.
+# Fixed values that must equal the reference for right results, here and in all lists and
+# schemas below: transaction types, fraud-eligible types, the columns (names, types, order)
+# of each layer, the training columns, the model target and the search grid.
 TXN_TYPES = ["PAYMENT", "CASH_OUT", "CASH_IN", "TRANSFER", "DEBIT"]
 FRAUD_TYPES = ["CASH_OUT", "TRANSFER"]
 TARGET_COL = "is_fraud"
@@ -23,7 +23,7 @@ FEATURE_COLS = [
     "orig_prev_amount", "orig_count_past", "orig_sum_amount_past", "orig_avg_amount_past",
     "is_round_amount",
 ]
-LR_GRID = {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0], "maxIter": 100}
+LR_GRID = {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]}
 
 PARTITION_KEYS = ["part_dt", "part_hour"]
 # Optional unique tie-break carried through every layer when the source has one.

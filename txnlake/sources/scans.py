@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from txnlake.operators.cleaning import normalize_partition_keys
 from txnlake.schemas import CSV_CASTS, SEQ_COL
+from txnlake.sources import listing as L
 
 CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 PART_DT_RE = r"part_dt=([0-9]+)"
@@ -25,16 +26,22 @@ class EmptyInputError(ValueError):
     pass
 
 
+def csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """The CSV as header-named text; `step` is required."""
+    df = (spark.read.option("header", True).option("timestampFormat", CSV_TIMESTAMP_FORMAT)
+          .csv(path))
+    if "step" not in df.columns:
+        raise ValueError("CSV must contain a 'step' column")
+    return df
+
+
 def csv_step_ingest(spark: SparkSession, path: str) -> DataFrame:
     """Read transaction CSV (header-named text), require `step`, force the casts.
 
     Text is read without inference (no extra pass over the data); the known
     columns are `try_cast`, the rest pass through as text.
     """
-    df = (spark.read.option("header", True).option("timestampFormat", CSV_TIMESTAMP_FORMAT)
-          .csv(path))
-    if "step" not in df.columns:
-        raise ValueError("CSV must contain a 'step' column")
+    df = csv_text(spark, path)
     casts = dict(CSV_CASTS, step="int", transaction_time="timestamp")
     casts[SEQ_COL] = "long"
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in casts.items() if c in df.columns})
@@ -85,13 +92,8 @@ def path_partition_columns(spark: SparkSession, base: str) -> DataFrame:
 
 
 def list_partitions(spark: SparkSession, base: str) -> DataFrame:
-    """Distinct (part_dt, part_hour) from the object names; file bodies are not read
-    (only `path` is selected, the binary content column is pruned)."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.parquet").load(base).select("path"))
-    keys = files.select(F.regexp_extract("path", PART_DT_RE, 1).alias("part_dt"),
-                        F.regexp_extract("path", PART_HOUR_RE, 1).alias("part_hour"))
-    return keys.filter((F.col("part_dt") != "") & (F.col("part_hour") != "")).distinct()
+    """(part_dt, part_hour) of a table's hour directories; no file is opened."""
+    return spark.createDataFrame(L.hour_partitions(spark, base), "part_dt string, part_hour string")
 
 
 def feature_snapshot_scan(spark: SparkSession, base: str, run_date: str | None = None,
@@ -103,18 +105,10 @@ def feature_snapshot_scan(spark: SparkSession, base: str, run_date: str | None =
         return spark.read.parquet(base)
     if run_date is not None:
         return spark.read.parquet(f"{base}/run_date={run_date}")
-    snaps = list_snapshot_dates(spark, base)
-    latest = snaps.agg(F.max("run_date").alias("d")).first()["d"]
-    if latest is None:
+    dates = L.key_values(spark, base, "run_date")
+    if not dates:
         raise EmptyInputError(f"no snapshots under {base}")
-    return spark.read.parquet(f"{base}/run_date={latest}")
-
-
-def list_snapshot_dates(spark: SparkSession, base: str) -> DataFrame:
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.parquet").load(base).select("path"))
-    return files.select(F.regexp_extract("path", r"run_date=([0-9-]+)", 1).alias("run_date")) \
-        .filter(F.col("run_date") != "").distinct()
+    return spark.read.parquet(f"{base}/run_date={dates[-1]}")
 
 
 def empty_input_guard(df: DataFrame, what: str = "input") -> DataFrame:

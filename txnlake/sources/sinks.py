@@ -8,8 +8,14 @@ tasks and splits a hot partition over several files instead of one straggler.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from txnlake.operators.cleaning import normalize_partition_keys
 from txnlake.schemas import PARTITION_KEYS
+from txnlake.session import scratch_path
+from txnlake.sources import listing as L
+
+BATCH_COL = "batch_id"
 
 
 def _rebalanced(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,14 +37,24 @@ def partition_overwrite(df: DataFrame, path: str, keys: list[str] | None = None)
      .partitionBy(*keys).parquet(path))
 
 
-def landing_batch_replace(df: DataFrame, path: str) -> None:
-    """Re-landing a batch replaces its earlier files (idempotent re-run)."""
-    partition_overwrite(df, path)
+def landing_batch_replace(df: DataFrame, path: str, batch_id: str) -> None:
+    """Land one batch again: in the hours that it covers, its earlier rows go and the other
+    batches' rows stay.  Rows carry their `batch_id`; re-running is idempotent."""
+    spark = df.sparkSession
+    batch = stored(df.withColumn(BATCH_COL, F.lit(str(batch_id))), "batch")
+    if L.hour_partitions(spark, path):
+        hours = F.broadcast(batch.select(*PARTITION_KEYS).distinct())  # one row for each hour
+        there = normalize_partition_keys(spark.read.option("mergeSchema", True).parquet(path))
+        if BATCH_COL in there.columns:
+            others = F.col(BATCH_COL).isNull() | (F.col(BATCH_COL) != str(batch_id))
+            there = there.filter(others)
+        kept = there.join(hours, PARTITION_KEYS, "left_semi")
+        batch = stored(batch.unionByName(kept, allowMissingColumns=True), "landing")
+    partition_overwrite(batch, path)
 
 
 def delete_insert_partition(df: DataFrame, path: str, part_dt: str, part_hour: str) -> None:
     """Delete one (part_dt, part_hour) and insert it again: re-runs never duplicate."""
-    from pyspark.sql import functions as F
     one = df.filter((F.col("part_dt") == part_dt) & (F.col("part_hour") == part_hour))
     partition_overwrite(one, path)
 
@@ -56,12 +72,21 @@ def truncate_reload(df: DataFrame, path: str) -> None:
 
 def warehouse_table_write(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Warehouse table: partitioned by date/hour, rows sorted by (transaction_time,
-    user_id) inside each file, so min/max statistics prune time-range reads."""
+    user_id) inside each file, so min/max statistics prune time-range reads.
+    "overwrite" replaces the table, with every partition that it had."""
     (_rebalanced(df, PARTITION_KEYS).sortWithinPartitions("transaction_time", "user_id")
-     .write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .write.mode(mode).option("partitionOverwriteMode", "static")
      .partitionBy(*PARTITION_KEYS).parquet(path))
 
 
+def expire_partitions(spark: SparkSession, path: str, before: str) -> list[tuple[str, str]]:
+    """Drop the hours that lie wholly before `before` (`yyyyMMddHH`); directories only."""
+    gone = [(d, h) for d, h in L.hour_partitions(spark, path) if d + h < before]
+    for d, h in gone:
+        L.delete(spark, L.hour_path(spark, path, d, h))
+    return gone
+
+
 def feature_snapshot_write(df: DataFrame, base: str, run_date: str,
                            files: int | None = None) -> str:
     """Overwrite `run_date=<d>`; a file count may be fixed, else AQE sizes the files."""
@@ -71,6 +96,11 @@ def feature_snapshot_write(df: DataFrame, base: str, run_date: str,
     return out
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once under the checkpoint root, read back (lineage ends there)."""
+    return materialize_table(df, scratch_path(df.sparkSession, name))
+
+
 def materialize_view(df: DataFrame, name: str) -> DataFrame:
     """View materialization: a named, lazily evaluated temp view."""
     df.createOrReplaceTempView(name)
@@ -82,6 +112,3 @@ def materialize_table(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

@@ -1,25 +1,21 @@
 """The hourly landing -> silver job as a Structured Streaming query.
 
-The reference runs the cleaning job once per hour on the newest landing
-partition.  Here the landing directory is a file stream: each trigger picks up
-the files that arrived since the last one (tracked in the checkpoint), cleans
-them with the same expressions as the batch job and appends them to the
-partitioned silver table through the file sink, whose commit log makes the
-output exactly-once across restarts and lost executors.  Full-row duplicates
-are dropped within a watermark, the streaming form of the per-hour dedupe.
+The landing directory is a file stream; each trigger finds the hours in which files
+arrived (tracked in the checkpoint), reads those hours whole and runs the batch cleaning
+on them, replacing their silver partitions.  So there is no watermark: a late hour is
+kept however late it is, an hour that is landed again is replaced and not doubled, and a
+trigger that is run again after a failure writes the same partitions again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnlake.operators.cleaning import (
-    add_processed_at, add_row_features, clean_transactions, normalize_partition_keys,
-)
-from txnlake.schemas import LANDING_SCHEMA, PARTITION_KEYS, SEQ_COL, SILVER_COLUMNS
-
-DEDUP_WATERMARK = "1 hour"
+from txnlake.operators.cleaning import normalize_partition_keys, silver_transactions
+from txnlake.schemas import LANDING_SCHEMA, PARTITION_KEYS, SEQ_COL
+from txnlake.sources import sinks as K
 
 
 def landing_stream_schema(with_seq: bool = True) -> T.StructType:
@@ -29,26 +25,31 @@ def landing_stream_schema(with_seq: bool = True) -> T.StructType:
     return T.StructType(fields)
 
 
-def silver_stream(spark: SparkSession, landing_base: str, dedup: bool = True,
-                  max_files_per_trigger: int | None = None) -> DataFrame:
+def clean_hours(spark: SparkSession, landing_base: str, silver_base: str,
+                hours: DataFrame) -> None:
+    """Clean the landing hours (part_dt, part_hour) whole and replace them in silver.  There
+    is one row for each hour that got files, so broadcasting them is bounded; it prunes the
+    landing partitions that are read."""
+    schema = landing_stream_schema()
+    landing = normalize_partition_keys(
+        spark.read.schema(schema).option("basePath", landing_base).parquet(landing_base))
+    hours = normalize_partition_keys(hours.select(*PARTITION_KEYS).distinct())
+    one = landing.join(F.broadcast(hours), PARTITION_KEYS, "left_semi")
+    K.partition_overwrite(silver_transactions(one), silver_base)
+
+
+def run_hourly_stream(spark: SparkSession, landing_base: str, silver_base: str,
+                      checkpoint: str, available_now: bool = True,
+                      max_files_per_trigger: int | None = None):
+    """Start the stream; with `available_now` it processes what has landed and stops."""
     reader = spark.readStream.schema(landing_stream_schema())
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = clean_transactions(reader.parquet(landing_base))
-    if dedup:
-        df = (df.withWatermark("transaction_time", DEDUP_WATERMARK)
-              .dropDuplicatesWithinWatermark([c for c in df.columns if c != SEQ_COL]))
-    df = add_row_features(add_processed_at(df))
-    df = normalize_partition_keys(df)
-    extras = [c for c in PARTITION_KEYS + [SEQ_COL] if c in df.columns]
-    return df.select(*SILVER_COLUMNS, *extras)
 
+    def each(batch: DataFrame, _: int) -> None:
+        clean_hours(batch.sparkSession, landing_base, silver_base, batch)
 
-def run_hourly_stream(spark: SparkSession, landing_base: str, silver_base: str,
-                      checkpoint: str, dedup: bool = True, available_now: bool = True):
-    """Start the stream; with `available_now` it processes what has landed and stops."""
-    q = (silver_stream(spark, landing_base, dedup).writeStream.format("parquet")
-         .option("checkpointLocation", checkpoint).partitionBy(*PARTITION_KEYS)
-         .outputMode("append"))
+    q = (reader.parquet(landing_base).select(*PARTITION_KEYS).writeStream.foreachBatch(each)
+         .option("checkpointLocation", checkpoint))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 hour")
-    return q.start(silver_base)
+    return q.start()
