@@ -32,19 +32,26 @@ def test_rerun_of_same_batch_adds_nothing(spark):
 
 
 def test_rerun_partition_is_idempotent(spark):
-    land = landing_df(spark, SF001)
+    land = landing_df(spark, SF001).filter("part_dt < '20240103'")
     path = scratch_path(spark, "landing-test")
     K.landing_partitioned_write(land, path, dynamic=False)
     hour = land.filter((F.col("part_dt") == "20240101") & (F.col("part_hour") == "05"))
     changed = hour.withColumn("amount", F.col("amount") + 1.0)
-    K.landing_batch_replace(changed, path)
-    K.landing_batch_replace(changed, path)
+    K.partition_overwrite(changed, path)
+    K.partition_overwrite(changed, path)
     back = S.normalized_landing_scan(spark, path)
     assert back.count() == land.count()
     got = back.filter((F.col("part_dt") == "20240101") & (F.col("part_hour") == "05"))
     assert _norm(got) == _norm(changed)
 
 
+def test_null_keys_are_replaced_like_others(spark):
+    old = spark.createDataFrame([("a", 1), (None, 1)], "k string, v int")
+    new = spark.createDataFrame([(None, 2)], "k string, v int")
+    got = I.upsert_by_key(I.upsert_by_key(old, new, ["k"]), new, ["k"])
+    assert sorted(map(str, map(tuple, got.collect()))) == ["('a', 1)", "(None, 2)"]
+
+
 def test_upsert_and_latest_version(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
     new = spark.createDataFrame([("b", 2), ("c", 2)], "k string, v int")
