@@ -36,13 +36,13 @@ def impl_of(fn) -> str:
 
 SILVER = "operators.cleaning.silver_transactions"
 OVERRIDE = {
-    "balance_errors": ["operators.cleaning.add_balance_errors", "functions.columns.balance_error_orig"],
-    "balance_error_flags": ["operators.cleaning.add_balance_error_flags"],
-    "type_one_hot": ["operators.cleaning.add_type_one_hot"],
-    "merchant_flag": ["operators.cleaning.add_merchant_flag", "functions.columns.merchant_flag"],
-    "time_parts": ["operators.cleaning.add_time_parts"],
-    "emptied_account_flag": ["operators.cleaning.add_emptied_account_flag"],
-    "zero_init_flags": ["operators.cleaning.add_zero_init_flags"],
+    "balance_errors": ["operators.cleaning.balance_errors", "functions.columns.balance_error_orig"],
+    "balance_error_flags": ["operators.cleaning.balance_error_flags"],
+    "type_one_hot": ["operators.cleaning.type_one_hot"],
+    "merchant_flag": ["operators.cleaning.account_flags", "functions.columns.merchant_flag"],
+    "time_parts": ["operators.cleaning.time_parts"],
+    "emptied_account_flag": ["operators.cleaning.account_flags"],
+    "zero_init_flags": ["operators.cleaning.account_flags"],
     "silver_transactions": [SILVER],
     "stg_transactions": ["operators.cleaning.stg_transactions"],
     "txn_id": ["functions.columns.txn_id"],

@@ -43,77 +43,60 @@ def dedup_transactions(df: DataFrame, enabled: bool = True) -> DataFrame:
     return df.dropDuplicates() if enabled else df
 
 
-def add_processed_at(df: DataFrame, run_ts: str | None = None) -> DataFrame:
-    """Stamp processing time; a fixed `run_ts` makes the stamp reproducible."""
-    ts = F.lit(run_ts).cast("timestamp") if run_ts else F.current_timestamp()
-    return df.withColumn("processed_at", ts)
+def run_stamp(run_ts: str | None = None) -> Column:
+    return F.lit(run_ts).cast("timestamp") if run_ts else F.current_timestamp()
 
 
-def add_balance_errors(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "errorBalanceOrig": balance_error_orig(),
-        "errorBalanceDest": balance_error_dest(),
-    })
+def add_processed_at(df: DataFrame, run_ts: str | None = None) -> DataFrame:
+    """Stamp processing time; a fixed `run_ts` makes the stamp reproducible."""
+    return df.withColumn("processed_at", run_stamp(run_ts))
 
 
-def add_balance_error_flags(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "is_errorBalanceOrig": is_nonzero_flag(F.col("errorBalanceOrig")),
-        "is_errorBalanceDest": is_nonzero_flag(F.col("errorBalanceDest")),
-    })
+def balance_errors() -> dict[str, Column]:
+    return {"errorBalanceOrig": balance_error_orig(), "errorBalanceDest": balance_error_dest()}
 
 
-def add_type_one_hot(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "is_transfer": flag(F.col("type") == "TRANSFER"),
-        "is_cash_out": flag(F.col("type") == "CASH_OUT"),
-    })
+def balance_error_flags() -> dict[str, Column]:
+    return {f"is_{c}": is_nonzero_flag(F.col(c)) for c in ("errorBalanceOrig", "errorBalanceDest")}
 
 
-def add_merchant_flag(df: DataFrame) -> DataFrame:
-    return df.withColumn("is_merchant_dest", merchant_flag("merchant_id"))
+def type_one_hot() -> dict[str, Column]:
+    return {"is_transfer": flag(F.col("type") == "TRANSFER"),
+            "is_cash_out": flag(F.col("type") == "CASH_OUT")}
 
 
-def add_time_parts(df: DataFrame) -> DataFrame:
+def time_parts() -> dict[str, Column]:
     """hour_of_day 0-23, day_of_week 1=Sunday..7=Saturday."""
-    return df.withColumns({
-        "hour_of_day": F.hour("transaction_time").cast("byte"),
-        "day_of_week": F.dayofweek("transaction_time").cast("byte"),
-    })
+    return {"hour_of_day": F.hour("transaction_time").cast("byte"),
+            "day_of_week": F.dayofweek("transaction_time").cast("byte")}
 
 
-def add_emptied_account_flag(df: DataFrame) -> DataFrame:
-    return df.withColumn("is_all_orig_balance", flag(F.col("amount") == F.col("oldbalanceOrg")))
+def account_flags() -> dict[str, Column]:
+    """Merchant recipient, emptied sender, accounts that begin with nothing."""
+    return {"is_merchant_dest": merchant_flag("merchant_id"),
+            "is_all_orig_balance": flag(F.col("amount") == F.col("oldbalanceOrg")),
+            "is_dest_zero_init": flag(F.col("oldbalanceDest") == 0),
+            "is_org_zero_init": flag(F.col("oldbalanceOrg") == 0)}
 
 
-def add_zero_init_flags(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "is_dest_zero_init": flag(F.col("oldbalanceDest") == 0),
-        "is_org_zero_init": flag(F.col("oldbalanceOrg") == 0),
-    })
+def partition_keys(part_dt: str | None = None, part_hour: str | None = None) -> dict[str, Column]:
+    """String keys `'YYYYMMDD'`, `'HH'`: literals for one partition, else cast + lpad
+    (partition discovery infers them as integers)."""
+    if part_dt is not None:
+        return {"part_dt": F.lit(str(part_dt)), "part_hour": F.lit(str(part_hour))}
+    return {"part_dt": F.col("part_dt").cast("string"),
+            "part_hour": F.lpad(F.col("part_hour").cast("string"), 2, "0")}
 
 
 def normalize_partition_keys(df: DataFrame, part_dt: str | None = None,
                              part_hour: str | None = None) -> DataFrame:
-    """String keys `'YYYYMMDD'`, `'HH'`: literals for one partition, else cast + lpad
-    (partition discovery infers them as integers)."""
-    if part_dt is not None:
-        return df.withColumns({"part_dt": F.lit(str(part_dt)), "part_hour": F.lit(str(part_hour))})
-    return df.withColumns({
-        "part_dt": F.col("part_dt").cast("string"),
-        "part_hour": F.lpad(F.col("part_hour").cast("string"), 2, "0"),
-    })
+    return df.withColumns(partition_keys(part_dt, part_hour))
 
 
-def add_row_features(df: DataFrame) -> DataFrame:
-    """All silver-layer row features in one projection."""
-    df = add_balance_errors(df)
-    df = add_balance_error_flags(df)
-    df = add_type_one_hot(df)
-    df = add_merchant_flag(df)
-    df = add_time_parts(df)
-    df = add_emptied_account_flag(df)
-    return add_zero_init_flags(df)
+def add_row_features(df: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """All silver-layer row features: the errors, then what is read from them."""
+    return df.withColumns(balance_errors()).withColumns(
+        balance_error_flags() | type_one_hot() | time_parts() | account_flags() | (more or {}))
 
 
 def silver_transactions(landing: DataFrame, part_dt: str | None = None,
@@ -127,11 +110,11 @@ def silver_transactions(landing: DataFrame, part_dt: str | None = None,
     incremental = part_dt is not None
     df = clean_transactions(landing)
     df = dedup_transactions(df, incremental if dedup is None else dedup)
-    df = add_processed_at(df, run_ts)
-    df = add_row_features(df)
-    if incremental or "part_dt" in df.columns:
-        df = normalize_partition_keys(df, part_dt, part_hour)
-    return df.select(*SILVER_COLUMNS, *_extras(df, PARTITION_KEYS + [SEQ_COL]))
+    keyed = incremental or "part_dt" in landing.columns
+    keys = partition_keys(part_dt, part_hour) if keyed else {}
+    df = add_row_features(df, {"processed_at": run_stamp(run_ts)} | keys)
+    return df.select(*SILVER_COLUMNS, *(PARTITION_KEYS if keyed else []),
+                     *_extras(landing, [SEQ_COL]))
 
 
 def stg_transactions(silver: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ LANDING = """landing AS (
   SELECT CAST(floor((ts_seconds - 1704067200) / 3600) + 1 AS INTEGER) AS step,
     type, amount, nameOrig, oldbalanceOrg,
     CASE WHEN eid % 4 = 0 THEN oldbalanceOrg ELSE greatest(oldbalanceOrg - amount, 0.0) END AS newbalanceOrig,
-    CASE WHEN type IN ('PAYMENT', 'DEBIT') THEN 'M' || CAST(eid % 20 AS VARCHAR)
-         ELSE 'C' || CAST((eid * 7 + 3) % 150 AS VARCHAR) END AS nameDest,
+    CASE WHEN type IN ('PAYMENT', 'DEBIT') THEN 'M' || CAST(user_num // 150 * 20 + eid % 20 AS VARCHAR)
+         ELSE 'C' || CAST(user_num // 150 * 150 + (eid * 7 + 3) % 150 AS VARCHAR) END AS nameDest,
     oldbalanceDest,
     CASE WHEN eid % 5 = 0 THEN oldbalanceDest ELSE oldbalanceDest + amount END AS newbalanceDest,
     CAST(CASE WHEN type IN ('TRANSFER', 'CASH_OUT') AND eid % 37 = 0 THEN 1 ELSE 0 END AS TINYINT) AS isFraud,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -55,7 +57,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="txnlake-ckpt-")
+        root = tempfile.mkdtemp(prefix="txnlake-ckpt-")  # one machine, for tests only
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
     elif not sc.getCheckpointDir():

@@ -23,8 +23,8 @@ EVENT_TYPE_TO_TXN = {
     "click": "TRANSFER",
     "error": "DEBIT",
 }
-N_MERCHANT_IDS = 20
-N_CUSTOMER_IDS = 150
+USERS_PER_BLOCK = 150  # senders pay recipients of their block, so pools grow with the users
+MERCHANTS_PER_BLOCK = 20
 SEGMENT_BY_USER_MOD20 = [  # user_id % 20 -> segment
     (0, 0, "high_value"), (1, 2, "business"), (3, 14, "regular"),
     (15, 18, "low_income"), (19, 19, "dormant"),
@@ -62,6 +62,7 @@ def landing_from_events(events: DataFrame, with_partition_keys: bool = True,
         typ.alias("type"),
         amount.alias("amount"),
         F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("nameOrig"),
+        F.floor(F.col("user_id") / USERS_PER_BLOCK).alias("_block"),
         old_orig.alias("oldbalanceOrg"),
         old_dest.alias("oldbalanceDest"),
     )
@@ -71,8 +72,10 @@ def landing_from_events(events: DataFrame, with_partition_keys: bool = True,
         "*",
         (F.floor((epoch_seconds("transaction_time") - F.lit(FIXTURE_START_EPOCH)) / 3600) + 1)
         .cast("int").alias("step"),
-        F.when(is_pay, F.concat(F.lit("M"), (e % N_MERCHANT_IDS).cast("string")))
-        .otherwise(F.concat(F.lit("C"), ((e * 7 + 3) % N_CUSTOMER_IDS).cast("string")))
+        F.when(is_pay, F.concat(F.lit("M"), (
+            F.col("_block") * MERCHANTS_PER_BLOCK + e % MERCHANTS_PER_BLOCK).cast("string")))
+        .otherwise(F.concat(F.lit("C"), (
+            F.col("_block") * USERS_PER_BLOCK + (e * 7 + 3) % USERS_PER_BLOCK).cast("string")))
         .alias("nameDest"),
         F.when(e % 4 == 0, F.col("oldbalanceOrg"))
         .otherwise(F.greatest(F.col("oldbalanceOrg") - F.col("amount"), F.lit(0.0)))
