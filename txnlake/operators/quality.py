@@ -61,9 +61,11 @@ def dq_profile(tables: dict[str, DataFrame], database: str = "default",
         json = F.to_json(F.struct(*df.columns))
         shown = df.select(json.alias("j")).orderBy("j").limit(sample).agg(
             F.sort_array(F.collect_list("j")).alias("sample"))
-        one = df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(database).alias("database"), F.lit(name).alias("table"), "row_count")
-        one = one.withColumn("k", F.lit(0)).join(shown.withColumn("k", F.lit(0)), "k").drop("k")
+        one = df.agg(F.count(F.lit(1)).alias("row_count")).unionByName(
+            shown, allowMissingColumns=True).agg(  # two rows, one of each
+            F.max("row_count").alias("row_count"), F.first("sample", ignorenulls=True)
+            .alias("sample")).select(F.lit(database).alias("database"),
+                                     F.lit(name).alias("table"), "row_count", "sample")
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
@@ -91,10 +93,11 @@ def gate(check: DataFrame, what: str, severity: str = "error") -> list[dict]:
 def load_counts_agree(expected: DataFrame, loaded: DataFrame) -> DataFrame:
     """Rows meant to be loaded against rows that are there."""
     n = F.count(F.lit(1))
-    a = expected.agg(n.alias("expected_rows")).withColumn("k", F.lit(0))
-    b = loaded.agg(n.alias("loaded_rows")).withColumn("k", F.lit(0))
-    return a.join(b, "k").select("expected_rows", "loaded_rows",
-                                 (F.col("expected_rows") == F.col("loaded_rows")).alias("passed"))
+    both = expected.agg(n.alias("expected_rows")).unionByName(
+        loaded.agg(n.alias("loaded_rows")), allowMissingColumns=True)
+    return both.agg(F.max("expected_rows").alias("expected_rows"),
+                    F.max("loaded_rows").alias("loaded_rows")).select(
+        "*", (F.col("expected_rows") == F.col("loaded_rows")).alias("passed"))
 
 
 def bad_row_tolerance(text: DataFrame, numeric_cols: dict[str, str],
