@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txnlake.llm.common import ship
+
 INVALID = "invalid"
 
 
@@ -105,6 +107,7 @@ def format_chats(df: DataFrame, template: Template = TURNS, conv_col: str = "con
                  text_col: str = "text") -> DataFrame:
     """One row per turn, each conversation's rows together and in order: conv_id, turn_no
     (from 0), state (of the machine after it), segments (texts) and loss (a flag each)."""
+    ship(df.sparkSession)
     ordered = df.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
         F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"),
@@ -158,6 +161,7 @@ class _Digest:
 
 def read_back(formatted: DataFrame, template: Template = TURNS) -> DataFrame:
     """One row per conversation of format_chats' output, from the formatted text alone."""
+    ship(formatted.sparkSession)
     schema = _schema(formatted.schema["conv_id"].dataType, n_turns=T.LongType(),
                      turns_sha256=T.StringType(), loss_chars=T.LongType(),
                      loss_sha256=T.StringType(), formatted_chars=T.LongType(),

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import txnlake
 from txnlake.session import scratch_path
 
+_shipped: set[str] = set()
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -32,6 +40,29 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package.
+
+    Nothing is done where the cluster's PYTHONPATH has it (or it was submitted as a zip);
+    otherwise Spark's own file server hands the package to each executor, once a context.
+    """
+    root = os.path.dirname(os.path.abspath(txnlake.__file__))
+    home, sc = os.path.dirname(root), spark.sparkContext
+    on_path = map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))
+    if home in on_path or not os.path.isdir(root) or sc.applicationId in _shipped:
+        return
+    held = os.path.realpath(tempfile.mkdtemp(prefix="txnlake-"))
+    atexit.register(shutil.rmtree, held, ignore_errors=True)
+    with zipfile.ZipFile(f"{held}/txnlake.zip", "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, home))
+    sc.addPyFile(f"{held}/txnlake.zip")
+    _shipped.add(sc.applicationId)
+
+
 def lower_ascii(col):
     """A-Z to a-z, every other character as it is."""
     return F.translate(col, ASCII_UPPER, ASCII_UPPER.lower())

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txnlake.llm.common import ship
+
 NUMBER, UNIT, NAME, FIRST = 1, 2, 3, 4  # codes of the placeholders; literals from FIRST on
 # Words taken as units of measure.
 UNITS = frozenset("""
@@ -163,6 +165,7 @@ class Index:
 def indexes(benchmark: DataFrame, id_col: str, text_col: str, window: int, min_words: int,
             coverage: float, max_slice_chars: int) -> Iterator[Index]:
     """The benchmark's index, in slices of a bounded number of characters."""
+    ship(benchmark.sparkSession)
     rows = benchmark.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where(
         "text IS NOT NULL")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txnlake.llm.common import ship
+
 UNDETERMINED = "und"
 SIZES = (3, 4)
 HASHES = 3
@@ -154,6 +156,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
         docs_per_lang: int = 1000, max_langs: int = 256, max_grams: int = 60_000,
         ratio: float = 0.3, log2_slots: int = 19) -> Model:
     """A model of the labelled rows (null texts and labels don't count)."""
+    ship(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         "text IS NOT NULL AND lang IS NOT NULL")
     counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n"))
@@ -198,6 +201,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def predictor(spark, model: Model):
     """text -> struct(lang_pred, score)."""
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)

@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txnlake.llm.common import ship
+
 MARK = "▁"
 CACHE = 300_000
 CACHED_CHARS = 64
@@ -187,6 +189,7 @@ def per_worker(vocabulary: Vocabulary, make):
 def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids and whether the ids decode to the text, for every row."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary(model_path))
     schema = T.StructType([
         T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import stored
+from txnlake.llm.common import ship, stored
 
 PACKED = "dim int, keys binary, ids binary, data binary"
 EXACT = float(1 << 53)
@@ -105,6 +105,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
           vec_col: str = "embedding", block_rows: int = 1024, shard_rows: int = 2048,
           shards_per_group: int = 16, fan: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best candidates."""
+    ship(df.sparkSession)
     rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()
                     & F.forall(vec_col, _finite)).withColumn("_query", is_query).select(
         F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),

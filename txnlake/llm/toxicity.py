@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import sample_share, stored
+from txnlake.llm.common import sample_share, ship, stored
 
 EDGES = "\"'`()[]{}<>.,;:!?*#&%$_~|«»„“”’…-=+/\\"
 
@@ -135,6 +135,7 @@ class Chain:
 def fit(df: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id",
         text_col: str = "text", max_rows: int = 8000, max_words: int = 1500, min_docs: int = 5,
         least_strength: float = 5.0, folds: int = 3) -> Chain:
+    ship(df.sparkSession)
     names = list(categories)
     wanted = labels.select(id_col, *(F.expr(c).cast("int").alias(f"y{i}")
                                      for i, c in enumerate(categories.values()))).dropna()
@@ -195,6 +196,7 @@ def fit(df: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: st
 def classify(df: DataFrame, chain: Chain, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """id, p_<category> and <category> (at its threshold) of every row."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(chain)
     names = chain.names
     kinds = ", ".join([f"p_{n} double" for n in names] + [f"{n} boolean" for n in names])
