@@ -24,7 +24,8 @@ through one exchange of the rows on (key, bucket):
 2. RANGE frames: a range window inside the bucket for whole keys.  For hot keys they
    are computed on per-(key, second) totals (the frames exclude the whole current
    second, so all rows of a second share them), partitioned by (key, 24 h bucket) with
-   the previous bucket as context; each row reads them from a *marker* row (one per
+   the previous bucket as context, as running sums of what comes into and goes out of
+   the frame; each row reads them from a *marker* row (one per
    key-second) sorted just before its second -- no join and no copies of the raw rows.
 Amounts are summed as DECIMAL, which has one result in any order, so how a key is
 bucketed cannot be seen in the values.  Rows without a time form one bucket that sorts
@@ -105,21 +106,37 @@ def key_window_features(df: DataFrame, key: str, prefix: str, *,
         .withColumn("_b", bucket_of(F.lit(True), F.col("_ts"), bucket_seconds))
 
     # Hot keys: RANGE frames on per-(key, second) totals; a task holds at most 2 x span
-    # seconds of one key, however many rows they aggregate.
+    # seconds of one key, however many rows they aggregate.  A frame's content is a running
+    # sum: a second comes in behind itself and goes out when it has left the frame, so the
+    # work is one sort, not one pass over the frame for each second.
+    amount = F.col("amount").cast(EXACT)
     sec = narrow.groupBy("_k", "_ts", "_b").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col("amount").cast(EXACT)).alias("_sa"))
+        F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_sa"), F.count(amount).alias("_na"))
     copies = F.when(F.col("_ts").isNull(), F.array(F.lit(0))).otherwise(
         F.array(F.lit(0), F.lit(1)))
     sec = sec.select("*", F.explode(copies).alias("_ctx")) \
              .withColumn("_sb", F.floor(F.col("_ts") / F.lit(span)) + F.col("_ctx"))
-    w_sec = Window.partitionBy("_k", "_sb").orderBy("_ts")
+    moves = [F.struct(F.col("_ts").alias("at"), F.lit("").alias("out"))]
+    moves += [F.struct((F.col("_ts") + secs + 1).alias("at"), F.lit(label).alias("out"))
+              for label, secs in ranges.items()]
+    events = sec.select("*", F.explode(F.array(*moves)).alias("_e"))
+    comes = F.col("_e.out") == ""
+    order = Window.partitionBy("_k", "_sb").orderBy("_e.at", comes.cast("int"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     rng_fields = []
-    for label, secs in ranges.items():
-        frame = w_sec.rangeBetween(-secs, -1)
-        rng_fields += [F.coalesce(F.sum("_n").over(frame), F.lit(0)).alias(f"c{label}"),
-                       F.sum("_sa").over(frame).cast("double").alias(f"s{label}")]
-    marks = sec.select("_k", "_ts", "_b", "_ctx", F.struct(*rng_fields).alias("_rng")) \
-               .filter(F.col("_ctx") == 0).drop("_ctx")
+    for label in ranges:
+        def held(c: str, label: str = label) -> Column:
+            goes = F.col("_e.out") == label
+            return F.coalesce(F.sum(F.when(comes, F.col(c)).when(goes, -F.col(c))).over(before),
+                              F.lit(0))
+        # rows without a time are each other's peers: their frame is all of them
+        peers = F.col("_ts").isNull()
+        rng_fields += [F.when(peers, F.col("_n")).otherwise(held("_n")).alias(f"c{label}"),
+                       F.when(peers, F.col("_sa")).when(held("_na") > 0, held("_sa"))
+                       .cast("double").alias(f"s{label}")]
+    marks = events.select("_k", "_ts", "_b", "_ctx", comes.alias("_in"),
+                          F.struct(*rng_fields).alias("_rng")) \
+        .filter((F.col("_ctx") == 0) & F.col("_in")).drop("_ctx", "_in")
 
     # All rows (and the markers), partitioned by (key, bucket), each second's marker first.
     rows = df.withColumn("_k", k).join(hot.withColumn("_hot", F.lit(True)), "_k", "left")
@@ -133,12 +150,12 @@ def key_window_features(df: DataFrame, key: str, prefix: str, *,
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     wts = Window.partitionBy("_k", "_b").orderBy("_ts")
     real = F.col("_m") == 0
-    amount = F.when(real, F.col("amount"))
+    local_amount = F.when(real, F.col("amount"))
     local = {
         "_r": F.last(F.when(~real, F.col("_rng")), ignorenulls=True).over(upto),
         "_ln": F.count(F.when(real, F.lit(1))).over(past),
-        "_ls": _exact_sum(amount, past),
-        "_lsn": F.count(amount).over(past),
+        "_ls": _exact_sum(local_amount, past),
+        "_lsn": F.count(local_amount).over(past),
         "_lf": F.sum(F.when(real, F.col("isFraud"))).over(past),
         "_pred": F.last(F.when(real, F.struct(F.col("transaction_time").alias("t"),
                                               F.col("amount").alias("a"))),
@@ -147,7 +164,7 @@ def key_window_features(df: DataFrame, key: str, prefix: str, *,
     for label, secs in ranges.items():
         frame = wts.rangeBetween(-secs, -1)
         local[f"_c{label}"] = F.count(F.when(real, F.lit(1))).over(frame)
-        local[f"_s{label}"] = _exact_sum(amount, frame).cast("double")
+        local[f"_s{label}"] = _exact_sum(local_amount, frame).cast("double")
     u = u.withColumns(local).filter(real)
 
     # Hot keys: per-bucket totals -> offsets of all earlier buckets.  Only the previous
@@ -157,9 +174,9 @@ def key_window_features(df: DataFrame, key: str, prefix: str, *,
     last = F.struct("_ts", "transaction_time", "_tb", F.col("amount").alias("a"))
     aggs.append(F.max(last).alias("_last"))
     wb = Window.partitionBy("_k").orderBy("_b")
-    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = wb.rowsBetween(Window.unboundedPreceding, -1)
     offsets = narrow.groupBy("_k", "_b").agg(*aggs).select(
-        "_k", "_b", *[F.sum(c).over(before).alias(f"_o{c}") for c in ("_n", "_s", "_sn", "_f")],
+        "_k", "_b", *[F.sum(c).over(earlier).alias(f"_o{c}") for c in ("_n", "_s", "_sn", "_f")],
         F.lag("_last.transaction_time").over(wb).alias("_olt"),
         F.lag("_last.a").over(wb).alias("_ola"))
 
