@@ -85,3 +85,12 @@ def test_odd_rows(spark, slice_chars):
     kept = decontam.without_leaks(df, bench, max_slice_chars=slice_chars)
     assert kept.columns == df.columns and kept.count() == n + 1
     assert leaks(df.limit(0), bench) == [] and leaks(df, bench.limit(0)) == []
+
+
+def test_case_and_sentence_openings(spark):
+    """Copies in upper, lower and title case, and after words that end no sentence."""
+    short = "Anna weighs three apples on Monday in Paris"
+    bench = spark.createDataFrame([(1, QUESTION), (2, short)], ITEM)
+    df = docs(spark, [f(t) for t in (QUESTION, short) for f in (str.upper, str.lower, str.title)]
+              + ["Heading\n" + short, "He said (" + short + ")"])
+    assert leaks(df, bench) == [(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 2), (7, 2)]

@@ -5,14 +5,19 @@ template: numbers, units and names (capitalised inside a sentence) are replaced
 placeholders.  Windows of ``window`` template words of the benchmark are hashed; a
 document's windows meet them in a hash join (the benchmark side broadcast, in slices of
 ``max_slice_chars``, so its size is bounded and no item is left out).  A match keeps its
-place in the item; per item and alignment the placeholders must be consistent: one
+place in the item; per item the placeholders must be consistent: one
 benchmark number, unit or name stands for one of the document throughout, and the other
 way round.  An item counts as found if ``coverage`` of its windows match so, on any one
 alignment; ``reparameterised`` tells that some slot differs.
 
+Each text is read in four ways (``READINGS``): with all placeholders; with every capitalised
+word a name, also where a sentence opens; with numbers only, whatever the case; and word for
+word, whatever the case.  A window may match in any of them.
+
 Defined cases: null texts hold nothing; items shorter than the window are matched whole,
 those under ``min_words`` words never; a window with fewer than half its words literal is
-too general and counts on neither side; repeated items are found each by itself; null ids
+too general as a template and is matched word for word only (coverage is the larger of that
+of the windows matched in any way, and of those matched as templates); repeated items are found each by itself; null ids
 are carried; texts are read whole.
 """
 
@@ -44,6 +49,8 @@ EDGES = "\"'`()[]{}<>.,;:!?*#&_~|«»„“”’…-"
 CACHE = 300_000
 ENDS, CAPITAL = 1, 2
 PIECE_WORDS = 200_000
+#: Names inside sentences; all capitalised words; numbers alone; nothing but the words.
+TYPED, CAPITALS, PLAIN, EXACT = READINGS = range(4)
 
 
 class Index:
@@ -54,6 +61,7 @@ class Index:
         self.window, self.coverage = window, coverage
         self.words: dict[str, int] = {}
         self.keys, self.codes, self.values = [], [], []
+        self.literal: list[set[int]] = []  # places of windows that are not too general
         for key, text in items:
             raw = text.split()
             for w in raw:
@@ -62,52 +70,54 @@ class Index:
             self.values.append([w.strip(EDGES).lower() for w in raw])
         self.cache: dict[str, int] = {}
         places = defaultdict(list)
-        self.sizes: list[int] = []  # windows that count, by item
+        self.sizes: list[int] = []  # windows, by item
         for n, (_, text) in enumerate(items):
-            codes = self.template(text.split())
-            self.codes.append(codes)
-            size = min(window, len(codes))
-            good = 0
-            if len(codes) >= min_words:
-                for at, h in enumerate(self.hashes(codes, size)):
-                    if 2 * int((codes[at:at + size] >= FIRST).sum()) >= size:
-                        places[size, int(h)].append((n, at))
-                        good += 1
-            self.sizes.append(good)
+            readings = self.readings(text.split())
+            self.codes.append(readings)
+            size = min(window, len(readings[0]))
+            count, literal = 0, set()
+            if len(readings[0]) >= min_words:
+                for r, codes in enumerate(readings):
+                    for at, h in enumerate(self.hashes(codes, size)):
+                        if 2 * int((codes[at:at + size] >= FIRST).sum()) >= size:
+                            places[size, r, int(h)].append((n, at))
+                            if r == TYPED:
+                                literal.add(at)
+                count = len(readings[0]) - size + 1
+            self.sizes.append(count)
+            self.literal.append(literal)
         self.tables = {}
-        for size in {s for s, _ in places}:
-            known = {h: at for (s, h), at in places.items() if s == size}
+        for size, r in {k[:2] for k in places}:
+            known = {h: at for (s, q, h), at in places.items() if (s, q) == (size, r)}
             bits = np.zeros(1 << 20, bool)
             bits[np.fromiter(known, np.uint64) & np.uint64(len(bits) - 1)] = True
-            self.tables[size] = known, bits
+            self.tables[size, r] = known, bits
         self.cache = {}
 
     def _word(self, raw: str) -> int:
-        """Code << 2 with ENDS and CAPITAL; kept, as words repeat."""
+        """Code << 5 | type << 2 with ENDS and CAPITAL; kept, as words repeat."""
         bare = raw.strip(EDGES)
         low = bare.lower()
-        if NUMERIC.fullmatch(bare):
-            code = NUMBER
-        elif low in UNITS:
-            code = UNIT
-        else:
-            code = self.words.get(low, 0)
-        got = code << 2 | ENDS * (raw[-1] in ".!?:") | CAPITAL * (bare[:1].isupper())
+        kind = NUMBER if NUMERIC.fullmatch(bare) else UNIT if low in UNITS else 0
+        got = (self.words.get(low, 0) << 5 | kind << 2 | ENDS * (raw[-1] in ".!?:")
+               | CAPITAL * (bare[:1].isupper()))
         if len(self.cache) >= CACHE:
             self.cache.clear()
         self.cache[raw] = got
         return got
 
-    def template(self, raw: list[str], opens: bool = True) -> np.ndarray:
-        """Codes of words; ``opens``: the first of them begins a sentence."""
+    def readings(self, raw: list[str]) -> list[np.ndarray]:
+        """Codes of words, by reading; the first of them begins a sentence."""
         get, slow = self.cache.get, self._word
         got = np.fromiter((v if (v := get(w)) is not None else slow(w) for w in raw), np.int64,
                           len(raw))
-        begins = np.empty(len(raw), bool)
-        begins[:1], begins[1:] = opens, got[:-1] & ENDS
-        codes = got >> 2
-        codes[(got & CAPITAL > 0) & ~begins & ((codes >= FIRST) | (codes == 0))] = NAME
-        return codes
+        begins = np.ones(len(raw), bool)
+        begins[1:] = got[:-1] & ENDS
+        exact, kind, capital = got >> 5, got >> 2 & 7, (got & CAPITAL) > 0
+        typed = np.where(kind > 0, kind, exact)
+        capital &= kind == 0
+        return [np.where(capital & ~begins, NAME, typed), np.where(capital, NAME, typed),
+                np.where(kind == NUMBER, NUMBER, exact), exact]
 
     @staticmethod
     def hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -123,34 +133,37 @@ class Index:
     def find(self, text: str | None) -> list[tuple[object, int, float, bool]]:
         """(item key, matched windows, coverage, reparameterised) of the items in a text."""
         raw = (text or "").split()
-        codes = self.template(raw)
-        aligned: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for size, (known, bits) in self.tables.items():
+        readings = self.readings(raw)
+        aligned: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for (size, r), (known, bits) in self.tables.items():
+            codes = readings[r]
             h = self.hashes(codes, size)
             for at in np.flatnonzero(bits[h & np.uint64(len(bits) - 1)]):
                 for n, place in known.get(int(h[at]), ()):
-                    if len(self.codes[n]) >= size == min(self.window, len(self.codes[n])) \
-                            and (codes[at:at + size] == self.codes[n][place:place + size]).all():
-                        aligned[n, int(at) - place].append(place)
-        best: dict[int, tuple[int, bool]] = {}
-        for (n, shift), places in aligned.items():
-            if len(places) < self.coverage * self.sizes[n]:
-                continue
-            got = self._consistent(n, shift, places, raw)
-            best[n] = max(best.get(n, (0, False)), got, key=lambda x: x[0])
-        return [(self.keys[n], count, count / self.sizes[n], differs)
-                for n, (count, differs) in sorted(best.items())
-                if count and count >= self.coverage * self.sizes[n]]
-
-    def _consistent(self, n: int, shift: int, places: list[int], raw: list[str]) -> tuple[int, bool]:
-        """Matched windows whose slots agree with the alignment's earlier ones; whether one of
-        their slots has another value than the item's."""
-        codes, values = self.codes[n], self.values[n]
+                    if (codes[at:at + size] == self.codes[n][r][place:place + size]).all():
+                        aligned[n, int(at) - place].append((place, -r))
+        best: dict[int, tuple[float, int, bool]] = {}
+        for (n, shift), matches in aligned.items():
+            got = self._judged(n, [(place, r, shift) for place, r in matches], raw)
+            best[n] = max(best.get(n, (0.0, 0, False)), got, key=lambda x: x[:2])
+        return [(self.keys[n], count, share, differs)
+                for n, (share, count, differs) in sorted(best.items())
+                if count and share >= self.coverage]
+
+    def _judged(self, n: int, matches: list[tuple[int, int, int]],
+                raw: list[str]) -> tuple[float, int, bool]:
+        """Coverage and number of matched windows whose slots agree with the earlier ones;
+        whether one of their slots has another value than the item's.  Matches are (place,
+        minus the reading, shift); of a place the most literal one that agrees counts."""
+        values = self.values[n]
         there: dict[tuple[int, str], str] = {}
         back: dict[tuple[int, str], str] = {}
-        count, differs = 0, False
-        size = min(self.window, len(codes))
-        for place in sorted(set(places)):
+        held: set[int] = set()
+        differs, size = False, min(self.window, len(values))
+        for place, r, shift in sorted(set(matches)):
+            if place in held:
+                continue
+            codes = np.minimum(self.codes[n][TYPED], self.codes[n][-r])
             slots = [(int(codes[i]), values[i], raw[i + shift].strip(EDGES).lower())
                      for i in range(place, place + size) if codes[i] < FIRST]
             if any(there.get((k, a), b) != b or back.get((k, b), a) != a for k, a, b in slots):
@@ -158,8 +171,10 @@ class Index:
             for k, a, b in slots:
                 there[k, a], back[k, b] = b, a
                 differs |= a != b
-            count += 1
-        return count, differs
+            held.add(place)
+        share = max(len(held) / self.sizes[n],
+                    len(held & self.literal[n]) / max(1, len(self.literal[n])))
+        return share, len(held), differs
 
 
 def indexes(benchmark: DataFrame, id_col: str, text_col: str, window: int, min_words: int,
