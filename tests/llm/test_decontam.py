@@ -94,3 +94,18 @@ def test_case_and_sentence_openings(spark):
     df = docs(spark, [f(t) for t in (QUESTION, short) for f in (str.upper, str.lower, str.title)]
               + ["Heading\n" + short, "He said (" + short + ")"])
     assert leaks(df, bench) == [(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 2), (7, 2)]
+
+
+def test_edited_copies_and_quotations(spark):
+    """A word put in or left out in the middle; 20 words quoted from a long item."""
+    items = [" ".join(invented(1, seed=60 + n, least=n, most=n)) for n in (18, 30, 60, 100)]
+    bench = spark.createDataFrame(list(enumerate(items)), ITEM)
+    texts, want = [], []
+    for n, item in enumerate(items):
+        w = item.split()
+        half = len(w) // 2
+        texts += [" ".join(w[:half] + ["extra"] + w[half:]), " ".join(w[:half] + w[half + 1:])]
+        want += [(2 * n, n), (2 * n + 1, n)]
+    long = items[3].split()
+    texts += ["He wrote " + " ".join(long[40:60]) + " once", " ".join(long[40:59])]
+    assert leaks(docs(spark, texts), bench) == want + [(8, 3)]

@@ -7,8 +7,11 @@ document's windows meet them in a hash join (the benchmark side broadcast, in sl
 ``max_slice_chars``, so its size is bounded and no item is left out).  A match keeps its
 place in the item; per item the placeholders must be consistent: one
 benchmark number, unit or name stands for one of the document throughout, and the other
-way round.  An item counts as found if ``coverage`` of its windows match so, on any one
-alignment; ``reparameterised`` tells that some slot differs.
+way round.  An item counts as found if ``coverage`` of its windows match so, counted over
+all alignments that are at most half an item apart (words put in or left out only shift what
+follows); or if ``RUN_WORDS`` words in a row match on one alignment, however long the item; or if
+``WORD_SHARE`` of its words lie in matched windows (an edit costs a short item most of its
+windows).  ``reparameterised`` tells that some slot differs.
 
 Each text is read in four ways (``READINGS``): with all placeholders; with every capitalised
 word a name, also where a sentence opens; with numbers only, whatever the case; and word for
@@ -49,6 +52,7 @@ EDGES = "\"'`()[]{}<>.,;:!?*#&_~|«»„“”’…-"
 CACHE = 300_000
 ENDS, CAPITAL = 1, 2
 PIECE_WORDS = 200_000
+RUN_WORDS, WORD_SHARE = 20, 0.75
 #: Names inside sentences; all capitalised words; numbers alone; nothing but the words.
 TYPED, CAPITALS, PLAIN, EXACT = READINGS = range(4)
 
@@ -134,47 +138,64 @@ class Index:
         """(item key, matched windows, coverage, reparameterised) of the items in a text."""
         raw = (text or "").split()
         readings = self.readings(raw)
-        aligned: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        met: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for (size, r), (known, bits) in self.tables.items():
             codes = readings[r]
             h = self.hashes(codes, size)
             for at in np.flatnonzero(bits[h & np.uint64(len(bits) - 1)]):
                 for n, place in known.get(int(h[at]), ()):
                     if (codes[at:at + size] == self.codes[n][r][place:place + size]).all():
-                        aligned[n, int(at) - place].append((place, -r))
-        best: dict[int, tuple[float, int, bool]] = {}
-        for (n, shift), matches in aligned.items():
-            got = self._judged(n, [(place, r, shift) for place, r in matches], raw)
-            best[n] = max(best.get(n, (0.0, 0, False)), got, key=lambda x: x[:2])
-        return [(self.keys[n], count, share, differs)
-                for n, (share, count, differs) in sorted(best.items())
-                if count and share >= self.coverage]
+                        met[n].append((int(at) - place, place, -r))
+        out = []
+        for n, matches in sorted(met.items()):
+            matches.sort()
+            far = max(1, len(self.values[n]) // 2)
+            best, first = (False, 0.0, 0, False), 0
+            for i in range(1, len(matches) + 1):
+                if i == len(matches) or matches[i][0] - matches[i - 1][0] > far:
+                    best = max(best, self._judged(n, matches[first:i], raw), key=lambda x: x[:3])
+                    first = i
+            found, share, count, differs = best
+            if found:
+                out.append((self.keys[n], count, share, differs))
+        return out
 
     def _judged(self, n: int, matches: list[tuple[int, int, int]],
-                raw: list[str]) -> tuple[float, int, bool]:
-        """Coverage and number of matched windows whose slots agree with the earlier ones;
-        whether one of their slots has another value than the item's.  Matches are (place,
-        minus the reading, shift); of a place the most literal one that agrees counts."""
+                raw: list[str]) -> tuple[bool, float, int, bool]:
+        """Whether an item counts as found; coverage and number of matched windows whose slots
+        agree with the others'; whether one of their slots has another value than the item's.
+        Matches are (shift, place, minus the reading); alignments of more windows come first,
+        and of a place the most literal reading that agrees counts."""
         values = self.values[n]
         there: dict[tuple[int, str], str] = {}
         back: dict[tuple[int, str], str] = {}
         held: set[int] = set()
-        differs, size = False, min(self.window, len(values))
-        for place, r, shift in sorted(set(matches)):
-            if place in held:
-                continue
-            codes = np.minimum(self.codes[n][TYPED], self.codes[n][-r])
-            slots = [(int(codes[i]), values[i], raw[i + shift].strip(EDGES).lower())
-                     for i in range(place, place + size) if codes[i] < FIRST]
-            if any(there.get((k, a), b) != b or back.get((k, b), a) != a for k, a, b in slots):
-                continue
-            for k, a, b in slots:
-                there[k, a], back[k, b] = b, a
-                differs |= a != b
-            held.add(place)
+        differs, size, longest = False, min(self.window, len(values)), 0
+        shifts: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for shift, place, r in matches:
+            shifts[shift].append((place, r))
+        for shift, places in sorted(shifts.items(), key=lambda x: (-len({p for p, _ in x[1]}), x[0])):
+            run, last, done = 0, -2, -1
+            for place, r in sorted(places):
+                if place == done:
+                    continue
+                codes = np.minimum(self.codes[n][TYPED], self.codes[n][-r])
+                slots = [(int(codes[i]), values[i], raw[i + shift].strip(EDGES).lower())
+                         for i in range(place, place + size) if codes[i] < FIRST]
+                if any(there.get((k, a), b) != b or back.get((k, b), a) != a for k, a, b in slots):
+                    continue
+                for k, a, b in slots:
+                    there[k, a], back[k, b] = b, a
+                    differs |= a != b
+                held.add(place)
+                run, last, done = run + 1 if place == last + 1 else 1, place, place
+                longest = max(longest, run)
         share = max(len(held) / self.sizes[n],
                     len(held & self.literal[n]) / max(1, len(self.literal[n])))
-        return share, len(held), differs
+        words = len({i for p in held for i in range(p, p + size)})
+        found = bool(held) and (share >= self.coverage or longest + size - 1 >= RUN_WORDS
+                                or words >= WORD_SHARE * len(values))
+        return found, share, len(held), differs
 
 
 def indexes(benchmark: DataFrame, id_col: str, text_col: str, window: int, min_words: int,
