@@ -109,3 +109,13 @@ def test_edited_copies_and_quotations(spark):
     long = items[3].split()
     texts += ["He wrote " + " ".join(long[40:60]) + " once", " ".join(long[40:59])]
     assert leaks(docs(spark, texts), bench) == want + [(8, 3)]
+
+
+def test_items_of_numbers_and_names(spark):
+    """Items too general as templates are found word for word, and only so."""
+    items = ["1 2 4 8 16 32 64 128", "12 km 7 miles 30 feet 5 yards 9 inches 3 m",
+             "Choose Anna Otto Maria Paul Eva Karl Nina Hugo"]
+    bench = spark.createDataFrame(list(enumerate(items)), ITEM)
+    texts = [f"See {t} here" for t in items] + ["see 1 2 4 8 16 32 64 129 here",
+                                                "13 mg 8 kg 31 g 6 volts 10 watts 4 s"]
+    assert leaks(docs(spark, texts), bench) == [(0, 0), (1, 1), (2, 2)]
