@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from txnlake.llm import langid
@@ -75,3 +77,26 @@ def test_filter_stage_keeps_clean_documents(spark):
     assert kept.columns == df.columns
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert not ids & {10_000, 10_001, 10_002} and len(ids) >= 0.99 * df.count()
+
+
+@pytest.mark.parametrize("n", [2, 4, 20])
+def test_filter_stage_at_any_number_of_languages(spark, n):
+    """Related languages (half of all words are common to them); letters at random go."""
+    r = random.Random(n)
+
+    def words(k):
+        return ["".join(r.choices("abcdefghijklmno", k=r.randint(3, 7))) for _ in range(k)]
+
+    common, own = words(60), [words(60) for _ in range(n)]
+    df = docs(spark, [])
+    for i in range(n):
+        df = df.unionByName(docs(spark, [" ".join(r.choices(common + own[i], k=80))
+                                         for _ in range(30)], first=100 * i, lang=f"l{i}"))
+    noise = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz     ", k=400)) for _ in range(20)]
+    both = df.unionByName(docs(spark, noise, first=10_000, lang=None))
+    ids = {x.doc_id for x in langid.keep_identified(both.coalesce(4)).select("doc_id").collect()}
+    assert not any(i >= 10_000 for i in ids) and len(ids) >= 0.99 * 30 * n
+
+
+def test_filter_stage_without_labels(spark):
+    assert langid.keep_identified(docs(spark, ["some words", "other words"], lang=None)).count() == 2

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import ship
+from txnlake.llm.common import sample_share, ship
 
 UNDETERMINED = "und"
 SIZES = (3, 4)
@@ -129,6 +129,10 @@ class Model:
         return np.unpackbits(rows, axis=1, bitorder="little")[:, :len(self.langs)]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [(lang, score) for lang, score, _ in self.measure(texts)]
+
+    def measure(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Language, score, and the language's own share, which other languages don't change."""
         hits = np.zeros((len(texts), max(1, len(self.langs))))
         total, letters = np.zeros(len(texts)), np.zeros(len(texts), bool)
         if self.langs:
@@ -144,7 +148,8 @@ class Model:
             share = np.clip((share - self.false_positive) / (1 - self.false_positive), 0, None)
         best = share.argmax(1)
         top, all_ = share.max(1), share.sum(1)
-        return [(self.langs[b], float(t / s) if s > 0 else 0.0) if ok else (UNDETERMINED, 0.0)
+        return [(self.langs[b], float(t / s) if s > 0 else 0.0, float(t)) if ok
+                else (UNDETERMINED, 0.0, 0.0)
                 for b, t, s, ok in zip(best, top, all_, letters)]
 
 
@@ -223,10 +228,32 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    lang_col: str = "lang", min_score: float = 0.26, **fitting) -> DataFrame:
-    """The rows whose language is determined with at least ``min_score``, columns as given."""
+                    lang_col: str = "lang", least: float = 0.5, max_docs: int = 20_000,
+                    **fitting) -> DataFrame:
+    """The rows whose language is determined, columns as given: the share of that language is
+    at least ``least`` times the first percentile of the shares of (a sample of about
+    ``max_docs``) rows labelled so and found so.  All rows, if no row is labelled; those found
+    to be of a language for which the sample has no such row."""
     ids = F.col(id_col)
     model = fit(df.where(ids.isNotNull() & ~held_out(ids)), text_col, lang_col, **fitting)
-    told = predictor(df.sparkSession, model)(F.col(text_col))
-    sure = (told["lang_pred"] != UNDETERMINED) & (told["score"] >= min_score)
-    return df.where(sure)
+    if not model.langs:
+        return df
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, share double")
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([(lang, share) for lang, _, share in shared.value.measure(
+                list(texts))], columns=["lang_pred", "share"])
+
+    labelled = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
+        "text IS NOT NULL AND lang IS NOT NULL")
+    bounds = (sample_share(labelled, max_docs, "text").select("lang", measured("text").alias("r"))
+              .where("lang = r.lang_pred").groupBy("lang")
+              .agg(F.expr("percentile(r.share, 0.01)").alias("p")).collect())
+    told = measured(F.col(text_col))
+    bound = F.lit(0.0)
+    if bounds:
+        bound = F.coalesce(F.element_at(F.create_map(*(
+            F.lit(x) for r in bounds for x in (r.lang, least * r.p))), told["lang_pred"]), bound)
+    return df.where((told["lang_pred"] != UNDETERMINED) & (told["share"] >= bound))
