@@ -37,6 +37,7 @@ UNDETERMINED = "und"
 SIZES = (3, 4)
 HASHES = 3
 PIECE = 500_000
+BLOCK = 100_000  # characters of whole short texts read at a time
 RESULT = "lang_pred string, score double"
 
 
@@ -87,14 +88,14 @@ def grams(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(texts: Iterable[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Rows and text pieces, about PIECE characters at a time."""
+    """Rows and text pieces, about BLOCK characters (or one piece) at a time."""
     rows, held, size = [], [], 0
     for i, text in enumerate(texts):
         for piece in _pieces(text) if isinstance(text, str) else ():
             rows.append(i)
             held.append(piece)
             size += len(piece)
-            if size >= PIECE:
+            if size >= BLOCK:
                 yield rows, held
                 rows, held, size = [], [], 0
     if rows:
