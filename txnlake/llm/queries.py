@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from txnlake.llm import (
     chat,
+    collocations,
     decontam,
     langid,
     pieces,
+    quality,
     secret_scan,
     simhash,
+    spelling,
     token_counts,
     topk,
     toxicity,
@@ -85,12 +88,103 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_language_id,
                                   op4_chat_format, op5_exact_topk, op6_secret_scan,
                                   op7_toxicity_chain, op8_decontamination, op9_token_counts,
-                                  op10_simhash_dedup)}
+                                  op10_simhash_dedup, op11_quality,
+                                  op12_spelling_variants, op13_collocations)}
+
+#: crc32 over the bits of the bytes; single characters for the letters beyond ASCII, so that the
+#: edit distance, which counts bytes, counts letters.
+_LATIN = "".join(map(chr, range(0xC0, 0x100)))
+_ASCII = "".join(map(chr, [*range(0x21, 0x5B), *range(0x5B, 0x61)]))[:64].replace("'", "\x7f")
 
 ORACLES = {
+    "op12_spelling_variants": f"""
+WITH RECURSIVE r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d,
+         translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM documents),
+c AS (SELECT d, w, count(*) AS n FROM r WHERE length(w) >= 6 GROUP BY d, w),
+b AS (
+  SELECT *, flatten(list_transform(string_split(d || ':' || w, ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [unicode(x), 0, 0, 0, 0, 0, 0, 0]
+    ELSE [195, 0, 0, 0, 0, 0, 0, 0, unicode(x) - 64, 0, 0, 0, 0, 0, 0, 0] END)) AS bits FROM c),
+h AS (
+  SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(bits, lambda x: x::BIGINT)),
+    lambda a, e: xor(xor(a, e) >> 1, (xor(a, e) & 1) * 3988292384))) AS h FROM b),
+v AS (
+  SELECT word, sum(n)::BIGINT AS n, translate(word, '{_LATIN}', '{_ASCII}') AS one FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::BIGINT)
+           || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+p AS (
+  SELECT a.word, b.word AS other, b.n AS m
+  FROM v a JOIN v b ON length(b.word) = length(a.word) AND levenshtein(a.one, b.one) = 1
+  UNION ALL SELECT a.word, b.word, b.n
+  FROM v a JOIN v b ON length(b.word) = length(a.word) + 1 AND levenshtein(a.one, b.one) = 1
+  UNION ALL SELECT a.word, b.word, b.n
+  FROM v a JOIN v b ON length(b.word) = length(a.word) - 1 AND levenshtein(a.one, b.one) = 1),
+g AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM p GROUP BY word),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form,
+         CASE WHEN m >= 5 * v.n THEN m END AS form_n
+  FROM v LEFT JOIN g USING (word)),
+s(word, cur, step) AS (
+  SELECT word, word, 0 FROM f
+  UNION ALL SELECT s.word, f.form, step + 1 FROM s JOIN f ON f.word = s.cur WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n
+FROM f JOIN (SELECT word, arg_max(cur, step) AS root FROM s GROUP BY word) USING (word)
+""",
+    "op13_collocations": r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+w AS (SELECT lang, regexp_extract_all(t, '[^ \t]+') AS w FROM p),
+f1 AS (SELECT lang, x AS w1, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+f2 AS (
+  SELECT lang, x.a AS w1, x.b AS w2, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: {a: w[i], b: w[i + 1]})) AS x
+    FROM w) GROUP BY ALL HAVING f >= 10),
+f3 AS (
+  SELECT lang, x.a AS w1, x.b AS w2, x.c AS w3, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: {a: w[i], b: w[i + 1], c: w[i + 2]})) AS x
+    FROM w) GROUP BY ALL HAVING f >= 10),
+c AS (
+  SELECT lang, w1 || ' ' || w2 AS phrase, c.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM f2 c JOIN f1 l USING (lang, w1) JOIN f1 r ON r.lang = c.lang AND r.w1 = c.w2
+  WHERE NOT EXISTS (SELECT 1 FROM f3 x WHERE x.lang = c.lang AND 100 * x.f >= 50 * c.f
+    AND x.w1 = c.w1 AND x.w2 = c.w2)
+    AND NOT EXISTS (SELECT 1 FROM f3 x WHERE x.lang = c.lang AND 100 * x.f >= 50 * c.f
+    AND x.w2 = c.w1 AND x.w3 = c.w2)
+  UNION ALL
+  SELECT lang, w1 || ' ' || c.w2 || ' ' || w3, c.f, 1, l.f, r.f
+  FROM f3 c JOIN f1 l USING (lang, w1) JOIN f2 r ON r.lang = c.lang AND r.w1 = c.w2 AND r.w2 = c.w3
+  UNION ALL
+  SELECT lang, w1 || ' ' || w2 || ' ' || c.w3, c.f, 2, l.f, r.f
+  FROM f3 c JOIN f2 l USING (lang, w1, w2) JOIN f1 r ON r.lang = c.lang AND r.w1 = c.w3),
+s AS (
+  SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM c
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER q AS rank, phrase, a, l, r, n, score FROM s JOIN t USING (lang)
+WINDOW q AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER q <= 2000
+""",
     "op4_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
