@@ -12,57 +12,52 @@ Semantics (per key, over the rows of the read window):
 Rows are ordered by (ts_seconds, transaction_time, tie-break id); ts_seconds is
 monotone in transaction_time, so one sort serves both the ROWS and RANGE frames.
 
-One plan, whatever the size.  A plain `Window.partitionBy(key)` puts all of a key's
-history in one task; a hot merchant holding a third of 100 TB would never finish.  So
-keys with more than `max_key_rows` rows (counted in the same plan, never on the
-driver) are split into time buckets, all other keys are one bucket each, and both go
-through one exchange of the rows on (key, bucket):
-1. ROWS frames / lag: running values inside the bucket, plus, for hot keys, offsets of
-   all earlier buckets from a small aggregate (rows = hot keys x buckets, windowed per
-   key) -- a two-level prefix sum; `lag` falls back to the previous non-empty bucket's
-   last row.
-2. RANGE frames: a range window inside the bucket for whole keys.  For hot keys they
-   are computed on per-(key, second) totals (the frames exclude the whole current
-   second, so all rows of a second share them), partitioned by (key, 24 h bucket) with
-   the previous bucket as context, as running sums of what comes into and goes out of
-   the frame; each row reads them from a *marker* row (one per
-   key-second) sorted just before its second -- no join and no copies of the raw rows.
-Amounts are summed as DECIMAL, which has one result in any order, so how a key is
-bucketed cannot be seen in the values.  Rows without a time form one bucket that sorts
+Every frame is a difference of running sums, for every key and size.  A row is an event that
+comes in at its second, and leaves each range frame `length` seconds later; the sums of what has
+come in less what has gone out, over the events of earlier seconds, are the frame's content.  So
+one sort by (key, second) and one pass do; no frame slides over its rows again, and a key with
+all its rows in one day costs n log n like any other.
+
+Hot keys.  A plain window puts all of a key's history in one task; a hot merchant holding a third
+of 100 TB would never finish.  Keys with more than `max_key_rows` rows are therefore split into
+time buckets.  Which ones is counted first (map-side combined); where there are none, nothing more is
+planned.  Otherwise events go through the same one exchange on (key,
+bucket), and the totals of all earlier buckets, from an aggregate of hot keys x buckets windowed
+per key, are added to the running sums; `lag` falls back to the last row of an earlier bucket.
+
+Amounts are summed as DECIMAL(28,6), which has one result in any order, so neither the split
+nor the differences show in any digit.  An amount beyond that type (NaN, infinite, 1e22 and
+more) counts as a row without an amount: it is in no sum or average.  Rows without a time sort
 first; they are each other's peers in the RANGE frames, as a window has it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.functions.columns import amount_log, epoch_seconds, night_flag, round_amount_flag
+from txnlake.functions.columns import amount_log, night_flag, round_amount_flag
 from txnlake.schemas import FEATURE_ROW_COLUMNS, SEQ_COL
+from txnlake.session import materialize
 
 # Fixed frame lengths of the reference features.
 RANGES = {"1h": 3600, "24h": 86400}
 MINUTE_SECONDS = 60
 NULL_KEY = "\u0000null"  # groups NULL keys together, like a window partition does
+NULL_KEY_SQL = r"\u0000null"
 
-
+# Without a unique id, a hash of the columns that the features read orders same-time rows
+# (rows equal on all of them are interchangeable).
 HASH_TIEBREAK = ["transaction_time", "user_id", "merchant_id", "amount", "isFraud"]
 
 
-def _tiebreak(df: DataFrame, seq: str | None) -> Column:
-    """A unique id orders same-time rows; without one, a hash of the columns the
-    features read (rows equal on all of them are interchangeable)."""
-    if seq and seq in df.columns:
-        return F.col(seq)
-    return F.xxhash64(*[F.col(c) for c in HASH_TIEBREAK if c in df.columns])
-
-
 # A key with more rows than this is "hot": its whole history would be one task.
 MAX_KEY_ROWS = 1_000_000
 # Amounts are summed exactly in this type.
 EXACT = "decimal(28,6)"
 WHOLE = 0  # the one bucket of a key that is not split
 NO_TIME = -(1 << 62)  # the bucket of rows without a time, before all others
+BEFORE_TIME = -(1 << 60)  # a second before all others
 
 
 def hot_keys(df: DataFrame, key: Column, max_key_rows: int) -> DataFrame:
@@ -77,8 +72,24 @@ def bucket_of(hot: Column, ts: Column, seconds: int) -> Column:
         .otherwise(F.lit(WHOLE))
 
 
-def _exact_sum(c: Column, frame) -> Column:
-    return F.sum(c.cast(EXACT)).over(frame)
+def _events(df: DataFrame, key: str, ranges: dict[str, int], seq: str | None,
+            keep: bool) -> DataFrame:
+    """(_k, _t, _out, _row, ...): each row as it comes in at second _t (_out 0) and goes out of
+    the i-th range (_out i); only what comes in keeps the row."""
+    tie = f"`{seq}`" if seq and seq in df.columns else \
+        f"xxhash64({', '.join(f'`{c}`' for c in HASH_TIEBREAK if c in df.columns)})"
+    row = f"struct({', '.join(f'`{c}`' for c in df.columns)})" if keep else "1"
+    one = df.selectExpr(
+        f"{row} AS _r", f"coalesce(`{key}`, '{NULL_KEY_SQL}') AS _k",
+        "cast(cast(transaction_time AS timestamp) AS bigint) AS _ts",
+        "cast(transaction_time AS timestamp) AS _time", "amount AS _amount",
+        f"try_cast(amount AS {EXACT}) AS _x", "isFraud AS _fraud", f"{tie} AS _tie")
+    comes = "named_struct('_t', _ts, '_out', 0, '_row', _r)"
+    # rows without a time leave every frame before the first second
+    goes = [f"named_struct('_t', coalesce(_ts + {secs}, {BEFORE_TIME}), '_out', {i}, "
+            "'_row', if(false, _r, null))" for i, secs in enumerate(ranges.values(), 1)]
+    return one.selectExpr("_k", "_time", "_amount", "_x", "_fraud", "_tie", "_ts",
+                          f"inline(array({', '.join([comes, *goes])}))")
 
 
 def key_window_features(df: DataFrame, key: str, prefix: str, *,
@@ -93,121 +104,70 @@ def key_window_features(df: DataFrame, key: str, prefix: str, *,
     hot ones without running `df`'s own windows again.
     """
     ranges = ranges or RANGES
-    span = max(ranges.values())
     src = totals_from if totals_from is not None else df
-    k = F.coalesce(F.col(key), F.lit(NULL_KEY))
-    hot = F.broadcast(hot_keys(src, k, max_key_rows))
-    need = [c for c in dict.fromkeys(["transaction_time", "amount", "isFraud", key, seq]
-                                     + HASH_TIEBREAK) if c and c in src.columns]
-    narrow = src.select(*need).withColumn("_k", k).join(hot, "_k", "left_semi")
-    narrow = narrow.select("_k", "transaction_time", "amount", "isFraud",
-                           epoch_seconds("transaction_time").alias("_ts"),
-                           _tiebreak(narrow, seq).alias("_tb")) \
-        .withColumn("_b", bucket_of(F.lit(True), F.col("_ts"), bucket_seconds))
-
-    # Hot keys: RANGE frames on per-(key, second) totals; a task holds at most 2 x span
-    # seconds of one key, however many rows they aggregate.  A frame's content is a running
-    # sum: a second comes in behind itself and goes out when it has left the frame, so the
-    # work is one sort, not one pass over the frame for each second.
-    amount = F.col("amount").cast(EXACT)
-    sec = narrow.groupBy("_k", "_ts", "_b").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_sa"), F.count(amount).alias("_na"))
-    copies = F.when(F.col("_ts").isNull(), F.array(F.lit(0))).otherwise(
-        F.array(F.lit(0), F.lit(1)))
-    sec = sec.select("*", F.explode(copies).alias("_ctx")) \
-             .withColumn("_sb", F.floor(F.col("_ts") / F.lit(span)) + F.col("_ctx"))
-    moves = [F.struct(F.col("_ts").alias("at"), F.lit("").alias("out"))]
-    moves += [F.struct((F.col("_ts") + secs + 1).alias("at"), F.lit(label).alias("out"))
-              for label, secs in ranges.items()]
-    events = sec.select("*", F.explode(F.array(*moves)).alias("_e"))
-    comes = F.col("_e.out") == ""
-    order = Window.partitionBy("_k", "_sb").orderBy("_e.at", comes.cast("int"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rng_fields = []
-    for label in ranges:
-        def held(c: str, label: str = label) -> Column:
-            goes = F.col("_e.out") == label
-            return F.coalesce(F.sum(F.when(comes, F.col(c)).when(goes, -F.col(c))).over(before),
-                              F.lit(0))
-        # rows without a time are each other's peers: their frame is all of them
-        peers = F.col("_ts").isNull()
-        rng_fields += [F.when(peers, F.col("_n")).otherwise(held("_n")).alias(f"c{label}"),
-                       F.when(peers, F.col("_sa")).when(held("_na") > 0, held("_sa"))
-                       .cast("double").alias(f"s{label}")]
-    marks = events.select("_k", "_ts", "_b", "_ctx", comes.alias("_in"),
-                          F.struct(*rng_fields).alias("_rng")) \
-        .filter((F.col("_ctx") == 0) & F.col("_in")).drop("_ctx", "_in")
-
-    # All rows (and the markers), partitioned by (key, bucket), each second's marker first.
-    rows = df.withColumn("_k", k).join(hot.withColumn("_hot", F.lit(True)), "_k", "left")
-    rows = rows.withColumns({"_ts": epoch_seconds("transaction_time"),
-                             "_tb": _tiebreak(df, seq), "_m": F.lit(0)})
-    rows = rows.withColumn("_b", bucket_of(F.coalesce("_hot", F.lit(False)), F.col("_ts"),
-                                         bucket_seconds))
-    u = rows.unionByName(marks.withColumn("_m", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy("_k", "_b").orderBy("_ts", F.desc("_m"), "transaction_time", "_tb")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    wts = Window.partitionBy("_k", "_b").orderBy("_ts")
-    real = F.col("_m") == 0
-    local_amount = F.when(real, F.col("amount"))
-    local = {
-        "_r": F.last(F.when(~real, F.col("_rng")), ignorenulls=True).over(upto),
-        "_ln": F.count(F.when(real, F.lit(1))).over(past),
-        "_ls": _exact_sum(local_amount, past),
-        "_lsn": F.count(local_amount).over(past),
-        "_lf": F.sum(F.when(real, F.col("isFraud"))).over(past),
-        "_pred": F.last(F.when(real, F.struct(F.col("transaction_time").alias("t"),
-                                              F.col("amount").alias("a"))),
-                        ignorenulls=True).over(past),
-    }
-    for label, secs in ranges.items():
-        frame = wts.rangeBetween(-secs, -1)
-        local[f"_c{label}"] = F.count(F.when(real, F.lit(1))).over(frame)
-        local[f"_s{label}"] = _exact_sum(local_amount, frame).cast("double")
-    u = u.withColumns(local).filter(real)
-
-    # Hot keys: per-bucket totals -> offsets of all earlier buckets.  Only the previous
-    # *amount* needs the exact (time, tie-break) last row.
-    aggs = [F.count(F.lit(1)).alias("_n"), F.sum(F.col("amount").cast(EXACT)).alias("_s"),
-            F.count("amount").alias("_sn"), F.sum("isFraud").alias("_f")]
-    last = F.struct("_ts", "transaction_time", "_tb", F.col("amount").alias("a"))
-    aggs.append(F.max(last).alias("_last"))
-    wb = Window.partitionBy("_k").orderBy("_b")
-    earlier = wb.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = narrow.groupBy("_k", "_b").agg(*aggs).select(
-        "_k", "_b", *[F.sum(c).over(earlier).alias(f"_o{c}") for c in ("_n", "_s", "_sn", "_f")],
-        F.lag("_last.transaction_time").over(wb).alias("_olt"),
-        F.lag("_last.a").over(wb).alias("_ola"))
-
-    j = u.join(offsets, ["_k", "_b"], "left")
-    n_amount = F.coalesce("_o_sn", F.lit(0)) + F.col("_lsn")
-    sum_amount = _plus("_o_s", "_ls").cast("double")
-    has_pred = F.col("_pred").isNotNull()
-    split = F.col("_hot").isNotNull()
+    hot = hot_keys(src, F.coalesce(F.col(key), F.lit(NULL_KEY)), max_key_rows)
+    if split := not hot.isEmpty():
+        hot = materialize(hot)
+    bucket = f"coalesce(floor(_t / {bucket_seconds}), {NO_TIME})"
+
+    # Of each range, rows, amounts and their sum: what comes in counts up, what goes out down.
+    moved = {f"{c}{i}": f"sum(if(_out = 0, {v}, if(_out = {i}, -{v}, 0)))"
+             for i in range(1, len(ranges) + 1)
+             for c, v in (("_n", "1"), ("_a", "if(_x IS NULL, 0, 1)"), ("_s", "coalesce(_x, 0)"))}
+    past = {"_n0": "sum(if(_out = 0, 1, 0))", "_a0": "sum(if(_out = 0 AND _x IS NOT NULL, 1, 0))",
+            "_s0": "sum(if(_out = 0, _x, null))", "_f0": "sum(if(_out = 0, _fraud, null))"}
+    last = "if(_out = 0, struct(_time AS t, _amount AS a), null)"
+
+    events = _events(df, key, ranges, seq, True)
+    if split:  # at most rows / max_key_rows keys
+        events = events.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_k", "left") \
+            .withColumn("_b", F.expr(f"if(_hot, {bucket}, {WHOLE})"))
+    by = "PARTITION BY _k, _b" if split else "PARTITION BY _k"
+    ranged = f"({by} ORDER BY _t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    rows = f"({by} ORDER BY _t, _time, _tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    events = events.selectExpr(
+        "*", *(f"{v} OVER {rows} AS {c}" for c, v in past.items()),
+        f"last_value({last}) IGNORE NULLS OVER {rows} AS _last")
+    events = events.selectExpr("*", *(f"{v} OVER {ranged} AS {c}" for c, v in moved.items())) \
+        .where("_out = 0")
+
+    if split:
+        totals = _events(src, key, ranges, seq, False).join(F.broadcast(hot), "_k", "left_semi") \
+            .withColumn("_b", F.expr(bucket))
+        totals = totals.groupBy("_k", "_b").agg(
+            *(F.expr(v).alias(c) for c, v in (past | moved).items()),
+            F.expr("max(if(_out = 0, struct(_ts, _time AS t, _tie, _amount AS a), null))").alias("_last"))
+        earlier = "OVER (PARTITION BY _k ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        offsets = totals.selectExpr(
+            "_k AS _ok", "_b AS _ob", *(f"sum({c}) {earlier} AS _o{c}" for c in past | moved),
+            f"last_value(_last) IGNORE NULLS {earlier} AS _o_last")
+        events = events.join(offsets, (F.col("_k") == F.col("_ok")) & (F.col("_b") == F.col("_ob")),
+                             "left")
+
+    def total(c: str) -> str:
+        """The running sum in the bucket and that of all earlier ones; NULL if both are."""
+        return f"coalesce({c} + _o{c}, {c}, _o{c})" if split else c
+
+    def of_last(c: str) -> str:
+        return f"if(_last IS NULL, _o_last.{c}, _last.{c})" if split else f"_last.{c}"
+
     out = {}
-    for label in ranges:
-        out[f"{prefix}_msg_count_{label}"] = F.when(split, F.col(f"_r.c{label}")).otherwise(
-            F.col(f"_c{label}"))
-        out[f"{prefix}_amount_sum_{label}"] = F.when(split, F.col(f"_r.s{label}")).otherwise(
-            F.col(f"_s{label}"))
+    for i, label in enumerate(ranges, 1):
+        out[f"{prefix}_msg_count_{label}"] = f"cast(coalesce({total(f'_n{i}')}, 0) AS bigint)"
+        out[f"{prefix}_amount_sum_{label}"] = f"if({total(f'_a{i}')} > 0, " \
+                                              f"cast({total(f'_s{i}')} AS double), null)"
+    sums = f"cast({total('_s0')} AS double)"
     out |= {
-        f"{prefix}_delta_seconds": F.col("_ts") - F.when(has_pred, F.col("_pred.t"))
-        .otherwise(F.col("_olt")).cast("long"),
-        f"{prefix}_count_past": F.coalesce("_o_n", F.lit(0)) + F.col("_ln"),
-        f"{prefix}_sum_amount_past": sum_amount,
-        f"{prefix}_history_fraud_count": _plus("_o_f", "_lf"),
+        f"{prefix}_delta_seconds": f"_ts - cast({of_last('t')} AS bigint)",
+        f"{prefix}_count_past": f"cast(coalesce({total('_n0')}, 0) AS bigint)",
+        f"{prefix}_sum_amount_past": sums,
+        f"{prefix}_history_fraud_count": total("_f0"),
     }
     if prev_amount:
-        out[f"{prefix}_prev_amount"] = F.when(has_pred, F.col("_pred.a")).otherwise(F.col("_ola"))
+        out[f"{prefix}_prev_amount"] = of_last("a")
     if avg_past:
-        out[f"{prefix}_avg_amount_past"] = F.when(n_amount > 0, sum_amount / n_amount)
-    return j.select(*df.columns, *[c.alias(name) for name, c in out.items()])
-
-
-def _plus(a: str, b: str) -> Column:
-    """Sum of two partial sums; NULL only if both are."""
-    return F.coalesce(F.col(a) + F.col(b), F.col(a), F.col(b))
+        out[f"{prefix}_avg_amount_past"] = f"if({total('_a0')} > 0, {sums} / {total('_a0')}, null)"
+    return events.selectExpr("_row.*", *(f"{v} AS {c}" for c, v in out.items()))
 
 
 def dest_window_features(df: DataFrame, **kw) -> DataFrame:

@@ -4,7 +4,7 @@ or replaces rows by key, never appends duplicates."""
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +47,8 @@ def user_dim_high_water(src: DataFrame, dim: DataFrame) -> DataFrame:
 
 def dim_users_incremental(dim: DataFrame, batch: DataFrame) -> DataFrame:
     """One incremental run of the user dimension: select new rows, aggregate, merge."""
-    return dim_users_merge(dim, new_user_stats(user_dim_high_water(batch, dim)))
+    return dim_users_merge(dim, new_user_stats(user_dim_high_water(batch, dim),
+                                               "amount_count" in dim.columns))
 
 
 def upsert_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,9 +112,15 @@ def retention_filter(df: DataFrame, ts: str, as_of: str, interval: str = "1 YEAR
                      & (F.col(ts) + F.expr(f"INTERVAL {interval}") > as_of_ts))
 
 
-def retention_hour(as_of: str, days: int = 365) -> str:
-    """The first hour (`yyyyMMddHH`) that the retention keeps."""
-    return (datetime.fromisoformat(as_of) - timedelta(days=days)).strftime("%Y%m%d%H")
+def retention_hour(as_of: str, years: int = 1) -> str:
+    """The first hour (`yyyyMMddHH`) of which `retention_filter` may keep a row: `years` calendar
+    years before `as_of`, as there (what would be 29 February is 1 March)."""
+    at = datetime.fromisoformat(as_of)
+    try:
+        at = at.replace(year=at.year - years)
+    except ValueError:
+        at = at.replace(year=at.year - years, month=3, day=1, hour=0)
+    return at.strftime("%Y%m%d%H")
 
 
 def default_now(df: DataFrame, col: str, run_ts: str | None = None) -> DataFrame:

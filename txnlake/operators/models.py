@@ -40,8 +40,9 @@ def sum_long(c: Column) -> Column:
     return F.sum(c.cast("long"))
 
 
-def new_user_stats(stg: DataFrame) -> DataFrame:
-    """Per sender: first/last seen, count, volume, frauds, average, updated_at."""
+def new_user_stats(stg: DataFrame, amount_count: bool = False) -> DataFrame:
+    """Per sender: first/last seen, count, volume, frauds, average, updated_at; on request the
+    number of amounts, which an exact merge of averages needs."""
     return stg.groupBy("user_id").agg(
         F.min("transaction_time").alias("first_seen"),
         F.max("transaction_time").alias("last_seen"),
@@ -50,6 +51,7 @@ def new_user_stats(stg: DataFrame) -> DataFrame:
         sum_long(F.col("is_fraud")).alias("fraud_count"),
         F.avg("amount").alias("avg_txn_amount"),
         F.max("transaction_time").alias("updated_at"),
+        *([F.count("amount").alias("amount_count")] if amount_count else []),
     )
 
 
@@ -59,27 +61,37 @@ dim_users_full = new_user_stats
 def dim_users_merge(old: DataFrame, new: DataFrame) -> DataFrame:
     """Merge new per-user stats into the existing dimension (full outer join on user_id).
 
-    Counts/volume/frauds add up; the average is re-weighted by counts; first_seen is
-    the earliest and last_seen/updated_at the latest of both sides (out-of-order safe).
-    Both inputs are keyed by user_id, so the join is a co-partitioned equi-join.
+    Counts/volume/frauds add up; the average is re-weighted by the number of amounts (the
+    column `amount_count` where both sides have it, else of transactions; none without an
+    average); first_seen is the earliest and last_seen/updated_at the latest of both sides
+    (out-of-order safe).  A missing user is one user.  Both inputs are keyed by user_id, so
+    the join is a co-partitioned equi-join.
     """
     o, n = old.alias("o"), new.alias("n")
     oc = lambda c: F.col(f"o.{c}")
     nc = lambda c: F.col(f"n.{c}")
     total = F.coalesce(oc("total_txns"), F.lit(0)) + F.coalesce(nc("total_txns"), F.lit(0))
-    weighted = (F.coalesce(oc("avg_txn_amount") * oc("total_txns"), F.lit(0.0))
-                + F.coalesce(nc("avg_txn_amount") * nc("total_txns"), F.lit(0.0)))
-    return n.join(o, F.col("n.user_id") == F.col("o.user_id"), "full_outer").select(
+    known = "amount_count" in old.columns and "amount_count" in new.columns
+    n_of = "amount_count" if known else "total_txns"
+
+    def weight(of) -> Column:
+        return F.when(of("avg_txn_amount").isNotNull(), of(n_of)).otherwise(F.lit(0))
+
+    amounts = F.coalesce(weight(oc), F.lit(0)) + F.coalesce(weight(nc), F.lit(0))
+    weighted = (F.coalesce(oc("avg_txn_amount") * weight(oc), F.lit(0.0))
+                + F.coalesce(nc("avg_txn_amount") * weight(nc), F.lit(0.0)))
+    volume = F.coalesce(oc("total_volume") + nc("total_volume"), oc("total_volume"), nc("total_volume"))
+    return n.join(o, F.col("n.user_id").eqNullSafe(F.col("o.user_id")), "full_outer").select(
         F.coalesce(nc("user_id"), oc("user_id")).alias("user_id"),
         F.least(oc("first_seen"), nc("first_seen")).alias("first_seen"),
         F.greatest(oc("last_seen"), nc("last_seen")).alias("last_seen"),
         total.alias("total_txns"),
-        (F.coalesce(oc("total_volume"), F.lit(0.0)) + F.coalesce(nc("total_volume"), F.lit(0.0)))
-        .alias("total_volume"),
+        volume.alias("total_volume"),
         (F.coalesce(oc("fraud_count"), F.lit(0)) + F.coalesce(nc("fraud_count"), F.lit(0)))
         .alias("fraud_count"),
-        F.when(total > 0, weighted / total).otherwise(F.lit(0.0)).alias("avg_txn_amount"),
+        F.when(amounts > 0, weighted / amounts).alias("avg_txn_amount"),
         F.greatest(oc("updated_at"), nc("updated_at")).alias("updated_at"),
+        *([amounts.alias("amount_count")] if known else []),
     )
 
 
@@ -209,6 +221,11 @@ def mart_hourly_patterns(fact: DataFrame) -> DataFrame:
         F.count_if(is_f & (F.col("is_transfer") == 1)).alias("fraud_transfers"),
         F.count_if(is_f & (F.col("is_cash_out") == 1)).alias("fraud_cash_outs"),
     )
+    return hourly_pattern_columns(stats)
+
+
+def hourly_pattern_columns(stats: DataFrame) -> DataFrame:
+    """Rates, rounding and risk level over the aggregated (hour, weekday) rows."""
     rate = F.col("fraud_count") * F.lit(100.0) / F.col("total_txns")
     return stats.select(
         "hour_of_day", "day_of_week", "total_txns", "fraud_count",
@@ -243,6 +260,11 @@ def mart_transaction_type_analysis(fact: DataFrame) -> DataFrame:
         sum_long(F.col("is_all_orig_balance")).alias("emptied_account_count"),
         sum_long(F.col("is_dest_zero_init")).alias("new_dest_account_count"),
     )
+    return type_analysis_columns(agg)
+
+
+def type_analysis_columns(agg: DataFrame) -> DataFrame:
+    """Rates, rounding and shares over the aggregated rows of the types."""
     everything = Window.partitionBy()
     return agg.select(
         "type", "total_txns", "fraud_count",
@@ -271,9 +293,9 @@ ANOMALY_COLUMNS = [
 ]
 
 
-def anomaly_flags(fact: DataFrame) -> DataFrame:
+def anomaly_flags(fact: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     one = lambda cond: F.when(cond, F.lit(1)).otherwise(F.lit(0))
-    df = fact.select(*_with_seq(fact, ANOMALY_COLUMNS)).withColumns({
+    df = fact.select(*_with_seq(fact, ANOMALY_COLUMNS), *keys).withColumns({
         "has_orig_balance_error": one(F.abs(F.col("error_balance_orig")) > BALANCE_TOLERANCE),
         "has_dest_balance_error": one(F.abs(F.col("error_balance_dest")) > BALANCE_TOLERANCE),
         "is_large_transaction": one(F.col("amount") > LARGE_TXN_AMOUNT),
@@ -317,9 +339,10 @@ def anomaly_reasons() -> Column:
     )
 
 
-def mart_anomaly_detection(fact: DataFrame) -> DataFrame:
-    """Four anomaly flags, a 0-5 score, priority and reasons; anomalies and frauds only."""
-    df = anomaly_filter(anomaly_flags(fact))
+def mart_anomaly_detection(fact: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Four anomaly flags, a 0-5 score, priority and reasons; anomalies and frauds only.
+    `keys`: further columns of the fact to keep."""
+    df = anomaly_filter(anomaly_flags(fact, tuple(keys)))
     return df.withColumns({
         "investigation_priority": investigation_priority(F.col("is_fraud"), F.col("anomaly_score")),
         "anomaly_reasons": anomaly_reasons(),

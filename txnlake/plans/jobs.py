@@ -3,13 +3,13 @@
 * ``bulk_init``       CSV (or landing) -> landing -> silver, and optionally the whole warehouse,
                       models and full-history features
 * ``hourly_etl``      one landing hour -> silver (dedupe, idempotent replace) -> warehouse
-* ``refresh_models``  warehouse -> fact (new, late and re-run hours) -> user dimension
-                      (new version) -> five marts (full rebuild)
+* ``refresh_models``  warehouse -> the hours that changed -> fact, states -> totals, user
+                      dimension and five marts, published by one commit
 * ``feature_job``     silver rolling window or whole history -> features -> ``run_date=``
 * ``training_job``    latest snapshot -> weights/split -> fit or CV -> metrics -> save, log
 
-Every write is idempotent (partition replace, versioned snapshots), so a job re-run after
-a lost executor or a failed attempt does not duplicate rows.  Checks act: with severity
+Every write is idempotent (partition replace, versioned paths), and the models have a commit
+log, so a job run again after a failure anywhere gives what one run would have given.  Checks act: with severity
 "error" a failed one stops the job, with "warn" it warns, "off" skips it.
 """
 
@@ -26,9 +26,11 @@ from txnlake.operators import incremental as I
 from txnlake.operators import ml as ML
 from txnlake.operators import models as M
 from txnlake.operators import quality as Q
+from txnlake.operators import rollup as R
 from txnlake.operators.cleaning import normalize_partition_keys, silver_transactions, stg_transactions
 from txnlake.operators.features import window_features
-from txnlake.schemas import CSV_CASTS, SEQ_COL, SILVER_SCHEMA, TRAIN_RATIO
+from txnlake.plans import commits as C
+from txnlake.schemas import CSV_CASTS, PARTITION_KEYS, SEQ_COL, SILVER_SCHEMA, TRAIN_RATIO
 from txnlake.session import ensure_utc, materialize
 from txnlake.sources import listing as L
 from txnlake.sources import scans as S
@@ -127,98 +129,134 @@ def hourly_etl(spark: SparkSession, landing_base: str, silver_base: str, part_dt
 
 # ------------------------------------------------------------------ models
 
-DIM_VERSIONS_KEPT = 3
+DIM_VERSIONS_KEPT = C.KEPT
+STATES, TOTALS = "_states", "_totals"
+MARTS = ["mart_user_risk_score", "mart_merchant_risk", "mart_hourly_patterns",
+         "mart_transaction_type_analysis"]
 
 
-def _dim_versions(spark: SparkSession, models_base: str) -> list[int]:
-    """Complete versions of the user dimension, oldest first."""
-    base = f"{models_base}/dim_users"
-    return sorted(int(v) for v in L.key_values(spark, base, "version")
-                  if L.exists(spark, f"{base}/version={v}/_SUCCESS"))
+def read_model(spark: SparkSession, models_base: str, name: str) -> DataFrame | None:
+    """The published version of a model."""
+    now = C.latest(spark, models_base)
+    return spark.read.parquet(now.tables[name]) if now and name in now.tables else None
 
 
 def read_dim_users(spark: SparkSession, models_base: str) -> DataFrame | None:
-    vers = _dim_versions(spark, models_base)
-    return spark.read.parquet(f"{models_base}/dim_users/version={vers[-1]}") if vers else None
+    return read_model(spark, models_base, "dim_users")
 
 
-def _hours(df: DataFrame, hours: list[tuple[str, str]]) -> DataFrame:
-    """Rows of the hours; on a partitioned scan a filter on directories."""
-    return df.filter(F.concat("part_dt", "part_hour").isin([d + h for d, h in hours]))
+def _read_states(spark: SparkSession, base: str, kind: str, like: DataFrame,
+                 runs: dict[C.Hour, int]) -> DataFrame:
+    """The states of the hours, each from the run that the log names."""
+    if not runs or not L.exists(spark, base):
+        return like.filter(F.lit(False))
+    df = normalize_partition_keys(spark.read.schema(like.schema).option("basePath", base).parquet(
+        *[f"{base}/run={r}" for r in sorted(set(runs.values())) if L.exists(spark, f"{base}/run={r}")]))
+    rows = [(r, d, h) for (d, h), r in runs.items()]  # one for each hour
+    current = spark.createDataFrame(rows, "_run long, _d string, _h string")
+    return df.join(F.broadcast(current), (F.col("run") == F.col("_run")) & (F.col("part_dt") == F.col("_d"))
+                   & (F.col("part_hour") == F.col("_h")), "left_semi").select(like.columns)
 
 
 def refresh_models(spark: SparkSession, warehouse_base: str, models_base: str,
                    replace_partitions: list[tuple[str, str]] = (), rebuild: bool = False,
-                   checks: str = "off") -> dict[str, str]:
+                   checks: str = "warn") -> dict[str, str]:
     """One models run.
 
-    The fact takes the warehouse hours that it lacks, late ones too (both sides' hours come
-    from directory listings), and the hours of `replace_partitions` anew; an hour that the
-    warehouse no longer has is dropped.  A transaction id (user + second) never spans hours,
-    so replacing hours is the delete+insert upsert.  The dimension merges hours that are all
-    newer than itself, else the users of replaced or late hours are aggregated again from
-    the fact.  It is written as a new version; the last few are kept.  Marts are rebuilt.
-    `rebuild` builds everything from the whole warehouse."""
+    To be done are the warehouse hours whose files are not those that the last commit applied
+    (new, late or loaded again: nobody has to name them), those of `replace_partitions`, and
+    the hours that the warehouse has lost.  Only these are read: their rows go into the fact
+    and the anomaly mart, hour by hour, their aggregates into the states; totals, dimension
+    and marts follow from states (`operators.rollup`).  Everything but the two row tables is
+    written to a path of this run, and all of it is published by the commit, the last write.
+    A run that fails anywhere leaves the last commit valid, and the next one does its hours
+    again, from the states that the last commit names.  (The fact and the anomaly mart are replaced
+    by the hour, so for the time of a run they may be ahead of the published marts.)
+    A transaction id (user + second) never spans hours, so replacing hours is the
+    delete+insert upsert.  `rebuild` builds everything from the whole warehouse.  Checks are
+    made on the rows of the hours done."""
     ensure_utc(spark)
     stg = stg_transactions(normalize_partition_keys(
         S.typed_scan(spark, warehouse_base, _silver_schema(spark, warehouse_base))))
     fact_path = f"{models_base}/fact_transactions"
+    anomaly_path = f"{models_base}/mart_anomaly_detection"
     fact_now = M.fact_transactions_full(stg)
-    dim_old = None if rebuild else read_dim_users(spark, models_base)
-    have = L.hour_partitions(spark, fact_path)
-    if rebuild or not have or dim_old is None:
+    last = None if rebuild else C.latest(spark, models_base)
+    before = last.hours if last else {}
+    source = L.hour_versions(spark, warehouse_base)
+    named = set(replace_partitions) & set(source)
+    todo = sorted(named | {h for h, v in source.items() if h not in before or before[h][0] != v})
+    gone = sorted((set(before) | set(L.hour_partitions(spark, fact_path))) - set(source))
+    out = {"fact_transactions": fact_path, "mart_anomaly_detection": anomaly_path}
+    if last and not todo and not gone:
+        return out | {n: p for n, p in last.tables.items() if not n.startswith("_")}
+    run = C.next_version(spark, models_base)
+
+    if last:
+        fact_new = K.in_hours(fact_now, todo)
+        K.replace_hours(fact_new, fact_path, [*todo, *gone])
+    else:
         K.bulk_repartition_write(fact_now, fact_path)
-        dim = M.dim_users_full(normalize_partition_keys(spark.read.parquet(fact_path)))
+    fact = normalize_partition_keys(spark.read.schema(fact_now.schema).parquet(fact_path))
+    done = K.in_hours(fact, todo) if last else fact
+    if checks != "off":
+        Q.gate(Q.dq_unique(done, "txn_id"), "unique txn_id", checks)
+        Q.gate(Q.dq_not_null(done, "txn_id"), "not null txn_id", checks)
+        Q.gate(Q.dq_not_null(done, "user_id"), "not null user_id", checks)
+    anomalies = M.mart_anomaly_detection(done, PARTITION_KEYS)
+    if last:
+        K.replace_hours(anomalies, anomaly_path, [*todo, *gone])
     else:
-        source = L.hour_partitions(spark, warehouse_base)
-        again = sorted(set(replace_partitions) & set(have) | set(have) - set(source))
-        new = sorted((set(source) - set(have)) | (set(replace_partitions) & set(source)))
-        old_fact = normalize_partition_keys(spark.read.parquet(fact_path))
-        if not again and (not new or min(new) > max(have)):
-            if new:
-                K.partition_overwrite(_hours(fact_now, new), fact_path)
-            fact = normalize_partition_keys(spark.read.parquet(fact_path))
-            dim = I.dim_users_incremental(dim_old, fact) if new else dim_old
-        else:
-            touched = K.stored(_hours(old_fact, again).select("user_id").unionByName(
-                _hours(fact_now, new).select("user_id")).distinct(), "touched-users")
-            if new:
-                K.partition_overwrite(_hours(fact_now, new), fact_path)
-            for dt, hr in set(again) - set(new):
-                L.delete(spark, L.hour_path(spark, fact_path, dt, hr))
-            fact = normalize_partition_keys(spark.read.parquet(fact_path))
-            dim = I.dim_users_replace(dim_old, fact, touched)
-    fact = normalize_partition_keys(spark.read.parquet(fact_path))
-
-    vers = _dim_versions(spark, models_base)
-    dim_path = f"{models_base}/dim_users/version={vers[-1] + 1 if vers else 0}"
-    dim.write.mode("overwrite").parquet(dim_path)
-    dim = spark.read.parquet(dim_path)
-    for v in vers[:-(DIM_VERSIONS_KEPT - 1)]:
-        L.delete(spark, f"{models_base}/dim_users/version={v}")
-    for df, key in ((fact, "txn_id"), (dim, "user_id")):
-        if checks != "off":
-            Q.gate(Q.dq_unique(df, key), f"unique {key}", checks)
-            Q.gate(Q.dq_not_null(df, key), f"not null {key}", checks)
-
-    marts = {
-        "mart_user_risk_score": M.mart_user_risk_score(dim, fact),
-        "mart_merchant_risk": M.mart_merchant_risk(fact),
-        "mart_hourly_patterns": M.mart_hourly_patterns(fact),
-        "mart_transaction_type_analysis": M.mart_transaction_type_analysis(fact),
-        "mart_anomaly_detection": M.mart_anomaly_detection(fact),
-    }
-    out = {"fact_transactions": fact_path, "dim_users": dim_path}
-    for name, df in marts.items():
-        path = f"{models_base}/{name}"
-        if name == "mart_anomaly_detection":
-            K.warehouse_table_write(df.withColumns({"part_dt": part_dt_of("transaction_time"),
-                                                    "part_hour": part_hour_of("transaction_time")}),
-                                    path)
+        K.warehouse_table_write(anomalies, anomaly_path)
+
+    # the old hours that are taken out, and those that stay
+    runs = {h: r for h, (_, r) in before.items()}
+    taken = {h: r for h, r in runs.items() if h in set(todo) | set(gone)}
+    stay = {h: r for h, r in runs.items() if h not in taken}
+    tables, marts, all_states = {}, {}, {}
+
+    def totals_of(kind: str, like: DataFrame) -> DataFrame:
+        if last:
+            return spark.read.parquet(last.tables[f"{TOTALS}/{kind}"])
+        return R.STATES[kind].merged(like.filter(F.lit(False)))
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        tables[name] = f"{models_base}/{name}/version={run}"
+        df.write.mode("overwrite").parquet(tables[name])
+        return spark.read.schema(df.schema).parquet(tables[name])
+
+    for kind, state in R.STATES.items():
+        base = f"{models_base}/{STATES}/{kind}"
+        states = state.of_hours(done)
+        (states.hint("rebalance", *PARTITION_KEYS).write.mode("overwrite")
+         .partitionBy(*PARTITION_KEYS).parquet(f"{base}/run={run}"))
+        new = _read_states(spark, base, kind, states, {h: run for h in todo})
+        old_out = _read_states(spark, base, kind, states, taken) if taken else None
+        kept = _read_states(spark, base, kind, states, stay)
+        if kind not in R.KEPT_TOTALS:
+            all_states[kind] = kept.unionByName(new)
+        elif kind == "senders":
+            marts[kind] = written(R.updated_senders(totals_of(kind, states), new, old_out),
+                                  f"{TOTALS}/{kind}")
         else:
-            df.write.mode("overwrite").parquet(path)
-        out[name] = path
-    return out
+            marts[kind] = written(state.updated(totals_of(kind, states), new, old_out, kept),
+                                  f"{TOTALS}/{kind}")
+
+    dim = written(R.dim_users(marts["user"]), "dim_users")
+    if checks != "off":
+        Q.gate(Q.dq_unique(dim, "user_id"), "unique user_id", checks)
+    written(R.mart_user_risk_score(marts["user"]), "mart_user_risk_score")
+    written(R.mart_merchant_risk(marts["merchant"], marts["senders"]), "mart_merchant_risk")
+    written(R.mart_hourly_patterns(all_states["clock"]), "mart_hourly_patterns")
+    written(R.mart_transaction_type_analysis(all_states["type"]), "mart_transaction_type_analysis")
+
+    hours = {h: before[h] for h in stay} | {h: (source[h], run) for h in todo}
+    C.publish(spark, models_base, C.Commit(run, hours, tables))
+    C.clear_old(spark, models_base, [n for n in tables if n != "dim_users"] + ["dim_users"], run)
+    for kind in R.STATES:  # states that no commit names any more
+        for (d, h), r in taken.items():
+            L.delete(spark, f"{models_base}/{STATES}/{kind}/run={r}/part_dt={d}/part_hour={h}")
+    return out | {n: p for n, p in tables.items() if not n.startswith("_")}
 
 
 # ------------------------------------------------------------------ ML

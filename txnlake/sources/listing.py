@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -42,6 +43,23 @@ def hour_partitions(spark: SparkSession, base: str) -> list[tuple[str, str]]:
                   for h in key_values(spark, f"{base}/part_dt={d}", "part_hour"))
 
 
+def hour_versions(spark: SparkSession, base: str) -> dict[tuple[str, str], str]:
+    """A mark of each hour's files (number, bytes, newest change): another one means that the hour
+    was written again.  Spark lists the directories, in parallel; no file is opened and one row
+    for each hour comes back."""
+    if not hour_partitions(spark, base):
+        return {}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.parquet").load(base)
+    rows = files.selectExpr(
+        "regexp_extract(path, 'part_dt=([0-9]+)', 1) AS d",
+        "lpad(regexp_extract(path, 'part_hour=([0-9]+)', 1), 2, '0') AS h", "length",
+        "modificationTime").groupBy("d", "h").agg(
+        F.concat_ws(":", F.count(F.lit(1)), F.sum("length"), F.max(F.unix_micros("modificationTime"))
+                    ).alias("v")).collect()
+    return {(r.d, r.h): r.v for r in rows if r.d}
+
+
 def hour_path(spark: SparkSession, base: str, part_dt: str, part_hour: str) -> str | None:
     """The directory of an hour, whether its name is padded or not."""
     for h in dict.fromkeys((part_hour, part_hour.zfill(2), str(int(part_hour)))):

@@ -10,7 +10,6 @@ trigger that is run again after a failure writes the same partitions again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnlake.operators.cleaning import normalize_partition_keys, silver_transactions
@@ -27,15 +26,14 @@ def landing_stream_schema(with_seq: bool = True) -> T.StructType:
 
 def clean_hours(spark: SparkSession, landing_base: str, silver_base: str,
                 hours: DataFrame) -> None:
-    """Clean the landing hours (part_dt, part_hour) whole and replace them in silver.  There
-    is one row for each hour that got files, so broadcasting them is bounded; it prunes the
-    landing partitions that are read."""
-    schema = landing_stream_schema()
-    landing = normalize_partition_keys(
-        spark.read.schema(schema).option("basePath", landing_base).parquet(landing_base))
-    hours = normalize_partition_keys(hours.select(*PARTITION_KEYS).distinct())
-    one = landing.join(F.broadcast(hours), PARTITION_KEYS, "left_semi")
-    K.partition_overwrite(silver_transactions(one), silver_base)
+    """Clean the landing hours (part_dt, part_hour) whole and replace them in silver, without
+    repeated rows, like the hourly batch.  The hours of a trigger become literals on the
+    partition columns, so only their directories are read."""
+    which = K.hours_of(normalize_partition_keys(hours.select(*PARTITION_KEYS).distinct()))
+    landing = spark.read.schema(landing_stream_schema()).option("basePath", landing_base).parquet(
+        landing_base)
+    one = normalize_partition_keys(K.in_hours(landing, which))
+    K.partition_overwrite(silver_transactions(one, dedup=True), silver_base)
 
 
 def run_hourly_stream(spark: SparkSession, landing_base: str, silver_base: str,
