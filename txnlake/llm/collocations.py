@@ -5,14 +5,15 @@ is counted per language.  ``n`` is the number of words, f(phrase) that of its co
 occurrences within pieces.  Candidates are the phrases with f >= ``least``.
 
 Level by level, as in Apriori: only words with f >= ``least`` can stand in a candidate pair, and
-only such pairs in a candidate triple.  The candidates of a level are the phrases that stand in
-the texts, pass a filter of the level below (bits by a hash, of a fixed size, broadcast; it may
-let more through, never less) and whose number over all tasks reaches ``least``.  All candidates
-go into double-array tries (one root a language), of at most ``max_phrases`` each in expectation,
-dealt by language and first word.  Each trie is broadcast in its turn, and the texts are read once
-for each: numpy advances the states of all text positions together, level by level; accepting
-states are counted with bincount, and the tasks' counts summed.  So the number of readings grows
-with the candidates, and no task's memory does.
+only such pairs in a candidate triple.  Words, then pairs, are first counted by 64-bit hashes; the
+hashes that reach ``least`` become a filter of a fixed size, broadcast to the next level.  (Hashes
+and filters may let more through, never less.)  The pairs and triples of words that pass are the
+candidates.  With their words they go into double-array tries (one root a language), dealt by a
+hash to at most ``max_phrases`` each in expectation; tasks build them.  Each trie is broadcast in
+its turn, and the texts are read once for each: numpy advances the states of all text positions
+together, level by level; accepting states are counted with bincount, and the tasks' counts
+summed.  All of a, l and r come from there.  So the number of readings grows with the candidates,
+and no task's memory does.
 
 Cutting a candidate in two gives l and r (f of the first part and of the rest) and the score
 floor(1000000 a a / (l r)), in decimals of 38 digits; the lowest score counts, ties to the
@@ -28,6 +29,8 @@ gives an empty result; other columns of the input are not read.
 from __future__ import annotations
 
 import dataclasses
+import itertools
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -44,7 +47,8 @@ SEPARATORS = b".,;:!?\n\v\f\r"
 END = b"\xff"  # the end of a piece; no UTF-8 text holds this byte
 NO_LANG = "und"
 BLOCK = 1 << 20  # bytes of text read at a time
-HELD = 300_000  # distinct words or phrases held by a task
+HELD = 300_000  # distinct words held by a task
+HELD_HASHES = 1 << 21  # and hashes or codes of phrases
 FILTER_BITS = 25
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + SEPARATORS,
                          b"abcdefghijklmnopqrstuvwxyz " + END * len(SEPARATORS))
@@ -134,116 +138,142 @@ def _phrase_hash(parts: list[np.ndarray]) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-
-
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = _slots(h)
+    at = (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def filter_of(phrases: DataFrame, cols: list[str]) -> np.ndarray:
-    """The bits of a filter that holds all phrases (lang, cols); its size is fixed."""
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch["lang"].to_pylist()
-            parts = [np.fromiter((_word_hash(k, [w.encode("utf-8", "surrogatepass")])[0]
-                                  for k, w in zip(langs, batch[c].to_pylist())),
-                                 np.uint64, len(langs)) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(_slots(_phrase_hash(parts)))], ["slot"])
-
-    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
-    got = (phrases.select("lang", *cols).mapInArrow(place, "slot long")
-           .groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("bits"))).toArrow()
+def filter_of(hashes: DataFrame) -> np.ndarray:
+    """The bits of a filter that holds all values of column ``h``; its size is fixed."""
+    slot = f"(h & {(1 << FILTER_BITS) - 1})"
+    got = hashes.selectExpr(f"shiftright({slot}, 6) AS at", f"shiftleft(1L, cast({slot} & 63 AS int)) AS bit") \
+        .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     bits[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return bits
 
 
-def _emit(lang: str, cols: list[list[bytes]], n: np.ndarray) -> pa.RecordBatch:
-    names = [f"w{i + 1}" for i in range(len(cols))]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(n), pa.string()),
-         *(pa.array(c, pa.binary()).cast(pa.string()) for c in cols),
-         pa.array(n, pa.int64())], ["lang", *names, "n"])
+class Reader:
+    """Word numbers and hashes of a task, by language."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[Ids, np.ndarray]] = {}
+
+    def of(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and hashes of the words of a block."""
+        ids, hashes = self.known.setdefault(lang, (Ids(), np.zeros(1, np.uint64)))
+        before = len(ids.words)
+        at = ids.of(words)
+        if len(ids.words) > before:
+            new = list(itertools.islice(ids.words, before, None))
+            hashes = np.concatenate([hashes, _word_hash(lang, new)])
+            self.known[lang] = ids, hashes
+        return at, hashes[at]
+
+    def __len__(self) -> int:
+        return sum(len(ids.words) for ids, _ in self.known.values())
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their summed numbers."""
+    key, n = (np.concatenate(x) for x in zip(*parts))
+    key, at = np.unique(key, return_inverse=True)
+    return key, np.bincount(at, n, len(key)).astype(np.int64)
+
+
+def hash_counts(docs: DataFrame, k: int, below: np.ndarray | None = None) -> DataFrame:
+    """(h, lang, n): occurrences in docs (lang, text) of the hashes of words (k = 1), or of pairs
+    of words that both pass the filter ``below`` (k = 2).  With h null, the words of a language."""
+    shared = None if below is None else docs.sparkSession.sparkContext.broadcast(below)
 
+    def rows(h: np.ndarray, n: np.ndarray, langs=None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h.view(np.int64)) if langs is None else pa.nulls(len(n), pa.int64()),
+             pa.nulls(len(n), pa.string()) if langs is None else pa.array(langs, pa.string()),
+             pa.array(n, pa.int64())], ["h", "lang", "n"])
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, w1, n) of all words of docs (lang, text)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+        reader, held, size, total = Reader(), [], 0, Counter()
         for batch in batches:
             for lang, words, starts in _rows(batch):
-                got = held.setdefault(lang, Counter())
-                got.update(words[:starts])
-                del got[END]
-                if sum(map(len, held.values())) >= HELD:
-                    for k, c in held.items():
-                        yield _emit(k, [list(c)], np.fromiter(c.values(), np.int64, len(c)))
-                    held = {}
-        for k, c in held.items():
-            yield _emit(k, [list(c)], np.fromiter(c.values(), np.int64, len(c)))
-
-    return docs.mapInArrow(count, "lang string, w1 string, n long").groupBy("lang", "w1").agg(
+                at, h = reader.of(lang, words)
+                if k == 1:
+                    whole = at[:starts] != 0
+                    total[lang] += int(whole.sum())
+                    h = h[:starts][whole]
+                else:
+                    ok = (at != 0) & _has(shared.value, h)
+                    start = np.flatnonzero(ok[:-1] & ok[1:])
+                    start = start[start < starts]
+                    h = _phrase_hash([h[start], h[start + 1]])
+                h, n = np.unique(h, return_counts=True)
+                held.append((h, n))
+                size += len(h)
+                if size > 2 * HELD_HASHES:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                if size > HELD_HASHES:
+                    yield rows(*_merged(held))
+                    held, size = [], 0
+                if len(reader) > HELD:
+                    reader = Reader()
+        if held:
+            yield rows(*_merged(held))
+        if total:
+            yield rows(None, np.fromiter(total.values(), np.int64, len(total)), list(total))
+
+    got = docs.mapInArrow(count, "h long, lang string, n long").groupBy("h", "lang").agg(
         F.sum("n").alias("n"))
+    return got
 
 
-def candidates(docs: DataFrame, below: np.ndarray, k: int, least: int) -> DataFrame:
-    """(lang, w1 ... wk, n) of the phrases of k words, 2 or 3, in docs whose both parts of k - 1
-    words pass the filter ``below`` and that occur ``least`` times."""
+def candidates(docs: DataFrame, below: np.ndarray, least: int) -> DataFrame:
+    """(lang, w1, w2, w3): the pairs (w3 null) that pass the filter ``below`` and the triples both
+    of whose pairs do, with ``least`` occurrences in docs."""
     shared = docs.sparkSession.sparkContext.broadcast(below)
-    names = [f"w{i + 1}" for i in range(k)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        known: dict[str, tuple[Ids, list]] = {}  # word numbers; their hashes, in growing parts
-        held: dict[str, list] = {}  # codes and numbers of phrases
-
-        def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
-            code, n = (np.concatenate(x) for x in zip(*held[lang]))
-            code, at = np.unique(code, return_inverse=True)
-            return code, np.bincount(at, n, len(code)).astype(np.int64)
+        reader, held, size = Reader(), {}, 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang in held:
-                code, n = merged(lang)
-                words = np.array(list(known[lang][0].words), object)
-                yield _emit(lang, [words[(code >> (21 * i)) & ((1 << 21) - 1)] for i in range(k)], n)
+            for lang, parts in held.items():
+                code, n = _merged(parts)
+                words = np.array([w.decode("utf-8", "surrogatepass")
+                                  for w in reader.known[lang][0].words if w != END] or [""], object)
+                w = [(code >> (21 * i)) & ((1 << 21) - 1) for i in range(3)]
+                for at in range(0, len(code), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(n[part]), pa.string()),
+                         *(pa.array(words[x[part] - 1], pa.string(), mask=x[part] == 0) for x in w),
+                         pa.array(n[part], pa.int64())], ["lang", "w1", "w2", "w3", "n"])
 
-        size = 0
         for batch in batches:
             for lang, words, starts in _rows(batch):
-                ids, hashes = known.setdefault(lang, (Ids(), [np.zeros(1, np.uint64)]))
-                before = len(ids.words)
-                at = ids.of(words)
-                if len(ids.words) > before:
-                    hashes[:] = [np.concatenate([hashes[0], _word_hash(
-                        lang, list(ids.words)[before:])])]
-                if len(at) < k:
+                at, h = reader.of(lang, words)
+                if len(at) < 2:
                     continue
-                h = hashes[0][at]
-                parts = [h[i:len(h) - (k - 2) + i] for i in range(k - 1)]
-                whole = np.logical_and.reduce([at[i:len(h) - (k - 2) + i] != 0
-                                               for i in range(k - 1)])
-                passes = whole & _has(bits, _phrase_hash(parts))
-                start = np.flatnonzero(passes[:-1] & passes[1:])
+                pair = (at[:-1] != 0) & (at[1:] != 0) & _has(bits, _phrase_hash([h[:-1], h[1:]]))
+                start = np.flatnonzero(pair)
+                start = start[start < starts]
+                two = at[start] | at[start + 1] << 21
+                start = np.flatnonzero(pair[:-1] & pair[1:])
                 start = start[start < starts]
-                code, n = np.unique(sum(at[start + i] << (21 * i) for i in range(k)),
-                                    return_counts=True)
-                held.setdefault(lang, []).append((code, n))
-                size += len(code)
-                if size > 2 * HELD:
-                    held = {x: [merged(x)] for x in held}
+                three = at[start] | at[start + 1] << 21 | at[start + 2] << 42
+                got = np.unique(np.concatenate([two, three]), return_counts=True)
+                held.setdefault(lang, []).append(got)
+                size += len(got[0])
+                if size > 2 * HELD_HASHES:
+                    held = {x: [_merged(parts)] for x, parts in held.items()}
                     size = sum(len(x[0][0]) for x in held.values())
-                if size > HELD or sum(len(x.words) for x, _ in known.values()) > HELD:
+                if size > HELD_HASHES or len(reader) > HELD:
                     yield from out()
-                    known, held, size = {}, {}, 0
+                    reader, held, size = Reader(), {}, 0
         yield from out()
 
-    kinds = ", ".join(f"{c} string" for c in names)
-    return docs.mapInArrow(find, f"lang string, {kinds}, n long").groupBy("lang", *names).agg(
-        F.sum("n").alias("n")).where(F.col("n") >= least)
+    return docs.mapInArrow(find, "lang string, w1 string, w2 string, w3 string, n long").groupBy(
+        "lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")).where(F.col("n") >= least).drop("n")
 
 
 # ------------------------------------------------------------------ double-array tries
@@ -253,116 +283,149 @@ class Trie:
     """From a state, letter c (a word's number) leads to state base[state] + c, if that one's
     check is the state.  The first states are the languages' roots."""
     langs: list[str]
-    words: dict[bytes, int]
+    words: list[bytes]  # word number i + 1 is the i-th
     base: np.ndarray
     check: np.ndarray
-    accepts: np.ndarray  # of each state, whether a phrase ends there
+    phrase: np.ndarray  # of each state, the id of the phrase that ends there, or -1
 
     @classmethod
-    def build(cls, phrases: list[tuple[str, tuple[bytes, ...]]]) -> tuple[Trie, np.ndarray]:
-        """The trie, and the state of each phrase."""
-        langs = sorted({lang for lang, _ in phrases})
-        words = {w: i + 1 for i, w in enumerate(sorted({w for _, p in phrases for w in p}))}
-        node = {(lang,): i for i, lang in enumerate(langs)}
-        children: list[list[tuple[int, int]]] = [[] for _ in langs]  # letter, node
-        for lang, phrase in phrases:
-            for i in range(len(phrase)):
-                key, up = (lang, *phrase[:i + 1]), node[(lang, *phrase[:i])]
-                if key not in node:
-                    node[key] = len(children)
-                    children[up].append((words[phrase[i]], node[key]))
-                    children.append([])
-        taken = np.zeros(2 * len(children) + len(words) + 64, bool)
-        taken[:len(langs)] = True
-        base, state = np.zeros(len(children), np.int64), np.arange(len(children))
-        top, free = len(langs), len(langs)
-        for up in sorted(range(len(children)), key=lambda x: (-len(children[x]), x)):
-            if not children[up]:
-                break
-            letters = np.array(sorted(c for c, _ in children[up]), np.int64)
+    def build(cls, langs: np.ndarray, words: list[np.ndarray], ids: np.ndarray) -> Trie:
+        """Of phrases with a language, words (arrays by position; None: no word) and an id."""
+        names, lang = np.unique(langs.astype(str), return_inverse=True)
+        there = [np.array([w is not None for w in x], bool) for x in words]
+        letters = np.unique(np.concatenate([x[t] for x, t in zip(words, there)]).astype(object))
+        number = {w: i + 1 for i, w in enumerate(letters)}
+        # nodes, level by level: distinct (node above, letter)
+        node, parents, marks, size = lang, [], [], len(names)
+        last = node.copy()
+        for x, t in zip(words, there):
+            code = np.fromiter((number[w] for w in x[t]), np.int64, int(t.sum()))
+            pairs, at = np.unique(node[t] * (len(letters) + 1) + code, return_inverse=True)
+            parents.append(pairs // (len(letters) + 1))
+            marks.append(pairs % (len(letters) + 1))
+            node = node.copy()
+            node[t] = size + at
+            last[t] = node[t]
+            size += len(pairs)
+        parent, mark = np.concatenate(parents), np.concatenate(marks)
+        base = cls._places(parent, mark, len(names), size)
+        state = np.arange(size)
+        state[len(names):] = base[parent] + mark
+        top = int(state.max()) + 1
+        bases, check, phrase = np.zeros(top, np.int64), np.full(top, -1, np.int64), np.full(top, -1, np.int64)
+        bases[state] = base
+        check[state[len(names):]] = state[parent]
+        phrase[state[last]] = ids
+        return cls(names.tolist(), [w.encode("utf-8", "surrogatepass") for w in letters],
+                   bases, check, phrase)
+
+    @staticmethod
+    def _places(parent: np.ndarray, mark: np.ndarray, roots: int, size: int) -> np.ndarray:
+        """A base for each node, so that no two children share a place: nodes with many children
+        first, each at one of the first free places that suits it, or else behind all others;
+        single children then fill the gaps."""
+        order = np.lexsort((mark, parent))
+        parent, mark = parent[order], mark[order]
+        who, first, many = np.unique(parent, return_index=True, return_counts=True)
+        base = np.zeros(size, np.int64)
+        taken = np.zeros(roots + 2 * size + int(mark.max(initial=0)) + 1, bool)
+        taken[:roots] = True
+        free = top = roots
+        for i in np.lexsort((who, -many))[:int((many > 1).sum())].tolist():
+            letters = mark[first[i]:first[i] + many[i]]
+            span = letters - letters[0]
             while taken[free]:
                 free += 1
-            room, at = np.flatnonzero(~taken[free:free + 4096])[:64] + free, None
-            for place in room.tolist():  # a few free places, else behind all others
-                if place + letters[-1] - letters[0] >= len(taken):
-                    break
-                if not taken[place + letters - letters[0]].any():
-                    at = place
-                    break
-            at = max(top, free) if at is None else at
-            spots = at + letters - letters[0]
-            if spots[-1] >= len(taken):
-                taken = np.concatenate([taken, np.zeros(spots[-1] + len(taken), bool)])
-            taken[spots] = True
-            top = max(top, int(spots[-1]) + 1)
-            base[up] = at - letters[0]
-            for c, child in children[up]:
-                state[child] = base[up] + c
-        bases, check = np.zeros(top, np.int64), np.full(top, -1, np.int64)
-        bases[state] = base
-        for up, below in enumerate(children):
-            for _, child in below:
-                check[state[child]] = state[up]
-        ends = np.array([state[node[(lang, *p)]] for lang, p in phrases], np.int64)
-        accepts = np.zeros(top, bool)
-        accepts[ends] = True
-        return cls(langs, words, bases, check, accepts), ends
+            if top + span[-1] + 4096 > len(taken):
+                taken = np.concatenate([taken, np.zeros(len(taken) + int(span[-1]), bool)])
+            room = np.flatnonzero(~taken[free:free + 1024])[:32] + free
+            fits = [p for p in room.tolist() if not taken[p + span].any()][:1]
+            at = fits[0] if fits else max(top, free)
+            taken[at + span] = True
+            top = max(top, at + int(span[-1]) + 1)
+            base[who[i]] = at - letters[0]
+        single = np.flatnonzero(many == 1)
+        if len(single):
+            taken = np.concatenate([taken, np.zeros(len(single), bool)])
+            base[who[single]] = np.flatnonzero(~taken)[:len(single)] - mark[first[single]]
+        return base
+
+    def dump(self) -> bytes:
+        return pickle.dumps((self.langs, self.words, *(x.astype("<i4") for x in (self.base, self.check)),
+                             self.phrase))
+
+    @classmethod
+    def load(cls, raw: bytes) -> Trie:
+        return cls(*pickle.loads(raw))
 
     def step(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """The next states; -1 where there is none."""
         to = self.base[states] + letters
-        ok = (states >= 0) & (letters > 0) & (to >= 0) & (to < len(self.check))
+        ok = (letters > 0) & (to >= 0) & (to < len(self.check))
         to = np.where(ok, to, 0)
         return np.where(ok & (self.check[to] == states), to, -1)
 
-    def count(self, lang: str, words: list[bytes], starts: int, depth: int = 3) -> np.ndarray:
-        """How often each accepting state is reached from the starts of a block."""
-        letters = np.fromiter((self.words.get(w, 0) for w in words), np.int64, len(words))
-        at = np.arange(min(starts, len(words)))
-        states = np.full(len(at), self.langs.index(lang))
-        total = np.zeros(len(self.base), np.int64)
-        for level in range(depth):
-            at, states = at[at + level < len(words)], states[at + level < len(words)]
-            states = self.step(states, letters[at + level])
-            at, states = at[states >= 0], states[states >= 0]
-            total += np.bincount(states[self.accepts[states]], minlength=len(total))
-        return total
+    def counter(self):
+        """A function that adds a block's accepted states to a total, and the total."""
+        number = {w: i + 1 for i, w in enumerate(self.words)}
+        root = {lang: i for i, lang in enumerate(self.langs)}
+        total, ends = np.zeros(len(self.base), np.int64), self.phrase >= 0
+
+        def count(lang: str, words: list[bytes], starts: int, depth: int = 3) -> None:
+            if lang not in root:
+                return
+            letters = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
+            at = np.flatnonzero(letters[:starts])
+            states = np.full(len(at), root[lang])
+            for level in range(depth):
+                inside = at + level < len(words)
+                at, states = at[inside], states[inside]
+                states = self.step(states, letters[at + level])
+                at, states = at[states >= 0], states[states >= 0]
+                np.add(total, np.bincount(states[ends[states]], minlength=len(total)), out=total)
+
+        return count, total
+
+
+def _built(phrases: pa.Table) -> pa.Table:
+    """One shard's trie, as a row."""
+    col = {c: np.array(phrases[c].to_pylist(), object) for c in ("lang", "w1", "w2", "w3")}
+    trie = Trie.build(col["lang"], [col["w1"], col["w2"], col["w3"]], phrases["id"].to_numpy())
+    return pa.table({"shard": pa.array([phrases["shard"][0].as_py()], pa.int32()),
+                     "trie": pa.array([trie.dump()], pa.binary())})
 
 
 def trie_counts(docs: DataFrame, phrases: DataFrame, max_phrases: int) -> DataFrame:
-    """(lang, w1, w2, w3, a): the occurrences in docs of the stored phrases (w3 null: pairs)."""
+    """(lang, w1, w2, w3, a): the occurrences in docs of the stored phrases (of one to three
+    words; those missing are null)."""
     spark = docs.sparkSession
-    shards = -(-phrases.count() // max_phrases) or 1
-    dealt = phrases.withColumn("shard", F.pmod(F.xxhash64("lang", "w1"), F.lit(shards)))
-    found = []
+    shards = -(-phrases.count() // max_phrases)
+    dealt = stored(phrases.withColumns({
+        "id": F.monotonically_increasing_id(),
+        "shard": F.pmod(F.xxhash64("lang", "w1", "w2", "w3"), F.lit(max(shards, 1))).cast("int")}), "phrases")
+    tries = stored(dealt.groupBy("shard").applyInArrow(_built, "shard int, trie binary"), "tries")
+    sums = None
     for shard in range(shards):
-        rows = dealt.where(F.col("shard") == shard).select("lang", "w1", "w2", "w3").collect()
-        trie, ends = Trie.build([(r.lang, tuple(w.encode("utf-8", "surrogatepass") for w in r[1:]
-                                                if w is not None)) for r in rows])
-        shared = spark.sparkContext.broadcast(trie)
+        shared = spark.sparkContext.broadcast(
+            bytes(tries.where(F.col("shard") == shard).select("trie").first()["trie"]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            t = shared.value
-            total = np.zeros(len(t.base), np.int64)
+            trie = Trie.load(shared.value)
+            count, total = trie.counter()
             for batch in batches:
-                for lang, words, starts in _rows(batch):
-                    if lang in t.langs:
-                        total += t.count(lang, words, starts)
+                for block in _rows(batch):
+                    count(*block)
             state = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(state, pa.int64()),
-                                              pa.array(total[state], pa.int64())], ["state", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array(trie.phrase[state], pa.int64()),
+                                              pa.array(total[state], pa.int64())], ["id", "a"])
 
-        sums = stored(docs.mapInArrow(run, "state long, a long").groupBy("state").agg(
+        one = stored(docs.mapInArrow(run, "id long, a long").groupBy("id").agg(
             F.sum("a").alias("a")), "trie-counts")
-        names = spark.createDataFrame(pa.table(
-            {"state": pa.array(ends, pa.int64()),
-             **{c: pa.array([r[c] for r in rows], pa.string()) for c in ("lang", "w1", "w2", "w3")}}))
-        found.append(stored(names.join(sums, "state").select("lang", "w1", "w2", "w3", "a"), "counted"))
+        sums = one if sums is None else sums.unionAll(one)
         shared.destroy()
-    whole = found[0]
-    for f in found[1:]:
-        whole = whole.unionAll(f)
-    return whole
+    if sums is None:
+        return dealt.select("lang", "w1", "w2", "w3", F.lit(0).cast("long").alias("a"))
+    return stored(dealt.join(sums, "id").select("lang", "w1", "w2", "w3", "a"), "counted")
 
 
 # -------------------------------------------------------------------------- the report
@@ -373,17 +436,17 @@ def _score(a: str, left: str, right: str):
                   f"(cast({left} as decimal(38,0)) * {right})")
 
 
-def scored(words: DataFrame, phrases: DataFrame, nested: int) -> DataFrame:
-    """(lang, w1, w2, w3, a, l, r, score) of the phrases that stay, from the counts of words
-    (lang, w1, n) and phrases (lang, w1, w2, w3, a)."""
-    pairs = phrases.where("w3 IS NULL").select("lang", "w1", "w2", "a")
+def scored(phrases: DataFrame, nested: int) -> DataFrame:
+    """(lang, w1, w2, w3, a, l, r, score) of the phrases that stay, from the counts of words,
+    pairs and triples (lang, w1, w2, w3, a)."""
+    words = phrases.where("w2 IS NULL").select("lang", "w1", "a")
+    pairs = phrases.where("w2 IS NOT NULL AND w3 IS NULL").select("lang", "w1", "w2", "a")
     triples = phrases.where("w3 IS NOT NULL")
 
     def with_count(df: DataFrame, counts: DataFrame, keys: list[str], name: str) -> DataFrame:
-        cols = [c for c in counts.columns if c not in ("lang", "n", "a")]
-        n = "n" if "n" in counts.columns else "a"
+        cols = [c for c in counts.columns if c not in ("lang", "a")]
         return df.join(counts.select("lang", *(F.col(c).alias(k) for c, k in zip(cols, keys)),
-                                     F.col(n).alias(name)), ["lang", *keys])
+                                     F.col("a").alias(name)), ["lang", *keys])
 
     longer = triples.select("lang", F.col("a").alias("b"), F.explode(F.array(
         F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"))
@@ -404,19 +467,21 @@ def scored(words: DataFrame, phrases: DataFrame, nested: int) -> DataFrame:
 
 
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10,
-                 nested: int = 50, top: int = 2000, max_phrases: int = 400_000) -> DataFrame:
+                 nested: int = 50, top: int = 2000, max_phrases: int = 1_000_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` best phrases of each language."""
     ship(df.sparkSession)
     docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"),
                      F.col(text_col).alias("text")).where("text IS NOT NULL")
-    words = stored(word_counts(docs), "words")
-    frequent = words.where(F.col("n") >= least)
-    pairs = stored(candidates(docs, filter_of(frequent, ["w1"]), 2, least), "pairs")
-    triples = stored(candidates(docs, filter_of(pairs, ["w1", "w2"]), 3, least), "triples")
-    phrases = stored(pairs.select("lang", "w1", "w2", F.lit(None).cast("string").alias("w3"))
-                     .unionByName(triples.select("lang", "w1", "w2", "w3")), "phrases")
+    words = stored(hash_counts(docs, 1), "words")
+    first = filter_of(words.where("h IS NOT NULL").where(F.col("n") >= least).select("h"))
+    second = filter_of(hash_counts(docs, 2, first).where(F.col("n") >= least).select("h"))
+    found = stored(candidates(docs, second, least), "candidates")
+    single = found.where("w3 IS NULL").select("lang", F.explode(F.array("w1", "w2")).alias("w1")).distinct()
+    missing = F.lit(None).cast("string")
+    phrases = stored(found.unionByName(single.select(
+        "lang", "w1", missing.alias("w2"), missing.alias("w3"))), "all-phrases")
     counted = trie_counts(docs, phrases, max_phrases)
-    best = stored(scored(frequent, counted, nested).select(
+    best = stored(scored(counted, nested).select(
         "lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", "l", "r", "score"), "scored")
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     # first within slices of a language, so that no task ranks all phrases of one
@@ -424,5 +489,5 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     best = best.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
     best = best.withColumn("rank", F.row_number().over(
         Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = words.where("h IS NULL").select("lang", "n")
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
