@@ -5,35 +5,16 @@ from txnlake.llm import pieces
 
 from .data import MODEL, SF, docs
 from .test_secret_scan import brute as secrets
-
-
-def near_groups(texts, k=5, least=0.8):
-    """Group of each text: all pairs that share a shingle are compared."""
-    cut = [{tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))}
-           for w in (t.lower().split() for t in texts)]
-    group, at = list(range(len(texts))), {}
-
-    def root(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for i, s in enumerate(cut):
-        for j in {j for x in s for j in at.get(x, ())}:
-            if len(s & cut[j]) >= least * len(s | cut[j]):
-                a, b = root(i), root(j)
-                group[max(a, b)] = min(a, b)
-        for x in s:
-            at.setdefault(x, []).append(i)
-    return [root(i) for i in range(len(texts))]
+from .test_simhash import brute_groups, brute_print
 
 
 def test_run_against_brute_force(spark):
+    """Every group of fingerprints at two or fewer bits keeps its first document."""
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     rows = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()
             if any(c.isalpha() for c in r.text or "")]
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    groups = near_groups([r.text for r in rows])
+    groups = brute_groups([brute_print(r.text) for r in rows], 2)
     firsts = {min(r.doc_id for r, h in zip(rows, groups) if h == g) for g in set(groups)}
     clean = {r.doc_id: r.text for r in rows if r.doc_id in firsts
              and not any(i in r.text for i in items)}
@@ -58,5 +39,5 @@ def test_registered():
     import __spark_entry__
     found = __spark_entry__.queries()
     assert "pipeline" in found
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in found) == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -15,6 +16,8 @@ import txnlake
 from txnlake.session import scratch_path
 
 _shipped: set[str] = set()
+#: Broadcasts made for a stage of a pipeline, while one is built; None: not in a stage.
+_lent: list | None = None
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -31,6 +34,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, value):
+    """A broadcast; one made in a stage lives until the next ``stage`` begins."""
+    shared = spark.sparkContext.broadcast(value)
+    if _lent is not None:
+        _lent.append(shared)
+    return shared
+
+
+@contextlib.contextmanager
+def stage():
+    """Around the building of a stage, whose result is written before the next one is built: what
+    the stage before has broadcast is given back, on executors and driver."""
+    global _lent
+    for old in _held_over:
+        old.destroy()
+    _held_over.clear()
+    _lent = []
+    try:
+        yield
+    finally:
+        _held_over.extend(_lent)
+        _lent = None
+
+
+_held_over: list = []
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (any case)."""
     taken = {c.lower() for c in df.columns}

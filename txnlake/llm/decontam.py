@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnlake.llm.common import ship
+from txnlake.llm.common import share, ship
 
 NUMBER, UNIT, NAME, FIRST = 1, 2, 3, 4  # codes of the placeholders; literals from FIRST on
 # Words taken as units of measure.
@@ -49,7 +49,7 @@ UNITS = frozenset("""
     kmh celsius fahrenheit kelvin mole moles byte bytes kb mb gb tb""".split())
 NUMERIC = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 EDGES = "\"'`()[]{}<>.,;:!?*#&_~|«»„“”’…-"
-CACHE = 300_000
+CACHE = 100_000
 ENDS, CAPITAL = 1, 2
 PIECE_WORDS = 200_000
 RUN_WORDS, WORD_SHARE = 20, 0.75
@@ -228,7 +228,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         T.StructField("reparameterised", T.BooleanType())])
     found = None
     for index in indexes(benchmark, item_col, item_text_col, **(PARAMETERS | parameters)):
-        shared = df.sparkSession.sparkContext.broadcast(index)
+        shared = share(df.sparkSession, index)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -251,7 +251,7 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
                   **parameters) -> DataFrame:
     """The rows that hold no benchmark item, columns as given."""
     for index in indexes(benchmark, item_col, item_text_col, **(PARAMETERS | parameters)):
-        df = df.where(_clean(df.sparkSession.sparkContext.broadcast(index))(F.col(text_col)))
+        df = df.where(_clean(share(df.sparkSession, index))(F.col(text_col)))
     return df
 
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import sample_share, ship
+from txnlake.llm.common import sample_share, share, ship, stored
 
 UNDETERMINED = "und"
 SIZES = (3, 4)
@@ -188,8 +188,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
                 got = pd.DataFrame({"l": label[np.array(rows_)[doc]], "g": h.view(np.int64)})
                 yield got.groupby(["l", "g"], as_index=False).size().rename(columns={"size": "n"})
 
-    counted = sample.select("text", "l").mapInPandas(count, "l int, g long, n long").groupBy(
-        "l", "g").agg(F.sum("n").alias("n"))
+    counted = stored(sample.select("text", "l").mapInPandas(count, "l int, g long, n long").groupBy(
+        "l", "g").agg(F.sum("n").alias("n")), "grams")
     totals = {r.l: r.n for r in counted.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     share = F.col("n") / F.element_at(F.create_map(*(F.lit(x) for k, v in totals.items()
                                                      for x in (k, float(v)))), F.col("l")) \
@@ -208,7 +208,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
 def predictor(spark, model: Model):
     """text -> struct(lang_pred, score)."""
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
 
     @F.pandas_udf(RESULT)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -239,7 +239,7 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = fit(df.where(ids.isNotNull() & ~held_out(ids)), text_col, lang_col, **fitting)
     if not model.langs:
         return df
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = share(df.sparkSession, model)
 
     @F.pandas_udf("lang_pred string, share double")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnlake.llm.common import ship
+from txnlake.llm.common import share, ship
 
 MARK = "▁"
-CACHE = 300_000
+CACHE = 100_000
 CACHED_CHARS = 64
 #: A vocabulary up to this size is broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -190,7 +190,7 @@ def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids and whether the ids decode to the text, for every row."""
     ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(model_path))
+    shared = share(df.sparkSession, Vocabulary(model_path))
     schema = T.StructType([
         T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
         T.StructField("ids", T.ArrayType(T.IntegerType())),

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import sample_share, ship, stored
+from txnlake.llm.common import sample_share, share, ship, stored
 from txnlake.llm.langid import held_out
 
 BUCKETS = 1 << 15
@@ -253,7 +253,7 @@ def scored(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: st
            meta_cols: tuple[str, ...] = ("n_chars",), least: float = 0.3) -> DataFrame:
     """id, held_out, score, predicted of every row."""
     ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(machine)
+    shared = share(df.sparkSession, machine)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

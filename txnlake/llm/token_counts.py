@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import ship
+from txnlake.llm.common import share, ship
 from txnlake.llm.pieces import CACHE, MARK, Vocabulary, per_worker
 
 TRIE_CHARS = 64
@@ -178,7 +178,7 @@ def token_counts(df: DataFrame, model_path: str, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """id, n_pretokens and n_tokens of every row."""
     ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(model_path))
+    shared = share(df.sparkSession, Vocabulary(model_path))
 
     @F.pandas_udf("n_pretokens long, n_tokens long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import sample_share, ship, stored
+from txnlake.llm.common import sample_share, share, ship, stored
 
 EDGES = "\"'`()[]{}<>.,;:!?*#&%$_~|«»„“”’…-=+/\\"
 
@@ -171,7 +171,7 @@ def fit(df: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: st
     strongest = counted.select("w", most.alias("s")).where(F.col("s") >= least_strength).orderBy(
         F.desc("s"), "w").limit(max_words)
     words = {r.w: i for i, r in enumerate(strongest.collect())}
-    shared = df.sparkSession.sparkContext.broadcast(words)
+    shared = share(df.sparkSession, words)
 
     @F.pandas_udf("has array<int>, length double")
     def features(texts: pd.Series) -> pd.DataFrame:
@@ -197,7 +197,7 @@ def classify(df: DataFrame, chain: Chain, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """id, p_<category> and <category> (at its threshold) of every row."""
     ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(chain)
+    shared = share(df.sparkSession, chain)
     names = chain.names
     kinds = ", ".join([f"p_{n} double" for n in names] + [f"{n} boolean" for n in names])
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import lower_ascii, ship
+from txnlake.llm.common import lower_ascii, share, ship
 
 #: Rules up to this many characters in all are broadcast as a trie; longer lists are joined.
 MAX_TRIE_CHARS = 32_000_000
@@ -91,7 +91,7 @@ def match(root: Node, host: str, path: str) -> tuple[str, str] | None:
 
 def _by_trie(df: DataFrame, rules, default: str) -> DataFrame:
     ship(df.sparkSession)
-    trie = df.sparkSession.sparkContext.broadcast(build_trie(rules))
+    trie = share(df.sparkSession, build_trie(rules))
 
     @F.pandas_udf(RESULT)
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
