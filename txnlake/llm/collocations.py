@@ -48,7 +48,7 @@ END = b"\xff"  # the end of a piece; no UTF-8 text holds this byte
 NO_LANG = "und"
 BLOCK = 1 << 20  # bytes of text read at a time
 HELD = 300_000  # distinct words held by a task
-HELD_HASHES = 1 << 21  # and hashes or codes of phrases
+HELD_HASHES = 1 << 19  # and hashes or codes of phrases
 FILTER_BITS = 25
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + SEPARATORS,
                          b"abcdefghijklmnopqrstuvwxyz " + END * len(SEPARATORS))
@@ -293,7 +293,9 @@ class Trie:
         """Of phrases with a language, words (arrays by position; None: no word) and an id."""
         names, lang = np.unique(langs.astype(str), return_inverse=True)
         there = [np.array([w is not None for w in x], bool) for x in words]
-        letters = np.unique(np.concatenate([x[t] for x, t in zip(words, there)]).astype(object))
+        # frequent words get small numbers, so that children lie close together
+        letters = [w for w, _ in sorted(Counter(itertools.chain.from_iterable(
+            x[t].tolist() for x, t in zip(words, there))).items(), key=lambda x: (-x[1], x[0]))]
         number = {w: i + 1 for i, w in enumerate(letters)}
         # nodes, level by level: distinct (node above, letter)
         node, parents, marks, size = lang, [], [], len(names)
@@ -322,25 +324,34 @@ class Trie:
     @staticmethod
     def _places(parent: np.ndarray, mark: np.ndarray, roots: int, size: int) -> np.ndarray:
         """A base for each node, so that no two children share a place: nodes with many children
-        first, each at one of the first free places that suits it, or else behind all others;
-        single children then fill the gaps."""
+        first, each at the first place that suits it of a window that moves on; single children
+        then fill the gaps."""
         order = np.lexsort((mark, parent))
         parent, mark = parent[order], mark[order]
         who, first, many = np.unique(parent, return_index=True, return_counts=True)
         base = np.zeros(size, np.int64)
         taken = np.zeros(roots + 2 * size + int(mark.max(initial=0)) + 1, bool)
         taken[:roots] = True
-        free = top = roots
+        free, top, window, kind = roots, roots, 1 << 10, 0
         for i in np.lexsort((who, -many))[:int((many > 1).sum())].tolist():
             letters = mark[first[i]:first[i] + many[i]]
             span = letters - letters[0]
-            while taken[free]:
-                free += 1
-            if top + span[-1] + 4096 > len(taken):
-                taken = np.concatenate([taken, np.zeros(len(taken) + int(span[-1]), bool)])
-            room = np.flatnonzero(~taken[free:free + 1024])[:32] + free
-            fits = [p for p in room.tolist() if not taken[p + span].any()][:1]
-            at = fits[0] if fits else max(top, free)
+            if many[i] != kind and many[i] <= 8:  # fewer children: look again from the first gap on
+                kind, free = many[i], roots
+            if top + 2 * window + span[-1] > len(taken):
+                taken = np.concatenate([taken, np.zeros(len(taken) + 2 * window + int(span[-1]), bool)])
+            while True:
+                room = np.flatnonzero(~taken[free:free + window]) + free
+                tried = 1
+                while len(room) and tried < len(span):  # a few children, then twice as many
+                    some = span[tried:2 * tried]
+                    room = room[:512 if tried > 4 else None]
+                    room = room[~taken[room[:, None] + some].any(1)]
+                    tried *= 2
+                if len(room):
+                    break
+                free = min(free + window, top)  # and not here again, for nodes of this size
+            at = int(room[0])
             taken[at + span] = True
             top = max(top, at + int(span[-1]) + 1)
             base[who[i]] = at - letters[0]
@@ -467,7 +478,7 @@ def scored(phrases: DataFrame, nested: int) -> DataFrame:
 
 
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10,
-                 nested: int = 50, top: int = 2000, max_phrases: int = 1_000_000) -> DataFrame:
+                 nested: int = 50, top: int = 2000, max_phrases: int = 500_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` best phrases of each language."""
     ship(df.sparkSession)
     docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"),
