@@ -4,16 +4,19 @@ A text's A-Z are lower-cased, pieces end at ``SEPARATORS``, words at spaces and
 is counted per language.  ``n`` is the number of words, f(phrase) that of its contiguous
 occurrences within pieces.  Candidates are the phrases with f >= ``least``.
 
+The texts are read once into a table of chunks: the numbers of their words, and of each number
+the word's 64-bit hash.  The table of words tells whether two words of a language share a hash;
+if so, the texts are read again with another seed, so from there on hashes stand for words exactly.
+
 Level by level, as in Apriori: only words with f >= ``least`` can stand in a candidate pair, and
-only such pairs in a candidate triple.  Words, then pairs, are first counted by 64-bit hashes; the
-hashes that reach ``least`` become a filter of a fixed size, broadcast to the next level.  (Hashes
-and filters may let more through, never less.)  The pairs and triples of words that pass are the
-candidates.  With their words they go into double-array tries (one root a language), dealt by a
-hash to at most ``max_phrases`` each in expectation; tasks build them.  Each trie is broadcast in
-its turn, and the texts are read once for each: numpy advances the states of all text positions
-together, level by level; accepting states are counted with bincount, and the tasks' counts
-summed.  All of a, l and r come from there.  So the number of readings grows with the candidates,
-and no task's memory does.
+only such pairs in a candidate triple.  Pairs, then triples, are first counted by the hash of their
+words; the hashes that reach ``least`` become a filter of a fixed size, broadcast to the next
+level.  (It may let more through, never less.)  What passes the filters are the candidates.  With
+their words they go into double-array tries (one root a language), dealt by a hash to at most
+``max_phrases`` each in expectation; tasks build them.  Each trie is broadcast in its turn, and the
+chunks are read once for each: numpy advances the states of all text positions together, level by
+level; accepting states are counted with bincount, and the tasks' counts summed.  All of a, l and r
+come from there.  So the number of readings grows with the candidates, and no task's memory does.
 
 Cutting a candidate in two gives l and r (f of the first part and of the rest) and the score
 floor(1000000 a a / (l r)), in decimals of 38 digits; the lowest score counts, ties to the
@@ -41,14 +44,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import ship, stored
+from txnlake.llm.common import share, ship, stored
 
 SEPARATORS = b".,;:!?\n\v\f\r"
 END = b"\xff"  # the end of a piece; no UTF-8 text holds this byte
 NO_LANG = "und"
 BLOCK = 1 << 20  # bytes of text read at a time
-HELD = 300_000  # distinct words held by a task
-HELD_HASHES = 1 << 19  # and hashes or codes of phrases
+CHUNK_WORDS = 1 << 20  # words of a chunk
+HELD_HASHES = 1 << 20  # hashes of phrases that a task holds
 FILTER_BITS = 25
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + SEPARATORS,
                          b"abcdefghijklmnopqrstuvwxyz " + END * len(SEPARATORS))
@@ -107,35 +110,80 @@ def blocks(langs: Iterable, texts: Iterable) -> Iterator[tuple[str, list[bytes],
         yield lang, got, len(got)
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], int]]:
-    """Blocks of a batch, whose texts become Python strings one at a time."""
-    return blocks((x.as_py() for x in batch["lang"]), (x.as_py() for x in batch["text"]))
-
+def _word_hash(lang: str, words: Iterable[bytes], seed: int) -> np.ndarray:
+    """64-bit hashes of words; 0 is END's."""
+    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), seed)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) or 1 for w in words), np.uint64)
+
+
+READ = "lang string, ids binary, hashes binary, starts int, word string, h long, n long"
+
+
+def read_texts(docs: DataFrame, seed: int) -> DataFrame:
+    """Chunks (lang, ids, hashes, starts) and, in rows of their own, the words of each (lang, word,
+    h, n) of docs (lang, text).  A chunk's ids are numbers of its words, 0 is END, and hashes[id]
+    is the word's; phrases start at the first ``starts`` ids."""
+    def chunk(lang: str, parts: list[list[bytes]], starts: int | None) -> Iterator[pa.RecordBatch]:
+        number: dict[bytes, int] = {END: 0}
+        flat = list(itertools.chain.from_iterable([*p, END] for p in parts))
+        for w in set(flat).difference(number):
+            number[w] = len(number)
+        ids = np.fromiter(map(number.__getitem__, flat), "<u4", len(flat))
+        words = list(number)[1:]
+        h = np.concatenate([np.zeros(1, np.uint64), _word_hash(lang, words, seed)])
+        starts = len(ids) if starts is None else starts
+        n = np.bincount(ids[:starts], minlength=len(h))[1:]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang], pa.string()), pa.array([ids.tobytes()], pa.binary()),
+             pa.array([h.tobytes()], pa.binary()), pa.array([starts], pa.int32()),
+             pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
+        for at in range(0, len(words), 1 << 14):
+            part = [w.decode("utf-8", "surrogatepass") for w in words[at:at + (1 << 14)]]
+            end = at + len(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(part), pa.string()), *(pa.nulls(len(part), pa.binary()),) * 2,
+                 pa.nulls(len(part), pa.int32()), pa.array(part, pa.string()),
+                 pa.array(h[1 + at:1 + end].view(np.int64)), pa.array(n[at:end], pa.int64())], names)
+
+    names = [x.split()[0] for x in READ.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        size: Counter = Counter()
+        for batch in batches:
+            texts = ((x.as_py() for x in batch[c]) for c in ("lang", "text"))
+            for lang, words, starts in blocks(*texts):
+                if starts < len(words):  # a piece of a long text, with the words that follow it
+                    yield from chunk(lang, [words], starts)
+                    continue
+                held.setdefault(lang, []).append(words)
+                size[lang] += len(words)
+                if sum(size.values()) >= CHUNK_WORDS:
+                    lang = max(size, key=size.get)
+                    size[lang] = 0
+                    yield from chunk(lang, held.pop(lang), None)
+        for lang, parts in held.items():
+            yield from chunk(lang, parts, None)
 
-class Ids:
-    """Numbers of the words met, from 1 on; 0 is END."""
+    return docs.mapInArrow(read, READ)
 
-    def __init__(self):
-        self.words: dict[bytes, int] = {END: 0}
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        for w in set(words).difference(self.words):
-            self.words[w] = len(self.words)
-        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, int]]:
+    for batch in batches:
+        for i in range(len(batch)):
+            yield (batch["lang"][i].as_py(), np.frombuffer(batch["ids"][i].as_buffer(), "<u4").astype(np.int64),
+                   np.frombuffer(batch["hashes"][i].as_buffer(), "<u8"), batch["starts"][i].as_py())
 
 
 # ------------------------------------------------------------------- level candidates
 
-def _word_hash(lang: str, words: Iterable[bytes]) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64)
-
-
 def _phrase_hash(parts: list[np.ndarray]) -> np.ndarray:
+    """The hash of words' hashes, or of pairs' hashes: both say which words and language."""
     h = parts[0]
     for p in parts[1:]:
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + p
-    return h ^ (h >> np.uint64(32))
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(31))
 
 
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -153,25 +201,22 @@ def filter_of(hashes: DataFrame) -> np.ndarray:
     return bits
 
 
-class Reader:
-    """Word numbers and hashes of a task, by language."""
-
-    def __init__(self):
-        self.known: dict[str, tuple[Ids, np.ndarray]] = {}
-
-    def of(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and hashes of the words of a block."""
-        ids, hashes = self.known.setdefault(lang, (Ids(), np.zeros(1, np.uint64)))
-        before = len(ids.words)
-        at = ids.of(words)
-        if len(ids.words) > before:
-            new = list(itertools.islice(ids.words, before, None))
-            hashes = np.concatenate([hashes, _word_hash(lang, new)])
-            self.known[lang] = ids, hashes
-        return at, hashes[at]
-
-    def __len__(self) -> int:
-        return sum(len(ids.words) for ids, _ in self.known.values())
+def _starts(filters: list[np.ndarray], ids: np.ndarray, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of a chunk, for phrases of 2, 3 ... words as far as the filters (of words, pairs ...) go: the
+    places where one starts whose parts pass, and its hash."""
+    word = _has(filters[0], hashes)
+    word[0] = False
+    ok, h = word[ids], hashes[ids]
+    start = np.flatnonzero(ok[:-1] & ok[1:])
+    found = [(start, _phrase_hash([h[start], h[start + 1]]))]
+    for below in filters[1:]:
+        start, key = found[-1]
+        good = _has(below, key)
+        start, key = start[good], key[good]
+        follows = np.flatnonzero(start[1:] == start[:-1] + 1)
+        found[-1] = start, key
+        found.append((start[follows], _phrase_hash([key[follows], key[follows + 1]])))
+    return found
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,99 +226,48 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return key, np.bincount(at, n, len(key)).astype(np.int64)
 
 
-def hash_counts(docs: DataFrame, k: int, below: np.ndarray | None = None) -> DataFrame:
-    """(h, lang, n): occurrences in docs (lang, text) of the hashes of words (k = 1), or of pairs
-    of words that both pass the filter ``below`` (k = 2).  With h null, the words of a language."""
-    shared = None if below is None else docs.sparkSession.sparkContext.broadcast(below)
+def hash_counts(chunks: DataFrame, filters: list[np.ndarray]) -> DataFrame:
+    """(h, n): occurrences of the hashes of phrases, one word longer than the last filter's, whose
+    parts pass the filters (of words, of pairs)."""
+    shared = [share(chunks.sparkSession, f) for f in filters]
 
-    def rows(h: np.ndarray, n: np.ndarray, langs=None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)) if langs is None else pa.nulls(len(n), pa.int64()),
-             pa.nulls(len(n), pa.string()) if langs is None else pa.array(langs, pa.string()),
-             pa.array(n, pa.int64())], ["h", "lang", "n"])
+    def rows(parts: list) -> pa.RecordBatch:
+        h, n = _merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, held, size, total = Reader(), [], 0, Counter()
-        for batch in batches:
-            for lang, words, starts in _rows(batch):
-                at, h = reader.of(lang, words)
-                if k == 1:
-                    whole = at[:starts] != 0
-                    total[lang] += int(whole.sum())
-                    h = h[:starts][whole]
-                else:
-                    ok = (at != 0) & _has(shared.value, h)
-                    start = np.flatnonzero(ok[:-1] & ok[1:])
-                    start = start[start < starts]
-                    h = _phrase_hash([h[start], h[start + 1]])
-                h, n = np.unique(h, return_counts=True)
-                held.append((h, n))
-                size += len(h)
-                if size > 2 * HELD_HASHES:
-                    held = [_merged(held)]
-                    size = len(held[0][0])
-                if size > HELD_HASHES:
-                    yield rows(*_merged(held))
-                    held, size = [], 0
-                if len(reader) > HELD:
-                    reader = Reader()
+        held, size = [], 0
+        for _, ids, hashes, starts in _chunks(batches):
+            start, h = _starts([f.value for f in shared], ids, hashes)[-1]
+            held.append(np.unique(h[start < starts], return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD_HASHES:
+                yield rows(held)
+                held, size = [], 0
         if held:
-            yield rows(*_merged(held))
-        if total:
-            yield rows(None, np.fromiter(total.values(), np.int64, len(total)), list(total))
+            yield rows(held)
 
-    got = docs.mapInArrow(count, "h long, lang string, n long").groupBy("h", "lang").agg(
-        F.sum("n").alias("n"))
-    return got
+    return chunks.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def candidates(docs: DataFrame, below: np.ndarray, least: int) -> DataFrame:
-    """(lang, w1, w2, w3): the pairs (w3 null) that pass the filter ``below`` and the triples both
-    of whose pairs do, with ``least`` occurrences in docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(below)
+def candidates(chunks: DataFrame, filters: list[np.ndarray]) -> DataFrame:
+    """(lang, w1, w2, w3), words by their hashes, of the pairs (w3 null) and triples whose parts and
+    selves pass the filters (of words, pairs, triples)."""
+    shared = [share(chunks.sparkSession, f) for f in filters]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        reader, held, size = Reader(), {}, 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, parts in held.items():
-                code, n = _merged(parts)
-                words = np.array([w.decode("utf-8", "surrogatepass")
-                                  for w in reader.known[lang][0].words if w != END] or [""], object)
-                w = [(code >> (21 * i)) & ((1 << 21) - 1) for i in range(3)]
-                for at in range(0, len(code), 1 << 16):
-                    part = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(n[part]), pa.string()),
-                         *(pa.array(words[x[part] - 1], pa.string(), mask=x[part] == 0) for x in w),
-                         pa.array(n[part], pa.int64())], ["lang", "w1", "w2", "w3", "n"])
+        for lang, ids, hashes, starts in _chunks(batches):
+            # the last level's parts passed all filters; what comes after it is not asked for
+            for k, (start, key) in enumerate(_starts([f.value for f in shared], ids, hashes)[:-1], 2):
+                inside = start < starts
+                _, at = np.unique(key[inside], return_index=True)
+                at = start[inside][at]
+                words = [pa.array(hashes[ids[at + i]].view(np.int64)) for i in range(k)]
+                words += [pa.nulls(len(at), pa.int64())] * (3 - k)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), *words],
+                                                 ["lang", "w1", "w2", "w3"])
 
-        for batch in batches:
-            for lang, words, starts in _rows(batch):
-                at, h = reader.of(lang, words)
-                if len(at) < 2:
-                    continue
-                pair = (at[:-1] != 0) & (at[1:] != 0) & _has(bits, _phrase_hash([h[:-1], h[1:]]))
-                start = np.flatnonzero(pair)
-                start = start[start < starts]
-                two = at[start] | at[start + 1] << 21
-                start = np.flatnonzero(pair[:-1] & pair[1:])
-                start = start[start < starts]
-                three = at[start] | at[start + 1] << 21 | at[start + 2] << 42
-                got = np.unique(np.concatenate([two, three]), return_counts=True)
-                held.setdefault(lang, []).append(got)
-                size += len(got[0])
-                if size > 2 * HELD_HASHES:
-                    held = {x: [_merged(parts)] for x, parts in held.items()}
-                    size = sum(len(x[0][0]) for x in held.values())
-                if size > HELD_HASHES or len(reader) > HELD:
-                    yield from out()
-                    reader, held, size = Reader(), {}, 0
-        yield from out()
-
-    return docs.mapInArrow(find, "lang string, w1 string, w2 string, w3 string, n long").groupBy(
-        "lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")).where(F.col("n") >= least).drop("n")
+    return chunks.mapInArrow(find, "lang string, w1 long, w2 long, w3 long").distinct()
 
 
 # ------------------------------------------------------------------ double-array tries
@@ -283,25 +277,26 @@ class Trie:
     """From a state, letter c (a word's number) leads to state base[state] + c, if that one's
     check is the state.  The first states are the languages' roots."""
     langs: list[str]
-    words: list[bytes]  # word number i + 1 is the i-th
+    words: np.ndarray  # hashes, ascending
+    numbers: np.ndarray  # and the letter of each
     base: np.ndarray
     check: np.ndarray
     phrase: np.ndarray  # of each state, the id of the phrase that ends there, or -1
 
     @classmethod
-    def build(cls, langs: np.ndarray, words: list[np.ndarray], ids: np.ndarray) -> Trie:
-        """Of phrases with a language, words (arrays by position; None: no word) and an id."""
+    def build(cls, langs: np.ndarray, words: list[np.ndarray], there: list[np.ndarray],
+              ids: np.ndarray) -> Trie:
+        """Of phrases with a language, words by position (where there are any) and an id."""
         names, lang = np.unique(langs.astype(str), return_inverse=True)
-        there = [np.array([w is not None for w in x], bool) for x in words]
+        known, often = np.unique(np.concatenate([x[t] for x, t in zip(words, there)]), return_counts=True)
         # frequent words get small numbers, so that children lie close together
-        letters = [w for w, _ in sorted(Counter(itertools.chain.from_iterable(
-            x[t].tolist() for x, t in zip(words, there))).items(), key=lambda x: (-x[1], x[0]))]
-        number = {w: i + 1 for i, w in enumerate(letters)}
+        letters = np.zeros(len(known), np.int64)
+        letters[np.argsort(-often, kind="stable")] = np.arange(1, len(known) + 1)
         # nodes, level by level: distinct (node above, letter)
         node, parents, marks, size = lang, [], [], len(names)
         last = node.copy()
         for x, t in zip(words, there):
-            code = np.fromiter((number[w] for w in x[t]), np.int64, int(t.sum()))
+            code = letters[np.searchsorted(known, x[t])]
             pairs, at = np.unique(node[t] * (len(letters) + 1) + code, return_inverse=True)
             parents.append(pairs // (len(letters) + 1))
             marks.append(pairs % (len(letters) + 1))
@@ -318,8 +313,7 @@ class Trie:
         bases[state] = base
         check[state[len(names):]] = state[parent]
         phrase[state[last]] = ids
-        return cls(names.tolist(), [w.encode("utf-8", "surrogatepass") for w in letters],
-                   bases, check, phrase)
+        return cls(names.tolist(), known, letters, bases, check, phrase)
 
     @staticmethod
     def _places(parent: np.ndarray, mark: np.ndarray, roots: int, size: int) -> np.ndarray:
@@ -362,8 +356,8 @@ class Trie:
         return base
 
     def dump(self) -> bytes:
-        return pickle.dumps((self.langs, self.words, *(x.astype("<i4") for x in (self.base, self.check)),
-                             self.phrase))
+        small = (x.astype("<i4") for x in (self.numbers, self.base, self.check))
+        return pickle.dumps((self.langs, self.words, *small, self.phrase))
 
     @classmethod
     def load(cls, raw: bytes) -> Trie:
@@ -376,66 +370,62 @@ class Trie:
         to = np.where(ok, to, 0)
         return np.where(ok & (self.check[to] == states), to, -1)
 
-    def counter(self):
-        """A function that adds a block's accepted states to a total, and the total."""
-        number = {w: i + 1 for i, w in enumerate(self.words)}
-        root = {lang: i for i, lang in enumerate(self.langs)}
-        total, ends = np.zeros(len(self.base), np.int64), self.phrase >= 0
-
-        def count(lang: str, words: list[bytes], starts: int, depth: int = 3) -> None:
-            if lang not in root:
-                return
-            letters = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
-            at = np.flatnonzero(letters[:starts])
-            states = np.full(len(at), root[lang])
-            for level in range(depth):
-                inside = at + level < len(words)
-                at, states = at[inside], states[inside]
-                states = self.step(states, letters[at + level])
-                at, states = at[states >= 0], states[states >= 0]
-                np.add(total, np.bincount(states[ends[states]], minlength=len(total)), out=total)
-
-        return count, total
+    def count(self, lang: str, ids: np.ndarray, hashes: np.ndarray, starts: int,
+              total: np.ndarray, depth: int = 3) -> None:
+        """Add to the total how often each accepting state is reached in a chunk."""
+        if lang not in self.langs:
+            return
+        at = np.searchsorted(self.words, hashes).clip(max=len(self.words) - 1)
+        letters = np.where(self.words[at] == hashes, self.numbers[at], 0)[ids]
+        at = np.flatnonzero(letters[:starts])
+        states = np.full(len(at), self.langs.index(lang))
+        for level in range(depth):
+            inside = at + level < len(letters)
+            at, states = at[inside], states[inside]
+            states = self.step(states, letters[at + level])
+            at, states = at[states >= 0], states[states >= 0]
+            total += np.bincount(states[self.phrase[states] >= 0], minlength=len(total))
 
 
 def _built(phrases: pa.Table) -> pa.Table:
     """One shard's trie, as a row."""
-    col = {c: np.array(phrases[c].to_pylist(), object) for c in ("lang", "w1", "w2", "w3")}
-    trie = Trie.build(col["lang"], [col["w1"], col["w2"], col["w3"]], phrases["id"].to_numpy())
+    cols = [phrases[c].combine_chunks() for c in ("w1", "w2", "w3")]
+    trie = Trie.build(np.array(phrases["lang"].to_pylist(), object),
+                      [c.fill_null(0).to_numpy().view(np.uint64) for c in cols],
+                      [c.is_valid().to_numpy(zero_copy_only=False) for c in cols], phrases["id"].to_numpy())
     return pa.table({"shard": pa.array([phrases["shard"][0].as_py()], pa.int32()),
                      "trie": pa.array([trie.dump()], pa.binary())})
 
 
-def trie_counts(docs: DataFrame, phrases: DataFrame, max_phrases: int) -> DataFrame:
-    """(lang, w1, w2, w3, a): the occurrences in docs of the stored phrases (of one to three
-    words; those missing are null)."""
-    spark = docs.sparkSession
+def trie_counts(chunks: DataFrame, phrases: DataFrame, max_phrases: int) -> DataFrame:
+    """(lang, w1, w2, w3, a): the occurrences in the chunks of the stored phrases (of one to three
+    words, by hash; those missing are null)."""
+    spark = chunks.sparkSession
     shards = -(-phrases.count() // max_phrases)
     dealt = stored(phrases.withColumns({
         "id": F.monotonically_increasing_id(),
         "shard": F.pmod(F.xxhash64("lang", "w1", "w2", "w3"), F.lit(max(shards, 1))).cast("int")}), "phrases")
     tries = stored(dealt.groupBy("shard").applyInArrow(_built, "shard int, trie binary"), "tries")
-    sums = None
+    sums = dealt.select("id", F.lit(0).cast("long").alias("a")).limit(0)
     for shard in range(shards):
-        shared = spark.sparkContext.broadcast(
-            bytes(tries.where(F.col("shard") == shard).select("trie").first()["trie"]))
+        # one row, of a size that max_phrases bounds; a shard may be empty
+        raw = tries.where(F.col("shard") == shard).select("trie").first()
+        if raw is None:
+            continue
+        shared = spark.sparkContext.broadcast(bytes(raw["trie"]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             trie = Trie.load(shared.value)
-            count, total = trie.counter()
-            for batch in batches:
-                for block in _rows(batch):
-                    count(*block)
+            total = np.zeros(len(trie.base), np.int64)
+            for lang, ids, hashes, starts in _chunks(batches):
+                trie.count(lang, ids, hashes, starts, total)
             state = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(trie.phrase[state], pa.int64()),
                                               pa.array(total[state], pa.int64())], ["id", "a"])
 
-        one = stored(docs.mapInArrow(run, "id long, a long").groupBy("id").agg(
-            F.sum("a").alias("a")), "trie-counts")
-        sums = one if sums is None else sums.unionAll(one)
+        sums = sums.unionAll(stored(chunks.mapInArrow(run, "id long, a long").groupBy("id").agg(
+            F.sum("a").alias("a")), "trie-counts"))
         shared.destroy()
-    if sums is None:
-        return dealt.select("lang", "w1", "w2", "w3", F.lit(0).cast("long").alias("a"))
     return stored(dealt.join(sums, "id").select("lang", "w1", "w2", "w3", "a"), "counted")
 
 
@@ -465,7 +455,7 @@ def scored(phrases: DataFrame, nested: int) -> DataFrame:
     two = with_count(with_count(pairs, words, ["w1"], "l"), words, ["w2"], "r")
     two = two.join(longest, ["lang", "w1", "w2"], "left").where(
         f"b IS NULL OR 100 * b < {int(nested)} * a").select(
-        "lang", "w1", "w2", F.lit(None).cast("string").alias("w3"), "a", "l", "r",
+        "lang", "w1", "w2", F.lit(None).cast("long").alias("w3"), "a", "l", "r",
         _score("a", "l", "r").alias("score"))
     three = with_count(with_count(triples, words, ["w1"], "l1"), pairs, ["w2", "w3"], "r1")
     three = with_count(with_count(three, pairs, ["w1", "w2"], "l2"), words, ["w3"], "r2")
@@ -483,22 +473,34 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     ship(df.sparkSession)
     docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"),
                      F.col(text_col).alias("text")).where("text IS NOT NULL")
-    words = stored(hash_counts(docs, 1), "words")
-    first = filter_of(words.where("h IS NOT NULL").where(F.col("n") >= least).select("h"))
-    second = filter_of(hash_counts(docs, 2, first).where(F.col("n") >= least).select("h"))
-    found = stored(candidates(docs, second, least), "candidates")
+    for seed in itertools.count():
+        read = stored(read_texts(docs, seed), "read")
+        words = stored(read.where("word IS NOT NULL").groupBy("lang", "h").agg(
+            F.min("word").alias("word"), F.max("word").alias("other"), F.sum("n").alias("n")), "words")
+        if words.where("word <> other").isEmpty():
+            break
+    chunks = read.where("ids IS NOT NULL").select("lang", "ids", "hashes", "starts")
+    filters = [filter_of(words.where(F.col("n") >= least).select("h"))]
+    for _ in range(2):
+        filters.append(filter_of(hash_counts(chunks, filters).where(F.col("n") >= least).select("h")))
+    found = stored(candidates(chunks, filters), "candidates")
     single = found.where("w3 IS NULL").select("lang", F.explode(F.array("w1", "w2")).alias("w1")).distinct()
-    missing = F.lit(None).cast("string")
+    missing = F.lit(None).cast("long")
     phrases = stored(found.unionByName(single.select(
         "lang", "w1", missing.alias("w2"), missing.alias("w3"))), "all-phrases")
-    counted = trie_counts(docs, phrases, max_phrases)
-    best = stored(scored(counted, nested).select(
-        "lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", "l", "r", "score"), "scored")
+    # the filters may have let a few through that are too rare, but words count whatever they are
+    counted = trie_counts(chunks, phrases, max_phrases).where((F.col("a") >= least) | F.col("w2").isNull())
+    best = scored(counted, nested)
+    for i in (1, 2, 3):
+        best = best.join(words.select("lang", F.col("h").alias(f"w{i}"), F.col("word").alias(f"t{i}")),
+                         ["lang", f"w{i}"], "inner" if i < 3 else "left")
+    best = stored(best.select("lang", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"),
+                              "a", "l", "r", "score"), "scored")
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     # first within slices of a language, so that no task ranks all phrases of one
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order)
     best = best.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
     best = best.withColumn("rank", F.row_number().over(
         Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    totals = words.where("h IS NULL").select("lang", "n")
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
