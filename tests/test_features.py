@@ -153,3 +153,46 @@ def test_dense_rows_without_times_and_amounts_in_every_split(spark):
 
 def test_no_rows(spark):
     assert FT.window_features(_silver(spark, []), max_key_rows=SPLIT).count() == 0
+
+
+def _key_of_a_day(spark, n):
+    return spark.range(n).selectExpr(
+        "id AS txn_seq", "'M1' AS merchant_id", "concat('C', id) AS user_id",
+        "timestamp_seconds(1704067200 + (id * 7919) % 86400) AS transaction_time",
+        "double(id % 100) AS amount", "cast(0 AS byte) AS isFraud")
+
+
+def test_one_key_with_all_its_rows_in_a_day(spark):
+    """No frame slides over its rows again: 200,000 rows of one day, against DuckDB."""
+    import duckdb
+    df = _key_of_a_day(spark, 200_000)
+    got = FT.dest_window_features(df).selectExpr(
+        "sum(dest_msg_count_1h) AS n1", "sum(dest_msg_count_24h) AS n24",
+        "sum(cast(dest_amount_sum_1h AS decimal(38,2))) AS s1", "sum(dest_count_past) AS past").first()
+    rows = df.selectExpr("unix_seconds(transaction_time) AS t", "amount").toPandas()  # noqa: F841
+    want = duckdb.sql("""WITH w AS (SELECT count(*) OVER h AS n1, count(*) OVER d AS n24,
+            coalesce(sum(amount) OVER h, 0) AS s1 FROM rows
+            WINDOW h AS (ORDER BY t RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING),
+                   d AS (ORDER BY t RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING))
+            SELECT sum(n1), sum(n24), sum(s1) FROM w""")
+    n1, n24, s1 = want.fetchall()[0]
+    assert (got.n1, got.n24, float(got.s1)) == (n1, n24, s1)
+    assert got.past == 200_000 * 199_999 // 2
+
+
+def test_no_frame_slides(spark):
+    plan = FT.window_features(_silver(spark, []))._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan.replace("$", "").lower() and "-3600" not in plan
+
+
+def test_amounts_beyond_the_sums(spark):
+    """NaN, infinite and huge amounts are rows without an amount in sums; no job ends."""
+    t0 = datetime(2024, 1, 1)
+    amounts = [1.0, float("nan"), 1e30, float("inf"), -1e30, None, 2.0, 4.0]
+    rows = [(i, "M1", "C1", t0 + timedelta(minutes=i), a, 0) for i, a in enumerate(amounts)]
+    for limit in (SPLIT, WHOLE):
+        got = {r.txn_seq: r for r in FT.window_features(_silver(spark, rows), max_key_rows=limit).collect()}
+        assert [got[i].dest_amount_sum_1h for i in range(8)] == [None, *[1.0] * 6, 3.0]
+        assert [got[i].dest_msg_count_1h for i in range(8)] == list(range(8))
+        assert got[7].orig_sum_amount_past == 3.0 and got[7].orig_avg_amount_past == 1.5
+        assert got[3].orig_prev_amount == 1e30

@@ -108,3 +108,11 @@ def test_profile_shows_a_stable_sample(spark):
     assert (row.database, row.table, row.row_count) == ("default", "t", 50)
     assert row.sample == sorted(row.sample) and len(row.sample) == 3
     assert not spark.catalog.tableExists("t")
+
+
+def test_the_stream_drops_repeated_rows_like_the_hourly_batch(spark):
+    land = _few_hours(spark).filter("part_hour < '03'")
+    lpath, spath, ckpt = (scratch_path(spark, n) for n in ("l2", "s2", "c2"))
+    K.landing_partitioned_write(land.unionByName(land), lpath, dynamic=False)
+    run_hourly_stream(spark, lpath, spath, ckpt).awaitTermination()
+    assert spark.read.parquet(spath).count() == land.count()

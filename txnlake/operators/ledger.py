@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from txnlake.functions.columns import LARGE_TXN_AMOUNT, clip, epoch_seconds, is_night_hour
 from txnlake.operators.features import EXACT, MINUTE_SECONDS, NULL_KEY, bucket_of, hot_keys
 from txnlake.schemas import SEQ_COL
+from txnlake.session import materialize
 
 # Expected fraud rate (x3 at night) and the per-segment amount
 # bounds (min, max) for TRANSFER, CASH_OUT and every other type.
@@ -99,25 +100,35 @@ def ledger_running_balance(df: DataFrame, opening: float = 1000.0,
     time buckets, whose totals and minima are carried by a window over the small
     (account, bucket) table; every other account is one bucket.  Sums are DECIMAL, so
     neither the split nor the turnover shows in the last digits.  Legs without a time
-    come first.
+    come first.  An amount that DECIMAL(28,6) cannot hold (NaN, infinite, 1e22 and more) moves
+    nothing, like a missing one.
     """
     key = F.coalesce("account", F.lit(NULL_KEY))
-    legs = ledger_legs(df).withColumns({"_k": key, "_d": F.col("delta").cast(EXACT)})
-    hot = F.broadcast(hot_keys(legs, F.col("_k"), max_account_legs))
-    legs = legs.join(hot.withColumn("_hot", F.lit(True)), "_k", "left").withColumn(
-        "_b", bucket_of(F.coalesce("_hot", F.lit(False)), epoch_seconds("transaction_time"),
-                        bucket_seconds))
-    upto = Window.partitionBy("_k", "_b").orderBy("transaction_time", "seq", "copy", "leg") \
+    zero = F.lit(0).cast(EXACT)
+    legs = ledger_legs(df).withColumns({"_k": key, "_d": F.coalesce(F.col("delta").try_cast(EXACT), zero)})
+    hot = hot_keys(legs, F.col("_k"), max_account_legs)
+    by, split = ["_k"], not hot.isEmpty()
+    if split:
+        hot = materialize(hot)  # at most rows / max_account_legs accounts
+        legs = legs.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_k", "left").withColumn(
+            "_b", bucket_of(F.coalesce("_hot", F.lit(False)), epoch_seconds("transaction_time"),
+                            bucket_seconds))
+        by = ["_k", "_b"]
+    upto = Window.partitionBy(*by).orderBy("transaction_time", "seq", "copy", "leg") \
         .rowsBetween(Window.unboundedPreceding, 0)
     legs = legs.withColumn("_l", F.sum("_d").over(upto)).withColumn("_lm", F.min("_l").over(upto))
-    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (legs.filter("_hot").groupBy("_k", "_b")
-               .agg(F.sum("_d").alias("_t"), F.min("_l").alias("_m"))
-               .withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0)))
-               .withColumn("_pm", F.min(F.col("_o") + F.col("_m")).over(before))
-               .select("_k", "_b", "_o", "_pm"))
-    j = legs.join(carried, ["_k", "_b"], "left")
-    b0, zero = F.lit(opening).cast(EXACT), F.lit(0).cast(EXACT)
+    if split:
+        before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = (legs.filter("_hot").groupBy("_k", "_b")
+                   .agg(F.sum("_d").alias("_t"), F.min("_l").alias("_m"))
+                   .withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+                   .withColumn("_pm", F.min(F.col("_o") + F.col("_m")).over(before))
+                   .select("_k", "_b", "_o", "_pm"))
+        legs = legs.join(carried, ["_k", "_b"], "left")
+    else:
+        legs = legs.withColumns({"_o": zero, "_pm": F.lit(None).cast(EXACT)})
+    j = legs
+    b0 = F.lit(opening).cast(EXACT)
     earlier = F.coalesce("_o", zero)
     least = F.least(b0 + F.col("_pm"), b0 + earlier + F.col("_lm"), zero)
     return j.select("account", "transaction_time", "seq", "leg", "delta",

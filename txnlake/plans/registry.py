@@ -59,6 +59,7 @@ def load_all() -> None:
     from txnlake.plans import (  # noqa: F401
         queries_core,
         queries_features,
+        queries_incremental,
         queries_io,
         queries_ml,
     )
