@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,34 @@ def stage():
 _held_over: list = []
 
 
+#: In a Python worker: what it keeps for later tasks, of one operator at a time.
+_kept: dict = {}
+
+
+def turn_to(operator: str) -> None:
+    """A worker that turns from one operator to another lets go of what it kept for the first;
+    memory that is free goes back to the system, as workers live on from stage to stage."""
+    if _kept.get("operator") != operator:
+        _kept.clear()
+        _kept["operator"] = operator
+        gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def kept(operator: str, key, make):
+    """``make()``, kept by this worker for later tasks of the operator."""
+    turn_to(operator)
+    if _kept.get("key") != key:
+        _kept["key"], _kept["value"] = key, make()
+    return _kept["value"]
+
+
+def each(cells: pa.Array):
+    """The values of an Arrow array, one at a time: no list of all texts of a batch."""
+    return (x.as_py() for x in cells)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (any case)."""
     taken = {c.lower() for c in df.columns}

@@ -31,13 +31,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnlake.llm.common import share, ship
+from txnlake.llm.common import each, share, ship, turn_to
 
 NUMBER, UNIT, NAME, FIRST = 1, 2, 3, 4  # codes of the placeholders; literals from FIRST on
 # Words taken as units of measure.
@@ -257,9 +256,10 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 def _clean(shared):
     """text -> whether it holds no item of the broadcast index."""
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        turn_to("decontam")
         for texts in batches:
-            yield pd.Series([not shared.value.find(t) for t in texts], dtype=bool)
+            yield pa.array((not shared.value.find(t) for t in each(texts)), pa.bool_(), size=len(texts))
 
     return clean

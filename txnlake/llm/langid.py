@@ -28,10 +28,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import sample_share, share, ship, stored
+from txnlake.llm.common import each, sample_share, share, ship, stored, turn_to
 
 UNDETERMINED = "und"
 SIZES = (3, 4)
@@ -130,19 +131,20 @@ class Model:
         return np.unpackbits(rows, axis=1, bitorder="little")[:, :len(self.langs)]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        return [(lang, score) for lang, score, _ in self.measure(texts)]
+        return [(lang, score) for lang, score, _ in self.measure(texts, len(texts))]
 
-    def measure(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """Language, score, and the language's own share, which other languages don't change."""
-        hits = np.zeros((len(texts), max(1, len(self.langs))))
-        total, letters = np.zeros(len(texts)), np.zeros(len(texts), bool)
+    def measure(self, texts: Iterable[str | None], n: int) -> list[tuple[str, float, float]]:
+        """Language, score, and the language's own share, which other languages don't change, of
+        n texts."""
+        hits = np.zeros((n, max(1, len(self.langs))))
+        total, letters = np.zeros(n), np.zeros(n, bool)
         if self.langs:
             for rows, pieces in _blocks(texts):
                 doc, h = grams(pieces)
                 bits, row = self.languages_of(h), np.array(rows)[doc]
-                total += np.bincount(row, minlength=len(texts))
+                total += np.bincount(row, minlength=n)
                 for i in range(len(self.langs)):
-                    hits[:, i] += np.bincount(row, weights=bits[:, i], minlength=len(texts))
+                    hits[:, i] += np.bincount(row, weights=bits[:, i], minlength=n)
             letters = total > 0
         share = hits / np.maximum(total, 1)[:, None]
         if self.langs:
@@ -205,15 +207,21 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return Model.build(langs, hashes, typical, log2_slots)
 
 
+def _told(rows: list[tuple[str, float, float]], which: int, name: str) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array(
+        [r[which] for r in rows], pa.float64())], names=["lang_pred", name])
+
+
 def predictor(spark, model: Model):
     """text -> struct(lang_pred, score)."""
     ship(spark)
     shared = share(spark, model)
 
-    @F.pandas_udf(RESULT)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(RESULT)
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        turn_to("langid")
         for texts in batches:
-            yield pd.DataFrame(shared.value.predict(list(texts)), columns=["lang_pred", "score"])
+            yield _told(shared.value.measure(each(texts), len(texts)), 1, "score")
 
     return predict
 
@@ -241,11 +249,11 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return df
     shared = share(df.sparkSession, model)
 
-    @F.pandas_udf("lang_pred string, share double")
-    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, share double")
+    def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        turn_to("langid")
         for texts in batches:
-            yield pd.DataFrame([(lang, share) for lang, _, share in shared.value.measure(
-                list(texts))], columns=["lang_pred", "share"])
+            yield _told(shared.value.measure(each(texts), len(texts)), 2, "share")
 
     labelled = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         "text IS NOT NULL AND lang IS NOT NULL")

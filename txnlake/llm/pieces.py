@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnlake.llm.common import share, ship
+from txnlake.llm.common import kept, share, ship
 
 MARK = "▁"
 CACHE = 100_000
@@ -176,14 +176,9 @@ class Encoder:
         return text[1:] if self.v.dummy and ids else text
 
 
-_coders: dict = {}
-
-
 def per_worker(vocabulary: Vocabulary, make):
     """``make(vocabulary)``, kept for the later tasks of this Python worker."""
-    if _coders.get(make, (None,))[0] != vocabulary.digest:
-        _coders[make] = vocabulary.digest, make(vocabulary)
-    return _coders[make][1]
+    return kept(make.__name__, vocabulary.digest, lambda: make(vocabulary))
 
 
 def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id",
