@@ -2,16 +2,19 @@
 
 Words (split at white space, punctuation at their ends dropped, lower-cased) become a
 template: numbers, units and names (capitalised inside a sentence) are replaced by typed
-placeholders.  Windows of ``window`` template words of the benchmark are hashed; a
-document's windows meet them in a hash join (the benchmark side broadcast, in slices of
-``max_slice_chars``, so its size is bounded and no item is left out).  A match keeps its
-place in the item; per item the placeholders must be consistent: one
+placeholders.  Windows of ``window`` template words of the benchmark are hashed, as a table;
+document windows meet them in a hash join.  A filter of the benchmark's hashes (bits, of a bounded
+size, broadcast) keeps windows that cannot meet any from being dealt out; so neither the benchmark
+nor its index is ever in one place, and the documents are read once, however large it is.  Spark
+chooses how the tables are joined, and splits a hot window's rows.  A match keeps its
+place in the item; per text and item the placeholders must be consistent: one
 benchmark number, unit or name stands for one of the document throughout, and the other
 way round.  An item counts as found if ``coverage`` of its windows match so, counted over
 all alignments that are at most half an item apart (words put in or left out only shift what
 follows); or if ``RUN_WORDS`` words in a row match on one alignment, however long the item; or if
 ``WORD_SHARE`` of its words lie in matched windows (an edit costs a short item most of its
-windows).  ``reparameterised`` tells that some slot differs.
+windows).  ``reparameterised`` tells that some slot differs.  Texts are told apart by a 128-bit hash:
+copies are judged once, and every row with the text is reported.
 
 Each text is read in four ways (``READINGS``): with all placeholders; with every capitalised
 word a name, also where a sentence opens; with numbers only, whatever the case; and word for
@@ -20,8 +23,10 @@ word, whatever the case.  A window may match in any of them.
 Defined cases: null texts hold nothing; items shorter than the window are matched whole,
 those under ``min_words`` words never; a window with fewer than half its words literal is
 too general as a template and is matched word for word only (coverage is the larger of that
-of the windows matched in any way, and of those matched as templates); repeated items are found each by itself; null ids
-are carried; texts are read whole.
+of the windows matched in any way, and of those matched as templates); repeated items and rows are
+found each by itself; null ids are carried, of any type; texts are read whole, in pieces of
+``PIECE_WORDS`` words; an empty table gives an empty result; other columns are not read, and only
+``without_leaks`` carries them.
 """
 
 from __future__ import annotations
@@ -31,12 +36,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from txnlake.llm.common import each, share, ship, turn_to
+from txnlake.llm.common import fresh, share, ship, stored, turn_to
 
 NUMBER, UNIT, NAME, FIRST = 1, 2, 3, 4  # codes of the placeholders; literals from FIRST on
 # Words taken as units of measure.
@@ -52,167 +58,259 @@ CACHE = 100_000
 ENDS, CAPITAL = 1, 2
 PIECE_WORDS = 200_000
 RUN_WORDS, WORD_SHARE = 20, 0.75
+MAX_FILTER_BITS = 28  # 32 MB
 #: Names inside sentences; all capitalised words; numbers alone; nothing but the words.
 TYPED, CAPITALS, PLAIN, EXACT = READINGS = range(4)
 
 
-class Index:
-    """Template windows of a slice of the benchmark."""
-
-    def __init__(self, items: list[tuple[object, str]], window: int, min_words: int,
-                 coverage: float) -> None:
-        self.window, self.coverage = window, coverage
-        self.words: dict[str, int] = {}
-        self.keys, self.codes, self.values = [], [], []
-        self.literal: list[set[int]] = []  # places of windows that are not too general
-        for key, text in items:
-            raw = text.split()
-            for w in raw:
-                self.words.setdefault(w.strip(EDGES).lower(), FIRST + len(self.words))
-            self.keys.append(key)
-            self.values.append([w.strip(EDGES).lower() for w in raw])
-        self.cache: dict[str, int] = {}
-        places = defaultdict(list)
-        self.sizes: list[int] = []  # windows, by item
-        for n, (_, text) in enumerate(items):
-            readings = self.readings(text.split())
-            self.codes.append(readings)
-            size = min(window, len(readings[0]))
-            count, literal = 0, set()
-            if len(readings[0]) >= min_words:
-                for r, codes in enumerate(readings):
-                    for at, h in enumerate(self.hashes(codes, size)):
-                        if 2 * int((codes[at:at + size] >= FIRST).sum()) >= size:
-                            places[size, r, int(h)].append((n, at))
-                            if r == TYPED:
-                                literal.add(at)
-                count = len(readings[0]) - size + 1
-            self.sizes.append(count)
-            self.literal.append(literal)
-        self.tables = {}
-        for size, r in {k[:2] for k in places}:
-            known = {h: at for (s, q, h), at in places.items() if (s, q) == (size, r)}
-            bits = np.zeros(1 << 20, bool)
-            bits[np.fromiter(known, np.uint64) & np.uint64(len(bits) - 1)] = True
-            self.tables[size, r] = known, bits
-        self.cache = {}
+class Reader:
+    """Codes of words: hashes of literals, small numbers for placeholders.  Words are numbered as
+    they are met, and what is known of a number is kept in arrays."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.known: list[tuple[int, int]] = []
+        self.codes, self.marks = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
 
     def _word(self, raw: str) -> int:
-        """Code << 5 | type << 2 with ENDS and CAPITAL; kept, as words repeat."""
         bare = raw.strip(EDGES)
         low = bare.lower()
         kind = NUMBER if NUMERIC.fullmatch(bare) else UNIT if low in UNITS else 0
-        got = (self.words.get(low, 0) << 5 | kind << 2 | ENDS * (raw[-1] in ".!?:")
-               | CAPITAL * (bare[:1].isupper()))
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        self.cache[raw] = got
-        return got
+        mark = kind << 2 | ENDS * (raw[-1] in ".!?:") | CAPITAL * (bare[:1].isupper())
+        self.known.append((max(FIRST, xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))), mark))
+        self.number[raw] = len(self.known) - 1
+        return len(self.known) - 1
 
     def readings(self, raw: list[str]) -> list[np.ndarray]:
         """Codes of words, by reading; the first of them begins a sentence."""
-        get, slow = self.cache.get, self._word
-        got = np.fromiter((v if (v := get(w)) is not None else slow(w) for w in raw), np.int64,
-                          len(raw))
+        if len(self.known) >= CACHE:
+            self.clear()
+        get, slow = self.number.get, self._word
+        at = np.fromiter((v if (v := get(w)) is not None else slow(w) for w in raw), np.int64, len(raw))
+        if len(self.codes) < len(self.known):
+            new = self.known[len(self.codes):]
+            self.codes = np.concatenate([self.codes, np.array([c for c, _ in new], np.uint64)])
+            self.marks = np.concatenate([self.marks, np.array([m for _, m in new], np.uint8)])
+        exact, mark = self.codes[at], self.marks[at]
         begins = np.ones(len(raw), bool)
-        begins[1:] = got[:-1] & ENDS
-        exact, kind, capital = got >> 5, got >> 2 & 7, (got & CAPITAL) > 0
+        begins[1:] = mark[:-1] & ENDS
+        kind, capital = (mark >> 2).astype(np.uint64), (mark & CAPITAL) > 0
         typed = np.where(kind > 0, kind, exact)
         capital &= kind == 0
-        return [np.where(capital & ~begins, NAME, typed), np.where(capital, NAME, typed),
-                np.where(kind == NUMBER, NUMBER, exact), exact]
-
-    @staticmethod
-    def hashes(codes: np.ndarray, size: int) -> np.ndarray:
-        n = len(codes) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        c, h = codes.astype(np.uint64), np.zeros(n, np.uint64)
-        for i in range(size):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + c[i:i + n]
-        h ^= h >> np.uint64(32)
-        return h * np.uint64(0xD6E8FEB86659FD93)
-
-    def find(self, text: str | None) -> list[tuple[object, int, float, bool]]:
-        """(item key, matched windows, coverage, reparameterised) of the items in a text."""
-        raw = (text or "").split()
-        readings = self.readings(raw)
-        met: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for (size, r), (known, bits) in self.tables.items():
-            codes = readings[r]
-            h = self.hashes(codes, size)
-            for at in np.flatnonzero(bits[h & np.uint64(len(bits) - 1)]):
-                for n, place in known.get(int(h[at]), ()):
-                    if (codes[at:at + size] == self.codes[n][r][place:place + size]).all():
-                        met[n].append((int(at) - place, place, -r))
-        out = []
-        for n, matches in sorted(met.items()):
-            matches.sort()
-            far = max(1, len(self.values[n]) // 2)
-            best, first = (False, 0.0, 0, False), 0
-            for i in range(1, len(matches) + 1):
-                if i == len(matches) or matches[i][0] - matches[i - 1][0] > far:
-                    best = max(best, self._judged(n, matches[first:i], raw), key=lambda x: x[:3])
-                    first = i
-            found, share, count, differs = best
-            if found:
-                out.append((self.keys[n], count, share, differs))
-        return out
-
-    def _judged(self, n: int, matches: list[tuple[int, int, int]],
-                raw: list[str]) -> tuple[bool, float, int, bool]:
-        """Whether an item counts as found; coverage and number of matched windows whose slots
-        agree with the others'; whether one of their slots has another value than the item's.
-        Matches are (shift, place, minus the reading); alignments of more windows come first,
-        and of a place the most literal reading that agrees counts."""
-        values = self.values[n]
-        there: dict[tuple[int, str], str] = {}
-        back: dict[tuple[int, str], str] = {}
-        held: set[int] = set()
-        differs, size, longest = False, min(self.window, len(values)), 0
-        shifts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for shift, place, r in matches:
-            shifts[shift].append((place, r))
-        for shift, places in sorted(shifts.items(), key=lambda x: (-len({p for p, _ in x[1]}), x[0])):
-            run, last, done = 0, -2, -1
-            for place, r in sorted(places):
-                if place == done:
-                    continue
-                codes = np.minimum(self.codes[n][TYPED], self.codes[n][-r])
-                slots = [(int(codes[i]), values[i], raw[i + shift].strip(EDGES).lower())
-                         for i in range(place, place + size) if codes[i] < FIRST]
-                if any(there.get((k, a), b) != b or back.get((k, b), a) != a for k, a, b in slots):
-                    continue
-                for k, a, b in slots:
-                    there[k, a], back[k, b] = b, a
-                    differs |= a != b
-                held.add(place)
-                run, last, done = run + 1 if place == last + 1 else 1, place, place
-                longest = max(longest, run)
-        share = max(len(held) / self.sizes[n],
-                    len(held & self.literal[n]) / max(1, len(self.literal[n])))
-        words = len({i for p in held for i in range(p, p + size)})
-        found = bool(held) and (share >= self.coverage or longest + size - 1 >= RUN_WORDS
-                                or words >= WORD_SHARE * len(values))
-        return found, share, len(held), differs
-
-
-def indexes(benchmark: DataFrame, id_col: str, text_col: str, window: int, min_words: int,
-            coverage: float, max_slice_chars: int) -> Iterator[Index]:
-    """The benchmark's index, in slices of a bounded number of characters."""
-    ship(benchmark.sparkSession)
-    rows = benchmark.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where(
-        "text IS NOT NULL")
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = max(1, -(-size // max_slice_chars))
-    for i in range(slices):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == i)
-        items = sorted(((r.key, r.text) for r in part.collect()),
-                       key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        yield Index(items, window, min_words, coverage)
-
-
-PARAMETERS = {"window": 8, "min_words": 5, "coverage": 0.5, "max_slice_chars": 32_000_000}
+        name = np.uint64(NAME)
+        return [np.where(capital & ~begins, name, typed), np.where(capital, name, typed),
+                np.where(kind == NUMBER, kind, exact), exact]
+
+
+def hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of ``size`` codes."""
+    n = len(codes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for i in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i:i + n]
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+WINDOWS = ("item long, size int, reading int, h long, place int, literal boolean, kinds array<int>, "
+           "words array<string>, n_words int, n_windows int, n_literal int")
+
+
+def item_windows(text: str, window: int, min_words: int, reader: Reader) -> list[tuple]:
+    """The windows of one item: (size, reading, hash, place, whether it is literal enough as a
+    template, placeholders, words, and the item's numbers of words, windows, literal windows)."""
+    raw = text.split()
+    if len(raw) < max(1, min_words):
+        return []
+    values, readings = [w.strip(EDGES).lower() for w in raw], reader.readings(raw)
+    size = min(window, len(raw))
+    n, rows, literal = len(raw) - size + 1, [], set()
+    for r, codes in enumerate(readings):
+        many = np.convolve(codes >= FIRST, np.ones(size, int), "valid") * 2 >= size
+        h = hashes(codes, size)
+        for at in np.flatnonzero(many).tolist():
+            if r == TYPED:
+                literal.add(at)
+            kinds = np.minimum(readings[TYPED], codes)[at:at + size]
+            rows.append((size, r, int(h[at].view(np.int64)), at,
+                         [int(k) if k < FIRST else 0 for k in kinds.tolist()], values[at:at + size]))
+    return [(size, r, h, at, at in literal, kinds, words, len(raw), n, len(literal))
+            for size, r, h, at, kinds, words in rows]
+
+
+def _table(rows: list[tuple], spec: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(),
+             "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+    fields = [f.split(" ") for f in spec.split(", ")]
+    cols = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)],
+                                      [n for n, _ in fields])
+
+
+def benchmark_windows(items: DataFrame, window: int, min_words: int) -> DataFrame:
+    """The windows of the items (item, text)."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("decontam")
+        reader = Reader()
+        for batch in batches:
+            for i in range(len(batch)):
+                item = batch["item"][i].as_py()
+                rows = item_windows(batch["text"][i].as_py(), window, min_words, reader)
+                if rows:
+                    yield _table([(item, *r) for r in rows], WINDOWS)
+
+    return items.where("text IS NOT NULL").mapInArrow(cut, WINDOWS)
+
+
+def _filters(windows: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Bits of the windows' hashes, as many as they need but MAX_FILTER_BITS at most, and the sizes
+    and readings that there are."""
+    kinds = [(r["size"], r.reading) for r in windows.select("size", "reading").distinct().collect()]
+    bits = min(MAX_FILTER_BITS, max(20, (16 * windows.count()).bit_length()))
+    slot = f"(h & {(1 << bits) - 1})"
+    got = windows.selectExpr(f"shiftright({slot}, 6) AS at", f"shiftleft(1L, cast({slot} & 63 AS int)) AS bit") \
+        .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    # a byte for each bit where that stays small: looked up faster
+    return (np.unpackbits(table.view(np.uint8), bitorder="little") if bits <= 22 else table), sorted(kinds)
+
+
+def _hits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    if bits.dtype == np.uint8:
+        return np.flatnonzero(bits[h & np.uint64(len(bits) - 1)])
+    at = h & np.uint64(64 * len(bits) - 1)
+    return np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+
+
+HITS = "t1 long, t2 long, size int, reading int, h long, at long, found array<string>"
+
+
+def text_hits(texts: DataFrame, bits: np.ndarray, kinds: list[tuple[int, int]]) -> DataFrame:
+    """The windows of the texts (t1, t2, text) that pass the filter, with their words."""
+    shared = share(texts.sparkSession, (bits, kinds))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("decontam")
+        bits, kinds = shared.value
+        longest, reader = max((size for size, _ in kinds), default=1), Reader()
+        for batch in batches:
+            rows = []
+            for i in range(len(batch)):
+                mark = batch["t1"][i].as_py(), batch["t2"][i].as_py()
+                whole = batch["text"][i].as_py().split()
+                # pieces share a window less one word; a piece begins in the sentence that it is in
+                for first in range(0, max(1, len(whole) - longest + 1), PIECE_WORDS):
+                    lead = min(first, 1)
+                    raw = whole[first - lead:first + PIECE_WORDS + longest - 1]
+                    readings = [r[lead:] for r in reader.readings(raw)]
+                    raw = raw[lead:]
+                    for size, r in kinds:
+                        h = hashes(readings[r], size)[:PIECE_WORDS if first + PIECE_WORDS + longest - 1
+                                                      < len(whole) else None]
+                        rows += [(*mark, size, r, int(h[at].view(np.int64)), first + at,
+                                  [w.strip(EDGES).lower() for w in raw[at:at + size]])
+                                 for at in _hits(bits, h).tolist()]
+                if len(rows) >= 10_000:
+                    yield _table(rows, HITS)
+                    rows = []
+            if rows:
+                yield _table(rows, HITS)
+
+    return texts.mapInArrow(search, HITS)
+
+
+JUDGED = "t1 long, t2 long, item long, n_windows long, coverage double, reparameterised boolean"
+
+
+def judged(matches: list[tuple], coverage: float) -> tuple[bool, float, int, bool]:
+    """Whether an item counts as found in a text; coverage and number of matched windows whose slots
+    agree with the others'; whether one of their slots has another value than the item's.  Matches
+    are (shift, place, minus the reading, literal, kinds, words, found, n_words, n_windows,
+    n_literal), of nearby shifts; alignments of more windows come first, and of a place the most
+    literal reading that agrees counts."""
+    n_words, n_windows, n_literal = matches[0][7:]
+    size = len(matches[0][5])
+    there: dict[tuple[int, str], str] = {}
+    back: dict[tuple[int, str], str] = {}
+    held: dict[int, bool] = {}
+    differs, longest = False, 0
+    shifts: dict[int, list] = defaultdict(list)
+    for m in matches:
+        shifts[m[0]].append(m[1:])
+    for _, places in sorted(shifts.items(), key=lambda x: (-len({m[0] for m in x[1]}), x[0])):
+        run, last, done = 0, -2, -1
+        for place, _, literal, kinds, words, found, *_ in sorted(places, key=lambda m: m[:2]):
+            if place == done:
+                continue
+            slots = [x for x in zip(kinds, words, found) if x[0]]
+            if any(there.get((k, a), b) != b or back.get((k, b), a) != a for k, a, b in slots):
+                continue
+            for k, a, b in slots:
+                there[k, a], back[k, b] = b, a
+                differs |= a != b
+            held[place] = literal
+            run, last, done = run + 1 if place == last + 1 else 1, place, place
+            longest = max(longest, run)
+    share_ = max(len(held) / n_windows, sum(held.values()) / max(1, n_literal))
+    words = len({i for p in held for i in range(p, p + size)})
+    good = bool(held) and (share_ >= coverage or longest + size - 1 >= RUN_WORDS
+                           or words >= WORD_SHARE * n_words)
+    return good, share_, len(held), differs
+
+
+def judge(matches: list[tuple], coverage: float) -> tuple[bool, float, int, bool]:
+    """The best of the groups of nearby alignments."""
+    matches = sorted(matches, key=lambda m: m[:3])
+    far = max(1, matches[0][7] // 2)
+    best, first = (False, 0.0, 0, False), 0
+    for i in range(1, len(matches) + 1):
+        if i == len(matches) or matches[i][0] - matches[i - 1][0] > far:
+            best = max(best, judged(matches[first:i], coverage), key=lambda x: x[:3])
+            first = i
+    return best
+
+
+PARAMETERS = {"window": 8, "min_words": 5, "coverage": 0.5}
+
+
+def leaks_of_texts(texts: DataFrame, items: DataFrame, window: int, min_words: int,
+                   coverage: float) -> DataFrame:
+    """JUDGED: the items (item, text) that the texts (t1, t2, text) hold."""
+    ship(texts.sparkSession)
+    windows = stored(benchmark_windows(items, window, min_words), "windows")
+    bits, kinds = _filters(windows)
+    # a text that stands in many rows is found in each, and combined before it is dealt out
+    hits = text_hits(texts, bits, kinds).distinct()
+    met = stored(hits.join(windows, ["size", "reading", "h"]), "matches")
+
+    def decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        # literal windows must agree word by word: hashes alone may meet by chance
+        matches = [(r.at - r.place, r.place, -r.reading, bool(r.literal), list(r.kinds), list(r.words),
+                    list(r.found), r.n_words, r.n_windows, r.n_literal) for r in rows.itertuples()
+                   if all(k or a == b for k, a, b in zip(r.kinds, r.words, r.found))]
+        good, share_, count, differs = judge(matches, coverage) if matches else (False, 0, 0, False)
+        return pd.DataFrame([(*key, count, share_, differs)][:int(good)], columns=[
+            "t1", "t2", "item", "n_windows", "coverage", "reparameterised"])
+
+    # a group is what one text holds of one item
+    return met.groupBy("t1", "t2", "item").applyInPandas(decide, JUDGED)
+
+
+def _marks(text_col: str) -> dict:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
+
+
+def _items(benchmark: DataFrame, text_col: str, *cols) -> DataFrame:
+    """The benchmark's rows, numbered, as a table (so the numbers stay)."""
+    return stored(benchmark.select(F.monotonically_increasing_id().alias("item"), *cols,
+                                   F.col(text_col).alias("text")), "items")
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
@@ -220,46 +318,27 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                item_text_col: str = "text", **parameters) -> DataFrame:
     """One row per document and benchmark item that it holds: id, item id, n_windows,
     coverage, reparameterised."""
-    schema = T.StructType([
-        T.StructField(id_col, df.schema[id_col].dataType),
-        T.StructField(item_col, benchmark.schema[item_col].dataType),
-        T.StructField("n_windows", T.LongType()), T.StructField("coverage", T.DoubleType()),
-        T.StructField("reparameterised", T.BooleanType())])
-    found = None
-    for index in indexes(benchmark, item_col, item_text_col, **(PARAMETERS | parameters)):
-        shared = share(df.sparkSession, index)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                rows = [(i, *hit) for i, cell in enumerate(batch["text"])
-                        for hit in index.find(cell.as_py())]
-                if rows:
-                    at, keys, count, share, differs = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch[id_col].take(pa.array(at)), pa.array(keys), pa.array(count),
-                         pa.array(share), pa.array(differs)], schema.names)
-
-        part = df.select(id_col, F.col(text_col).alias("text")).mapInArrow(search, schema)
-        found = part if found is None else found.unionAll(part)
-    return found
+    items = _items(benchmark, item_text_col, F.col(item_col).alias("key"))
+    marks = _marks(text_col)
+    texts = df.where(F.col(text_col).isNotNull()).select(
+        *(c.alias(k) for k, c in marks.items()), F.col(text_col).alias("text"))
+    found = stored(leaks_of_texts(texts, items, **(PARAMETERS | parameters)).join(
+        items.select("item", "key"), "item").select(
+        "t1", "t2", F.col("key").alias("k"), "n_windows", "coverage", "reparameterised"), "found")
+    rows = df.select(F.col(id_col).alias("i"), *(c.alias(k) for k, c in marks.items()))
+    return rows.join(found, ["t1", "t2"]).select(
+        F.col("i").alias(id_col), F.col("k").alias(item_col), "n_windows", "coverage", "reparameterised")
 
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text",
                   **parameters) -> DataFrame:
     """The rows that hold no benchmark item, columns as given."""
-    for index in indexes(benchmark, item_col, item_text_col, **(PARAMETERS | parameters)):
-        df = df.where(_clean(share(df.sparkSession, index))(F.col(text_col)))
-    return df
-
-
-def _clean(shared):
-    """text -> whether it holds no item of the broadcast index."""
-    @F.arrow_udf("boolean")
-    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        turn_to("decontam")
-        for texts in batches:
-            yield pa.array((not shared.value.find(t) for t in each(texts)), pa.bool_(), size=len(texts))
-
-    return clean
+    names = {k: fresh(df, k) for k in ("t1", "t2")}
+    marks = _marks(text_col)
+    texts = df.where(F.col(text_col).isNotNull()).select(
+        *(c.alias(k) for k, c in marks.items()), F.col(text_col).alias("text"))
+    found = stored(leaks_of_texts(texts, _items(benchmark, item_text_col), **(PARAMETERS | parameters)).select(
+        *(F.col(k).alias(n) for k, n in names.items())).distinct(), "leaking")
+    return df.withColumns({names[k]: c for k, c in marks.items()}).join(
+        found, list(names.values()), "left_anti").select(*df.columns)
