@@ -412,7 +412,8 @@ def trie_counts(chunks: DataFrame, phrases: DataFrame, max_phrases: int) -> Data
         raw = tries.where(F.col("shard") == shard).select("trie").first()
         if raw is None:
             continue
-        shared = spark.sparkContext.broadcast(bytes(raw["trie"]))
+        shared = spark.sparkContext.broadcast(raw["trie"])
+        del raw
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             trie = Trie.load(shared.value)
@@ -468,7 +469,7 @@ def scored(phrases: DataFrame, nested: int) -> DataFrame:
 
 
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10,
-                 nested: int = 50, top: int = 2000, max_phrases: int = 500_000) -> DataFrame:
+                 nested: int = 50, top: int = 2000, max_phrases: int = 200_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` best phrases of each language."""
     ship(df.sparkSession)
     docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"),
