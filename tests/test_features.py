@@ -196,3 +196,22 @@ def test_amounts_beyond_the_sums(spark):
         assert [got[i].dest_msg_count_1h for i in range(8)] == list(range(8))
         assert got[7].orig_sum_amount_past == 3.0 and got[7].orig_avg_amount_past == 1.5
         assert got[3].orig_prev_amount == 1e30
+
+
+def test_days_one_by_one_equal_runs_over_the_whole_window(spark):
+    """Every day from its own and yesterday's rows and the daily totals, in a window that slides, as
+    a run over all rows of the window; with hot keys split, or not."""
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, f"M{i * i % 5}", None if i % 11 == 0 else f"C{i % 7}",
+             t0 + timedelta(seconds=(i * 7919 * 13) % (9 * 86400)),
+             None if i % 13 == 0 else i * 0.25, i % 3 % 2) for i in range(900)]
+    silver = _silver(spark, rows).withColumn("part_dt", F.date_format("transaction_time", "yyyyMMdd"))
+    dest, orig = FT.daily_totals(silver, "merchant_id"), FT.daily_totals(silver, "user_id")
+    dates = [(t0 + timedelta(days=d)).strftime("%Y%m%d") for d in range(9)]
+    for d, limit in ((1, WHOLE), (4, 20), (8, SPLIT), (8, WHOLE)):
+        first = dates[max(0, d - 5)]  # a window of six dates
+        two = silver.filter(F.col("part_dt").isin(dates[d - 1], dates[d]))
+        got = FT.day_window_features(two, dest, orig, first, dates[d - 1], dates[d], max_key_rows=limit)
+        whole = silver.filter(F.col("part_dt").between(first, dates[d]))
+        want = textbook(whole).filter(F.date_format("transaction_time", "yyyyMMdd") == dates[d])
+        assert got.count() > 50 and _norm(got) == _norm(want)

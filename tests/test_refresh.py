@@ -173,3 +173,18 @@ def test_expiry_deletes_nothing_that_the_filter_keeps(spark, as_of):
     assert kept.filter(F.date_format("t", "yyyyMMddHH") < bound).isEmpty()
     gone = hours.filter(F.date_format("t", "yyyyMMddHH") >= bound).exceptAll(kept)
     assert gone.count() <= 2 * 25  # what is kept longer is the rest of an hour, or 29 February
+
+
+def test_features_day_by_day(spark):
+    """A run for each date, one of them twice, against runs over the window."""
+    from txnlake.plans.base import silver_df
+    from .conftest import SF001
+    root = scratch_path(spark, "daily")
+    silver = silver_df(spark, SF001, keep_processed_at=True).filter("part_dt < '20240106'")
+    K.bulk_repartition_write(silver, f"{root}/silver")
+    for day in ("2024-01-01", "2024-01-02", "2024-01-03", "2024-01-03", "2024-01-04", "2024-01-05"):
+        out = J.daily_feature_job(spark, f"{root}/silver", f"{root}/state", f"{root}/features", day, 3)
+    whole = J.feature_job(spark, f"{root}/silver", f"{root}/whole", "2024-01-05", window_days=3)
+    got, want = spark.read.parquet(out), spark.read.parquet(whole).filter("to_date(transaction_time) = '2024-01-05'")
+    assert got.count() > 10 and _norm(got) == _norm(want.select(got.columns))
+    assert J.daily_feature_job(spark, f"{root}/silver", f"{root}/state", f"{root}/features", "2024-02-01") is None

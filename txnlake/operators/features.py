@@ -97,11 +97,13 @@ def key_window_features(df: DataFrame, key: str, prefix: str, *,
                         ranges: dict[str, int] | None = None,
                         prev_amount: bool = False, avg_past: bool = False,
                         totals_from: DataFrame | None = None,
-                        max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
+                        max_key_rows: int = MAX_KEY_ROWS,
+                        carried: DataFrame | None = None) -> DataFrame:
     """Add the `prefix`-named window features of one key (plan: see module doc).
 
     `totals_from`: the same rows with fewer derived columns, to count keys and total
-    hot ones without running `df`'s own windows again.
+    hot ones without running `df`'s own windows again.  `carried`: a row for each key with the
+    totals of all rows before those of `df` (`carried_state`).
     """
     ranges = ranges or RANGES
     src = totals_from if totals_from is not None else df
@@ -144,12 +146,23 @@ def key_window_features(df: DataFrame, key: str, prefix: str, *,
         events = events.join(offsets, (F.col("_k") == F.col("_ok")) & (F.col("_b") == F.col("_ob")),
                              "left")
 
+    if carried is not None:  # keyed like the windows: no exchange of the rows
+        events = events.join(carried, F.col("_k") == F.col("_ck"), "left")
+
     def total(c: str) -> str:
-        """The running sum in the bucket and that of all earlier ones; NULL if both are."""
-        return f"coalesce({c} + _o{c}, {c}, _o{c})" if split else c
+        """The running sum in the bucket, that of all earlier ones and what is carried; NULL if
+        all are."""
+        got = c
+        for more in ["_o"] * split + ["_c"] * (carried is not None and c in past):
+            got = f"coalesce({got} + {more}{c}, {got}, {more}{c})"
+        return got
 
     def of_last(c: str) -> str:
-        return f"if(_last IS NULL, _o_last.{c}, _last.{c})" if split else f"_last.{c}"
+        lasts = ["_last", *["_o_last"] * split, *["_c_last"] * (carried is not None)]
+        pick = f"{lasts[-1]}.{c}"
+        for x in reversed(lasts[:-1]):
+            pick = f"if({x} IS NULL, {pick}, {x}.{c})"
+        return pick
 
     out = {}
     for i, label in enumerate(ranges, 1):
@@ -170,6 +183,43 @@ def key_window_features(df: DataFrame, key: str, prefix: str, *,
     return events.selectExpr("_row.*", *(f"{v} AS {c}" for c, v in out.items()))
 
 
+# ------------------------------------------------------------ a day at a time
+
+def daily_totals(silver: DataFrame, key: str, seq: str | None = SEQ_COL) -> DataFrame:
+    """The state that days leave behind for each (key, part_dt): rows, amounts, their exact sum,
+    frauds, and the last row."""
+    tie = F.col(seq) if seq and seq in silver.columns else F.xxhash64(
+        *[F.col(c) for c in HASH_TIEBREAK if c in silver.columns])
+    t = F.col("transaction_time").cast("timestamp")
+    x = F.col("amount").try_cast(EXACT)
+    return silver.groupBy(F.coalesce(F.col(key), F.lit(NULL_KEY)).alias("_ck"), "part_dt").agg(
+        F.count(F.lit(1)).alias("n"), F.count(x).alias("a"), F.sum(x).alias("s"), F.sum("isFraud").alias("f"),
+        F.max(F.struct(t.cast("long").alias("ts"), t.alias("t"), tie.alias("tie"),
+                       F.col("amount").alias("a"))).alias("last"))
+
+
+def carried_state(totals: DataFrame, first_dt: str, before_dt: str) -> DataFrame:
+    """What a run of one day is given of the dates `first_dt` to before `before_dt`: one row for each
+    key, from a few rows of state, however many transactions they stand for."""
+    held = totals.filter((F.col("part_dt") >= first_dt) & (F.col("part_dt") < before_dt))
+    return held.groupBy("_ck").agg(
+        F.sum("n").alias("_c_n0"), F.sum("a").alias("_c_a0"), F.sum("s").alias("_c_s0"),
+        F.sum("f").alias("_c_f0"), F.max("last").alias("_c_last"))
+
+
+def day_window_features(two_days: DataFrame, dest_totals: DataFrame, orig_totals: DataFrame,
+                        first_dt: str, yesterday: str, today: str, **kw) -> DataFrame:
+    """The features of the rows of date `today`, as a run over all dates from `first_dt` on gives them,
+    from the rows of today and yesterday (the ranges reach back 24 hours at most) and the daily
+    totals of the dates before.  Rows lie in the date of their time."""
+    df = two_days.filter(F.col("part_dt").isin(yesterday, today))
+    df = key_window_features(df, "merchant_id", "dest", carried=carried_state(
+        dest_totals, first_dt, yesterday), **kw)
+    df = key_window_features(df, "user_id", "orig", prev_amount=True, avg_past=True, totals_from=two_days.filter(
+        F.col("part_dt").isin(yesterday, today)), carried=carried_state(orig_totals, first_dt, yesterday), **kw)
+    return feature_projection(pattern_features(df.filter(F.col("part_dt") == today)))
+
+
 def dest_window_features(df: DataFrame, **kw) -> DataFrame:
     return key_window_features(df, "merchant_id", "dest", **kw)
 

@@ -5,6 +5,7 @@
 * ``hourly_etl``      one landing hour -> silver (dedupe, idempotent replace) -> warehouse
 * ``refresh_models``  warehouse -> the hours that changed -> fact, states -> totals, user
                       dimension and five marts, published by one commit
+* ``daily_feature_job`` two dates of silver and carried totals -> the features of one date
 * ``feature_job``     silver rolling window or whole history -> features -> ``run_date=``
 * ``training_job``    latest snapshot -> weights/split -> fit or CV -> metrics -> save, log
 
@@ -28,7 +29,7 @@ from txnlake.operators import models as M
 from txnlake.operators import quality as Q
 from txnlake.operators import rollup as R
 from txnlake.operators.cleaning import normalize_partition_keys, silver_transactions, stg_transactions
-from txnlake.operators.features import window_features
+from txnlake.operators.features import daily_totals, day_window_features, window_features
 from txnlake.plans import commits as C
 from txnlake.schemas import CSV_CASTS, PARTITION_KEYS, SEQ_COL, SILVER_SCHEMA, TRAIN_RATIO
 from txnlake.session import ensure_utc, materialize
@@ -280,6 +281,28 @@ def feature_job(spark: SparkSession, silver_base: str, features_base: str,
     return K.feature_snapshot_write(window_features(silver), features_base, exec_date, files)
 
 
+def daily_feature_job(spark: SparkSession, silver_base: str, state_base: str, features_base: str,
+                      exec_date: str, window_days: int = 30) -> str | None:
+    """The features of one date's rows, as `feature_job` gives them for that date, from two dates
+    of silver and the daily totals that earlier runs left.  Leaves the date's totals behind (run
+    again, they are replaced), and expects those of the window's dates: run the dates in order."""
+    ensure_utc(spark)
+    first, today = S.rolling_window_bounds(exec_date, window_days)
+    yesterday = S.rolling_window_bounds(exec_date, 1)[0]
+    silver = S.typed_scan(spark, silver_base, _silver_schema(spark, silver_base))
+    two = normalize_partition_keys(silver.filter(F.col("part_dt").cast("string").isin(yesterday, today)))
+    one = two.filter(F.col("part_dt") == today)
+    totals = {}
+    for name, key in (("dest", "merchant_id"), ("orig", "user_id")):
+        day = daily_totals(one, key)
+        day.drop("part_dt").write.mode("overwrite").parquet(f"{state_base}/{name}/part_dt={today}")
+        totals[name] = spark.read.schema(day.schema).parquet(f"{state_base}/{name}")
+    if one.isEmpty():
+        return None
+    return K.feature_snapshot_write(day_window_features(
+        two, totals["dest"], totals["orig"], first, yesterday, today), features_base, exec_date)
+
+
 def training_job(spark: SparkSession, features_base: str, run_date: str | None = None,
                  model_type: str = "lr", tune: bool = False, model_dir: str | None = None,
                  runs_table: str | None = None, relative_error: float = 0.0):

@@ -123,6 +123,18 @@ def q_window_features_hot(spark, sf):
     return FT.window_features(silver, max_key_rows=200).select(*ALL_FEATURES, "txn_seq")
 
 
+@register("window_features_daily", "SELECT * FROM (" + _feature_sql(ALL_FEATURES) + """) AS w
+WHERE strftime(transaction_time, '%Y%m%d') = '20240120'""", FEATURE_DOUBLES)
+def q_window_features_daily(spark, sf):
+    """One date's features from two dates of rows and the daily totals of the whole table: as a run
+    over all rows up to that date gives them."""
+    silver = silver_df(spark, sf)
+    first, yesterday, today = "00000000", "20240119", "20240120"
+    return FT.day_window_features(
+        silver.filter(F.col("part_dt").isin(yesterday, today)), FT.daily_totals(silver, "merchant_id"),
+        FT.daily_totals(silver, "user_id"), first, yesterday, today)
+
+
 @register("feature_projection", _feature_sql(ALL_FEATURES), FEATURE_DOUBLES)
 def q_feature_projection(spark, sf):
     """The 31-column feature row as projected for the store."""
