@@ -45,11 +45,19 @@ def share(spark: SparkSession, value):
     return shared
 
 
+#: Rows of a batch between Spark and a worker, at most, in a pipeline's stages: whole texts are long.
+STAGE_BATCH = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 @contextlib.contextmanager
-def stage():
+def stage(spark: SparkSession):
     """Around the building of a stage, whose result is written before the next one is built: what
-    the stage before has broadcast is given back, on executors and driver."""
+    the stage before has broadcast is given back, on executors and driver.  Batches are made
+    small, so that two tasks' batches of whole texts fit beside the heap."""
     global _lent
+    if not 0 < int(spark.conf.get(_BATCH_CONF, "10000")) <= STAGE_BATCH:
+        spark.conf.set(_BATCH_CONF, str(STAGE_BATCH))
     for old in _held_over:
         old.destroy()
     _held_over.clear()

@@ -171,10 +171,10 @@ def _filters(windows: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Bits of the windows' hashes, as many as they need but MAX_FILTER_BITS at most, and the sizes
     and readings that there are."""
     kinds = [(r["size"], r.reading) for r in windows.select("size", "reading").distinct().collect()]
-    bits = min(MAX_FILTER_BITS, max(20, (16 * windows.count()).bit_length()))
-    slot = f"(h & {(1 << bits) - 1})"
-    got = windows.selectExpr(f"shiftright({slot}, 6) AS at", f"shiftleft(1L, cast({slot} & 63 AS int)) AS bit") \
-        .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = min(MAX_FILTER_BITS, max(22, (16 * windows.count()).bit_length()))
+    slot = f"explode(array(h & {(1 << bits) - 1}, shiftrightunsigned(h, 32) & {(1 << bits) - 1})) AS slot"
+    got = windows.selectExpr(slot).selectExpr(
+        "shiftright(slot, 6) AS at", "shiftleft(1L, cast(slot & 63 AS int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     # a byte for each bit where that stays small: looked up faster
@@ -182,10 +182,15 @@ def _filters(windows: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
 
 
 def _hits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    if bits.dtype == np.uint8:
-        return np.flatnonzero(bits[h & np.uint64(len(bits) - 1)])
-    at = h & np.uint64(64 * len(bits) - 1)
-    return np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+    """Where both bits of a hash are set."""
+    def there(slot: np.ndarray) -> np.ndarray:
+        if bits.dtype == np.uint8:
+            return bits[slot & np.uint64(len(bits) - 1)] > 0
+        slot = slot & np.uint64(64 * len(bits) - 1)
+        return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+    at = np.flatnonzero(there(h))
+    return at[there(h[at] >> np.uint64(32))]
 
 
 HITS = "t1 long, t2 long, size int, reading int, h long, at long, found array<string>"

@@ -4,7 +4,7 @@ Categories are predicted one after another by logistic models over the presence
 (bare, the first ``STEM`` letters of longer ones, and the run of signs that a word ends in,
 which tells junk) and the logarithm of their number, as long texts hold words by chance; each later model also gets the earlier categories' probabilities.  In fitting, those are
 out-of-fold predictions (``folds`` folds), so a later model sees the errors that it will
-meet.  A category's threshold is the one of best F1 on its out-of-fold predictions.
+meet.  A category's threshold is the one of best F-beta (``BETA``) on its out-of-fold predictions.
 
 Fitting uses a hash sample of ``max_rows`` labelled documents in expectation; words and
 their frequencies by category are counted with Spark over the sample's whole texts, and the
@@ -32,6 +32,7 @@ EDGES = "\"'`()[]{}<>.,;:!?*#&%$_~|«»„“”’…-=+/\\"
 
 
 STEM = 5
+BETA = 2.0  # of the thresholds: a document missed costs more than a false alarm
 
 
 def words_of(text: str | None) -> set[str]:
@@ -50,8 +51,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3,
-                 steps: int = 200) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4,
+                 steps: int = 400) -> np.ndarray:
     """Weights (the last is the intercept) by accelerated gradient descent."""
     n, d = x.shape
     x = np.hstack([x, np.ones((n, 1), x.dtype)])
@@ -74,11 +75,11 @@ def _apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return _sigmoid(x @ w[:-1] + w[-1])
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability of best F1, in the middle of its gap."""
+def best_threshold(p: np.ndarray, y: np.ndarray, beta: float = 1.0) -> float:
+    """The probability of best F-beta, in the middle of its gap."""
     order = np.argsort(-p, kind="stable")
     p, hits = p[order], np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
+    f1 = (1 + beta ** 2) * hits / (np.arange(1, len(p) + 1) + beta ** 2 * y.sum())
     f1[:-1][p[:-1] == p[1:]] = -1  # equal probabilities go together
     i = int(np.argmax(f1))
     return float((p[i] + (p[i + 1] if i + 1 < len(p) else 0)) / 2)
@@ -109,7 +110,7 @@ class Chain:
                     rest = fold != f
                     if not rest.all() and rest.any():
                         out[~rest] = _apply(fit_logistic(full[rest], target[rest]), full[~rest])
-                thresholds.append(best_threshold(out, target))
+                thresholds.append(best_threshold(out, target, BETA))
             given = np.hstack([given, out[:, None].astype(x.dtype)])
         return cls(names, words, models, thresholds)
 
