@@ -17,7 +17,7 @@ sys.path.insert(0, ROOT)
 ALIASES = {"M": "operators.models", "C": "operators.cleaning", "I": "operators.incremental",
            "Q": "operators.quality", "S": "sources.scans", "K": "sources.sinks",
            "L": "operators.ledger", "ML": "operators.ml", "FT": "operators.features",
-           "X": "functions.columns", "F": "pyspark functions"}
+           "X": "functions.columns", "R": "operators.rollup", "F": "pyspark functions"}
 
 
 def impl_of(fn) -> str:
@@ -25,7 +25,7 @@ def impl_of(fn) -> str:
         src = inspect.getsource(fn)
     except (OSError, TypeError):
         return ""
-    calls = re.findall(r"\b(M|C|I|Q|S|K|L|ML|FT|X)\.([a-z_][a-z0-9_]*)\(", src)
+    calls = re.findall(r"\b(M|C|I|Q|S|K|L|ML|FT|X|R)\.([a-z_][a-z0-9_]*)\(", src)
     seen = []
     for a, f in calls:
         name = f"{ALIASES[a]}.{f}"

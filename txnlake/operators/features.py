@@ -98,18 +98,21 @@ def key_window_features(df: DataFrame, key: str, prefix: str, *,
                         prev_amount: bool = False, avg_past: bool = False,
                         totals_from: DataFrame | None = None,
                         max_key_rows: int = MAX_KEY_ROWS,
-                        carried: DataFrame | None = None) -> DataFrame:
+                        carried: DataFrame | None = None,
+                        hot: DataFrame | str | None = "count") -> DataFrame:
     """Add the `prefix`-named window features of one key (plan: see module doc).
 
     `totals_from`: the same rows with fewer derived columns, to count keys and total
     hot ones without running `df`'s own windows again.  `carried`: a row for each key with the
-    totals of all rows before those of `df` (`carried_state`).
+    totals of all rows before those of `df` (`carried_state`).  `hot`: the keys (_k) to split, if
+    they have been counted; None if there are none.
     """
     ranges = ranges or RANGES
     src = totals_from if totals_from is not None else df
-    hot = hot_keys(src, F.coalesce(F.col(key), F.lit(NULL_KEY)), max_key_rows)
-    if split := not hot.isEmpty():
-        hot = materialize(hot)
+    if isinstance(hot, str):
+        hot = hot_keys(src, F.coalesce(F.col(key), F.lit(NULL_KEY)), max_key_rows)
+        hot = None if hot.isEmpty() else materialize(hot)
+    split = hot is not None
     bucket = f"coalesce(floor(_t / {bucket_seconds}), {NO_TIME})"
 
     # Of each range, rows, amounts and their sum: what comes in counts up, what goes out down.
@@ -245,8 +248,21 @@ def feature_projection(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def window_features(silver: DataFrame, **kw) -> DataFrame:
+def hot_of_both(df: DataFrame, max_key_rows: int) -> dict[str, DataFrame | None]:
+    """The hot recipients and senders, counted in one pass."""
+    keys = ", ".join(f"struct('{k}' AS _c, coalesce(`{k}`, '{NULL_KEY_SQL}') AS _k)"
+                     for k in ("merchant_id", "user_id"))
+    both = df.selectExpr(f"inline(array({keys}))").groupBy("_c", "_k").count().where(
+        F.col("count") > max_key_rows).select("_c", "_k")
+    if both.isEmpty():
+        return {"merchant_id": None, "user_id": None}
+    both = materialize(both)
+    return {k: both.where(F.col("_c") == k).select("_k") for k in ("merchant_id", "user_id")}
+
+
+def window_features(silver: DataFrame, max_key_rows: int = MAX_KEY_ROWS, **kw) -> DataFrame:
     """The whole feature job: recipient windows, sender windows, pattern flags, projection."""
-    df = dest_window_features(silver, **kw)
-    df = orig_window_features(df, totals_from=silver, **kw)
+    hot = hot_of_both(silver, max_key_rows)
+    df = dest_window_features(silver, hot=hot["merchant_id"], **kw)
+    df = orig_window_features(df, totals_from=silver, hot=hot["user_id"], **kw)
     return feature_projection(pattern_features(df))

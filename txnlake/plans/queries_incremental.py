@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from txnlake.operators import rollup as R
-from txnlake.plans import queries_core as Q
+from txnlake.plans import queries_core as core
 from txnlake.plans.base import fact_df
 from txnlake.plans.oracle_sql import with_base
 from txnlake.plans.registry import register
@@ -60,19 +60,19 @@ def kept_up(spark, sf, kind: str):
     return state.updated(totals, again, taken, stay), stay.unionByName(again)
 
 
-@register("dim_users_kept_up", _sql(Q.DIM_SQL.format(src="fact")), Q.DIM_DOUBLES)
+@register("dim_users_kept_up", _sql(core.DIM_SQL.format(src="fact")), core.DIM_DOUBLES)
 def q_dim(spark, sf):
     """The user dimension after late, new, re-run and lost hours: equal to a build of what is there."""
     return R.dim_users(kept_up(spark, sf, "user")[0])
 
 
-@register("mart_user_risk_score_kept_up", _sql(Q._risk_sql(Q.DIM_SQL.format(src="fact")).replace(
-    "u.user_id = b.user_id", "u.user_id IS NOT DISTINCT FROM b.user_id")), Q.RISK_DOUBLES)
+@register("mart_user_risk_score_kept_up", _sql(core._risk_sql(core.DIM_SQL.format(src="fact")).replace(
+    "u.user_id = b.user_id", "u.user_id IS NOT DISTINCT FROM b.user_id")), core.RISK_DOUBLES)
 def q_risk(spark, sf):
     return R.mart_user_risk_score(kept_up(spark, sf, "user")[0])
 
 
-@register("mart_merchant_risk_kept_up", _sql(Q.MERCHANT_SQL),
+@register("mart_merchant_risk_kept_up", _sql(core.MERCHANT_SQL),
           ("total_received_volume", "avg_received_amount", "max_received_amount",
            "stddev_received_amount", "fraud_risk_ratio"))
 def q_merchant(spark, sf):
@@ -80,14 +80,14 @@ def q_merchant(spark, sf):
     return R.mart_merchant_risk(kept_up(spark, sf, "merchant")[0], kept_up(spark, sf, "senders")[0])
 
 
-@register("mart_hourly_patterns_kept_up", _sql(Q.HOURLY_SQL),
+@register("mart_hourly_patterns_kept_up", _sql(core.HOURLY_SQL),
           ("fraud_rate_pct", "total_amount", "fraud_amount", "avg_txn_amount"))
 def q_hourly(spark, sf):
     return R.mart_hourly_patterns(kept_up(spark, sf, "clock")[1])
 
 
-@register("mart_transaction_type_analysis_kept_up", Q.TYPE_MART_SQL.replace(
+@register("mart_transaction_type_analysis_kept_up", core.TYPE_MART_SQL.replace(
     "\n\nSELECT type", "\n" + HELD + "SELECT type").replace("FROM fact GROUP", "FROM held GROUP"),
-    Q.TYPE_MART_DOUBLES)
+    core.TYPE_MART_DOUBLES)
 def q_types(spark, sf):
     return R.mart_transaction_type_analysis(kept_up(spark, sf, "type")[1])
