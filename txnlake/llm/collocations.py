@@ -35,6 +35,7 @@ import dataclasses
 import itertools
 import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -45,6 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlake.llm.common import share, ship, stored
+from txnlake.session import scratch_path
 
 SEPARATORS = b".,;:!?\n\v\f\r"
 END = b"\xff"  # the end of a piece; no UTF-8 text holds this byte
@@ -356,12 +358,13 @@ class Trie:
         return base
 
     def dump(self) -> bytes:
+        """Compressed, as most places of the arrays are empty: it goes through the driver."""
         small = (x.astype("<i4") for x in (self.numbers, self.base, self.check))
-        return pickle.dumps((self.langs, self.words, *small, self.phrase))
+        return zlib.compress(pickle.dumps((self.langs, self.words, *small, self.phrase)), 1)
 
     @classmethod
     def load(cls, raw: bytes) -> Trie:
-        return cls(*pickle.loads(raw))
+        return cls(*pickle.loads(zlib.decompress(raw)))
 
     def step(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """The next states; -1 where there is none."""
@@ -468,19 +471,27 @@ def scored(phrases: DataFrame, nested: int) -> DataFrame:
     return two.unionByName(three)
 
 
+def _apart(read: DataFrame) -> DataFrame:
+    """What was read, stored with chunks and words in folders of their own (column kind)."""
+    path = scratch_path(read.sparkSession, "llm-read")
+    kind = F.when(F.col("word").isNull(), "chunk").otherwise("word")
+    read.withColumn("kind", kind).write.partitionBy("kind").parquet(path)
+    return read.sparkSession.read.schema(f"{READ}, kind string").parquet(path)
+
+
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10,
-                 nested: int = 50, top: int = 2000, max_phrases: int = 200_000) -> DataFrame:
+                 nested: int = 50, top: int = 2000, max_phrases: int = 300_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` best phrases of each language."""
     ship(df.sparkSession)
     docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"),
                      F.col(text_col).alias("text")).where("text IS NOT NULL")
     for seed in itertools.count():
-        read = stored(read_texts(docs, seed), "read")
-        words = stored(read.where("word IS NOT NULL").groupBy("lang", "h").agg(
+        read = _apart(read_texts(docs, seed))
+        words = stored(read.where("kind = 'word'").groupBy("lang", "h").agg(
             F.min("word").alias("word"), F.max("word").alias("other"), F.sum("n").alias("n")), "words")
         if words.where("word <> other").isEmpty():
             break
-    chunks = read.where("ids IS NOT NULL").select("lang", "ids", "hashes", "starts")
+    chunks = read.where("kind = 'chunk'").select("lang", "ids", "hashes", "starts")
     filters = [filter_of(words.where(F.col("n") >= least).select("h"))]
     for _ in range(2):
         filters.append(filter_of(hash_counts(chunks, filters).where(F.col("n") >= least).select("h")))
