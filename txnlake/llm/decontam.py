@@ -54,7 +54,7 @@ UNITS = frozenset("""
     kmh celsius fahrenheit kelvin mole moles byte bytes kb mb gb tb""".split())
 NUMERIC = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 EDGES = "\"'`()[]{}<>.,;:!?*#&_~|«»„“”’…-"
-CACHE = 100_000
+CACHE = 200_000
 ENDS, CAPITAL = 1, 2
 PIECE_WORDS = 200_000
 RUN_WORDS, WORD_SHARE = 20, 0.75
@@ -73,7 +73,8 @@ class Reader:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.known: list[tuple[int, int]] = []
-        self.codes, self.marks = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        self.filled = 0
+        self.codes, self.marks = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
 
     def _word(self, raw: str) -> int:
         bare = raw.strip(EDGES)
@@ -90,10 +91,14 @@ class Reader:
             self.clear()
         get, slow = self.number.get, self._word
         at = np.fromiter((v if (v := get(w)) is not None else slow(w) for w in raw), np.int64, len(raw))
-        if len(self.codes) < len(self.known):
-            new = self.known[len(self.codes):]
-            self.codes = np.concatenate([self.codes, np.array([c for c, _ in new], np.uint64)])
-            self.marks = np.concatenate([self.marks, np.array([m for _, m in new], np.uint8)])
+        if self.filled < (n := len(self.known)):
+            if n > len(self.codes):  # twice the room, so that words are seldom copied
+                self.codes, self.marks = (np.concatenate([x, np.zeros(2 * n - len(x), x.dtype)])
+                                          for x in (self.codes, self.marks))
+            new = self.known[self.filled:]
+            self.codes[self.filled:n] = [c for c, _ in new]
+            self.marks[self.filled:n] = [m for _, m in new]
+            self.filled = n
         exact, mark = self.codes[at], self.marks[at]
         begins = np.ones(len(raw), bool)
         begins[1:] = mark[:-1] & ENDS
