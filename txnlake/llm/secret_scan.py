@@ -6,9 +6,12 @@ overlapping within a kind; spans are the whole matches, in code points).
 Candidates are the maximal runs of ``RUN`` characters, 12 or more, with a digit.  Each one
 is read by a small convolutional network (numpy) together with its context: 16 characters
 before, its first 32 and last 16, and 16 after, as character classes.  The network is
-fitted on labelled findings: candidates of a hash sample of about ``max_docs`` documents,
-up to ``max_each`` of either label, positive where a base finding overlaps them; half of
-them are shown without context, so that a value is also known by itself.  Its
+fitted on the labelled findings of all documents: every candidate (those of equal texts once),
+positive where a base finding overlaps it, both labels of the same total weight; half of
+them are shown without context (in what is held back, too), so that a value is also known by
+itself.  They are dealt by a
+hash into groups of up to ``GROUP``; Spark trains the groups side by side, an epoch at a time from
+the same weights, and the weights' mean begins the next one.  The network's
 probabilities are calibrated (Platt) on a third that it was not fitted on, and the
 threshold is the highest that finds ``recall`` of that third's positives.  Candidates above
 it that no base finding overlaps are added, as kind ``model``.  Of a candidate that is not
@@ -26,6 +29,7 @@ from __future__ import annotations
 import bisect
 import dataclasses
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import each, sample_share, share, ship, turn_to
+from txnlake.llm.common import each, order_statistics, share, ship, stored, turn_to
 
 # The base patterns and the least lengths of their matches.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -53,6 +57,7 @@ WIDTH = BEFORE + HEAD + TAIL + AFTER
 STEP = 16
 PART = re.compile(r"[^/=]+")
 SPAN, FILTERS = 5, 16
+EPOCHS, GROUP = 6, 2048
 #: Character classes, one of each: pad, hex letters and others by case, digit, signs, rest.
 CLASSES = ("", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "0123456789",
            "+/", "_-", "=:", "\"'", " ", "\n\t\r", "@.")
@@ -152,89 +157,170 @@ class Network:
                                for i in range(0, len(views), 256)] or [np.zeros(0)])
 
     def probabilities(self, views: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(views) + self.shift, -35, 35)))
+        return self.calibrated(self.logits(views))
 
-    def train(self, views: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64,
+    def calibrated(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * logits.astype(float) + self.shift, -35, 35)))
+
+    def train(self, views: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 64,
               rate: float = 3e-3, seed: int = 11) -> None:
         """Adam on the logistic loss."""
-        r, t = np.random.default_rng(seed), 0
-        params = [self.conv, self.bias, self.out]
-        m1, m2 = ([np.zeros_like(p) for p in params] for _ in range(2))
-        for _ in range(epochs):
-            order = r.permutation(len(views))
-            for i in range(0, len(order), batch):
-                pick = order[i:i + batch]
-                x = _windows(views[pick])
-                act, pooled, z = self._forward(x)
-                dz = ((1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[pick]) / len(pick)).astype(
-                    np.float32)
-                top, mean = dz[:, None] * self.out[:FILTERS], dz[:, None] * self.out[FILTERS:-1]
-                d = np.repeat(mean[:, None] / act.shape[1], act.shape[1], axis=1)
-                at = act.argmax(1)
-                np.put_along_axis(d, at[:, None], np.take_along_axis(d, at[:, None], 1)
-                                  + top[:, None], 1)
-                d *= act > 0
-                grads = [np.tensordot(x, d, ([0, 1], [0, 1])), d.sum((0, 1)), dz @ pooled]
-                t += 1
-                for p, g, a, b in zip(params, grads, m1, m2):
-                    a += 0.1 * (g - a)
-                    b += 0.001 * (g * g - b)
-                    p -= rate * (a / (1 - 0.9 ** t)) / (np.sqrt(b / (1 - 0.999 ** t)) + 1e-8)
-
-    def calibrate(self, views: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt's scale and shift (Newton, smoothed targets), and the threshold."""
-        z = self.logits(views).astype(float)
-        up, down = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
-        target, a, b = np.where(y > 0, up, down), 1.0, 0.0
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -35, 35)))
-            w = p * (1 - p) + 1e-9
-            h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum()]])
-            g = np.array([((p - target) * z).sum() + 1e-3 * (a - 1), (p - target).sum()])
-            da, db = np.linalg.solve(h, g)
-            a, b = a - float(np.clip(da, -1, 1)), b - float(np.clip(db, -1, 1))
-        self.scale, self.shift = a, b
-        p = np.sort(self.probabilities(views)[y > 0])
-        self.threshold = float(p[int((1 - recall) * len(p))])
-
-
-def fit(df: DataFrame, text_col: str = "text", max_docs: int = 40_000, max_each: int = 1500,
-        recall: float = 0.99) -> Network | None:
-    """The network of a sample's labelled findings; None without both labels."""
+        state = self.start()
+        for epoch in range(epochs):
+            state = self.epoch(state, views, y, np.ones(len(y), np.float32), (seed, epoch), batch, rate)
+        self.take(state)
+
+    def _params(self) -> list[np.ndarray]:
+        return [self.conv, self.bias, self.out]
+
+    def start(self) -> np.ndarray:
+        """What training goes on from: steps, weights, both moments; one vector."""
+        flat = np.concatenate([p.ravel() for p in self._params()]).astype(float)
+        return np.concatenate([[0.0], flat, 0 * flat, 0 * flat])
+
+    def take(self, state: np.ndarray) -> None:
+        """The weights of a training state."""
+        at = 1
+        for p in self._params():
+            p[...] = state[at:at + p.size].reshape(p.shape)
+            at += p.size
+
+    def epoch(self, state: np.ndarray, views: np.ndarray, y: np.ndarray, weight: np.ndarray,
+              seed: tuple[int, int], batch: int = 64, rate: float = 3e-3) -> np.ndarray:
+        """The training state after one pass over the rows."""
+        self.take(state)
+        t, params = state[0], self._params()
+        size = sum(p.size for p in params)
+        m1, m2 = (np.split(state[1 + k * size:1 + (k + 1) * size].astype(np.float32), np.cumsum(
+            [p.size for p in params])[:-1]) for k in (1, 2))
+        m1, m2 = ([m.reshape(p.shape) for m, p in zip(ms, params)] for ms in (m1, m2))
+        order = np.random.default_rng(seed).permutation(len(views))
+        for i in range(0, len(order), batch):
+            pick = order[i:i + batch]
+            x = _windows(views[pick])
+            act, pooled, z = self._forward(x)
+            dz = (weight[pick] * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[pick])
+                  / len(pick)).astype(np.float32)
+            top, mean = dz[:, None] * self.out[:FILTERS], dz[:, None] * self.out[FILTERS:-1]
+            d = np.repeat(mean[:, None] / act.shape[1], act.shape[1], axis=1)
+            at = act.argmax(1)
+            np.put_along_axis(d, at[:, None], np.take_along_axis(d, at[:, None], 1)
+                              + top[:, None], 1)
+            d *= act > 0
+            grads = [np.tensordot(x, d, ([0, 1], [0, 1])), d.sum((0, 1)), dz @ pooled]
+            t += 1
+            for p, g, a, b in zip(params, grads, m1, m2):
+                a += 0.1 * (g - a)
+                b += 0.001 * (g * g - b)
+                p -= rate * (a / (1 - 0.9 ** t)) / (np.sqrt(b / (1 - 0.999 ** t)) + 1e-8)
+        return np.concatenate([[t], *(a.ravel() for part in (params, m1, m2) for a in part)])
+
+
+def labelled(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """label, place (text's hash and number), held back or not, and view of every candidate;
+    those of equal texts once."""
     ship(df.sparkSession)
     texts = df.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
+    schema = pa.schema([("y", pa.int32()), ("part", pa.int64()), ("n", pa.int32()),
+                        ("held", pa.bool_()), ("view", pa.binary())])
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.text:
-                held = base_spans(text)
+            for text in each(batch.column(0)):
+                runs = candidates(text)
+                if not runs:
+                    continue
+                base = base_spans(text)
+                starts, far = [s for s, _, _ in base], list(itertools.accumulate(
+                    (e for _, _, e in base), max, initial=0))
                 part = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"),
                                                       digest_size=6).digest(), "big")
-                for n, (start, end) in enumerate(candidates(text)):
-                    y = int(any(s < end and start < e for s, _, e in held))
-                    whole, alone = (classes(text, start, end, c).tolist() for c in (True, False))
-                    rows.append((y, part, n, whole, alone))
-            yield pd.DataFrame(rows, columns=["y", "part", "n", "whole", "alone"])
-
-    found = sample_share(texts, max_docs, "text").mapInPandas(
-        label, "y int, part long, n int, whole array<long>, alone array<long>").distinct()
-    rows = [r for y in (0, 1) for r in found.where(F.col("y") == y).orderBy(
-        F.xxhash64("part", "n"), "part", "n").limit(max_each).collect()]
-    held = [r for r in rows if r.part % 3 == 0]
-    learn = [r for r in rows if r.part % 3]
-    if any(len({r.y for r in part}) < 2 for part in (held, learn)):
+                held = part % 3 == 0
+                for n, (start, end) in enumerate(runs):
+                    # the furthest end of the base findings that begin before this one ends
+                    y = int(far[bisect.bisect_left(starts, end)] > start)
+                    view = classes(text, start, end, (part // 3 + n) % 2 == 0)
+                    rows.append((y, part, n, held, view.astype(np.int8).tobytes()))
+                    if len(rows) >= 5000:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return texts.mapInArrow(label, "y int, part long, n int, held boolean, view binary").distinct()
+
+
+def _views(cells) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), np.int8).reshape(-1, WIDTH).astype(np.int64)
+
+
+def fit(df: DataFrame, text_col: str = "text", recall: float = 0.99) -> Network | None:
+    """The network of all labelled findings; None without both labels."""
+    found = stored(labelled(df, text_col), "findings")
+    sizes = {(r.held, r.y): r["count"] for r in found.groupBy("held", "y").count().collect()}
+    if len(sizes) < 4:
         return None
-
-    def views(part: list, alone: bool) -> np.ndarray:
-        return np.array([r.alone if alone and (r.part // 3 + r.n) % 2 else r.whole for r in part])
-
     net = Network.new()
-    net.train(views(learn, True), np.array([r.y for r in learn], np.float32))
-    net.calibrate(views(held, True), np.array([r.y for r in held], float), recall)
+    _train(net, found.where("NOT held"), [sizes[False, y] for y in (0, 1)])
+    _calibrate(net, found.where("held"), [sizes[True, y] for y in (0, 1)], recall)
     return net
 
 
+def _train(net: Network, found: DataFrame, sizes: list[int], seed: int = 11) -> None:
+    """Epochs of the groups side by side; their states' mean begins the next."""
+    total = sum(sizes)
+    groups = -(-total // GROUP)
+    weights = np.array([total / 2 / n for n in sizes], np.float32)
+    rows = found.withColumn("group", F.pmod(F.xxhash64(F.lit("group"), "part", "n"), F.lit(groups)))
+    state = net.start()
+    for epoch in range(EPOCHS):
+        def learn(found: pd.DataFrame) -> pd.DataFrame:
+            found = found.sort_values(["part", "n"])
+            y = found.y.to_numpy()
+            after = Network.new().epoch(state, _views(found["view"]), y.astype(np.float32),
+                                        weights[y], (seed, epoch))
+            return pd.DataFrame({"size": len(found), "state": [after.tolist()]})
+
+        # sums of decimals: the same in any order
+        mean = (rows.groupBy("group").applyInPandas(learn, "size long, state array<double>")
+                .select("size", F.posexplode("state")).groupBy("pos").agg(
+                    F.sum((F.col("size") * F.col("col")).cast("decimal(38,20)")).alias("sum"))
+                .collect())
+        for r in mean:
+            state[r.pos] = float(r["sum"]) / total
+    net.take(state)
+
+
+def _calibrate(net: Network, found: DataFrame, sizes: list[int], recall: float) -> None:
+    """Platt's scale and shift (Newton, smoothed targets), and the threshold."""
+    def logits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"y": batch.y, "z": net.logits(_views(batch["view"])).astype(float)})
+
+    told = stored(found.mapInPandas(logits, "y int, z double"), "logits")
+    y, z, a, b = F.col("y"), F.col("z"), 1.0, 0.0
+    target = F.when(y > 0, (sizes[1] + 1) / (sizes[1] + 2)).otherwise(1 / (sizes[0] + 2))
+    for _ in range(30):
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), a * z + b))))
+        w = p * (1 - p) + 1e-9
+        r = told.agg(*(F.sum(x).alias(k) for k, x in {
+            "zz": w * z * z, "wz": w * z, "w": w, "gz": (p - target) * z, "g": p - target}.items())
+        ).first()
+        step = np.clip(np.linalg.solve([[r.zz + 1e-3, r.wz], [r.wz, r.w]],
+                                       [r.gz + 1e-3 * (a - 1), r.g]), -1, 1)
+        a, b = a - float(step[0]), b - float(step[1])
+        if np.abs(step).max() < 1e-9:
+            break
+    net.scale, net.shift = a, b
+    least = int((1 - recall) * sizes[1])  # in the order of probabilities
+    at = least if a >= 0 else sizes[1] - 1 - least
+    bound = order_statistics(told.where("y > 0"), "y", "z", lambda n: [at])[1][0]
+    net.threshold = float(net.calibrated(np.array([bound]))[0])
+
+
 def all_spans(text: str, net: Network | None) -> list[tuple[int, int, int]]:
     """Base spans, and the candidates that the network adds; sorted."""
     held = base_spans(text)
