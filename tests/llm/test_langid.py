@@ -100,3 +100,41 @@ def test_filter_stage_at_any_number_of_languages(spark, n):
 
 def test_filter_stage_without_labels(spark):
     assert langid.keep_identified(docs(spark, ["some words", "other words"], lang=None)).count() == 2
+
+
+def test_every_labelled_text_is_learned_from(spark):
+    """Each document has a word of its own; there are more than any sample of 1,000 would hold."""
+    r = random.Random(21)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(2500)]
+    df = docs(spark, texts, lang="aa").unionByName(docs(spark, ["0 ÄÖ", None], first=5000, lang="bb"))
+    for part in (df, df.coalesce(1)):
+        model = langid.fit(part.select("text", "lang"))
+        doc, h = langid.grams(texts)
+        assert model.languages_of(h)[:, model.langs.index("aa")].all()
+
+
+def test_ngrams_passed_on_early_are_counted_whole(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    one = langid.fit(df)
+    monkeypatch.setattr(langid, "HELD_GRAMS", 64)
+    two = langid.fit(df.repartition(3))
+    assert one.langs == two.langs and (one.slots == two.slots).all()
+
+
+def test_bound_is_that_of_all_labelled_rows(spark, monkeypatch):
+    """The bounds handed to the filter are the exact percentile over all rows."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(df.where(~langid.held_out(F.col("doc_id"))))
+    rows = df.collect()
+    told = model.measure([x.text for x in rows], len(rows))
+    want = set()
+    for x, (lang, _, part) in zip(rows, told):
+        own = [t[2] for y, t in zip(rows, told) if y.lang == lang == t[0]]
+        if lang != langid.UNDETERMINED and part >= (0.9 * np.percentile(own, 1) if own else 0):
+            want.add(x.doc_id)
+    seen = []
+    place = langid.order_statistics
+    monkeypatch.setattr(langid, "order_statistics",
+                        lambda d, *a: seen.append(d.count()) or place(d, *a))
+    got = {x.doc_id for x in langid.keep_identified(df, least=0.9).collect()}
+    assert got == want and seen == [sum(x.lang == t[0] for x, t in zip(rows, told))]

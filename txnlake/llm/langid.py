@@ -7,8 +7,8 @@ false positives).  Per language, the share of a text's n-grams with its bit is c
 for the false positives that the language's fill predicts, and the largest share decides;
 ``score`` is that share over the sum of all languages' shares.
 
-Learning: up to ``docs_per_lang`` labelled documents of each language in expectation (a
-hash sample; documented bound), whole texts, n-grams counted with Spark; an n-gram is
+Learning: all labelled documents of the ``max_langs`` languages that have most, whole texts,
+n-grams counted with Spark (in a task first, ``HELD_GRAMS`` of a language at a time); an n-gram is
 typical of the languages in which its frequency is at least ``ratio`` times its highest;
 the ``max_grams`` most frequent of them enter the filter, whose size is fixed by the
 parameters, so the broadcast is bounded whatever the input.
@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import each, sample_share, share, ship, stored, turn_to
+from txnlake.llm.common import each, fresh, order_statistics, share, ship, stored, turn_to
 
 UNDETERMINED = "und"
 SIZES = (3, 4)
 HASHES = 3
 PIECE = 500_000
 BLOCK = 100_000  # characters of whole short texts read at a time
+HELD_GRAMS = 1 << 18  # n-grams of a language that a task holds before it passes them on
+LEAST_SHARE = 0.01  # the quantile of a language's shares that its bound is taken from
 RESULT = "lang_pred string, score double"
 
 
@@ -103,6 +105,15 @@ def _blocks(texts: Iterable[str | None]) -> Iterator[tuple[list[int], list[str]]
         yield rows, held
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and their summed numbers."""
+    g, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(g)
+    g, n = g[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[:len(g)])
+    return g[first], np.add.reduceat(n, first) if len(first) else n
+
+
 @dataclasses.dataclass
 class Model:
     langs: list[str]
@@ -161,7 +172,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
-        docs_per_lang: int = 1000, max_langs: int = 256, max_grams: int = 60_000,
+        max_langs: int = 256, max_grams: int = 60_000,
         ratio: float = 0.3, log2_slots: int = 19) -> Model:
     """A model of the labelled rows (null texts and labels don't count)."""
     ship(labelled.sparkSession)
@@ -172,25 +183,41 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     langs = list(counts)
     if not langs:
         return Model([], np.zeros((1, 1), np.uint8), np.zeros(0))
-    space = 1 << 31
-    pick = F.create_map(*(F.lit(x) for i, k in enumerate(langs)
-                          for x in (k, i * (space + 1)
-                                    + min(space, int(space * docs_per_lang / counts[k])))))
-    code = F.element_at(pick, F.col("lang"))
-    sample = rows.where(code.isNotNull()).select(
-        "text", F.floor(code / (space + 1)).cast("int").alias("l"),
-        (code % (space + 1)).alias("cut")).where(
-        F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(space)) < F.col("cut"))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            label = batch.l.to_numpy()
-            for rows_, pieces in _blocks(batch.text):
-                doc, h = grams(pieces)
-                got = pd.DataFrame({"l": label[np.array(rows_)[doc]], "g": h.view(np.int64)})
-                yield got.groupby(["l", "g"], as_index=False).size().rename(columns={"size": "n"})
+    number = F.create_map(*(F.lit(x) for i, k in enumerate(langs) for x in (k, i)))
+    known = rows.select("text", F.element_at(number, F.col("lang")).alias("l")).where("l IS NOT NULL")
+    schema = pa.schema([("l", pa.int32()), ("g", pa.int64()), ("n", pa.int64())])
+
+    def told(label: int, parts: list) -> pa.RecordBatch:
+        g, n = _summed(parts)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), label, np.int32)),
+                                           pa.array(g.view(np.int64)), pa.array(n)], schema=schema)
 
-    counted = stored(sample.select("text", "l").mapInPandas(count, "l int, g long, n long").groupBy(
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("langid")
+        waiting: dict[int, list] = {}  # texts of a language that are not read yet, and their size
+        held: dict[int, list] = {}
+
+        def read(label: int) -> Iterator[pa.RecordBatch]:
+            for _, pieces in _blocks(waiting.pop(label)[0]):
+                held.setdefault(label, []).append(np.unique(grams(pieces)[1], return_counts=True))
+                if sum(len(g) for g, _ in held[label]) >= HELD_GRAMS:
+                    held[label] = [_summed(held[label])]
+                    if len(held[label][0][0]) >= HELD_GRAMS // 2:
+                        yield told(label, held.pop(label))
+
+        for batch in batches:
+            for text, label in zip(each(batch["text"]), batch["l"].to_pylist()):
+                wait = waiting.setdefault(label, [[], 0])
+                wait[0].append(text)
+                wait[1] += len(text)
+                if wait[1] >= BLOCK:
+                    yield from read(label)
+        for label in list(waiting):
+            yield from read(label)
+        for label, parts in held.items():
+            yield told(label, parts)
+
+    counted = stored(known.mapInArrow(count, "l int, g long, n long").groupBy(
         "l", "g").agg(F.sum("n").alias("n")), "grams")
     totals = {r.l: r.n for r in counted.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     share = F.col("n") / F.element_at(F.create_map(*(F.lit(x) for k, v in totals.items()
@@ -237,12 +264,11 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    lang_col: str = "lang", least: float = 0.5, max_docs: int = 20_000,
-                    **fitting) -> DataFrame:
+                    lang_col: str = "lang", least: float = 0.5, **fitting) -> DataFrame:
     """The rows whose language is determined, columns as given: the share of that language is
-    at least ``least`` times the first percentile of the shares of (a sample of about
-    ``max_docs``) rows labelled so and found so.  All rows, if no row is labelled; those found
-    to be of a language for which the sample has no such row."""
+    at least ``least`` times the first percentile of the shares of all rows labelled so and
+    found so.  All rows, if no row is labelled; those found to be of a language of which no row
+    is labelled so and found so."""
     ids = F.col(id_col)
     model = fit(df.where(ids.isNotNull() & ~held_out(ids)), text_col, lang_col, **fitting)
     if not model.langs:
@@ -255,14 +281,25 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for texts in batches:
             yield _told(shared.value.measure(each(texts), len(texts)), 2, "share")
 
-    labelled = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
-        "text IS NOT NULL AND lang IS NOT NULL")
-    bounds = (sample_share(labelled, max_docs, "text").select("lang", measured("text").alias("r"))
-              .where("lang = r.lang_pred").groupBy("lang")
-              .agg(F.expr("percentile(r.share, 0.01)").alias("p")).collect())
-    told = measured(F.col(text_col))
+    # read once, for the bounds and for the rows that stay
+    name = fresh(df, "told")
+    rows = stored(df.withColumn(name, measured(F.col(text_col))), "measured")
+    lang, part = F.col(name)["lang_pred"], F.col(name)["share"]
+    right = rows.where((F.col(lang_col) == lang) & (lang != UNDETERMINED)).select(
+        lang.alias("lang"), part.alias("share"))
+
+    def around(n: int) -> list[int]:
+        """The places on either side of the quantile."""
+        at = LEAST_SHARE * (n - 1)
+        return [int(at), min(int(at) + 1, n - 1)]
+
+    sizes = {r.lang: r["count"] for r in right.groupBy("lang").count().collect()}
+    bounds = {}
+    for k, (low, high) in order_statistics(right, "lang", "share", around).items():
+        weight = LEAST_SHARE * (sizes[k] - 1) % 1
+        bounds[k] = least * (low * (1 - weight) + high * weight)
     bound = F.lit(0.0)
     if bounds:
         bound = F.coalesce(F.element_at(F.create_map(*(
-            F.lit(x) for r in bounds for x in (r.lang, least * r.p))), told["lang_pred"]), bound)
-    return df.where((told["lang_pred"] != UNDETERMINED) & (told["share"] >= bound))
+            F.lit(x) for kv in bounds.items() for x in kv)), lang), bound)
+    return rows.where((lang != UNDETERMINED) & (part >= bound)).select(*df.columns)
