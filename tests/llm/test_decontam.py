@@ -161,3 +161,36 @@ def test_recall_of_reparameterised_items(spark):
         docs(spark, texts), spark.createDataFrame(list(enumerate(items)), ITEM)).collect()}
     assert len(want & set(got)) >= 0.9 * len(want) and set(got) <= want
     assert all(got.values())
+
+
+def test_texts_read_together_hit_as_each_by_itself(monkeypatch):
+    """Windows don't reach from a text into the next, a text begins a sentence, and pieces of long
+    texts give what the whole does; short texts come many in a block."""
+    import numpy as np
+    r = random.Random(31)
+    words = ["alpha", "Beta", "gamma.", "12", "km", "(delta)", "Epsilon", "zeta", "eta!", "3,5"]
+    texts = [" ".join(r.choices(words, k=r.choice([0, 1, 2, 7, 30]))) for _ in range(600)]
+    texts.append(" ".join(r.choices(words, k=700)))
+    bits = (np.random.default_rng(1).random(1 << 22) < 0.3).astype(np.uint8)
+    kinds = [(2, 0), (3, 1), (3, 2), (8, 3)]
+
+    def alone(n, text):
+        raw = text.split()
+        found = []
+        for size, reading in kinds:
+            h = decontam.hashes(decontam.Reader().readings(raw)[reading], size) if raw else np.zeros(0, np.uint64)
+            found += [(n, -n, size, reading, int(h[i:i + 1].view(np.int64)[0]), i,
+                       [w.strip(decontam.EDGES).lower() for w in raw[i:i + size]])
+                      for i in decontam._hits(bits, h).tolist()]
+        return found
+
+    want = sorted(x for n, t in enumerate(texts) for x in alone(n, t))
+    marked = [((n, -n), t) for n, t in enumerate(texts)]
+    for piece in (decontam.PIECE_WORDS, 100, 31):
+        monkeypatch.setattr(decontam, "PIECE_WORDS", piece)
+        made = list(decontam.blocks(marked, 8))
+        reader = decontam.Reader()
+        assert sorted(x for b in made for x in b.hits(reader, bits, kinds)) == want
+        if piece > 1000:
+            assert len(made) == 1
+    assert len(want) > 1000

@@ -31,9 +31,10 @@ found each by itself; null ids are carried, of any type; texts are read whole, i
 
 from __future__ import annotations
 
+import dataclasses
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import fresh, share, ship, stored, turn_to
+from txnlake.llm.common import each, fresh, share, ship, stored, turn_to
 
 NUMBER, UNIT, NAME, FIRST = 1, 2, 3, 4  # codes of the placeholders; literals from FIRST on
 # Words taken as units of measure.
@@ -57,6 +58,7 @@ EDGES = "\"'`()[]{}<>.,;:!?*#&_~|«»„“”’…-"
 CACHE = 200_000
 ENDS, CAPITAL = 1, 2
 PIECE_WORDS = 200_000
+BLOCK_WORDS = 1 << 14  # words of texts that are read together
 RUN_WORDS, WORD_SHARE = 20, 0.75
 MAX_FILTER_BITS = 28  # 32 MB
 #: Names inside sentences; all capitalised words; numbers alone; nothing but the words.
@@ -85,8 +87,8 @@ class Reader:
         self.number[raw] = len(self.known) - 1
         return len(self.known) - 1
 
-    def readings(self, raw: list[str]) -> list[np.ndarray]:
-        """Codes of words, by reading; the first of them begins a sentence."""
+    def readings(self, raw: list[str], first: np.ndarray | int = 0) -> list[np.ndarray]:
+        """Codes of words, by reading; those at ``first`` begin a sentence."""
         if len(self.known) >= CACHE:
             self.clear()
         get, slow = self.number.get, self._word
@@ -102,6 +104,7 @@ class Reader:
         exact, mark = self.codes[at], self.marks[at]
         begins = np.ones(len(raw), bool)
         begins[1:] = mark[:-1] & ENDS
+        begins[first] = True
         kind, capital = (mark >> 2).astype(np.uint64), (mark & CAPITAL) > 0
         typed = np.where(kind > 0, kind, exact)
         capital &= kind == 0
@@ -117,9 +120,11 @@ def hashes(codes: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
     for i in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i:i + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += codes[i:i + n]
     h ^= h >> np.uint64(32)
-    return h * np.uint64(0xD6E8FEB86659FD93)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
 
 
 WINDOWS = ("item long, size int, reading int, h long, place int, literal boolean, kinds array<int>, "
@@ -198,6 +203,67 @@ def _hits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return at[there(h[at] >> np.uint64(32))]
 
 
+@dataclasses.dataclass
+class Block:
+    """Words of short texts, or of a piece of a long one, one after the other."""
+
+    words: list[str] = dataclasses.field(default_factory=list)
+    marks: list[tuple] = dataclasses.field(default_factory=list)  # of the texts
+    starts: list[int] = dataclasses.field(default_factory=list)  # where their words begin here
+    first: list[int] = dataclasses.field(default_factory=list)  # the first word's place in the text
+    lead: list[int] = dataclasses.field(default_factory=list)  # words before those to be looked up
+    many: list[int] = dataclasses.field(default_factory=list)  # places where a window may begin
+
+    def add(self, mark: tuple, words: list[str], first: int = 0, lead: int = 0,
+            many: int | None = None) -> None:
+        self.starts.append(len(self.words))
+        self.words += words
+        self.marks.append(mark)
+        self.first.append(first - lead)
+        self.lead.append(lead)
+        self.many.append(len(words) - lead if many is None else many)
+
+    def hits(self, reader: Reader, bits: np.ndarray, kinds: list[tuple[int, int]]) -> list[tuple]:
+        """Rows of HITS: windows within a text that pass the filter."""
+        starts, lead, many = (np.array(x) for x in (self.starts, self.lead, self.many))
+        sizes = np.diff(np.append(starts, len(self.words)))
+        readings, rows = reader.readings(self.words, starts[sizes > 0]), []
+        place = np.arange(len(self.words)) - np.repeat(starts, sizes)  # in its part of the block
+        begin, left = np.repeat(lead, sizes), np.repeat(sizes, sizes) - place
+        open_ = (place >= begin) & (place - begin < np.repeat(many, sizes))
+        text = np.repeat(np.arange(len(starts)), sizes)
+        for size, r in kinds:
+            h = hashes(readings[r], size)
+            at = _hits(bits, h)
+            at = at[open_[at] & (left[at] >= size)]
+            rows += [(*self.marks[i], size, r, k, self.first[i] + p,
+                      [w.strip(EDGES).lower() for w in self.words[a:a + size]])
+                     for a, i, p, k in zip(at.tolist(), text[at].tolist(), place[at].tolist(),
+                                           h[at].view(np.int64).tolist())]
+        return rows
+
+
+def blocks(texts: Iterable[tuple[tuple, str]], longest: int) -> Iterator[Block]:
+    """The texts (mark, text) in blocks; those over PIECE_WORDS in pieces, one a block."""
+    block = Block()
+    for mark, text in texts:
+        whole = text.split()
+        if len(whole) <= PIECE_WORDS:
+            block.add(mark, whole)
+            if len(block.words) >= BLOCK_WORDS:
+                yield block
+                block = Block()
+            continue
+        # pieces share a window less one word; a piece begins in the sentence that it is in
+        for first in range(0, max(1, len(whole) - longest + 1), PIECE_WORDS):
+            lead, end = min(first, 1), first + PIECE_WORDS + longest - 1
+            piece = Block()
+            piece.add(mark, whole[first - lead:end], first, lead, PIECE_WORDS if end < len(whole) else None)
+            yield piece
+    if block.words:
+        yield block
+
+
 HITS = "t1 long, t2 long, size int, reading int, h long, at long, found array<string>"
 
 
@@ -210,22 +276,10 @@ def text_hits(texts: DataFrame, bits: np.ndarray, kinds: list[tuple[int, int]])
         bits, kinds = shared.value
         longest, reader = max((size for size, _ in kinds), default=1), Reader()
         for batch in batches:
+            marks = zip(batch["t1"].to_pylist(), batch["t2"].to_pylist())
             rows = []
-            for i in range(len(batch)):
-                mark = batch["t1"][i].as_py(), batch["t2"][i].as_py()
-                whole = batch["text"][i].as_py().split()
-                # pieces share a window less one word; a piece begins in the sentence that it is in
-                for first in range(0, max(1, len(whole) - longest + 1), PIECE_WORDS):
-                    lead = min(first, 1)
-                    raw = whole[first - lead:first + PIECE_WORDS + longest - 1]
-                    readings = [r[lead:] for r in reader.readings(raw)]
-                    raw = raw[lead:]
-                    for size, r in kinds:
-                        h = hashes(readings[r], size)[:PIECE_WORDS if first + PIECE_WORDS + longest - 1
-                                                      < len(whole) else None]
-                        rows += [(*mark, size, r, int(h[at].view(np.int64)), first + at,
-                                  [w.strip(EDGES).lower() for w in raw[at:at + size]])
-                                 for at in _hits(bits, h).tolist()]
+            for block in blocks(zip(marks, each(batch["text"])), longest):
+                rows += block.hits(reader, bits, kinds)
                 if len(rows) >= 10_000:
                     yield _table(rows, HITS)
                     rows = []
