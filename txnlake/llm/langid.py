@@ -223,9 +223,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     share = F.col("n") / F.element_at(F.create_map(*(F.lit(x) for k, v in totals.items()
                                                      for x in (k, float(v)))), F.col("l")) \
         if totals else F.lit(0.0)
-    best = (counted.withColumn("p", share).groupBy("g")
-            .agg(F.collect_list(F.struct("l", "p")).alias("at"), F.max("p").alias("top"))
-            .orderBy(F.desc("top"), "g").limit(max_grams).collect())
+    # stored first: collected at once, every task would send the driver max_grams rows
+    best = stored(counted.withColumn("p", share).groupBy("g")
+                  .agg(F.collect_list(F.struct("l", "p")).alias("at"), F.max("p").alias("top"))
+                  .orderBy(F.desc("top"), "g").limit(max_grams), "best").orderBy("g").collect()
     typical = np.zeros((len(best), len(langs)), bool)
     for i, r in enumerate(best):
         for x in r["at"]:
