@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,56 @@ def test_products_beyond_64_bits(spark):
     df = spark.createDataFrame(rows, "lang string, w1 long, w2 long, w3 long, a long")
     got = collocations.scored(df, 50).first()
     assert got.score == 1000000 * (n - 1) ** 2 // (n * (n + 1))
+
+
+def test_few_readings_for_many_tries(spark, monkeypatch):
+    """Several tries are counted in one reading of the chunks, and none holds too many phrases."""
+    names, sizes = [], []
+    real = collocations.stored
+
+    def stored(df, name):
+        out = real(df, name)
+        names.append(name)
+        if name == "phrases":
+            sizes.extend(r["count"] for r in out.groupBy("shard").count().collect())
+        return out
+    monkeypatch.setattr(collocations, "stored", stored)
+    rows = corpus()
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert found(collocations.collocations(df, max_phrases=40)) == brute(rows)
+    assert len(sizes) > 6 and max(sizes) < 80
+    assert names.count("trie-counts") <= 1 + sum(sizes) / (40 * 1.5)
+
+
+def test_chunks_reach_workers_in_batches_of_a_few_megabytes(spark, monkeypatch):
+    """However many there are in a file; the session's settings are as before afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, most = spark.conf.get(key, None), []
+    real = collocations.candidates
+
+    def candidates(chunks, filters):
+        def size(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"size": pa.array([b.nbytes], pa.int64())})
+        one = chunks.unionAll(chunks).crossJoin(spark.range(6)).drop("id").coalesce(1)
+        most.append(one.mapInArrow(size, "size long").agg(F.max("size"), F.sum("size")).first())
+        return real(chunks, filters)
+    monkeypatch.setattr(collocations, "candidates", candidates)
+    text = "salt and pepper, new york city. " * 150_000
+    df = docs(spark, [text], lang="en")
+    assert len(found(collocations.collocations(df))) > 0
+    largest, all_bytes = most[0]
+    assert largest <= 14 << 20 < all_bytes
+    assert spark.conf.get(key, None) == before
+
+
+def test_words_are_joined_to_ties_and_what_is_ahead(spark):
+    """First places by numbers, with all that tie; their order by the phrase."""
+    words = [("en", i, w, 30) for i, w in enumerate(["z", "b", "y", "a", "x", "é"], 1)]
+    words = spark.createDataFrame(words, "lang string, h long, word string, n long")
+    rows = [("en", 1, 2, None, 10, 10, 10, 1_000_000), ("en", 3, 4, None, 10, 10, 10, 1_000_000),
+            ("en", 5, 6, 1, 10, 10, 10, 1_000_000), ("en", 2, 3, None, 9, 9, 9, 1_000_000),
+            ("en", 6, 5, None, 30, 30, 30, 1_000_000)]
+    best = spark.createDataFrame(rows, "lang string, w1 long, w2 long, w3 long, a long, l long, r long, score long")
+    got = collocations._best(best, words, 3).orderBy("rank").collect()
+    assert [(r["rank"], r["phrase"], r["n"]) for r in got] == [(1, "é x", 180), (2, "x é z", 180), (3, "y a", 180)]
