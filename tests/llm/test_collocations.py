@@ -180,3 +180,13 @@ def test_words_are_joined_to_ties_and_what_is_ahead(spark):
     best = spark.createDataFrame(rows, "lang string, w1 long, w2 long, w3 long, a long, l long, r long, score long")
     got = collocations._best(best, words, 3).orderBy("rank").collect()
     assert [(r["rank"], r["phrase"], r["n"]) for r in got] == [(1, "é x", 180), (2, "x é z", 180), (3, "y a", 180)]
+
+
+def test_filter_lets_few_through(spark, monkeypatch):
+    """None of its own is missed; of others, the square of the bits' share, not the share."""
+    monkeypatch.setattr(collocations, "FILTER_BITS", 16)
+    h = np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 100_000)
+    own = spark.createDataFrame([(int(x),) for x in h[:3000]], "h long")
+    bits = collocations.filter_of(own)
+    ok = collocations._has(bits, h.view(np.uint64))
+    assert ok[:3000].all() and 0 < ok[3000:].mean() < 0.015  # one bit each: 0.045
