@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,43 @@ def test_filter_lets_few_through(spark, monkeypatch):
     bits = collocations.filter_of(own)
     ok = collocations._has(bits, h.view(np.uint64))
     assert ok[:3000].all() and 0 < ok[3000:].mean() < 0.015  # one bit each: 0.045
+
+
+def test_a_task_hands_on_a_word_once(spark, monkeypatch):
+    """Not once for each chunk that holds it; counts are those of the texts."""
+    monkeypatch.setattr(collocations, "CHUNK_WORDS", 50)
+    rows = corpus(6)
+    df = spark.createDataFrame(rows, "lang string, text string").where("text != ''").coalesce(1).selectExpr(
+        "coalesce(lang, 'und') AS lang", "text")
+    with collocations._set(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "10"}):
+        read = collocations.read_texts(df, 0).collect()
+    got = Counter()
+    for r in read:
+        if r.word is not None:
+            got[r.lang, r.word] += 1
+    assert set(got.values()) == {1} and sum(r.word is None for r in read) > 6
+    want = Counter((lang or "und", w) for lang, text in rows for w in re.findall(
+        "[^\x20\x09.,;:!?\x0A-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+    assert {(r.lang, r.word): r.n for r in read if r.word is not None} == want
+
+
+def test_packed_counts(spark):
+    """Of many tasks, by part: sums as counted plainly, in under four bytes a key (as rows, 16)."""
+    r, bits = np.random.default_rng(3), collocations.KEY_BITS - 8
+    often = r.integers(0, 1 << collocations.KEY_BITS, 50_000)
+    often[:3] = 0, (1 << bits) - 1, (1 << collocations.KEY_BITS) - 1  # where parts begin and end
+    tasks = [np.unique(np.concatenate([often[i::2], r.integers(0, 1 << collocations.KEY_BITS, 300_000)]))
+             for i in (0, 1, 0)]
+    batches = [b for keys in tasks for b in collocations._packed(keys, np.arange(len(keys)) % 3 + 1, bits)]
+    size = sum(len(x.as_py()) for b in batches for x in b["packed"])
+    assert size < 4 * sum(map(len, tasks))
+    rows, got = pa.Table.from_batches(batches), {}
+    for part in set(rows["part"].to_pylist()):
+        key, n = collocations._summed(rows.filter(pa.compute.equal(rows["part"], part)), bits)
+        assert (key >> bits == part).all()
+        got.update(zip(key.tolist(), n.tolist()))
+    want = Counter()
+    for keys in tasks:
+        want.update(dict(zip(keys.tolist(), (np.arange(len(keys)) % 3 + 1).tolist())))
+    assert got == want
+    assert not list(collocations._packed(np.zeros(0, np.int64), np.zeros(0, np.int64), bits))
