@@ -1,6 +1,8 @@
 import random
 
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from txnlake.llm import decontam
@@ -194,3 +196,31 @@ def test_texts_read_together_hit_as_each_by_itself(monkeypatch):
         if piece > 1000:
             assert len(made) == 1
     assert len(want) > 1000
+
+
+def test_words_are_learned_together(monkeypatch):
+    """Those new in a block in one go, with the codes and marks that each has by itself."""
+    calls, real = [], decontam.Reader._learn
+    monkeypatch.setattr(decontam.Reader, "_learn", lambda self, new: (calls.append(new), real(self, new))[1])
+    monkeypatch.setattr(decontam, "CACHE", 60)
+    odd = ["12", "+1,000.5", "(3:45)", "1.", "-", "...", "²", "x²", "a1", "1a", "٣", "٣.٤", "½", "KM", "km.", "%", "$5",
+           "Ünd!", "é", "İ", "Word", "word?", "WORD", "1/2", "1//2", "Ⅷ", "a:", "ß", "“Quote”", "\ud800"]
+    reader = decontam.Reader()
+    for words in (odd, odd[::-1], [f"w{i}" for i in range(70)], odd * 2):
+        got = reader.readings(words)
+        bare = [w.strip(decontam.EDGES) for w in words]
+        for i, (w, b) in enumerate(zip(words, bare)):
+            code = max(decontam.FIRST, xxhash.xxh64_intdigest(b.lower().encode("utf-8", "surrogatepass")))
+            kind = (decontam.NUMBER if decontam.NUMERIC.fullmatch(b) else
+                    decontam.UNIT if b.lower() in decontam.UNITS else 0)
+            name, begins = b[:1].isupper() and not kind, i == 0 or words[i - 1][-1] in ".!?:"
+            assert [int(r[i]) for r in got] == [
+                decontam.NAME if name and not begins else kind or code, decontam.NAME if name else kind or code,
+                kind if kind == decontam.NUMBER else code, code]
+    assert [len(c) for c in calls] == [len(odd), 70, len(odd)]
+
+
+def test_lists_of_a_part_of_an_array():
+    cells = pa.array([[1], [2, 3], [], [4, 5, 6]])
+    assert decontam._lists(cells) == [[1], [2, 3], [], [4, 5, 6]]
+    assert decontam._lists(cells.slice(1, 3)) == [[2, 3], [], [4, 5, 6]] and decontam._lists(cells[:0]) == []

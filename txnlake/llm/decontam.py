@@ -32,12 +32,12 @@ found each by itself; null ids are carried, of any type; texts are read whole, i
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -55,7 +55,7 @@ UNITS = frozenset("""
     kmh celsius fahrenheit kelvin mole moles byte bytes kb mb gb tb""".split())
 NUMERIC = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 EDGES = "\"'`()[]{}<>.,;:!?*#&_~|«»„“”’…-"
-CACHE = 200_000
+CACHE = 400_000
 ENDS, CAPITAL = 1, 2
 PIECE_WORDS = 200_000
 BLOCK_WORDS = 1 << 14  # words of texts that are read together
@@ -74,33 +74,36 @@ class Reader:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.known: list[tuple[int, int]] = []
-        self.filled = 0
         self.codes, self.marks = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
 
-    def _word(self, raw: str) -> int:
-        bare = raw.strip(EDGES)
-        low = bare.lower()
-        kind = NUMBER if NUMERIC.fullmatch(bare) else UNIT if low in UNITS else 0
-        mark = kind << 2 | ENDS * (raw[-1] in ".!?:") | CAPITAL * (bare[:1].isupper())
-        self.known.append((max(FIRST, xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))), mark))
-        self.number[raw] = len(self.known) - 1
-        return len(self.known) - 1
+    def _learn(self, new: list[str]) -> None:
+        """Number words; what is known of them is found for all of them together."""
+        first, n = len(self.number), len(self.number) + len(new)
+        if n > len(self.codes):  # twice the room, so that words are seldom copied
+            self.codes, self.marks = (np.concatenate([x, np.zeros(2 * n - len(x), x.dtype)])
+                                      for x in (self.codes, self.marks))
+        bare = [w.strip(EDGES) for w in new]
+        low = [w.lower() for w in bare]
+        digest = xxhash.xxh64_intdigest
+        codes = np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in low), np.uint64, len(new))
+        self.codes[first:n] = np.maximum(codes, np.uint64(FIRST))
+        # a number ends with a digit: few words are looked at closely
+        kinds = [NUMBER if b[-1:].isdecimal() and NUMERIC.fullmatch(b) else UNIT if w in UNITS else 0
+                 for b, w in zip(bare, low)]
+        marks = np.array(kinds, np.uint8) << 2
+        marks[[w[-1] in ".!?:" for w in new]] |= ENDS
+        marks[[w[:1].isupper() for w in bare]] |= CAPITAL
+        self.marks[first:n] = marks
+        self.number.update(zip(new, range(first, n)))
 
     def readings(self, raw: list[str], first: np.ndarray | int = 0) -> list[np.ndarray]:
         """Codes of words, by reading; those at ``first`` begin a sentence."""
-        if len(self.known) >= CACHE:
+        if len(self.number) >= CACHE:
             self.clear()
-        get, slow = self.number.get, self._word
-        at = np.fromiter((v if (v := get(w)) is not None else slow(w) for w in raw), np.int64, len(raw))
-        if self.filled < (n := len(self.known)):
-            if n > len(self.codes):  # twice the room, so that words are seldom copied
-                self.codes, self.marks = (np.concatenate([x, np.zeros(2 * n - len(x), x.dtype)])
-                                          for x in (self.codes, self.marks))
-            new = self.known[self.filled:]
-            self.codes[self.filled:n] = [c for c, _ in new]
-            self.marks[self.filled:n] = [m for _, m in new]
-            self.filled = n
+        new = set(raw).difference(self.number)
+        if new:
+            self._learn(list(new))
+        at = np.fromiter(map(self.number.__getitem__, raw), np.int64, len(raw))
         exact, mark = self.codes[at], self.marks[at]
         begins = np.ones(len(raw), bool)
         begins[1:] = mark[:-1] & ENDS
@@ -289,6 +292,12 @@ def text_hits(texts: DataFrame, bits: np.ndarray, kinds: list[tuple[int, int]])
     return texts.mapInArrow(search, HITS)
 
 
+def _lists(cells: pa.ListArray) -> list[list]:
+    """The lists of an Arrow array, their values taken out together."""
+    values, ends = cells.flatten().to_pylist(), cells.offsets.to_pylist()
+    return [values[a - ends[0]:b - ends[0]] for a, b in itertools.pairwise(ends)]
+
+
 JUDGED = "t1 long, t2 long, item long, n_windows long, coverage double, reparameterised boolean"
 
 
@@ -353,17 +362,21 @@ def leaks_of_texts(texts: DataFrame, items: DataFrame, window: int, min_words: i
     hits = text_hits(texts, bits, kinds).distinct()
     met = stored(hits.join(windows, ["size", "reading", "h"]), "matches")
 
-    def decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def decide(rows: pa.Table) -> pa.Table:
         # literal windows must agree word by word: hashes alone may meet by chance
-        matches = [(r.at - r.place, r.place, -r.reading, bool(r.literal), list(r.kinds), list(r.words),
-                    list(r.found), r.n_words, r.n_windows, r.n_literal) for r in rows.itertuples()
-                   if all(k or a == b for k, a, b in zip(r.kinds, r.words, r.found))]
+        numbers = (rows[c].to_pylist() for c in ("at", "place", "reading", "literal", "n_words", "n_windows", "n_literal"))
+        lists = (_lists(rows[c].combine_chunks()) for c in ("kinds", "words", "found"))
+        matches = [(at - place, place, -reading, literal, kinds, words, found, *counts)
+                   for at, place, reading, literal, *counts, kinds, words, found in zip(*numbers, *lists)
+                   if words == found or all(k or a == b for k, a, b in zip(kinds, words, found))]
         good, share_, count, differs = judge(matches, coverage) if matches else (False, 0, 0, False)
-        return pd.DataFrame([(*key, count, share_, differs)][:int(good)], columns=[
-            "t1", "t2", "item", "n_windows", "coverage", "reparameterised"])
+        key = [rows[c][0].as_py() for c in ("t1", "t2", "item")]
+        return pa.Table.from_pylist([dict(zip(judged_.names, (*key, count, share_, differs)))][:int(good)], judged_)
 
+    judged_ = pa.schema([(c, t) for c, t in zip(("t1", "t2", "item", "n_windows", "coverage", "reparameterised"),
+                                                [pa.int64()] * 4 + [pa.float64(), pa.bool_()])])
     # a group is what one text holds of one item
-    return met.groupBy("t1", "t2", "item").applyInPandas(decide, JUDGED)
+    return met.groupBy("t1", "t2", "item").applyInArrow(decide, JUDGED)
 
 
 def _marks(text_col: str) -> dict:
